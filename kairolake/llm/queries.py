@@ -7,6 +7,9 @@ from importlib import import_module
 #: query name -> module of this subpackage that defines it
 _QUERIES = {
     "op1_minhash_near_dedup": "near_dedup",
+    "op2_token_output": "token_output",
+    "op3_exact_dedup": "exact_dedup",
+    "op4_kd_sharding": "sharding",
 }
 
 
@@ -15,4 +18,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .exact_dedup import SQL as exact
+
+    return {**exact}

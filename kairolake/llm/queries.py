@@ -10,6 +10,8 @@ _QUERIES = {
     "op2_token_output": "token_output",
     "op3_exact_dedup": "exact_dedup",
     "op4_kd_sharding": "sharding",
+    "op9_line_dedup": "line_dedup",
+    "op10_language_id": "langid",
 }
 
 
@@ -20,4 +22,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from .exact_dedup import SQL as exact
 
-    return {**exact}
+    from .line_dedup import SQL as lines
+
+    return {**exact, **lines}

@@ -44,7 +44,7 @@ class NearDedupConfig:
     levels: int = 65534
     slack: float = 18.0
     small_bucket: int = 16
-    block: int = 256
+    block: int = 512
     seed: int = 7
 
     @property
@@ -187,7 +187,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, cfg: NearDedupConfig) -> DataF
 
 
 def _forest(cfg: NearDedupConfig, left: pd.DataFrame, right: pd.DataFrame, same: bool) -> list[tuple[int, int]]:
-    """Confirmed links between two blocks (or inside one), only those that join what is still apart."""
+    """What confirmed links join between two blocks (or inside one), as (member, smallest member joined with it);
+    pairs that are joined already aren't confirmed again."""
     up: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -199,7 +200,7 @@ def _forest(cfg: NearDedupConfig, left: pd.DataFrame, right: pd.DataFrame, same:
     sizes = [side["n"].to_numpy() for side in (left, right)]
     ids = [side["rep"].to_numpy() for side in (left, right)]
     sets = [[np.frombuffer(h, U64) for h in side["hashes"]] for side in (left, right)]
-    found, picked = [], []
+    picked = []
     for i in range(len(left)):
         at = np.arange(i + 1 if same else 0, len(right))
         if not len(at):
@@ -214,8 +215,7 @@ def _forest(cfg: NearDedupConfig, left: pd.DataFrame, right: pd.DataFrame, same:
         a, b = root(int(ids[0][i])), root(int(ids[1][j]))
         if a != b and linked(cfg, sets[0][i], sets[1][j]):
             up[max(a, b)] = min(a, b)
-            found.append((int(ids[0][i]), int(ids[1][j])))
-    return found
+    return [(x, root(x)) for x in up if root(x) != x]
 
 
 def _within_groups(members: DataFrame, cfg: NearDedupConfig) -> DataFrame:
@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, cfg: NearDedupConfig | None = None, text: s
     sets = materialize(_sets(docs, wanted, cfg, text, id_col), "sets")
     members = groups.join(classes.select("rep", "n", "regs"), "rep").join(sets, "rep")
     links = _confirmed(likely, sets, cfg).unionAll(_within_groups(members, cfg))
-    components = connected_components(links).select(F.col("node").alias("rep"), "component")
+    components = connected_components(links, "links").select(F.col("node").alias("rep"), "component")
     return (
         own.join(components, "rep", "left")
         .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

@@ -20,7 +20,12 @@ BINS = 4096
 WINDOW_ROWS = 20_000
 DIMS = ("d0", "d1", "d2")
 KEYS = ("x", "h", "k")
-CUTS = "node long, dim int, bytes long, lo double, hi double, want double"
+
+
+def _rows(spark: SparkSession, values: list[tuple], schema: str) -> DataFrame:
+    """A table of a few literal rows (one a node), as a plan without any data source."""
+    fields = [f.split() for f in schema.split(", ")]
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, fields, strict=True)]) for row in values])))
 
 
 def _unit(column: Column) -> Column:
@@ -46,7 +51,7 @@ def _metadata(docs: DataFrame, text: str, id_col: str, source: str, lang: str) -
 
 
 def _plan(rows: DataFrame, share: dict[int, float]) -> list[tuple]:
-    """CUTS of the nodes in ``share``: widest dimension and the bytes that go below the cut."""
+    """(node, dim, bytes, low, high, want) of the nodes in ``share``: widest dimension, bytes to go below the cut."""
     stats = rows.groupBy("node").agg(F.sum("size").alias("bytes"), *[F.min(d).alias(f"{d}_lo") for d in DIMS], *[F.max(d).alias(f"{d}_hi") for d in DIMS])
     plan = []
     for row in stats.collect():  # one row a node, at most as many as shards
@@ -60,21 +65,21 @@ def _places(rows: DataFrame, plan: list[tuple]) -> list[tuple]:
     """(node, dim, x, h, k, id, below): the row at each cut, and whether it belongs below."""
     spark = rows.sparkSession
     nodes = {p[0]: p for p in plan}
-    inside = rows.join(F.broadcast(spark.createDataFrame([p[:2] for p in plan], "node long, dim int")), "node").withColumn("x", F.element_at(F.array(*DIMS), F.col("dim") + 1))
+    inside = rows.join(F.broadcast(_rows(spark, [p[:2] for p in plan], "node long, dim int")), "node").withColumn("x", F.element_at(F.array(*DIMS), F.col("dim") + 1))
     bounds = {p[0]: (p[3], p[4], p[5]) for p in plan}
     for key in KEYS:
-        table_ = F.broadcast(spark.createDataFrame([(n, float(lo), float(hi - lo) or 1.0, float(want)) for n, (lo, hi, want) in bounds.items()], "node long, lo double, width double, want double"))
+        table_ = F.broadcast(_rows(spark, [(n, float(lo), float(hi - lo) or 1.0, float(want)) for n, (lo, hi, want) in bounds.items()], "node long, lo double, width double, want double"))
         binned = inside.join(table_, "node").withColumn("bin", F.floor((F.col(key) - F.col("lo")) / F.col("width") * BINS).cast("int"))
         sums = binned.groupBy("node", "bin", "want").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
         upto = Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
         crossed = sums.withColumn("sum", F.sum("bytes").over(upto)).where("sum > want")
         found = crossed.groupBy("node").agg(F.min_by(F.struct("bin", "n", (F.col("want") - F.col("sum") + F.col("bytes")).alias("want")), "bin").alias("c")).collect()
-        picked = spark.createDataFrame([(r["node"], r["c"]["bin"]) for r in found], "node long, bin int")
+        picked = _rows(spark, [(r["node"], r["c"]["bin"]) for r in found], "node long, bin int")
         inside = binned.drop("lo", "width", "want").join(F.broadcast(picked), ["node", "bin"]).drop("bin")
         bounds = {r["node"]: (0.0, 1.0, r["c"]["want"]) for r in found}
         if all(r["c"]["n"] <= WINDOW_ROWS for r in found):
             break
-    wants = F.broadcast(spark.createDataFrame([(n, float(b[2])) for n, b in bounds.items()], "node long, want double"))
+    wants = F.broadcast(_rows(spark, [(n, float(b[2])) for n, b in bounds.items()], "node long, want double"))
     upto = Window.partitionBy("node").orderBy(*KEYS, "id").rowsBetween(Window.unboundedPreceding, 0)
     run = inside.withColumn("sum", F.sum("size").over(upto)).join(wants, "node").where("sum > want")
     key = F.struct(*KEYS, "id")
@@ -84,7 +89,7 @@ def _places(rows: DataFrame, plan: list[tuple]) -> list[tuple]:
 
 def _descend(rows: DataFrame, places: list[tuple]) -> DataFrame:
     """Node n becomes 2n below its cut and 2n + 1 above; nodes without a cut become 2n."""
-    cuts = rows.sparkSession.createDataFrame(places, "node long, dim int, cx double, ch double, ck double, cid long, below boolean")
+    cuts = _rows(rows.sparkSession, places, "node long, dim int, cx double, ch double, ck double, cid long, below boolean")
     here = F.struct(F.element_at(F.array(*DIMS), F.col("dim") + 1).alias("x"), "h", "k", "id")
     cut = F.struct(F.col("cx").alias("x"), F.col("ch").alias("h"), F.col("ck").alias("k"), F.col("cid").alias("id"))
     above = F.when(F.col("dim").isNull(), False).when(F.col("below"), here > cut).otherwise(here >= cut)
@@ -106,7 +111,7 @@ def kd_shards(docs: DataFrame, shards: int = 16, text: str = "text", id_col: str
             break
         rows = _descend(rows, _places(rows, plan))
         leaves = {child: n for node, k in leaves.items() for child, n in ((2 * node, max(1, k // 2)), (2 * node + 1, k - k // 2 if k > 1 else 0)) if n}
-    numbers = docs.sparkSession.createDataFrame([(node, i) for i, node in enumerate(sorted(leaves))], "node long, shard int")
+    numbers = _rows(docs.sparkSession, [(node, i) for i, node in enumerate(sorted(leaves))], "node long, shard int")
     placed = rows.join(F.broadcast(numbers), "node")
 
     blocks = F.greatest(F.lit(1), F.ceil(F.lit(base.count() / WINDOW_ROWS))).cast("int")

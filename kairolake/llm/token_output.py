@@ -56,7 +56,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, by_word: bool = T
         ids, starts, total = [], [np.zeros(1, "<i8")], 0
         with store.open_output_stream(f"{name}.ids{mine}") as out:
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", 2 << 20):
                     offsets, flat = encode(part.column("text"), END_ID)
                     out.write(flat.astype(dtype).tobytes())
                     ids.append(part.column("id").fill_null(int(NO_ID)).to_numpy().astype("<i8"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,7 +11,7 @@ import pyarrow.compute as pc
 #: Token id appended to each document.
 END_ID = 1
 #: Distinct words that a worker remembers; beyond it the memory starts anew.
-REMEMBERED_WORDS = 200_000
+REMEMBERED_WORDS = 400_000
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -21,23 +23,27 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
 class Encoder:
     """Ids of whole texts, equal to ``tokenizer.encode(text, add_special_tokens=False).ids``.
 
-    With ``by_word`` the tokenizer must drop white space and never look across it (``word_bpe_49k``): the ids of
-    a text are then those of its words in order, and each distinct word is encoded once. Other tokenizers need
-    ``by_word=False``, which encodes text by text."""
+    With ``by_word`` the tokenizer must lower-case, drop white space, never look across it and cut between letters
+    and other signs (``word_bpe_49k``): the ids of a text are then those of its words in order, and each distinct
+    word is encoded once. Other tokenizers need ``by_word=False``, which encodes text by text."""
 
     def __init__(self, path: str, by_word: bool = True):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = by_word
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {"": b""}  # word -> its ids as uint32
 
     @property
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(texts), 1000):
+            out += [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 1000], add_special_tokens=False)]
+        return out
 
     def __call__(self, texts: pa.Array, end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids): the ids of text i are ``ids[offsets[i]:offsets[i + 1]]``; null counts as empty."""
@@ -46,27 +52,29 @@ class Encoder:
             counts, words, index = self._by_word(texts)
         else:
             counts, words, index = np.ones(len(texts), np.int64), self._ids(texts.to_pylist()), np.arange(len(texts))
-        words = [*words, np.array([] if end is None else [end], np.uint32)]
+        words.append(b"" if end is None else np.uint32(end).tobytes())
         first = np.concatenate([[0], np.cumsum(counts + 1)])  # pieces by text, the last is the end
         pieces = np.full(first[-1], len(words) - 1, np.int64)
         inner = np.ones(first[-1], bool)
         inner[first[1:] - 1] = False
         pieces[inner] = index
-        length = np.fromiter(map(len, words), np.int64, len(words))
+        length = np.fromiter(map(len, words), np.int64, len(words)) // 4
         start = np.concatenate([[0], np.cumsum(length)])[:-1]
         lengths = length[pieces]
         ends = np.cumsum(lengths)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[pieces] - (ends - lengths), lengths)
-        return np.concatenate([[0], ends])[first], np.concatenate(words)[at]
+        return np.concatenate([[0], ends])[first], np.frombuffer(b"".join(words), np.uint32)[at]
 
-    def _by_word(self, texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    def _by_word(self, texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
         lists = pc.ascii_split_whitespace(texts)
         flat = lists.flatten().dictionary_encode()
-        words = flat.dictionary.to_pylist()
+        # case and closing punctuation are taken off first: both leave the ids as they are, and words recur more
+        lower = pc.if_else(pc.match_substring(flat.dictionary, "<|"), flat.dictionary, pc.ascii_lower(flat.dictionary))
+        bodies = pc.replace_substring_regex(lower, r"([a-z])[.,;:!?]+$", r"\1").to_pylist()
+        tails = [w[len(b) :] for w, b in zip(lower.to_pylist(), bodies, strict=True)]
         if len(self.known) > REMEMBERED_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
+            self.known = {"": b""}
+        new = [w for w in {*bodies, *tails} if w not in self.known]
         self.known.update(zip(new, self._ids(new), strict=True))
-        return np.diff(lists.offsets.to_numpy()).astype(np.int64), [self.known[w] for w in words], flat.indices.to_numpy()
-
-
+        known = self.known
+        return np.diff(lists.offsets.to_numpy()).astype(np.int64), [known[b] + known[t] for b, t in zip(bodies, tails, strict=True)], flat.indices.to_numpy()

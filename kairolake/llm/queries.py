@@ -10,6 +10,7 @@ _QUERIES = {
     "op2_token_output": "token_output",
     "op3_exact_dedup": "exact_dedup",
     "op4_kd_sharding": "sharding",
+    "op7_ann_search": "ann",
     "op8_toxicity": "toxicity",
     "op9_line_dedup": "line_dedup",
     "op10_language_id": "langid",

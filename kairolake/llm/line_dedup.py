@@ -273,17 +273,20 @@ def dropped_keys(docs: DataFrame, index: LineIndex, text: str = "text", id_col:
     return maybe.join(exact, "key").where("first_doc <> doc_id").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
-def dedup_lines(docs: DataFrame, index: LineIndex | None = None, least: int = 10, text: str = "text", id_col: str = "doc_id", digest: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, index: LineIndex | None = None, least: int = 10, text: str = "text", id_col: str = "doc_id", digest: bool = False, carry: list[str] | None = None) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text): every document without the lines that an earlier one (smaller id) holds.
 
     Lines are cut at ``\\n``; a line's key is the line stripped of ASCII white space with A-Z lower-cased; keys
     under ``least`` code points always stay. Null and empty texts are one empty line. Lines repeated inside the
     smallest document stay. A document without an id is left as it is and suppresses nothing. With ``digest``
-    the kept text's SHA-256 comes instead of the text. Other columns are ignored; an empty table gives no rows."""
+    the kept text's SHA-256 comes instead of the text. The columns in ``carry`` come along, others are ignored; an
+    empty table gives no rows."""
     known = docs.where(F.col(id_col).isNotNull())
     index = index or build_index(known, least, text, id_col, postings=False)
     drops = dropped_keys(known, index, text, id_col)
-    joined = _texts(docs, text, id_col).join(drops, "doc_id", "left")
+    rest = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("string")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), rest.alias("rest"))
+    joined = narrow.join(drops, "doc_id", "left").select("doc_id", "text", "keys", "rest")
     least = index.least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,10 +304,12 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, least: int = 10
                     lost.append(len(rows) - len(stay))
                     whole = "\n".join(stay)
                     kept.append(hashlib.sha256(whole.encode()).hexdigest() if digest else whole)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lines, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_dropped", name])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lines, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string()), part.column("rest")], names=["doc_id", "n_lines", "n_dropped", name, "rest"])
 
     name = "kept_sha256" if digest else "text"
-    return joined.select("doc_id", "text", "keys").mapInArrow(run, f"doc_id long, n_lines long, n_dropped long, {name} string").withColumnRenamed("doc_id", id_col)
+    kind = joined.schema["rest"].dataType.simpleString()
+    out = joined.mapInArrow(run, f"doc_id long, n_lines long, n_dropped long, {name} string, rest {kind}")
+    return out.select(F.col("doc_id").alias(id_col), "n_lines", "n_dropped", name, *[F.col(f"rest.{c}").alias(c) for c in carry or []])
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

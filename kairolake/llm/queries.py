@@ -10,6 +10,8 @@ _QUERIES = {
     "op2_token_output": "token_output",
     "op3_exact_dedup": "exact_dedup",
     "op4_kd_sharding": "sharding",
+    "op5_ga_packing": "packing",
+    "op6_pfair_mixing": "mixing",
     "op7_ann_search": "ann",
     "op8_toxicity": "toxicity",
     "op9_line_dedup": "line_dedup",

@@ -75,7 +75,7 @@ def hash_words(flat: pa.Array) -> np.ndarray:
     enc = flat.dictionary_encode()
     if isinstance(enc, pa.ChunkedArray):
         enc = enc.combine_chunks()
-    words = enc.dictionary.cast(pa.binary()).to_pylist()
+    words = enc.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
     table_ = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), U64, len(words))
     return table_[enc.indices.to_numpy()]
 

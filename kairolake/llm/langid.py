@@ -64,7 +64,7 @@ def word_ngrams(words: pa.Array, cfg: LangIdConfig) -> tuple[np.ndarray, np.ndar
     framed = pc.if_else(pc.equal(letters, ""), "", pc.binary_join_element_wise(" ", letters, " ", ""))
     raw = framed.cast(pa.binary())
     size = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).astype(U64)
+    flat = np.frombuffer(b"".join(raw.to_numpy(zero_copy_only=False).tolist()), np.uint8).astype(U64)
     owner = np.repeat(np.arange(len(size)), size)
     owners, dims = [], []
     rolled = np.zeros(len(flat), U64)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,10 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _strings(a: pa.Array) -> list[str]:
+    return a.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """Ids of whole texts, equal to ``tokenizer.encode(text, add_special_tokens=False).ids``.
 
@@ -34,6 +39,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = by_word
         self.known: dict[str, bytes] = {"": b""}  # word -> its ids as uint32
+        # where small ASCII letters go through normaliser and pre-tokenizer as they are, the model alone is asked
+        probe, t = "abcdefghijklmnopqrstuvwxyz", self.tokenizer
+        self.direct = by_word and t.normalizer.normalize_str(probe) == probe and t.pre_tokenizer.pre_tokenize_str(probe) == [(probe, (0, 26))]
 
     @property
     def vocabulary(self) -> int:
@@ -42,9 +50,19 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         out = []
         for i in range(0, len(texts), 1000):
-            out += [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 1000], add_special_tokens=False)]
+            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 1000], add_special_tokens=False)]
         return out
 
+    def _learn(self, words: list[str]) -> None:
+        other = []
+        model = self.tokenizer.model.tokenize
+        for w in words:
+            if self.direct and w.isascii() and w.isalpha() and w.islower():
+                self.known[w] = array("I", [t.id for t in model(w)]).tobytes()
+            else:
+                other.append(w)
+        self.known.update(zip(other, self._ids(other), strict=True))
+
     def __call__(self, texts: pa.Array, end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids): the ids of text i are ``ids[offsets[i]:offsets[i + 1]]``; null counts as empty."""
         texts = pc.fill_null(texts, "")
@@ -70,11 +88,10 @@ class Encoder:
         flat = lists.flatten().dictionary_encode()
         # case and closing punctuation are taken off first: both leave the ids as they are, and words recur more
         lower = pc.if_else(pc.match_substring(flat.dictionary, "<|"), flat.dictionary, pc.ascii_lower(flat.dictionary))
-        bodies = pc.replace_substring_regex(lower, r"([a-z])[.,;:!?]+$", r"\1").to_pylist()
-        tails = [w[len(b) :] for w, b in zip(lower.to_pylist(), bodies, strict=True)]
+        bodies = _strings(pc.replace_substring_regex(lower, r"([a-z])[.,;:!?]+$", r"\1"))
+        tails = [w[len(b) :] for w, b in zip(_strings(lower), bodies, strict=True)]
         if len(self.known) > REMEMBERED_WORDS:
             self.known = {"": b""}
-        new = [w for w in {*bodies, *tails} if w not in self.known]
-        self.known.update(zip(new, self._ids(new), strict=True))
         known = self.known
+        self._learn([w for w in {*bodies, *tails} if w not in known])
         return np.diff(lists.offsets.to_numpy()).astype(np.int64), [known[b] + known[t] for b, t in zip(bodies, tails, strict=True)], flat.indices.to_numpy()

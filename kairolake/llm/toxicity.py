@@ -45,7 +45,7 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     offsets, flat = split_words(texts)
     coded = flat.dictionary_encode()
     bare = pc.replace_substring_regex(pc.utf8_lower(coded.dictionary), r"[^\p{L}]+", "").dictionary_encode()
-    return offsets, bare.dictionary.to_pylist(), bare.indices.to_numpy()[coded.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
+    return offsets, bare.dictionary.to_numpy(zero_copy_only=False).tolist(), bare.indices.to_numpy()[coded.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
 
 
 def _spelled(words: list[str], order: int) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:

@@ -43,7 +43,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, by_word: bool = T
     Null texts count as empty: the end id alone. Rows with equal document ids stay apart, ordered by text; null
     ids come first. An empty table gives a data set without parts. Other columns are ignored."""
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # words recur more in a larger part, and each is encoded once a part
+    parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 
 def _modules() -> list:
-    return []
+    from .plans import queries_series
+
+    return [queries_series]
 
 
 def queries() -> dict[str, Callable]:

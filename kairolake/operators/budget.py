@@ -199,7 +199,7 @@ def allocate_greedy(windows: DataFrame, configs: list[tuple[str, float]], budget
     first = plan.orderBy((F.col("step") == len(order)).cast("int"), "step", "weight", "window_id").rowsBetween(Window.unboundedPreceding, -1)
     start = F.sum(F.when(F.col("step") == 1, F.col("duration") * order[0][1]).otherwise(0.0)).over(plan)
     rows = rows.withColumn("over", start - F.coalesce(F.sum(F.col("duration") * F.col("rate")).over(first), F.lit(0.0)) - F.col("budget")).withColumn("taken", (F.col("over") > 1e-9).cast("int"))
-    taken = rows.groupBy("plan_id", "window_id", "duration").agg(F.sum("taken").alias("level"))
+    taken = rows.groupBy("plan_id", "window_id", "duration").agg(F.sum("taken").cast("int").alias("level"))
     cost = F.element_at(F.array(*[F.lit(c) for _, c in order], F.lit(0.0)), F.col("level") + 1)
     name = F.element_at(F.array(*[F.lit(c) for c, _ in order], F.lit(None).cast("string")), F.col("level") + 1)
     return taken.select("plan_id", "window_id", name.alias("cfg"), (cost * F.col("duration")).alias("cost"), (F.col("level") == len(order)).alias("dropped"))
@@ -216,7 +216,7 @@ def allocate_relaxed(windows: DataFrame, configs: list[tuple[str, float, float]]
     rows = windows.withColumn("budget", budget).select("plan_id", "window_id", "budget", "duration", "weight", option)
     rows = rows.select("plan_id", "window_id", "budget", "cfg", (F.col("rate") * F.col("duration")).alias("cost"), (F.col("weight") * F.col("prior")).alias("utility"))
     a, b = rows.alias("a"), rows.alias("b")
-    slope = (F.col("a.utility") - F.col("b.utility")) / (F.col("a.cost") - F.col("b.cost"))
+    slope = F.try_divide(F.col("a.utility") - F.col("b.utility"), F.col("a.cost") - F.col("b.cost"))
     lam = a.join(b, ["plan_id", "window_id"]).where("a.cost > b.cost").select("plan_id", F.greatest(slope, F.lit(0.0)).alias("lam"))
     lam = lam.select("plan_id", F.round(F.col("lam") + 1e-9, 9).alias("lam")).unionAll(windows.select("plan_id", F.lit(0.0).alias("lam"))).distinct()
     value = F.round(F.col("utility") - F.col("lam") * F.col("cost"), 12)
@@ -224,7 +224,7 @@ def allocate_relaxed(windows: DataFrame, configs: list[tuple[str, float, float]]
     fits = choice.groupBy("plan_id", "lam").agg(F.sum("c.cost").alias("total"), F.max("c.budget").alias("budget")).where("total <= budget + 1e-9").groupBy("plan_id").agg(F.min("lam").alias("lam"), F.min_by("total", "lam").alias("total"))
     base = choice.join(fits, ["plan_id", "lam"]).select("plan_id", "window_id", "c.*", "total")
     up = base.join(rows.select("plan_id", "window_id", F.col("cfg").alias("cfg2"), F.col("cost").alias("cost2"), F.col("utility").alias("utility2")), ["plan_id", "window_id"]).where("cost2 > cost and utility2 > utility")
-    up = up.withColumn("gain", (F.col("utility2") - F.col("utility")) / (F.col("cost2") - F.col("cost")))
+    up = up.withColumn("gain", F.try_divide(F.col("utility2") - F.col("utility"), F.col("cost2") - F.col("cost")))
     ladder = up.groupBy("plan_id").agg(F.first(F.col("budget") - F.col("total")).alias("room"), F.array_sort(F.collect_list(F.struct((-F.round("gain", 12)).alias("g"), "window_id", (F.col("cost2") - F.col("cost")).alias("more"), "cfg2", "cost2", "utility2"))).alias("ups"))
     state = F.struct(F.col("room").alias("room"), F.array().cast("array<struct<window_id:int,cfg2:string,cost2:double,utility2:double>>").alias("done"))
     taken = F.aggregate("ups", state, lambda s, u: F.when((u["more"] <= s["room"] + 1e-9) & ~F.exists(s["done"], lambda d: d["window_id"] == u["window_id"]), F.struct((s["room"] - u["more"]).alias("room"), F.array_append(s["done"], F.struct(u["window_id"].alias("window_id"), u["cfg2"].alias("cfg2"), u["cost2"].alias("cost2"), u["utility2"].alias("utility2"))).alias("done"))).otherwise(s))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 
 def _modules() -> list:
-    from .plans import queries_series
+    from .plans import queries_plans, queries_series, queries_stats
 
-    return [queries_series]
+    return [queries_series, queries_plans, queries_stats]
 
 
 def queries() -> dict[str, Callable]:

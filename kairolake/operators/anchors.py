@@ -6,14 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .confidence import confidence, metric
-from .series import CLIP, local_maxima, minmax, smooth
-
-BEST = CLIP.orderBy(F.desc("score"), "t")
-
+from .series import by_clip, local_maxima, minmax, smooth
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     """(clip_id, rank, t): the k best seconds, ties to the earlier one."""
-    return scores.withColumn("rank", F.row_number().over(BEST)).where(F.col("rank") <= k).select("clip_id", "rank", "t")
+    return scores.withColumn("rank", F.row_number().over(by_clip().orderBy(F.desc("score"), "t"))).where(F.col("rank") <= k).select("clip_id", "rank", "t")
 
 
 def ranked(scores: DataFrame) -> DataFrame:
@@ -150,13 +147,13 @@ def hash_uniform(*parts: Column | str) -> Column:
 
 def random_anchors(scores: DataFrame, k: int, seed: int) -> DataFrame:
     """k seconds of each clip in the order of a hash."""
-    order = CLIP.orderBy(hash_uniform(str(seed), F.col("clip_id"), F.col("t")), "t")
+    order = by_clip().orderBy(hash_uniform(str(seed), F.col("clip_id"), F.col("t")), "t")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("clip_id", "rank", "t")
 
 
 def oracle_anchors(labels: DataFrame, k: int) -> DataFrame:
     """The first k event seconds of (clip_id, t, gt)."""
-    return labels.where("gt <> 0").withColumn("rank", F.row_number().over(CLIP.orderBy("t"))).where(F.col("rank") <= k).select("clip_id", "rank", "t")
+    return labels.where("gt <> 0").withColumn("rank", F.row_number().over(by_clip().orderBy("t"))).where(F.col("rank") <= k).select("clip_id", "rank", "t")
 
 
 def oracle_segment_anchors(segments: DataFrame, n: int, k: int) -> DataFrame:
@@ -165,7 +162,7 @@ def oracle_segment_anchors(segments: DataFrame, n: int, k: int) -> DataFrame:
     order = [F.desc(F.col("end_s") - F.col("start_s")), "start_s", "segment_id"]
     rows = segments.withColumn("t", t)
     unique = rows.withColumn("r", F.row_number().over(Window.partitionBy("clip_id", "t").orderBy(*order))).where("r = 1")
-    return unique.withColumn("rank", F.row_number().over(CLIP.orderBy(*order))).where(F.col("rank") <= k).select("clip_id", "rank", "t")
+    return unique.withColumn("rank", F.row_number().over(by_clip().orderBy(*order))).where(F.col("rank") <= k).select("clip_id", "rank", "t")
 
 
 def extremes(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:

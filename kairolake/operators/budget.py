@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .series import CLIP, scaffold
+from .series import by_clip, scaffold
 
 
 def tokens_of(resolution: Column, patch: int = 16) -> Column:
@@ -136,7 +136,7 @@ def band_plan(sel: DataFrame, n: int, low: int, base: int, high: int, extra: lis
     rows = rows.join(scores.select("clip_id", "t", "score"), ["clip_id", "t"], "left") if scores is not None else rows.withColumn("score", F.lit(0.0))
     place = F.array_position(F.slice("anchors", 1, F.greatest(F.col("k"), F.lit(1))), F.col("t"))
     order = [F.when((place > 0) & (F.col("k") > 0), place).otherwise(n + 1), *base_order(alloc, F.col("anchors"), F.col("anchors"), F.col("t"), F.col("score"), F.lit(n))]
-    rows = rows.withColumn("rank", F.row_number().over(CLIP.orderBy(*order)))
+    rows = rows.withColumn("rank", F.row_number().over(by_clip().orderBy(*order)))
     levels = None
     for k in range(1, min(k_max, n) + 1):
         if k * tokens(high) + (n - k) * tokens(min([low, *(extra or [])])) > target:

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import CLIP, minmax
+from .series import by_clip, minmax
 
 METRICS = ("std", "std_norm", "top1_med", "top1_med_norm", "top12_gap", "top12_gap_norm", "top3_bottom3", "gini")
 
 
 def confidence(scores: DataFrame) -> DataFrame:
     """All metrics of each clip as columns, in one pass over ranked rows."""
-    up, down = CLIP.orderBy("score", "t"), CLIP.orderBy(F.desc("score"), "t")
-    rows = minmax(scores, out="x").withColumn("up", F.row_number().over(up)).withColumn("down", F.row_number().over(down)).withColumn("y", F.col("score") - F.least(F.min("score").over(CLIP), F.lit(0.0)))
+    up, down = by_clip().orderBy("score", "t"), by_clip().orderBy(F.desc("score"), "t")
+    rows = minmax(scores, out="x").withColumn("up", F.row_number().over(up)).withColumn("down", F.row_number().over(down)).withColumn("y", F.col("score") - F.least(F.min("score").over(by_clip()), F.lit(0.0)))
     n = F.count(F.lit(1))
     at = lambda c, k: F.max(F.when(F.col("down") == k, F.col(c)))
     gap = lambda c: F.when(n < 2, F.lit(0.0)).otherwise(at(c, 1) - at(c, 2))
@@ -49,8 +49,8 @@ def reliability_alpha(q: Column, low: float, high: float) -> Column:
 
 def second_anchor_features(scores: DataFrame) -> DataFrame:
     """Features that judge a clip's second anchor against its first: peaks, gap, spread, distance, surroundings."""
-    time = CLIP.orderBy("t")
-    rows = minmax(scores, out="x").withColumn("near", F.avg("x").over(time.rowsBetween(-1, 1))).withColumn("down", F.row_number().over(CLIP.orderBy(F.desc("score"), "t")))
+    time = by_clip().orderBy("t")
+    rows = minmax(scores, out="x").withColumn("near", F.avg("x").over(time.rowsBetween(-1, 1))).withColumn("down", F.row_number().over(by_clip().orderBy(F.desc("score"), "t")))
     at = lambda c, k: F.max(F.when(F.col("down") == k, F.col(c)))
     out = rows.groupBy("clip_id").agg(at("x", 1).alias("peak1"), at("x", 2).alias("peak2"), at("x", 3).alias("peak3"), at("near", 1).alias("near1"), at("near", 2).alias("near2"), F.abs(at("t", 1) - at("t", 2)).alias("distance"), F.avg("x").alias("mean"), F.median("x").alias("median"))
     return out.withColumns({"gap12": F.col("peak1") - F.col("peak2"), "gap23": F.col("peak2") - F.col("peak3")}).join(confidence(scores).select("clip_id", "std", "gini"), "clip_id")
@@ -58,7 +58,7 @@ def second_anchor_features(scores: DataFrame) -> DataFrame:
 
 def gate_features(scores: DataFrame) -> DataFrame:
     """Features that judge a clip's anchors as a whole: ranks from both ends, shares above levels, distance."""
-    rows = minmax(scores, out="x").withColumn("up", F.row_number().over(CLIP.orderBy("score", "t"))).withColumn("down", F.row_number().over(CLIP.orderBy(F.desc("score"), "t"))).withColumn("med", F.median("x").over(Window.partitionBy("clip_id")))
+    rows = minmax(scores, out="x").withColumn("up", F.row_number().over(by_clip().orderBy("score", "t"))).withColumn("down", F.row_number().over(by_clip().orderBy(F.desc("score"), "t"))).withColumn("med", F.median("x").over(Window.partitionBy("clip_id")))
     at = lambda by, k: F.max(F.when(F.col(by) == k, F.col("x")))
     t = lambda k: F.max(F.when(F.col("down") == k, F.col("t")))
     return rows.groupBy("clip_id").agg(

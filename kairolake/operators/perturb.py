@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import hash_uniform
-from .series import CLIP
+from .series import by_clip
 
 
 def gaussian(*key: Column | str) -> Column:
@@ -40,7 +40,7 @@ def silence(samples: DataFrame, ratio: float, seed: int) -> DataFrame:
 
 def perturb_scores(scores: DataFrame, shift: int, snr_db: float, silence_ratio: float, seed: int) -> DataFrame:
     """Shift with 0, noise of power / 10^(snr/10), and a hash mask, clamped to [0, 1]."""
-    time = CLIP.orderBy("t")
+    time = by_clip().orderBy("t")
     moved = F.lag("score", shift).over(time) if shift >= 0 else F.lead("score", -shift).over(time)
     rows = scores.withColumn("score", F.coalesce(moved, F.lit(0.0)))
     power = F.avg(F.col("score") * F.col("score")).over(Window.partitionBy("clip_id"))

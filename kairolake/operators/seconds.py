@@ -6,16 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import hash_uniform
-from .series import CLIP, minmax, scaffold
-
-PICK = Window.partitionBy("clip_id", "t")
-
+from .series import by_clip, minmax, scaffold
 
 def first_by_priority(candidates: DataFrame, budget, order: list) -> DataFrame:
     """(clip_id, t) of the first ``budget`` seconds of prioritised candidates; a second counts once, where it comes
     first. The pattern of every selection below: candidate sets with a priority, then two ranks."""
-    once = candidates.withColumn("__r", F.row_number().over(PICK.orderBy(*order))).where("__r = 1")
-    return once.withColumn("pos", F.row_number().over(CLIP.orderBy(*order, "t"))).where(F.col("pos") <= budget).drop("__r")
+    once = candidates.withColumn("__r", F.row_number().over(Window.partitionBy("clip_id", "t").orderBy(*order))).where("__r = 1")
+    return once.withColumn("pos", F.row_number().over(by_clip().orderBy(*order, "t"))).where(F.col("pos") <= budget).drop("__r")
 
 
 def uniform_seconds(clips: DataFrame, n: int, total: int) -> DataFrame:
@@ -35,7 +32,7 @@ def stratified_seconds(clips: DataFrame, n: int, total: int) -> DataFrame:
 
 
 def random_seconds(clips: DataFrame, n: int, total: int, seed: int) -> DataFrame:
-    order = CLIP.orderBy(hash_uniform(str(seed), F.col("clip_id"), F.col("t")), "t")
+    order = by_clip().orderBy(hash_uniform(str(seed), F.col("clip_id"), F.col("t")), "t")
     return scaffold(clips, total).withColumn("r", F.row_number().over(order)).where(F.col("r") <= n).select("clip_id", "t")
 
 
@@ -67,7 +64,7 @@ def gumbel_top_k(weights: DataFrame, k: int, seed: int) -> DataFrame:
     """k seconds drawn without replacement in proportion to (clip_id, t, weight): ln(w) plus hash-seeded noise."""
     u = F.greatest(hash_uniform(str(seed), F.col("clip_id"), F.col("t")), F.lit(1e-12))
     key = F.log(F.greatest("weight", F.lit(1e-12))) - F.log(-F.log(u))
-    return weights.withColumn("r", F.row_number().over(CLIP.orderBy(key.desc(), "t"))).where(F.col("r") <= k).select("clip_id", "t", F.col("r").alias("rank"))
+    return weights.withColumn("r", F.row_number().over(by_clip().orderBy(key.desc(), "t"))).where(F.col("r") <= k).select("clip_id", "t", F.col("r").alias("rank"))
 
 
 def _dot(a, b):
@@ -114,11 +111,11 @@ def segment_quota(scores: DataFrame, parts: int, budget: int, total: int) -> Dat
     above its size; what the caps leave over goes to the parts with room, in the order of mass."""
     part = F.floor(F.col("t") * parts / total).cast("int")
     mass = scores.where(F.col("t") < total).groupBy("clip_id", part.alias("part")).agg(F.sum(F.greatest("score", F.lit(0.0))).alias("mass"), F.count(F.lit(1)).alias("size"))
-    share = F.when(F.sum("mass").over(CLIP) > 0, F.col("mass") / F.sum("mass").over(CLIP)).otherwise(1.0 / parts) * budget
-    rows = mass.withColumn("share", F.round(share, 9)).withColumn("base", F.floor("share")).withColumn("missing", F.lit(budget) - F.sum("base").over(CLIP))
-    rows = rows.withColumn("r", F.row_number().over(CLIP.orderBy(F.desc(F.col("share") - F.col("base")), "part"))).withColumn("q", F.least(F.col("base") + (F.col("r") <= F.col("missing")).cast("int"), F.col("size")))
-    left = F.lit(budget) - F.sum("q").over(CLIP)
-    before = F.coalesce(F.sum(F.col("size") - F.col("q")).over(CLIP.orderBy(F.desc("mass"), "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    share = F.when(F.sum("mass").over(by_clip()) > 0, F.col("mass") / F.sum("mass").over(by_clip())).otherwise(1.0 / parts) * budget
+    rows = mass.withColumn("share", F.round(share, 9)).withColumn("base", F.floor("share")).withColumn("missing", F.lit(budget) - F.sum("base").over(by_clip()))
+    rows = rows.withColumn("r", F.row_number().over(by_clip().orderBy(F.desc(F.col("share") - F.col("base")), "part"))).withColumn("q", F.least(F.col("base") + (F.col("r") <= F.col("missing")).cast("int"), F.col("size")))
+    left = F.lit(budget) - F.sum("q").over(by_clip())
+    before = F.coalesce(F.sum(F.col("size") - F.col("q")).over(by_clip().orderBy(F.desc("mass"), "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     extra = F.greatest(F.lit(0), F.least(F.col("size") - F.col("q"), left - before))
     return rows.select("clip_id", "part", "size", (F.col("q") + extra).cast("int").alias("quota"))
 
@@ -150,4 +147,4 @@ def by_method(**methods: DataFrame) -> DataFrame:
 
 def frame_manifest(selected: DataFrame) -> DataFrame:
     """(clip_id, order, t) of the selected seconds in time."""
-    return selected.select("clip_id", (F.row_number().over(CLIP.orderBy("t")) - 1).alias("order"), "t")
+    return selected.select("clip_id", (F.row_number().over(by_clip().orderBy("t")) - 1).alias("order"), "t")

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-CLIP = Window.partitionBy("clip_id")
-TIME = CLIP.orderBy("t")
 EPS = 1e-12
 
 
+def by_clip() -> WindowSpec:
+    return Window.partitionBy("clip_id")
+
+
+def in_time() -> WindowSpec:
+    return by_clip().orderBy("t")
+
+
 def log_energy(samples: DataFrame, *more: Column) -> DataFrame:
     """ln(mean(amp^2) + 1e-12) by clip and second."""
     return samples.groupBy("clip_id", "t").agg(F.log(F.avg(F.col("amp") * F.col("amp")) + EPS).alias("score"), *more)
@@ -23,7 +29,7 @@ def padded_log_energy(samples: DataFrame, rate: int) -> DataFrame:
 
 def delta(scores: DataFrame) -> DataFrame:
     """Absolute change to the second before; the first second has 0."""
-    return scores.withColumn("score", F.coalesce(F.abs(F.col("score") - F.lag("score").over(TIME)), F.lit(0.0)))
+    return scores.withColumn("score", F.coalesce(F.abs(F.col("score") - F.lag("score").over(in_time())), F.lit(0.0)))
 
 
 def scaffold(clips: DataFrame, n: int) -> DataFrame:
@@ -39,7 +45,7 @@ def pad_to(scores: DataFrame, n: int, value: float = 0.0, clips: DataFrame | Non
 
 def repeat_last(scores: DataFrame, n: int) -> DataFrame:
     """Seconds 0..n-1; missing ones repeat the last second before them."""
-    upto = TIME.rowsBetween(Window.unboundedPreceding, 0)
+    upto = in_time().rowsBetween(Window.unboundedPreceding, 0)
     full = scaffold(scores.select("clip_id").distinct(), n).join(scores, ["clip_id", "t"], "left")
     return full.withColumn("score", F.last("score", ignorenulls=True).over(upto))
 
@@ -58,13 +64,13 @@ def max_pool(dense: DataFrame, stride_s: float, win_s: float, n: int) -> DataFra
     t = F.floor(F.col("i") * stride_s + win_s / 2).cast("int")
     pooled = dense.withColumn("t", t).where(F.col("t") < n).groupBy("clip_id", "t").agg(F.max("score").alias("score"))
     full = scaffold(dense.select("clip_id").distinct(), n).join(pooled, ["clip_id", "t"], "left")
-    return full.withColumn("score", F.coalesce("score", F.min("score").over(CLIP)))
+    return full.withColumn("score", F.coalesce("score", F.min("score").over(by_clip())))
 
 
 def interpolate_pool(scores: DataFrame, parts: int, half: int) -> DataFrame:
     """Linear interpolation to ``parts`` points a second, centred maximum over ``half`` points each side, and the
     largest again by second."""
-    grid = scores.withColumn("next", F.coalesce(F.lead("score").over(TIME), F.col("score"))).select("clip_id", "t", "score", "next", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"))
+    grid = scores.withColumn("next", F.coalesce(F.lead("score").over(in_time()), F.col("score"))).select("clip_id", "t", "score", "next", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"))
     fine = grid.select("clip_id", "t", (F.col("t") * parts + F.col("p")).alias("i"), (F.col("score") + (F.col("next") - F.col("score")) * F.col("p") / parts).alias("x"))
     near = Window.partitionBy("clip_id").orderBy("i").rowsBetween(-half, half)
     return fine.withColumn("x", F.max("x").over(near)).groupBy("clip_id", "t").agg(F.max("x").alias("score"))
@@ -72,7 +78,7 @@ def interpolate_pool(scores: DataFrame, parts: int, half: int) -> DataFrame:
 
 def minmax(scores: DataFrame, column: str = "score", out: str = "score") -> DataFrame:
     """To [0, 1] inside each clip; a constant clip becomes 0."""
-    low, high = F.min(column).over(CLIP), F.max(column).over(CLIP)
+    low, high = F.min(column).over(by_clip()), F.max(column).over(by_clip())
     return scores.withColumn(out, F.when(high - low <= EPS, F.lit(0.0)).otherwise((F.col(column) - low) / (high - low)))
 
 
@@ -85,8 +91,8 @@ def fuse(a: DataFrame, b: DataFrame, how: str = "max", scale: float = 1.0) -> Da
 
 def shift(scores: DataFrame, seconds: int, pad: float | None = None) -> DataFrame:
     """Moves scores to later seconds (earlier if negative); gaps get ``pad``, or the clip's least score."""
-    moved = F.lag("score", seconds).over(TIME) if seconds >= 0 else F.lead("score", -seconds).over(TIME)
-    return scores.withColumn("score", F.coalesce(moved, F.lit(pad) if pad is not None else F.min("score").over(CLIP)))
+    moved = F.lag("score", seconds).over(in_time()) if seconds >= 0 else F.lead("score", -seconds).over(in_time())
+    return scores.withColumn("score", F.coalesce(moved, F.lit(pad) if pad is not None else F.min("score").over(by_clip())))
 
 
 def best_lag(a: DataFrame, b: DataFrame, lags: list[int]) -> DataFrame:
@@ -103,18 +109,18 @@ def best_lag(a: DataFrame, b: DataFrame, lags: list[int]) -> DataFrame:
 def apply_lags(scores: DataFrame, lags: DataFrame) -> DataFrame:
     """Moves each clip's scores by its own lag; gaps get the clip's least score."""
     moved = scores.join(lags.select("clip_id", "lag"), "clip_id").select("clip_id", (F.col("t") + F.col("lag")).alias("t"), F.col("score").alias("moved"))
-    return scores.join(moved, ["clip_id", "t"], "left").withColumn("score", F.coalesce("moved", F.min("score").over(CLIP))).drop("moved")
+    return scores.join(moved, ["clip_id", "t"], "left").withColumn("score", F.coalesce("moved", F.min("score").over(by_clip()))).drop("moved")
 
 
 def smooth(scores: DataFrame, window: int, mode: str = "mean", out: str = "score") -> DataFrame:
     """Centred mean or sum over an odd window, cut at the ends."""
-    near = TIME.rowsBetween(-(window // 2), window // 2)
+    near = in_time().rowsBetween(-(window // 2), window // 2)
     return scores.withColumn(out, (F.avg if mode == "mean" else F.sum)("score").over(near))
 
 
 def local_maxima(scores: DataFrame) -> DataFrame:
     """Rows above their left and not below their right neighbour; ends only have one."""
-    left, right = F.lag("score").over(TIME), F.lead("score").over(TIME)
+    left, right = F.lag("score").over(in_time()), F.lead("score").over(in_time())
     return scores.withColumn("peak", (left.isNull() | (F.col("score") > left)) & (right.isNull() | F.when(left.isNull(), F.col("score") > right).otherwise(F.col("score") >= right))).where("peak").drop("peak")
 
 
@@ -129,7 +135,7 @@ def cosine(a, b) -> Column:
 def vector_change(vectors: DataFrame, metric: str = "cosine", column: str = "emb") -> DataFrame:
     """(clip_id, t, score): change of the vector to the second before, by 1 - cosine, L2 or mean absolute
     difference; the first second has 0."""
-    prev, here = F.lag(column).over(TIME), F.col(column)
+    prev, here = F.lag(column).over(in_time()), F.col(column)
     gap = F.zip_with(here, F.col("prev"), lambda x, y: x.cast("double") - y.cast("double"))
     change = {
         "cosine": 1 - cosine(here, F.col("prev")),
@@ -182,7 +188,7 @@ def suppress(scores: DataFrame, speech: DataFrame) -> DataFrame:
 def pick_by_variance(audio: DataFrame, visual: DataFrame, least: float = 1.0, scale: float = 3.5) -> DataFrame:
     """The audio scores, or the scaled visual ones in clips whose audio scores hardly vary."""
     both = audio.select("clip_id", "t", F.col("score").alias("a")).join(visual.select("clip_id", "t", F.col("score").alias("v")), ["clip_id", "t"])
-    return both.select("clip_id", "t", F.when(F.stddev_pop("a").over(CLIP) < least, F.col("v") * scale).otherwise(F.col("a")).alias("score"))
+    return both.select("clip_id", "t", F.when(F.stddev_pop("a").over(by_clip()) < least, F.col("v") * scale).otherwise(F.col("a")).alias("score"))
 
 
 def softmax(logits: DataFrame, column: str = "logit", out: str = "p") -> DataFrame:
@@ -238,7 +244,7 @@ def loss_gain(low: DataFrame, high: DataFrame, labels: DataFrame) -> DataFrame:
     """Fall of the cross entropy from low to high on event seconds, relative to the clip's largest."""
     side = lambda p, name: p.join(labels, ["clip_id", "t"]).where(F.col("class") == F.col("label_id")).select("clip_id", "t", "label_id", (-F.log(F.greatest("p", F.lit(EPS)))).alias(name))
     gain = side(low, "a").join(side(high, "b").drop("label_id"), ["clip_id", "t"]).select("clip_id", "t", F.when(F.col("label_id") != 0, F.greatest(F.col("a") - F.col("b"), F.lit(0.0))).otherwise(0.0).alias("g"))
-    return gain.select("clip_id", "t", (F.col("g") / (F.max("g").over(CLIP) + 1e-6)).alias("score"))
+    return gain.select("clip_id", "t", (F.col("g") / (F.max("g").over(by_clip()) + 1e-6)).alias("score"))
 
 
 def accuracy_flip(low: DataFrame, high: DataFrame, labels: DataFrame) -> DataFrame:

@@ -33,7 +33,8 @@ from .graph import connected_components
 class NearDedupConfig:
     """``percent``: link when 100 * |A and B| >= percent * |A or B|. 26 bands of 5 registers miss a pair at
     similarity 0.85 with probability 3e-7, at 0.8 with 4e-5. ``slack``: log-likelihood by which the threshold
-    must be worse than the best estimate before a pair is ruled out (18: six standard deviations)."""
+    must be worse than the best estimate before a pair is ruled out (18: six standard deviations). ``small_bucket``:
+    keys with more classes than this don't give pairs. ``block_bytes``: hashes of a group's block."""
 
     shingle: int = 5
     percent: int = 80
@@ -43,8 +44,8 @@ class NearDedupConfig:
     rate: float = 20.0
     levels: int = 65534
     slack: float = 18.0
-    small_bucket: int = 16
-    block: int = 512
+    small_bucket: int = 4
+    block_bytes: int = 4 << 20
     seed: int = 7
 
     @property
@@ -104,12 +105,13 @@ def plausible(cfg: NearDedupConfig, n_a: np.ndarray, n_b: np.ndarray, more: np.n
     u = (n_a / (n_a + n_b))[:, None]
     v = 1 - u
     edge = cfg.percent / 100
-    grid = np.concatenate([np.linspace(0.02, 0.995, 66), [edge]])[None, :]
+    equal = cfg.registers - more - less
+    near = (equal / cfg.registers)[:, None] + np.linspace(-0.08, 0.08, 9)[None, :]  # the maximum is close to the share of equal registers
+    grid = np.column_stack([near.clip(0.001, 0.999), np.full(len(more), edge)])
     best = np.minimum(grid, np.minimum(u / v, v / u))
     p = lambda x: -np.log1p(-np.clip(x, 1e-12, 1) * (cfg.base - 1) / cfg.base) / np.log(cfg.base)
     up, down = p(u - v * best), p(v - u * best)
     same = np.clip(1 - up - down, 1e-12, 1)
-    equal = cfg.registers - more - less
     fit = more[:, None] * np.log(up) + less[:, None] * np.log(down) + equal[:, None] * np.log(same)
     top = fit.argmax(axis=1)
     estimate = best[np.arange(len(top)), top]
@@ -200,13 +202,14 @@ def _forest(cfg: NearDedupConfig, left: pd.DataFrame, right: pd.DataFrame, same:
     sizes = [side["n"].to_numpy() for side in (left, right)]
     ids = [side["rep"].to_numpy() for side in (left, right)]
     sets = [[np.frombuffer(h, U64) for h in side["hashes"]] for side in (left, right)]
-    picked = []
+    picked, edge = [], cfg.percent / 100
+    least = cfg.registers * (edge - 7 * np.sqrt(edge * (1 - edge) / cfg.registers))  # seven standard deviations
     for i in range(len(left)):
         at = np.arange(i + 1 if same else 0, len(right))
         if not len(at):
             continue
         more, less = (regs[0][i] > regs[1][at]).sum(axis=1), (regs[0][i] < regs[1][at]).sum(axis=1)
-        near = np.flatnonzero(cfg.registers - more - less >= cfg.registers * cfg.percent / 400)
+        near = np.flatnonzero(cfg.registers - more - less >= least)
         if not len(near):
             continue
         estimate, keep = plausible(cfg, np.full(len(near), sizes[0][i]), sizes[1][at[near]], more[near], less[near])
@@ -220,8 +223,8 @@ def _forest(cfg: NearDedupConfig, left: pd.DataFrame, right: pd.DataFrame, same:
 
 def _within_groups(members: DataFrame, cfg: NearDedupConfig) -> DataFrame:
     """Links inside large groups. ``members(grp, rep, n, regs, hashes)``; a group is cut into blocks of about
-    ``cfg.block`` members, and every two blocks meet in one task, so that no task holds a whole group."""
-    blocks = members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / cfg.block).cast("int").alias("blocks"))
+    ``cfg.block_bytes``, and every two blocks meet in one task, so that no task holds more than two blocks."""
+    blocks = members.groupBy("grp").agg(F.ceil(8 * F.sum("n") / cfg.block_bytes).cast("int").alias("blocks"))
     cut = members.join(blocks, "grp").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     meet = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = cut.select("*", meet).select("grp", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "rep", "n", "regs", "hashes")

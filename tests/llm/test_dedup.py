@@ -31,9 +31,9 @@ def brute_components(rows, k, percent):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("cfg", "bucket"), [(near_dedup.NearDedupConfig(shingle=3, percent=85), 16), (near_dedup.NearDedupConfig(), 16), (near_dedup.NearDedupConfig(shingle=3, percent=85, small_bucket=1, block=2), 1)])
+@pytest.mark.parametrize(("cfg", "bucket"), [(near_dedup.NearDedupConfig(shingle=3, percent=85), 4), (near_dedup.NearDedupConfig(), 4), (near_dedup.NearDedupConfig(shingle=3, percent=85, small_bucket=1, block_bytes=3000), 1)])
 def test_near_duplicates_match_brute_force(spark, docs, cfg, bucket):
-    """Also where every bucket goes the way of the large ones, in blocks of two."""
+    """Also where every bucket goes the way of the large ones, in blocks of a few documents."""
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
     rng = np.random.default_rng(1)
     base = [words[i] for i in rng.integers(0, len(words), 150)]

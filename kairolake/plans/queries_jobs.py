@@ -48,11 +48,11 @@ QUERIES = {
     ),
     "q03_plan_records": (
         lambda s, d: Q.plan_records(seg10(s, d), 2, 10, 160, 224, 352, threshold=1.0).select("clip_id", F.size("anchors").alias("n"), "fallback_used", F.size("resolutions").alias("seconds"), "tokens"),
-        f"with {SEG}, {CONF} select clip_id, case when std < 1.0 then 0 else 2 end as n, std < 1.0 as fallback_used, 10 as seconds, 1960 as tokens from cf",
+        f"with {SEG}, {CONF} select clip_id, case when std < 1.0 then 0 else 2 end as n, std < 1.0 as fallback_used, 10 as seconds, 1960::bigint as tokens from cf",
     ),
     "q04_long_plan": (
         lambda s, d: Q.long_plan(seg10(s, d), 2, 10, 1, 4, 7).groupBy("clip_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_anchor").cast("int")).alias("anchors")),
-        f"with {SEG} select distinct clip_id, 7 as n, 2 as anchors from seg",
+        f"with {SEG} select distinct clip_id, 7::bigint as n, 2::bigint as anchors from seg",
     ),
     "q05_equal_budget": (lambda s, d: Q.equal_budget_accuracy(_plans(s, d), _features(s, d), seg10(s, d), 2, F.col("clip_id") % 2 == 0).groupBy("seed", "baseline").agg(F.count(F.lit(1)).alias("n"), F.avg("acc").alias("acc")), None),
     "q06_config_sweep": (lambda s, d: _sweep(s, d).select("config", "n", R6("delta").alias("delta")), f"with {SEG}, {SWEEP}"),

@@ -138,7 +138,7 @@ QUERIES = {
     ),
     "b07_mixed_totals": (
         lambda s, d: B.check_total(B.equal_budget_plan(_sel(s, d), 10, 160, 224, 352, alloc="mixed"), 10, 224),
-        f"with {SEG} select distinct clip_id, 1960 as tokens, true as ok from seg",
+        f"with {SEG} select distinct clip_id, 1960::bigint as tokens, true as ok from seg",
     ),
     "b08_band_plan_totals": (
         lambda s, d: B.band_plan(_sel(s, d), 10, 160, 224, 352, extra=[112]).groupBy("clip_id").agg(F.sum("tokens").alias("tokens")).select("clip_id", (F.col("tokens") <= 1960).alias("within"), (F.col("tokens") >= 0.99 * 1960).alias("reaches")),
@@ -155,8 +155,8 @@ QUERIES = {
     ),
     "b11_plan_per_baseline": (
         lambda s, d: _baselines(s, d).groupBy("baseline").agg(F.count(F.lit(1)).alias("seconds"), F.sum("tokens").alias("tokens"), F.sum((F.col("resolution") == 352).cast("int")).alias("high")),
-        f"""with {SEG}, n as (select count(distinct clip_id) as c, count(distinct case when gt <> 0 then clip_id end) as ev from seg), o as (select sum(least(k, 2)) as hi from (select count(*) as k from seg where gt <> 0 group by clip_id))
-        select 'uniform' as baseline, c * 10 as seconds, c * 1960 as tokens, 0 as high from n union all select 'uniform_low', c * 10, c * 1000, 0 from n union all select 'random', c * 10, c * 1960, c * 2 from n
+        f"""with {SEG}, n as (select count(distinct clip_id) as c, count(distinct case when gt <> 0 then clip_id end) as ev from seg), o as (select cast(sum(least(k, 2)) as bigint) as hi from (select count(*) as k from seg where gt <> 0 group by clip_id))
+        select 'uniform' as baseline, c * 10 as seconds, c * 1960 as tokens, 0::bigint as high from n union all select 'uniform_low', c * 10, c * 1000, 0 from n union all select 'random', c * 10, c * 1960, c * 2 from n
         union all select 'anchored', c * 10, c * 1960, c * 2 from n union all select 'oracle', c * 10, c * 1960, hi from n cross join o""",
     ),
     "b12_budget_mode": (

@@ -38,7 +38,7 @@ def _vectors(spark, d, n=None):
     return e if n is None else e.where(F.col("t") < n)
 
 
-VEC = "vec as (select label as clip_id, row_number() over (partition by label order by vec_id) - 1 as t, embedding::double[] as emb from embeddings)"
+VEC = "vec as (select label as clip_id, cast(row_number() over (partition by label order by vec_id) - 1 as int) as t, embedding::double[] as emb from embeddings)"
 
 
 def _logits(spark, d, shift=0):

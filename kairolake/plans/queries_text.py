@@ -109,7 +109,7 @@ QUERIES = {
     ),
     "d03_silence": (
         lambda s, d: D.silence(_samples(s, d), 0.25, 3).groupBy("clip_id").agg(F.sum((F.col("amp") == 0).cast("int")).alias("silent")),
-        f"with {SAMPLES}, n as (select clip_id, count(*) as n, least(count(*), cast(round(count(*) * 0.25) as bigint)) as len, ('0x' || substr(sha1('3|' || clip_id), 1, 12))::ubigint / 281474976710656.0::double as u from smp group by 1) select smp.clip_id, sum(case when amp = 0 or (idx >= floor(u * (n - len + 1)) and idx < floor(u * (n - len + 1)) + len) then 1 else 0 end) as silent from smp join n using (clip_id) group by 1",
+        f"with {SAMPLES}, n as (select clip_id, count(*) as n, least(count(*), cast(round(count(*) * 0.25) as bigint)) as len, ('0x' || substr(sha1('3|' || clip_id), 1, 12))::ubigint / 281474976710656.0::double as u from smp group by 1) select smp.clip_id, cast(sum(case when amp = 0 or (idx >= floor(u * (n - len + 1)) and idx < floor(u * (n - len + 1)) + len) then 1 else 0 end) as bigint) as silent from smp join n using (clip_id) group by 1",
     ),
     "d04_score_space": (
         lambda s, d: D.perturb_scores(T.minmax(seg10(s, d)).select("clip_id", "t", "score"), 1, 1000.0, 0.3, 9).select("clip_id", "t", R6("score").alias("score")),

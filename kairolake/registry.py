@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 
 def _modules() -> list:
-    from .plans import queries_jobs, queries_plans, queries_series, queries_stats, queries_text
+    from .plans import queries_jobs, queries_plans, queries_series, queries_sources, queries_stats, queries_text
 
-    return [queries_series, queries_plans, queries_stats, queries_text, queries_jobs]
+    return [queries_series, queries_plans, queries_stats, queries_text, queries_sources, queries_jobs]
 
 
 def queries() -> dict[str, Callable]:

@@ -217,6 +217,23 @@ def predict(docs: DataFrame, model: LangIdModel, cfg: LangIdConfig | None = None
     return narrow.mapInArrow(run, "doc_id long, lang_pred string, score double").withColumnRenamed("doc_id", id_col)
 
 
+def identified(docs: DataFrame, model: LangIdModel, cfg: LangIdConfig | None = None, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't ``und``, with all their columns as they are.
+
+    Each task filters its own rows, so that texts are neither shuffled nor joined; null ids and repeated rows are
+    rows like others, and extra columns of any name go through."""
+    cfg = cfg or LangIdConfig()
+    shipped = docs.sparkSession.sparkContext.broadcast(vars(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                names, _ = classify(part.column(text), LangIdModel(**shipped.value), cfg)
+                yield part.filter(pc.not_equal(pa.array(names, pa.string()), UNDETERMINED))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id", folds: int = 3, fold: int = 1):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold
 

@@ -58,3 +58,16 @@ def test_nearest_edge_cases(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 50, 0.0), (50, 1, 0, 0.0), (50, 2, 1, 0.0), (50, 3, 2, 0.0)]
     assert ann.nearest(df.where("vec_id < 0"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_identified_keeps_rows_whole(spark):
+    fitted = [(i, t, g) for i, (t, g) in enumerate([("the quick brown fox and the dog", "en"), ("der schnelle braune fuchs und der hund", "de")] * 20)]
+    model = langid.fit(spark.createDataFrame(fitted, "doc_id long, text string, lang string"))
+    schema = "doc_id long, text string, lang string, lang_pred string"
+    rows = [(None, "the brown dog", None, "x"), (1, None, "en", "y"), (2, "123 456", "en", "z"), (3, "the fox", "en", "q"), (3, "the fox", "en", "q"), (4, "", "de", "q"), (5, "hund " * 300_000, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    out = langid.identified(docs, model)
+    assert out.schema == docs.schema
+    want = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+    assert langid.identified(docs.where("false"), model).count() == 0

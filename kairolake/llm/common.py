@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,6 +16,30 @@ from pyspark.sql import DataFrame, SparkSession
 U64 = np.uint64
 _LOCAL: dict[str, str] = {}
 
+#: Rows of an Arrow batch at most. Texts make batches large; tasks cut them into slices of about this many rows anyway.
+ARROW_ROWS = 2048
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to ``ARROW_ROWS``; a smaller setting of the user stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
+
+
+def frugal(run):
+    """A function for ``mapInArrow`` after whose task the Python worker, which Spark uses again, gives freed memory
+    back to the system."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+        if trim:
+            trim(0)
+
+    return wrapped
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,6 +64,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

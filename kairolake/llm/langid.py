@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, mix, slices, table
+from .common import U64, bounded_batches, frugal, mix, slices, table
 
 #: Language families by ISO 639-1 code. A code that isn't listed is a family of its own.
 FAMILIES = {
@@ -214,7 +214,7 @@ def predict(docs: DataFrame, model: LangIdModel, cfg: LangIdConfig | None = None
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, lang_pred string, score double").withColumnRenamed("doc_id", id_col)
+    return narrow.mapInArrow(frugal(run), "doc_id long, lang_pred string, score double").withColumnRenamed("doc_id", id_col)
 
 
 def identified(docs: DataFrame, model: LangIdModel, cfg: LangIdConfig | None = None, text: str = "text") -> DataFrame:
@@ -231,7 +231,8 @@ def identified(docs: DataFrame, model: LangIdModel, cfg: LangIdConfig | None = N
                 names, _ = classify(part.column(text), LangIdModel(**shipped.value), cfg)
                 yield part.filter(pc.not_equal(pa.array(names, pa.string()), UNDETERMINED))
 
-    return docs.mapInArrow(run, docs.schema)
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 3, fold: int = 1):

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, table
+from .common import frugal, scratch, slices, table
 
 SPACE = " \t\n\v\f\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -160,7 +160,7 @@ def _keys_of(texts: DataFrame, least: int) -> DataFrame:
                 found = [(k, d) for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) for k in {*line_keys(t, least)} if k is not None]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([d for _, d in found], pa.int64())], names=["key", "doc_id"])
 
-    return texts.mapInArrow(run, "key binary, doc_id long")
+    return texts.mapInArrow(frugal(run), "key binary, doc_id long")
 
 
 def _count(postings: DataFrame, shards: int) -> DataFrame:
@@ -263,7 +263,7 @@ def _maybe_repeated(texts: DataFrame, index: LineIndex) -> DataFrame:
                     keep[at] = filters[s].contains(hashes[at])
             yield batch.select(["key", "doc_id"]).filter(pa.array(keep))
 
-    return keys.withColumn("shard", shard.cast("int")).mapInArrow(run, "key binary, doc_id long")
+    return keys.withColumn("shard", shard.cast("int")).mapInArrow(frugal(run), "key binary, doc_id long")
 
 
 def dropped_keys(docs: DataFrame, index: LineIndex, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -308,7 +308,7 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, least: int = 10
 
     name = "kept_sha256" if digest else "text"
     kind = joined.schema["rest"].dataType.simpleString()
-    out = joined.mapInArrow(run, f"doc_id long, n_lines long, n_dropped long, {name} string, rest {kind}")
+    out = joined.mapInArrow(frugal(run), f"doc_id long, n_lines long, n_dropped long, {name} string, rest {kind}")
     return out.select(F.col("doc_id").alias(id_col), "n_lines", "n_dropped", name, *[F.col(f"rest.{c}").alias(c) for c in carry or []])
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, hash_words, materialize, mix, slices, split_words
+from .common import U64, frugal, hash_words, materialize, mix, slices, split_words
 from .graph import connected_components
 
 
@@ -147,7 +147,7 @@ def sketch(docs: DataFrame, cfg: NearDedupConfig, text: str = "text", id_col: st
                 )
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "id long, n long, print binary, regs binary, bands array<long>")
+    return narrow.mapInArrow(frugal(run), "id long, n long, print binary, regs binary, bands array<long>")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, cfg: NearDedupConfig) -> DataFrame:
@@ -175,7 +175,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, cfg: NearDedupConfig, text: str, i
                 yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "hashes"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text).cast("string").alias("text"))
-    return narrow.join(wanted, "rep", "left_semi").mapInArrow(run, "rep long, hashes binary")
+    return narrow.join(wanted, "rep", "left_semi").mapInArrow(frugal(run), "rep long, hashes binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, cfg: NearDedupConfig) -> DataFrame:
@@ -185,7 +185,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, cfg: NearDedupConfig) -> DataF
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     side = lambda s: sets.select(F.col("rep").alias(s), F.col("hashes").alias(f"h_{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "h_a", "h_b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "h_a", "h_b").mapInArrow(frugal(run), "a long, b long")
 
 
 def _forest(cfg: NearDedupConfig, left: pd.DataFrame, right: pd.DataFrame, same: bool) -> list[tuple[int, int]]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table
+from .common import frugal, materialize, slices, table
 from .tokens import END_ID, Encoder, public_tokenizer
 
 
@@ -58,7 +58,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, length: int, by_word: bool = True
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(i, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return narrow.mapInArrow(run, PIECE)
+    return narrow.mapInArrow(frugal(run), PIECE)
 
 
 class Packing:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, table
+from .common import frugal, scratch, slices, table
 from .tokens import END_ID, Encoder, public_tokenizer
 
 #: Stands for a null document id in the files.
@@ -75,7 +75,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, by_word: bool = T
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     ordered = narrow.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    ordered.mapInArrow(run, "part int, docs long, tokens long, width int").write.parquet(f"{folder}/written")
+    ordered.mapInArrow(frugal(run), "part int, docs long, tokens long, width int").write.parquet(f"{folder}/written")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     spark.read.parquet(f"{folder}/written").withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0))).write.parquet(f"{folder}/parts")
     return spark.read.parquet(f"{folder}/parts")
@@ -110,7 +110,7 @@ def read_tokens(spark: SparkSession, folder: str, ids: bool = False) -> DataFram
 
     listed = spark.read.parquet(f"{folder}/parts")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return listed.repartition(parts, "part").mapInArrow(run, schema)
+    return listed.repartition(parts, "part").mapInArrow(frugal(run), schema)
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

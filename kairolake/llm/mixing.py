@@ -3,19 +3,26 @@
 Each source's documents are cut, in a fixed order, into blocks of near equal bytes. In a mix of total weight 1 the
 j-th block of a source of weight w is released at slot floor(j / w) and due by slot ceil((j + 1) / w); serving the
 earliest deadline among the released blocks meets every deadline, so that at any slot each source is less than one
-block away from its share. The schedule repeats after a frame in which every source has a whole number of blocks,
-so a frame of bounded length is scheduled once and broadcast, and a block's slot follows from its number alone.
+block away from its share. Weights are whole numbers in the schedule, so that releases and deadlines are exact at
+any length. One task writes the schedule from the first slot to the last and holds one block a source; each block
+of the documents then finds its slot by a join.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
+from itertools import islice
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import frugal, materialize, table
 
 #: Rows that one window orders.
 WINDOW_ROWS = 20_000
@@ -24,43 +31,44 @@ WINDOW_ROWS = 20_000
 @dataclass(frozen=True)
 class MixConfig:
     """``max_share``: without given weights a source's weight is its natural share, at most this much (sources
-    beyond it are down-weighted). ``frame``: slots of the repeated schedule at most."""
+    beyond it are down-weighted). ``frame``: slots of the schedule that are held at a time."""
 
     block_bytes: int = 64 << 10
     max_share: float = 0.25
     frame: int = 1 << 16
 
 
-def frame_schedule(quotas: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, j, release, deadline, slot) for a frame in which each source gets its quota of blocks."""
-    total = sum(quotas.values())
-    due = lambda s, j: -(-(j + 1) * total // quotas[s])
-    waiting = [(0, s, 0) for s, q in sorted(quotas.items()) if q]
+def frame_schedule(weights: dict[str, int], blocks: dict[str, int] | None = None, slots: int | None = None) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, j, release, deadline, slot) of the first ``slots`` slots; without ``blocks`` and ``slots`` the
+    weights are the blocks of each source, and all of them are scheduled."""
+    blocks = weights if blocks is None else blocks
+    total = sum(weights.values())
+    due = lambda s, j: -(-(j + 1) * total // weights[s])
+    waiting = [(0, s, 0) for s, w in sorted(weights.items()) if w and blocks[s]]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int, int]] = []
-    out = []
-    for slot in range(total):
+    for slot in range(total if slots is None else slots):
         while waiting and waiting[0][0] <= slot:
             release, s, j = heapq.heappop(waiting)
             heapq.heappush(ready, (due(s, j), s, j, release))
         deadline, s, j, release = heapq.heappop(ready)
-        out.append((s, j, release, deadline, slot))
-        if j + 1 < quotas[s]:
-            heapq.heappush(waiting, ((j + 1) * total // quotas[s], s, j + 1))
-    return out
+        yield s, j, release, deadline, slot
+        if j + 1 < blocks[s]:
+            heapq.heappush(waiting, ((j + 1) * total // weights[s], s, j + 1))
 
 
-def natural_weights(blocks: dict[str, int], max_share: float) -> dict[str, float]:
-    """Shares of the blocks, none above ``max_share`` of the mix where the others can make up for it."""
+def natural_weights(blocks: dict[str, int], max_share: float) -> dict[str, Fraction]:
+    """Exact shares of the blocks, none above ``max_share`` of the mix where the others can make up for it."""
+    max_share = Fraction(str(max_share))
     capped: set[str] = set()
     while True:
         rest = sum(n for s, n in blocks.items() if s not in capped)
         room = 1 - max_share * len(capped)
-        over = {s for s, n in blocks.items() if s not in capped and rest and n / rest * room > max_share + 1e-12}
+        over = {s for s, n in blocks.items() if s not in capped and rest and Fraction(n, rest) * room > max_share}
         if not over or (len(capped) + len(over)) * max_share >= 1 or len(over) == len(blocks) - len(capped):
             break
         capped |= over
-    return {s: max_share if s in capped else n / rest * room for s, n in blocks.items()} if blocks else {}
+    return {s: max_share if s in capped else Fraction(n, rest) * room for s, n in blocks.items()} if blocks else {}
 
 
 def quotas_of(blocks: dict[str, int], weights: dict[str, float]) -> dict[str, int]:
@@ -68,14 +76,28 @@ def quotas_of(blocks: dict[str, int], weights: dict[str, float]) -> dict[str, in
     wanted = {s: w for s, w in weights.items() if w > 0 and blocks.get(s)}
     if not wanted:
         return {}
+    wanted = {s: w if isinstance(w, Fraction) else Fraction(str(w)) for s, w in wanted.items()}
     scale = min(blocks[s] / w for s, w in wanted.items())
-    return {s: min(blocks[s], int(w * scale + 1e-6)) for s, w in wanted.items()}
+    return {s: min(blocks[s], int(w * scale)) for s, w in wanted.items()}
 
 
-def _framed(quotas: dict[str, int], limit: int) -> tuple[dict[str, int], int]:
-    """Quotas of one frame, and the number of frames: 1 where the whole mix fits a frame."""
-    frames = max(1, -(-sum(quotas.values()) // limit))
-    return {s: max(1, round(q / frames)) for s, q in quotas.items() if q}, frames
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """The weights as whole numbers in the same proportion; a float counts as the decimal number it prints."""
+    exact = {s: w if isinstance(w, Fraction) else Fraction(str(w)) for s, w in weights.items()}
+    base = lcm(*[w.denominator for w in exact.values()])
+    return {s: int(w * base) for s, w in exact.items()}
+
+
+def schedule(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[int, str, int, int, int, int]]:
+    """(phase, source, block, release, deadline, slot) of every block: the mix, then the reserve in proportion to
+    what is left."""
+    quotas = quotas_of(blocks, weights)
+    used: Counter[str] = Counter()
+    for s, j, *times in frame_schedule(whole_weights({s: weights[s] for s in quotas}), blocks, sum(quotas.values())):
+        used[s] += 1
+        yield 0, s, j, *times
+    for s, j, *times in frame_schedule({s: n - used[s] for s, n in blocks.items() if n > used[s]}):
+        yield 1, s, used[s] + j, *times
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, cfg: MixConfig | None = None, text: str = "text", id_col: str = "doc_id", source: str = "source") -> DataFrame:
@@ -101,20 +123,18 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, cfg: MixConfig
     cut = materialize(cut, "blocks")
     blocks = {r["source"]: r["n"] for r in cut.groupBy("source").agg((F.max("block") + 1).alias("n")).collect()}
 
-    used = quotas_of(blocks, weights if weights is not None else natural_weights(blocks, cfg.max_share))
-    rest = {s: n - used.get(s, 0) for s, n in blocks.items()}
-    plan, frames = [], []
-    for phase, quotas in enumerate((used, {s: n for s, n in rest.items() if n > 0})):
-        mine, _ = _framed(quotas, cfg.frame)
-        frames += [(phase, s, j, release, deadline, slot) for s, j, release, deadline, slot in frame_schedule(mine)]
-        plan += [(phase, s, q, sum(mine.values())) for s, q in mine.items()]
-    slots = F.broadcast(spark.createDataFrame(frames, "phase int, source string, j long, r long, d long, s long"))  # at most two frames
-    quota = F.broadcast(spark.createDataFrame(plan, "phase int, source string, quota long, length long"))
-    first = F.broadcast(spark.createDataFrame([(s, used.get(s, 0)) for s in blocks], "source string, used long"))
-    numbered = cut.join(first, "source").withColumn("phase", (F.col("block") >= F.col("used")).cast("int")).withColumn("n", F.col("block") - F.when(F.col("phase") == 1, F.col("used")).otherwise(0))
-    timed = numbered.join(quota, ["phase", "source"]).withColumn("j", F.col("n") % F.col("quota")).join(slots, ["phase", "source", "j"])
-    at = F.floor(F.col("n") / F.col("quota")) * F.col("length")
-    return timed.select(F.col("id").alias(id_col), "source", "block", "phase", (at + F.col("r")).alias("release"), (at + F.col("d")).alias("deadline"), (at + F.col("s")).alias("slot"))
+    weights = natural_weights(blocks, cfg.max_share) if weights is None else weights
+    form = pa.schema([("phase", pa.int32()), ("source", pa.string()), *[(c, pa.int64()) for c in ("block", "release", "deadline", "slot")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = schedule(blocks, weights)
+        for batch in batches:
+            while batch.num_rows and (part := list(islice(rows, cfg.frame))):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), form, strict=True)], schema=form)
+
+    slots = spark.range(0, 1, 1, 1).mapInArrow(frugal(run), "phase int, source string, block long, release long, deadline long, slot long")
+    timed = cut.join(materialize(slots, "slots"), ["source", "block"])
+    return timed.select(F.col("id").alias(id_col), "source", "block", "phase", "release", "deadline", "slot")
 
 
 def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,3 +111,18 @@ def test_natural_weights():
     w = mixing.natural_weights({"hot": 60, "a": 20, "b": 20, "c": 20, "d": 20}, 0.25)
     assert abs(w["hot"] - 0.25) < 1e-9 and abs(sum(w.values()) - 1) < 1e-9
     assert mixing.quotas_of({"a": 10, "b": 10}, mixing.natural_weights({"a": 10, "b": 10}, 0.25)) == {"a": 10, "b": 10}
+
+
+def test_mixing_keeps_to_given_weights(spark):
+    """Over the whole mix, many times longer than ``frame``, each source is less than one block from its weight."""
+    rng = np.random.default_rng(5)
+    weights = {f"s{i}": float(w) for i, w in enumerate(rng.dirichlet(np.ones(12)) * 0.6)} | {"hot": 0.4}
+    counts = {s: int(w * 3000) + 3 for s, w in weights.items()}
+    rows = [(i, s, "x" * 7) for i, s in enumerate(s for s, n in counts.items() for _ in range(n))]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), weights, mixing.MixConfig(block_bytes=8, frame=64)).toPandas()
+    assert sorted(out["doc_id"]) == list(range(len(rows)))
+    first = out[out["phase"] == 0].sort_values("slot")
+    assert first["slot"].tolist() == list(range(len(first))) and len(first) >= 2900
+    total = sum(weights.values())
+    for s, w in weights.items():
+        assert np.abs((first["source"] == s).cumsum().to_numpy() - w / total * np.arange(1, len(first) + 1)).max() < 1 + 1e-6

@@ -34,7 +34,8 @@ class NearDedupConfig:
     """``percent``: link when 100 * |A and B| >= percent * |A or B|. 26 bands of 5 registers miss a pair at
     similarity 0.85 with probability 3e-7, at 0.8 with 4e-5. ``slack``: log-likelihood by which the threshold
     must be worse than the best estimate before a pair is ruled out (18: six standard deviations). ``small_bucket``:
-    keys with more classes than this don't give pairs. ``block_bytes``: hashes of a group's block."""
+    keys with more classes than this don't give pairs. ``block_bytes``, ``block_rows``: hashes and rows of a group's
+    block, about."""
 
     shingle: int = 5
     percent: int = 80
@@ -46,6 +47,7 @@ class NearDedupConfig:
     slack: float = 18.0
     small_bucket: int = 4
     block_bytes: int = 4 << 20
+    block_rows: int = 1000
     seed: int = 7
 
     @property
@@ -189,23 +191,18 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, cfg: NearDedupConfig) -> DataF
 
 
 def _forest(cfg: NearDedupConfig, left: pd.DataFrame, right: pd.DataFrame, same: bool) -> list[tuple[int, int]]:
-    """What confirmed links join between two blocks (or inside one), as (member, smallest member joined with it);
-    pairs that are joined already aren't confirmed again."""
-    up: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while up.setdefault(x, x) != x:
-            up[x] = x = up[up[x]]
-        return x
-
+    """What confirmed links join between two blocks (or inside one), as (member, smallest member joined with it).
+    Goes row by row and holds the candidates of that row only; pairs that are joined already aren't looked at."""
     regs = [np.stack([np.frombuffer(r, np.uint16) for r in side["regs"]]) for side in (left, right)]
     sizes = [side["n"].to_numpy() for side in (left, right)]
     ids = [side["rep"].to_numpy() for side in (left, right)]
     sets = [[np.frombuffer(h, U64) for h in side["hashes"]] for side in (left, right)]
-    picked, edge = [], cfg.percent / 100
+    roots = [ids[0].copy()] * 2 if same else [ids[0].copy(), ids[1].copy()]
+    edge = cfg.percent / 100
     least = cfg.registers * (edge - 7 * np.sqrt(edge * (1 - edge) / cfg.registers))  # seven standard deviations
     for i in range(len(left)):
         at = np.arange(i + 1 if same else 0, len(right))
+        at = at[roots[1][at] != roots[0][i]]
         if not len(at):
             continue
         more, less = (regs[0][i] > regs[1][at]).sum(axis=1), (regs[0][i] < regs[1][at]).sum(axis=1)
@@ -213,18 +210,19 @@ def _forest(cfg: NearDedupConfig, left: pd.DataFrame, right: pd.DataFrame, same:
         if not len(near):
             continue
         estimate, keep = plausible(cfg, np.full(len(near), sizes[0][i]), sizes[1][at[near]], more[near], less[near])
-        picked += [(e, i, j) for e, j in zip(estimate[keep], at[near][keep], strict=True)]
-    for _, i, j in sorted(picked, key=lambda x: (-x[0], x[1], x[2])):
-        a, b = root(int(ids[0][i])), root(int(ids[1][j]))
-        if a != b and linked(cfg, sets[0][i], sets[1][j]):
-            up[max(a, b)] = min(a, b)
-    return [(x, root(x)) for x in up if root(x) != x]
+        for j in at[near][keep][np.argsort(-estimate[keep], kind="stable")]:
+            a, b = roots[0][i], roots[1][j]
+            if a != b and linked(cfg, sets[0][i], sets[1][j]):
+                for side in roots:
+                    side[side == max(a, b)] = min(a, b)
+    both = dict(zip(np.concatenate(ids).tolist(), np.concatenate(roots).tolist(), strict=True))
+    return [(x, r) for x, r in both.items() if r != x]
 
 
 def _within_groups(members: DataFrame, cfg: NearDedupConfig) -> DataFrame:
     """Links inside large groups. ``members(grp, rep, n, regs, hashes)``; a group is cut into blocks of about
-    ``cfg.block_bytes``, and every two blocks meet in one task, so that no task holds more than two blocks."""
-    blocks = members.groupBy("grp").agg(F.ceil(8 * F.sum("n") / cfg.block_bytes).cast("int").alias("blocks"))
+    ``cfg.block_bytes`` or ``cfg.block_rows``, whichever is less, and every two blocks meet in one task, so that no task holds more than two blocks."""
+    blocks = members.groupBy("grp").agg(F.ceil(F.greatest(8 * F.sum("n") / cfg.block_bytes, F.count(F.lit(1)) / cfg.block_rows)).cast("int").alias("blocks"))
     cut = members.join(blocks, "grp").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     meet = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = cut.select("*", meet).select("grp", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "rep", "n", "regs", "hashes")

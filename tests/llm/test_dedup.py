@@ -128,3 +128,31 @@ def test_cuckoo_filter():
     f.delete(keys[::2])
     assert f.contains(keys[1::2]).all() and f.contains(keys[::2]).mean() < 0.02
     assert f.contains(rng.integers(0, 2**63, 5000, dtype=np.uint64)).mean() < 0.02
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_forest_holds_one_row_of_candidates(same):
+    """Thousands of short near copies in one block: the memory stays far below that of all pairs, the links are whole."""
+    import tracemalloc
+
+    import pandas as pd
+
+    cfg = near_dedup.NearDedupConfig()
+    rng = np.random.default_rng(3)
+    base, sketcher = rng.integers(0, 2**63, 36, dtype=np.uint64), near_dedup.SetSketch(cfg)
+    sets = [np.sort(np.append(base, np.uint64(i))) for i in range(1200)] + [np.sort(rng.integers(0, 2**63, 38, dtype=np.uint64)) for _ in range(5)]
+    frame = pd.DataFrame({"rep": range(len(sets)), "n": [len(x) for x in sets], "regs": [sketcher(x).tobytes() for x in sets], "hashes": [x.tobytes() for x in sets]})
+    left, right = (frame, frame) if same else (frame[frame["rep"] % 2 == 0], frame[frame["rep"] % 2 == 1])
+    tracemalloc.start()
+    got = near_dedup._forest(cfg, left, right, same)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(got) == [(i, 0) for i in range(1, 1200)]
+    assert peak < 20e6
+
+
+def test_groups_are_cut_by_rows(spark, monkeypatch):
+    seen = spark.createDataFrame([(1, i, 10, b"", b"") for i in range(50)], "grp long, rep long, n long, regs binary, hashes binary")
+    monkeypatch.setattr(near_dedup, "_forest", lambda cfg, left, right, same: [(len(left), len(right))])
+    got = [r["a"] for r in near_dedup._within_groups(seen, near_dedup.NearDedupConfig(block_rows=10)).collect()]
+    assert len(got) == 15 and max(got) < 25

@@ -58,7 +58,10 @@ def frame_schedule(weights: dict[str, int], blocks: dict[str, int] | None = None
 
 
 def natural_weights(blocks: dict[str, int], max_share: float) -> dict[str, Fraction]:
-    """Exact shares of the blocks, none above ``max_share`` of the mix where the others can make up for it."""
+    """Exact shares of the blocks, none above ``max_share`` of the mix where the others can make up for it. Too few
+    sources for that keep their natural shares, so that no small source is weighted up until it runs out."""
+    if len(blocks) * max_share < 1:
+        return {s: Fraction(n, sum(blocks.values())) for s, n in blocks.items()}
     max_share = Fraction(str(max_share))
     capped: set[str] = set()
     while True:

@@ -126,3 +126,8 @@ def test_mixing_keeps_to_given_weights(spark):
     total = sum(weights.values())
     for s, w in weights.items():
         assert np.abs((first["source"] == s).cumsum().to_numpy() - w / total * np.arange(1, len(first) + 1)).max() < 1 + 1e-6
+
+
+def test_few_sources_keep_natural_shares():
+    for shares in ({"a": 50, "b": 40, "c": 10}, {"a": 9, "b": 1}):
+        assert mixing.quotas_of(shares, mixing.natural_weights(shares, 0.25)) == shares

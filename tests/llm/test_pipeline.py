@@ -1,6 +1,9 @@
 """Stages of the corpus pipeline, each on what the one before kept."""
 
+import pytest
+
 from kairolake.llm.common import materialize
+from kairolake.llm.mixing import mix
 from tests.llm.test_dedup import brute_components, brute_lines
 
 
@@ -24,3 +27,17 @@ def test_stages(spark, docs, sf_dir):
     assert mixed.columns == docs.columns and 0 < mixed.count() <= near.count()
     packed = stages["packing"](spark, mixed, sf_dir)
     assert packed.select("doc_id").distinct().count() == mixed.count()
+
+
+@pytest.mark.parametrize("counts", [(27, 3), (20, 16, 4), (16, 12, 8, 4), (12, 4, 4, 4, 4, 4, 4)])
+def test_mixing_keeps_every_document(spark, counts):
+    """Whatever the shares of the sources: the mix comes first, the reserve behind it."""
+    import corpus_pipeline
+
+    rows = [(i, "x" * 65535, "en", f"s{s}", 65535) for i, s in enumerate(s for s, n in enumerate(counts) for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = materialize(corpus_pipeline.mixing(spark, docs, None), "mixed")
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == rows
+    at = {r["doc_id"]: (r["phase"], r["slot"]) for r in mix(docs).collect()}
+    places = [at[r["doc_id"]] for r in corpus_pipeline.mixing(spark, docs, None).collect()]
+    assert places == sorted(places)

@@ -88,8 +88,8 @@ QUERIES = {
         f"""with {SEG}, w as (select clip_id, t, {MM} + 0.1 as weight from seg window w as (partition by clip_id)), u as (select *, greatest(('0x' || substr(sha1('5|' || clip_id || '|' || t), 1, 12))::ubigint / 281474976710656.0::double, 1e-12) as u from w)
         select clip_id, t, cast(r as int) as rank from (select *, row_number() over (partition by clip_id order by ln(weight) - ln(-ln(u)) desc, t) as r from u) where r <= 3""",
     ),
-    "f08_max_volume": (lambda s, d: S.max_volume(_vectors(s, d, 40), 4), None),
-    "f09_weighted_dpp": (lambda s, d: S.weighted_dpp(_vectors(s, d, 40).withColumn("relevance", (F.col("t") % 5) / 5), 4), None),
+    "f08_max_volume": (lambda s, d: S.max_volume(_vectors(s, d), 4), None),
+    "f09_weighted_dpp": (lambda s, d: S.weighted_dpp(_vectors(s, d).withColumn("relevance", (F.col("t") % 5) / 5), 4), None),
     "f10_segment_quota": (
         lambda s, d: S.segment_quota(T.minmax(seg10(s, d)), 5, 7, 10),
         f"""with {SEG}, m as (select clip_id, cast(floor(t * 5 / 10.0) as int) as part, sum(greatest(x, 0)) as mass, count(*) as size from (select clip_id, t, {MM} as x from seg window w as (partition by clip_id)) group by 1, 2),

@@ -33,9 +33,8 @@ SAMPLES = "smp as (select user_id as clip_id, row_number() over (partition by us
 MM = "case when max(score) over w - min(score) over w <= 1e-12 then 0 else (score - min(score) over w) / (max(score) over w - min(score) over w) end"
 
 
-def _vectors(spark, d, n=None):
-    e = table(spark, d, "embeddings").select(F.col("label").alias("clip_id"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("t"), F.col("embedding").alias("emb"))
-    return e if n is None else e.where(F.col("t") < n)
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("label").alias("clip_id"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("t"), F.col("embedding").alias("emb"))
 
 
 VEC = "vec as (select label as clip_id, cast(row_number() over (partition by label order by vec_id) - 1 as int) as t, embedding::double[] as emb from embeddings)"

@@ -179,3 +179,16 @@ def test_relevance_order(spark):
     for rel in (X.tfidf_relevance(docs, query), X.bm25_relevance(docs, query)):
         rows = {r["doc"]: r["score"] for r in rel.collect()}
         assert len(rows) == 5 and max(rows, key=rows.get) == 0 and rows[3] == 0
+
+
+def test_diverse_picks_see_all_vectors(spark):
+    """The queries pick from all vectors of a label: the ones that matter come after the fortieth here."""
+    import tempfile
+
+    from kairolake import registry
+
+    folder = tempfile.mkdtemp(prefix="spark-")
+    rows = [(i, 1, [1.0, 0.0, 0.0, 0.0, 0.0] if i < 60 else [10.0 * (j == i - 60) for j in range(5)]) for i in range(65)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    for name in ("f08_max_volume", "f09_weighted_dpp"):
+        assert min(r["t"] for r in registry.queries()[name](spark, folder).collect()) >= 60, name

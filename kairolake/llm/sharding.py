@@ -4,7 +4,7 @@ A node holds the documents of a region of the metadata space. Each round splits
 (weight: bytes) along its widest dimension, until there are as many leaves as shards, so that a leaf reaches the
 target bytes. A cut is one place in the order (coordinate, text hash, id hash, id), which keeps equal texts
 together: a group of them is cut only where a median falls inside it. To find it, histograms narrow the place
-down key by key until few enough rows are left to order them. Histograms are summed on the map side and have at
+down, each key until a bin holds one single value of it, until few enough rows are left to order them. Histograms are summed on the map side and have at
 most ``BINS`` rows a node, however many documents there are; no row moves before the slots are numbered.
 """
 
@@ -66,20 +66,27 @@ def _places(rows: DataFrame, plan: list[tuple]) -> list[tuple]:
     spark = rows.sparkSession
     nodes = {p[0]: p for p in plan}
     inside = rows.join(F.broadcast(_rows(spark, [p[:2] for p in plan], "node long, dim int")), "node").withColumn("x", F.element_at(F.array(*DIMS), F.col("dim") + 1))
-    bounds = {p[0]: (p[3], p[4], p[5]) for p in plan}
-    for key in KEYS:
-        table_ = F.broadcast(_rows(spark, [(n, float(lo), float(hi - lo) or 1.0, float(want)) for n, (lo, hi, want) in bounds.items()], "node long, lo double, width double, want double"))
-        binned = inside.join(table_, "node").withColumn("bin", F.floor((F.col(key) - F.col("lo")) / F.col("width") * BINS).cast("int"))
-        sums = binned.groupBy("node", "bin", "want").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    bounds = {p[0]: (0, p[3], p[4], p[5]) for p in plan}
+    while bounds:
+        table_ = F.broadcast(_rows(spark, [(n, key, float(lo), float(hi - lo) or 1.0, float(want)) for n, (key, lo, hi, want) in bounds.items()], "node long, key int, lo double, width double, want double"))
+        at = inside.join(table_, "node").withColumn("at", F.element_at(F.array(*KEYS), F.col("key") + 1))
+        binned = at.withColumn("bin", F.floor((F.col("at") - F.col("lo")) / F.col("width") * BINS).cast("int"))
+        sums = binned.groupBy("node", "bin", "want").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
         upto = Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
         crossed = sums.withColumn("sum", F.sum("bytes").over(upto)).where("sum > want")
-        found = crossed.groupBy("node").agg(F.min_by(F.struct("bin", "n", (F.col("want") - F.col("sum") + F.col("bytes")).alias("want")), "bin").alias("c")).collect()
+        found = crossed.groupBy("node").agg(F.min_by(F.struct("bin", "n", "lo", "hi", (F.col("want") - F.col("sum") + F.col("bytes")).alias("want")), "bin").alias("c")).collect()
         picked = _rows(spark, [(r["node"], r["c"]["bin"]) for r in found], "node long, bin int")
-        inside = binned.drop("lo", "width", "want").join(F.broadcast(picked), ["node", "bin"]).drop("bin")
-        bounds = {r["node"]: (0.0, 1.0, r["c"]["want"]) for r in found}
-        if all(r["c"]["n"] <= WINDOW_ROWS for r in found):
+        inside = binned.drop("key", "at", "lo", "width", "want").join(F.broadcast(picked), ["node", "bin"]).drop("bin")
+        last, bounds = bounds, {}
+        few = True
+        for node, c in found:
+            key = last[node][0]
+            single = c["lo"] == c["hi"]
+            few = few and (c["n"] <= WINDOW_ROWS or (single and key == len(KEYS) - 1))
+            bounds[node] = (key + 1, 0.0, 1.0, c["want"]) if single and key < len(KEYS) - 1 else (key, c["lo"], c["hi"], c["want"])
+        if few:
             break
-    wants = F.broadcast(_rows(spark, [(n, float(b[2])) for n, b in bounds.items()], "node long, want double"))
+    wants = F.broadcast(_rows(spark, [(n, float(b[3])) for n, b in bounds.items()], "node long, want double"))
     upto = Window.partitionBy("node").orderBy(*KEYS, "id").rowsBetween(Window.unboundedPreceding, 0)
     run = inside.withColumn("sum", F.sum("size").over(upto)).join(wants, "node").where("sum > want")
     key = F.struct(*KEYS, "id")

@@ -113,6 +113,27 @@ def test_natural_weights():
     assert mixing.quotas_of({"a": 10, "b": 10}, mixing.natural_weights({"a": 10, "b": 10}, 0.25)) == {"a": 10, "b": 10}
 
 
+def test_sharding_dense_lengths(spark, monkeypatch):
+    """Many lengths in one bin, stretched by one long document: each cut is still right to half a document."""
+    monkeypatch.setattr(sharding, "WINDOW_ROWS", 7)
+    rows = [(i, "x" * (2000 + i % 4), "s", "l") for i in range(400)] + [(400, "y" * 4_000_000, "s", "l")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    monkeypatch.setattr(sharding, "BINS", 8)  # stands for the 4,096 bins of far more rows
+    meta = sharding._metadata(frame, "text", "doc_id", "source", "lang").withColumn("node", F.lit(1).cast("long"))
+    for share in (0.05, 0.08, 0.14):
+        plan = sharding._plan(meta, {1: share})
+        below = sharding._descend(meta, sharding._places(meta, plan)).where("node = 2").agg(F.sum("size")).first()[0]
+        assert abs(below - plan[0][5]) <= 1002
+
+
+def test_sharding_single_dense_half(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "WINDOW_ROWS", 7)
+    monkeypatch.setattr(sharding, "BINS", 8)
+    frame = spark.createDataFrame([(i, "x" * (2000 + i % 7) + str(i).zfill(4)) for i in range(800)] + [(800, "z")], "doc_id long, text string")
+    sizes = sharding.kd_shards(frame, 2).groupBy("shard").agg(F.sum("size").alias("n")).toPandas()["n"]
+    assert len(sizes) == 2 and abs(sizes.iloc[0] - sizes.iloc[1]) <= 2012
+
+
 def test_mixing_keeps_to_given_weights(spark):
     """Over the whole mix, many times longer than ``frame``, each source is less than one block from its weight."""
     rng = np.random.default_rng(5)

@@ -26,11 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import frugal, scratch, slices, table
-from .tokens import END_ID, Encoder, public_tokenizer
+from .common import frugal, scratch, table
+from .tokens import END_ID, Encoder, public_tokenizer, together
 
 #: Stands for a null document id in the files.
 NO_ID = np.iinfo(np.int64).min
+#: Bytes of text that a part is planned for.
+PART_BYTES = 64 << 20
 
 
 def ids_dtype(vocabulary: int) -> np.dtype:
@@ -43,8 +45,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, by_word: bool = T
     Null texts count as empty: the end id alone. Rows with equal document ids stay apart, ordered by text; null
     ids come first. An empty table gives a data set without parts. Other columns are ignored."""
     spark = docs.sparkSession
-    # words recur more in a larger part, and each is encoded once a part
-    parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    if parts is None:
+        size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, -(-size // PART_BYTES), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -56,9 +60,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, by_word: bool = T
         dtype = ids_dtype(encode.vocabulary)
         ids, starts, total = [], [np.zeros(1, "<i8")], 0
         with store.open_output_stream(f"{name}.ids{mine}") as out:
-            for batch in batches:
-                for part in slices(batch, "text", 2 << 20):
-                    offsets, flat = encode(part.column("text"), END_ID)
+            for batch in together(batches, "text"):
+                for part, offsets, flat in encode.parts(batch, "text", END_ID):
                     out.write(flat.astype(dtype).tobytes())
                     ids.append(part.column("id").fill_null(int(NO_ID)).to_numpy().astype("<i8"))
                     starts.append((offsets[1:] + total).astype("<i8"))
@@ -73,7 +76,6 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, by_word: bool = T
             store.move(f"{name}.{kind}{mine}", f"{name}.{kind}")
         yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([total], pa.int64()), pa.array([dtype.itemsize], pa.int32())], names=["part", "docs", "tokens", "width"])
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     ordered = narrow.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
     ordered.mapInArrow(frugal(run), "part int, docs long, tokens long, width int").write.parquet(f"{folder}/written")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -81,11 +83,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, by_word: bool = T
     return spark.read.parquet(f"{folder}/parts")
 
 
-def _mapped(store: pafs.FileSystem, path: str, dtype: str) -> np.ndarray:
+def _opened(store: pafs.FileSystem, path: str, dtype: str):
+    """A function (a, b) -> values a to b of a file; only they are read."""
     if isinstance(store, pafs.LocalFileSystem):
-        return np.memmap(path, dtype, mode="r")
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+        values = np.memmap(path, dtype, mode="r")
+        return lambda a, b: values[a:b]
+    file, width = store.open_input_file(path), np.dtype(dtype).itemsize
+    return lambda a, b: np.frombuffer(file.read_at((b - a) * width, a * width), dtype)
 
 
 def read_tokens(spark: SparkSession, folder: str, ids: bool = False) -> DataFrame:
@@ -97,12 +101,11 @@ def read_tokens(spark: SparkSession, folder: str, ids: bool = False) -> DataFram
         for batch in batches:
             for row in batch.to_pylist():
                 name = str(PurePosixPath(root) / f"part-{row['part']:05d}")
-                flat = _mapped(store, f"{name}.ids", f"<u{row['width']}")
-                index = _mapped(store, f"{name}.idx", "<i8")
-                doc, at = index[: row["docs"]], index[row["docs"] :]
-                for i in range(0, len(doc), 2000):
-                    d, s = doc[i : i + 2000], at[i : i + 2001]
-                    each = [np.asarray(flat[a:b], "<u4") for a, b in zip(s[:-1], s[1:], strict=True)]
+                ids_of, index = _opened(store, f"{name}.ids", f"<u{row['width']}"), _opened(store, f"{name}.idx", "<i8")
+                n = row["docs"]
+                for i in range(0, n, 2000):
+                    d, s = index(i, min(i + 2000, n)), index(n + i, n + min(i + 2000, n) + 1)
+                    each = [np.asarray(ids_of(a, b), "<u4") for a, b in zip(s[:-1], s[1:], strict=True)]
                     columns = [pa.array(np.asarray(d), mask=np.asarray(d) == NO_ID), pa.array(s[:-1] + row["base"]), pa.array(np.diff(s)), pa.array([zlib.crc32(e.tobytes()) for e in each], pa.int64())]
                     if ids:
                         columns.append(pa.array([e.astype(np.int32) for e in each], pa.list_(pa.int32())))

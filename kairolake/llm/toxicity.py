@@ -1,11 +1,15 @@
 """Toxicity by class-conditional Kneser-Ney language models.
 
 Words are spelled out: each class has an interpolated Kneser-Ney model of characters given the five before them
-inside the word, so that inflected and compounded expressions are met too. The class counts of the long contexts
-are discounted and back off to counts of short contexts that both classes share and that are gathered from the
-whole corpus; what a class has hardly seen is therefore judged alike by both. As in Kneser-Ney's continuation
-counts, a word counts once for each different word before it and not once for each occurrence, so that copies of
-a document teach nothing twice.
+inside the word, so that inflected and compounded expressions are met too; a text's likelihood is that of its
+words. The class counts of the long contexts come from every labelled document that may be learnt from; they are
+discounted and back off to counts of short contexts that both classes share and that are gathered from the whole
+corpus, so that what a class has hardly seen is judged alike by both. Every word counts once a document, not once
+an occurrence.
+
+The counts are Spark aggregations and stay a distributed table that grows with the corpus. Up to
+``broadcast_rows`` of them (counted first) are shipped to the tasks; beyond it the n-grams of the corpus' distinct
+words are joined with the table instead. Both ways give the same scores.
 
 A document's evidence is the length-normalised difference of its log-likelihoods under the two models, over the
 whole text and over its strongest windows of words; a logistic curve fitted on labelled rows that the counts
@@ -17,26 +21,28 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, hash_words, materialize, mix, slices, split_words, table
+from .common import U64, frugal, hash_words, materialize, mix, slices, split_words, table
 
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    """``class_docs`` bounds the labelled documents of each class that the class counts are taken from; a fifth of
-    them is kept for calibration. The shared counts cover every document. Orders up to ``shared_order`` are
-    shared, those above are the classes' own."""
+    """The class counts cover every labelled document but a fifth; of that fifth at most about ``class_docs`` of a
+    class calibrate the curve. The shared counts cover every document. Orders up to ``shared_order`` are shared,
+    those above are the classes' own. ``broadcast_rows``: rows of the count tables (16 to 24 bytes each), and of
+    labels, that are broadcast at most; larger ones are joined."""
 
     class_docs: int = 4000
     order: int = 6
     shared_order: int = 3
     discount: float = 0.75
     windows: tuple[int, ...] = (1, 4, 16, 64)
-    remembered: int = 300_000
+    broadcast_rows: int = 3_000_000
     seed: int = 5
 
 
@@ -65,51 +71,70 @@ def _spelled(words: list[str], order: int) -> tuple[np.ndarray, dict[int, tuple[
     return owner[real], keys
 
 
-def _class_words(sample: DataFrame) -> DataFrame:
-    """(word, toxic, n): how many different words stand before the word in the documents of the class."""
+class _Counts:
+    """n-gram counts of a task: rows of equal n-grams are added up now and then."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                offsets, words, index = _words(part.column("text"))
-                toxic = np.repeat(part.column("toxic").to_numpy(), np.diff(offsets)).astype(np.int64)
-                prev = np.concatenate([[-1], index[:-1]]) if len(index) else index
-                prev[offsets[:-1][offsets[:-1] < len(index)]] = -1
-                rows = np.unique(np.stack([index, prev, toxic], axis=1), axis=0) if len(index) else np.zeros((0, 3), np.int64)
-                names = pa.array(words, pa.string())
-                hashes = np.concatenate([hash_words(names), [U64(0)]]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(rows[:, 0])), pa.array(hashes[rows[:, 1]]), pa.array(rows[:, 2].astype(np.int32))], names=["word", "prev", "toxic"])
+    def __init__(self, most: int = 600_000):
+        self.most, self.rows, self.size = most, [], 0
 
-    seen = sample.select("text", "toxic").mapInArrow(run, "word string, prev long, toxic int").where("word <> ''").distinct()
-    return seen.groupBy("word", "toxic").agg(F.count(F.lit(1)).alias("n"))
+    def add(self, n: int, context: np.ndarray, gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> None:
+        codes, grams = pd.factorize(gram)
+        contexts = np.empty(len(grams), U64)
+        contexts[codes] = context
+        self.rows.append((np.full(len(grams), n, np.int32), contexts, grams, *(np.bincount(codes, weights=w, minlength=len(grams)) for w in (ordinary, toxic))))
+        self.size += len(grams)
 
+    def _merged(self) -> tuple[np.ndarray, ...]:
+        n, context, gram, ordinary, toxic = (np.concatenate(c) for c in zip(*self.rows, strict=True))
+        codes, _ = pd.factorize(mix(gram + n.astype(U64)))
+        first = np.zeros(codes.max() + 1, np.int64)
+        first[codes] = np.arange(len(codes))
+        return n[first], context[first], gram[first], *(np.bincount(codes, weights=w) for w in (ordinary, toxic))
 
-def _shared_counts(docs: DataFrame, order: int) -> DataFrame:
-    """(n, context, gram, times): the short n-grams of the whole corpus, each word once a document."""
+    def flush(self, last: bool = False) -> Iterator[pa.RecordBatch]:
+        if not self.size or (self.size < self.most and not last):
+            return
+        rows = self._merged()
+        self.rows, self.size = [rows], len(rows[0])
+        if last or self.size > self.most // 2:
+            for i in range(0, self.size, 100_000):
+                n, context, gram, ordinary, toxic = (c[i : i + 100_000] for c in rows)
+                yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(context.view(np.int64)), pa.array(gram.view(np.int64)), pa.array(ordinary.astype(np.int64)), pa.array(toxic.astype(np.int64))], names=["n", "context", "gram", "ordinary", "toxic"])
+            self.rows, self.size = [], 0
+
+
+def ngram_counts(rows: DataFrame, cfg: ToxicityConfig) -> DataFrame:
+    """(n, context, gram, ordinary, toxic) of ``rows(text, toxic)``; each word counts once a document. Shared orders
+    count every row, and the same for both classes; the others count rows whose ``toxic`` is 0 or 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = _Counts()
         for batch in batches:
             for part in slices(batch, "text"):
                 offsets, words, index = _words(part.column("text"))
-                owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-                once = np.unique(owner * (len(words) + 1) + index)
-                times = np.bincount(once % (len(words) + 1), minlength=len(words))
-                at, keys = _spelled(words, order)
+                kind = pc.fill_null(part.column("toxic"), -1).to_numpy()
+                owner = np.repeat(np.arange(len(kind)), np.diff(offsets))
+                once = pd.unique(owner * (len(words) + 1) + index)
+                word, kind = once % (len(words) + 1), kind[once // (len(words) + 1)]
+                every, ordinary, toxic = (np.bincount(word[at], minlength=len(words)) for at in (slice(None), kind == 0, kind == 1))
+                at, keys = _spelled(words, cfg.order)
+                learnt = (ordinary + toxic)[at] > 0
                 for n, (context, gram) in keys.items():
-                    uniq, first, back = np.unique(gram, return_index=True, return_inverse=True)
-                    sums = np.bincount(back, weights=times[at], minlength=len(uniq)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(uniq), n, np.int32)), pa.array(context[first].view(np.int64)), pa.array(uniq.view(np.int64)), pa.array(sums)], names=["n", "context", "gram", "times"])
+                    if n <= cfg.shared_order:
+                        counts.add(n, context, gram, every[at], every[at])
+                    else:
+                        counts.add(n, context[learnt], gram[learnt], ordinary[at[learnt]], toxic[at[learnt]])
+                yield from counts.flush()
+        yield from counts.flush(last=True)
 
-    return docs.select("text").mapInArrow(run, "n int, context long, gram long, times long").groupBy("n", "context", "gram").agg(F.sum("times").alias("times"))
+    made = rows.select("text", "toxic").mapInArrow(frugal(run), "n int, context long, gram long, ordinary long, toxic long")
+    return made.groupBy("n", "context", "gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
-def _level(context: np.ndarray, gram: np.ndarray, times: np.ndarray) -> dict[str, np.ndarray]:
-    """Tables of one order, sorted by key: n-gram counts, and of each context the sum and the number of n-grams."""
-    grams, first, back = np.unique(gram, return_index=True, return_inverse=True)
-    count = np.bincount(back, weights=times, minlength=len(grams))
-    owner = context[first]
-    contexts, at = np.unique(owner, return_inverse=True)
-    return {"g": grams, "c": count, "x": contexts, "sum": np.bincount(at, weights=count, minlength=len(contexts)), "types": np.bincount(at, minlength=len(contexts)).astype(np.float64)}
+def context_sums(counts: DataFrame) -> DataFrame:
+    """(n, context, sum_0, types_0, sum_1, types_1): of each context and class, all counts and the n-grams seen."""
+    sides = [x for i, c in enumerate(("ordinary", "toxic")) for x in (F.sum(c).alias(f"sum_{i}"), F.sum((F.col(c) > 0).cast("long")).alias(f"types_{i}"))]
+    return counts.groupBy("n", "context").agg(*sides)
 
 
 def _look(keys: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
@@ -120,65 +145,76 @@ def _look(keys: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> list[np.
     return [np.where(hit, v[at], 0.0) for v in values]
 
 
-def _interpolated(level: dict[str, np.ndarray], context: np.ndarray, gram: np.ndarray, below: np.ndarray, d: float) -> np.ndarray:
-    (count,) = _look(level["g"], gram, level["c"])
-    total, types = _look(level["x"], context, level["sum"], level["types"])
-    return np.where(total > 0, (np.maximum(count - d, 0) + d * types * below) / np.maximum(total, 1e-9), below)
-
-
 class KneserNey:
-    """Both classes' character models; ``levels``: {(class or "shared", order): tables}."""
+    """Both classes' character models; ``levels``: {order: (n-grams, counts by class, contexts, sums, types)}, keys
+    sorted."""
 
     def __init__(self, levels: dict, cfg: ToxicityConfig):
         self.levels, self.cfg = levels, cfg
-        self.known: dict[str, float] = {}
 
     @classmethod
-    def fit(cls, words: pa.Table, shared: pa.Table, cfg: ToxicityConfig) -> KneserNey:
-        levels = {}
-        order = shared.column("n").to_numpy()
-        for n in range(1, cfg.shared_order + 1):
-            at = order == n
-            levels["shared", n] = _level(*(shared.column(c).to_numpy()[at].view(U64) for c in ("context", "gram")), shared.column("times").to_numpy()[at])
-        toxic = words.column("toxic").to_numpy()
-        for c in (0, 1):
-            mine = words.filter(pa.array(toxic == c))
-            owner, keys = _spelled(mine.column("word").to_pylist(), cfg.order)
-            times = mine.column("n").to_numpy()[owner] if len(owner) else np.zeros(0)
-            for n in range(cfg.shared_order + 1, cfg.order + 1):
-                levels[c, n] = _level(*keys[n], times)
+    def load(cls, counts: DataFrame, sums: DataFrame, cfg: ToxicityConfig) -> KneserNey:
+        grams, contexts, levels = counts.drop("context").toArrow(), sums.toArrow(), {}
+        for n in range(1, cfg.order + 1):
+            g, x = (t.filter(pc.equal(t.column("n"), n)) for t in (grams, contexts))
+            g_key, x_key = (t.column(c).to_numpy().view(U64) for t, c in ((g, "gram"), (x, "context")))
+            a, b = np.argsort(g_key), np.argsort(x_key)
+            values = lambda t, at, *names: [t.column(c).to_numpy()[at].astype(np.float32) for c in names]
+            levels[n] = (g_key[a], values(g, a, "ordinary", "toxic"), x_key[b], values(x, b, "sum_0", "sum_1"), values(x, b, "types_0", "types_1"))
         return cls(levels, cfg)
 
-    def _fresh(self, words: list[str]) -> np.ndarray:
-        owner, keys = _spelled(words, self.cfg.order)
-        below = np.full(len(owner), 1e-5)
-        for n in range(1, self.cfg.shared_order + 1):
-            below = _interpolated(self.levels["shared", n], *keys[n], below, self.cfg.discount)
-        logs = []
-        for c in (0, 1):
-            p = below
-            for n in range(self.cfg.shared_order + 1, self.cfg.order + 1):
-                p = _interpolated(self.levels[c, n], *keys[n], p, self.cfg.discount)
-            logs.append(np.log(np.maximum(p, 1e-12)))
-        return np.bincount(owner, weights=logs[1] - logs[0], minlength=len(words)) / np.bincount(owner, minlength=len(words))
-
     def ratios(self, words: list[str]) -> np.ndarray:
         """Log-likelihood ratio (toxic over ordinary) of each word, by character; words without letters have 0."""
-        if len(self.known) > self.cfg.remembered:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        self.known.update(zip(new, self._fresh(new).tolist() if new else [], strict=True))
-        self.known[""] = 0.0
-        return np.fromiter((self.known[w] for w in words), np.float64, len(words))
-
-
-def evidence(texts: pa.Array, model: KneserNey, windows: tuple[int, ...]) -> np.ndarray:
-    """By text: mean ratio of its words, the largest mean over each kind of window, and log length."""
-    offsets, words, index = _words(texts)
-    out = np.zeros((len(texts), len(windows) + 2))
-    if not len(index):
+        owner, keys = _spelled(words, self.cfg.order)
+        codes, grams = pd.factorize(keys[self.cfg.order][1])  # the longest n-gram decides all the shorter ones
+        first = np.zeros(len(grams), np.int64)
+        first[codes] = np.arange(len(codes))
+        p, d = [np.full(len(grams), 1e-5)] * 2, self.cfg.discount
+        for n in range(1, self.cfg.order + 1):
+            g_key, counts, x_key, sums, types = self.levels[n]
+            context, gram = (k[first] for k in keys[n])
+            count, (sum_0, sum_1, types_0, types_1) = _look(g_key, gram, *counts), _look(x_key, context, *sums, *types)
+            p = [np.where(s > 0, (np.maximum(c - d, 0) + d * t * q) / np.maximum(s, 1e-9), q) for c, s, t, q in zip(count, (sum_0, sum_1), (types_0, types_1), p, strict=True)]
+        logs = np.log(np.maximum(p[1], 1e-12)) - np.log(np.maximum(p[0], 1e-12))
+        out = np.bincount(owner, weights=logs[codes], minlength=len(words)) / np.maximum(np.bincount(owner, minlength=len(words)), 1)
+        out[[i for i, w in enumerate(words) if not w]] = 0.0
         return out
-    sums = np.concatenate([[0.0], np.cumsum(model.ratios(words)[index])])
+
+
+def joined_ratios(texts: DataFrame, counts: DataFrame, sums: DataFrame, cfg: ToxicityConfig) -> DataFrame:
+    """(word, ratio) of the distinct words of ``texts(text)``: what ``KneserNey.ratios`` gives, by joins with the
+    distributed tables; ``word`` is a hash."""
+    orders = range(1, cfg.order + 1)
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array([w for w in _words(part.column("text"))[1] if w], pa.string())], names=["word"])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "word", 1 << 20):
+                owner, keys = _spelled(part.column("word").to_pylist(), cfg.order)
+                columns = [hash_words(part.column("word"))[owner], *(k for n in orders for k in keys[n])]
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["word", *(f"{k}{n}" for n in orders for k in "xg")])
+
+    words = texts.select("text").mapInArrow(frugal(distinct), "word string").distinct()
+    rows = words.mapInArrow(frugal(spell), ", ".join(["word long", *(f"{k}{n} long" for n in orders for k in "xg")])).withColumns({"p0": F.lit(1e-5), "p1": F.lit(1e-5)})
+    for n in orders:
+        grams = counts.where(F.col("n") == n).select(F.col("gram").alias(f"g{n}"), F.col("ordinary").alias("c0"), F.col("toxic").alias("c1"))
+        contexts = sums.where(F.col("n") == n).select(F.col("context").alias(f"x{n}"), "sum_0", "types_0", "sum_1", "types_1")
+        rows = rows.join(grams, f"g{n}", "left").join(contexts, f"x{n}", "left")
+        step = lambda i: F.when(F.col(f"sum_{i}") > 0, (F.greatest(F.coalesce(f"c{i}", F.lit(0)) - cfg.discount, F.lit(0.0)) + cfg.discount * F.col(f"types_{i}") * F.col(f"p{i}")) / F.col(f"sum_{i}")).otherwise(F.col(f"p{i}"))
+        rows = rows.withColumns({"p0": step(0), "p1": step(1)}).drop(f"g{n}", f"x{n}", "c0", "c1", "sum_0", "types_0", "sum_1", "types_1")
+    log = lambda i: F.log(F.greatest(f"p{i}", F.lit(1e-12)))
+    return rows.groupBy("word").agg(F.avg(log(1) - log(0)).alias("ratio"))
+
+
+def evidence(offsets: np.ndarray, ratios: np.ndarray, windows: tuple[int, ...]) -> np.ndarray:
+    """By text: mean ratio of its words, the largest mean over each kind of window, and log length. ``ratios`` are
+    those of the words of all texts."""
+    out = np.zeros((len(offsets) - 1, len(windows) + 2))
+    sums = np.concatenate([[0.0], np.cumsum(ratios)])
     for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
         n = b - a
         if n:
@@ -204,42 +240,93 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
+def _scored(x: np.ndarray, curve: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ curve, -30, 30)))
+
+
+def _with_evidence(rows: DataFrame, counts: DataFrame, sums: DataFrame, cfg: ToxicityConfig, finish, fields: dict[str, pa.DataType], extra: str = "") -> DataFrame:
+    """``rows(doc_id, text, extra)`` with the text replaced by what ``finish`` makes of its evidence."""
+    keep = ["doc_id", *extra.split()]
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in keep}
+    names = [*keep, *fields]
+    schema = ", ".join([f"{c} {k}" for c, k in kinds.items()] + [f"{c} {'array<double>' if pa.types.is_list(k) else 'double'}" for c, k in fields.items()])
+
+    def out(part: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(v, k) for v, k in zip(finish(x), fields.values(), strict=True))], names=names)
+
+    if counts.count() + sums.count() <= cfg.broadcast_rows:
+        shipped = rows.sparkSession.sparkContext.broadcast(KneserNey.load(counts, sums, cfg).levels)
+
+        def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = KneserNey(shipped.value, cfg)
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    offsets, words, index = _words(part.column("text"))
+                    yield out(part, evidence(offsets, model.ratios(words)[index], cfg.windows))
+
+        return rows.select(*keep, "text").mapInArrow(frugal(see), schema)
+
+    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                offsets, words, index = _words(part.column("text"))
+                owner = np.repeat(np.arange(part.num_rows), np.diff(offsets))
+                once = pd.unique(owner * (len(words) + 1) + index)
+                hashes = hash_words(pa.array(words, pa.string())).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(once // (len(words) + 1))), pa.array(hashes[once % (len(words) + 1)])], names=["key", "word"])
+
+    def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part = batch.slice(i, 1)
+                offsets, words, index = _words(part.column("text"))
+                found = {r["word"]: r["ratio"] for r in part.column("ratios")[0].as_py() or []}
+                mine = np.fromiter((found.get(h, 0.0) for h in hash_words(pa.array(words, pa.string())).view(np.int64).tolist()), np.float64, len(words))
+                yield out(part, evidence(offsets, mine[index], cfg.windows))
+
+    keyed = rows.withColumn("key", F.sha2("text", 256))  # equal texts have equal evidence
+    ratios = joined_ratios(rows, counts, sums, cfg)
+    pairs = keyed.select("key", "text").mapInArrow(frugal(used), "key string, word long").distinct()
+    lists = pairs.join(ratios, "word").groupBy("key").agg(F.collect_list(F.struct("word", "ratio")).alias("ratios"))
+    return keyed.join(lists, "key", "left").select(*keep, "text", "ratios").mapInArrow(frugal(given), schema)
+
+
 def fit_and_score(docs: DataFrame, labels: DataFrame, trainable, cfg: ToxicityConfig | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, score, predicted) of every row of ``docs``; labels are learnt from rows where ``trainable`` holds.
 
-    ``labels(doc_id, toxic)``; rows without a 0 or 1 there teach nothing, and repeated ones count as often.
-    Without both classes every score is the share of class 1 (0 if nothing is labelled). Null and empty texts
-    get the score of no evidence. An empty table gives no rows; other columns are ignored."""
+    ``labels(doc_id, toxic)``; rows without an id or without a 0 or 1 teach nothing, and an id with both counts as
+    toxic. Without both classes every score is the share of class 1 (0 if nothing is labelled). Where the
+    calibration fifth lacks a class, the score is the logistic function of the evidence of the whole text alone: 0.5
+    where both classes make it equally likely. Null and empty texts get the score of no evidence, very long ones are
+    read whole; rows with a null id are scored like others; equal texts get equal scores. An empty table gives no
+    rows; other columns are ignored."""
     cfg = cfg or ToxicityConfig()
-    spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    usable = labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(trainable)
+    usable = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(trainable)
+    usable = materialize(usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "usable")
     sizes = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         share = float(sizes.get(1, 0) > 0)
-        return narrow.select("doc_id", F.lit(share).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"))
-    draw = F.pmod(F.xxhash64(F.lit(cfg.seed), F.col("doc_id")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    chance = F.when(F.col("toxic") == 1, F.lit(cfg.class_docs / sizes[1])).otherwise(F.lit(cfg.class_docs / sizes[0]))
-    picked = usable.where(draw < chance).withColumn("part", F.pmod(F.xxhash64(F.lit(cfg.seed + 1), F.col("doc_id")), F.lit(5)))
-    sample = materialize(narrow.join(F.broadcast(picked), "doc_id"), "labelled")
-
-    model = KneserNey.fit(_class_words(sample.where("part > 0")).toArrow(), _shared_counts(narrow, cfg.shared_order).toArrow(), cfg)
+        return narrow.select(F.col("doc_id").alias(id_col), F.lit(share).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"))
+    small = sum(sizes.values()) <= cfg.broadcast_rows // 10
+    fold = F.pmod(F.xxhash64(F.lit(cfg.seed + 1), F.col("doc_id")), F.lit(5))
+    taught = usable.where(fold > 0)
+    counts = materialize(ngram_counts(narrow.join(F.broadcast(taught) if small else taught, "doc_id", "left"), cfg), "counts")
+    sums = materialize(context_sums(counts), "sums")
 
-    def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = KneserNey(shipped.value, cfg)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                x = evidence(part.column("text"), known, cfg.windows)
-                score = 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ curve, -30, 30)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
-
-    held = sample.where("part = 0").orderBy("doc_id").select("text", "toxic").toArrow()
-    y = held.column("toxic").to_numpy().astype(np.float64)
-    per_class = {c: max(1.0, (y == c).sum()) for c in (0, 1)}
-    x = evidence(held.column("text").combine_chunks(), model, cfg.windows) if len(y) else np.zeros((0, len(cfg.windows) + 2))
-    curve = _logistic(x, y, np.array([sizes[int(c)] / per_class[int(c)] for c in y]) * len(y) / sum(sizes.values()))
-    shipped = spark.sparkContext.broadcast(model.levels)
-    return narrow.mapInArrow(see, "doc_id long, score double, predicted int").withColumnRenamed("doc_id", id_col)
+    draw = F.pmod(F.xxhash64(F.lit(cfg.seed), F.col("doc_id")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    chance = F.when(F.col("toxic") == 1, F.lit(5 * cfg.class_docs / sizes[1])).otherwise(F.lit(5 * cfg.class_docs / sizes[0]))
+    held = narrow.join(F.broadcast(usable.where(fold == 0).where(draw < chance)), "doc_id")
+    seen = _with_evidence(held, counts, sums, cfg, lambda x: [list(x)], {"x": pa.list_(pa.float64())}, "toxic").orderBy("doc_id", "x").toArrow()
+    y = seen.column("toxic").to_numpy().astype(np.float64)
+    width = len(cfg.windows) + 2
+    if 0 < y.sum() < len(y):
+        x = np.array(seen.column("x").to_pylist()).reshape(len(y), width)
+        curve = _logistic(x, y, np.array([sizes[int(c)] / (y == c).sum() for c in y]) * len(y) / sum(sizes.values()))
+    else:
+        curve = np.array([1.0] + [0.0] * width)
+    scored = _with_evidence(narrow, counts, sums, cfg, lambda x: [_scored(x, curve)], {"score": pa.float64()})
+    return scored.select(F.col("doc_id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5):

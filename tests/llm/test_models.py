@@ -30,6 +30,43 @@ def test_toxicity(spark, docs, edge, empty):
     assert toxicity.fit_and_score(empty, labels, F.lit(True)).count() == 0
 
 
+def test_toxicity_joined_and_broadcast_agree(spark, docs, edge):
+    labels = docs.select("doc_id", F.when(F.col("text").contains("1"), 1).otherwise(0).alias("toxic"))
+    rows = docs.select("doc_id", "text").unionByName(edge.select("doc_id", "text"))
+    score = lambda cfg: toxicity.fit_and_score(rows, labels, ~toxicity.held_out(), cfg).toPandas().groupby("doc_id", dropna=False)["score"].mean()
+    shipped, joined = score(toxicity.ToxicityConfig()), score(toxicity.ToxicityConfig(broadcast_rows=0))
+    np.testing.assert_allclose(shipped.to_numpy(), joined.loc[shipped.index].to_numpy(), atol=1e-9)
+
+
+def test_toxicity_counts_against_loops(spark):
+    texts = [(1, "ab ab ac", 0), (2, "Ab", 1), (3, "ac!", 1), (4, "zz", None)]
+    cfg = toxicity.ToxicityConfig(order=3, shared_order=1)
+    got = {(r["n"], r["gram"]): (r["ordinary"], r["toxic"]) for r in toxicity.ngram_counts(spark.createDataFrame(texts, "id int, text string, toxic int"), cfg).collect()}
+    want = {}
+    for _, text, toxic in texts:
+        for word in {w.lower().strip("!") for w in text.split()}:
+            _, keys = toxicity._spelled([word], 3)
+            for n, (_, grams) in keys.items():
+                for g in grams.view(np.int64).tolist():
+                    a, b = want.get((n, g), (0, 0))
+                    want[n, g] = (a + 1, b + 1) if n == 1 else (a + (toxic == 0), b + (toxic == 1))
+    assert got == {k: v for k, v in want.items() if any(v)}
+
+
+def test_toxicity_without_calibration_rows(spark):
+    """Ten short texts, one of them labelled toxic: no curve can be fitted, and the scores still differ."""
+    rows = spark.createDataFrame([(i, "you idiot idiot" if i % 5 == 0 else f"mild weather today {i}") for i in range(10)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    for seed in range(3):
+        got = toxicity.fit_and_score(rows, labels, F.lit(True), toxicity.ToxicityConfig(seed=seed)).toPandas()
+        assert got["predicted"].nunique() == 2 or got["score"].nunique() > 1 or (got["score"] == 0.5).all()
+    fold = F.pmod(F.xxhash64(F.lit(6), F.col("doc_id")), F.lit(5))
+    learnt = rows.where(fold > 0).orderBy("doc_id").limit(8).select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("toxic")).collect()
+    if len({r["toxic"] for r in learnt}) == 2:
+        got = toxicity.fit_and_score(rows, spark.createDataFrame(learnt, "doc_id long, toxic int"), F.lit(True)).toPandas()
+        assert set(got.loc[got["predicted"] == 1, "doc_id"]) == {0, 5}
+
+
 def brute(x, ids, queries, k=5):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     out = {}

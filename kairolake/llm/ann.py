@@ -3,7 +3,10 @@
 The neighbour graph of a bounded sample is cut into balanced parts of few cut edges; a small classifier learns from
 it which parts the neighbours of a vector lie in. Every vector of the table is indexed under its most probable
 part; a query is sent to its several most probable parts and compared there with every vector, in blocks.
-"""
+
+How many parts a query visits is measured, not guessed: a few hundred rows are searched exactly against the whole
+table, and the probability that visits must cover is the least that finds ``recall`` of their neighbours. Where
+vectors cluster, that is one part or two; vectors without any structure need most of them."""
 
 from __future__ import annotations
 
@@ -19,21 +22,33 @@ from .common import materialize, table
 
 @dataclass(frozen=True)
 class AnnConfig:
-    """``sample`` bounds the vectors that partition and classifier are fitted on. ``mass``: a query visits parts in
-    order of probability until they hold this much of it, ``least_probes`` at least. ``block``: vectors and
-    queries that meet in one task at most."""
+    """``sample`` bounds the vectors that partition and classifier are fitted on, ``probes`` the rows (about) that
+    ``recall`` is measured with. There is a part for each ``part_rows`` rows of the table, ``least_parts`` at least
+    and one for 16 sampled vectors at most, as a power of two. ``block``: vectors and queries that meet in one task
+    at most."""
 
     k: int = 5
-    sample: int = 4096
-    parts: int = 16
+    sample: int = 8192
+    part_rows: int = 1000
+    least_parts: int = 16
     neighbours: int = 10
-    mass: float = 0.998
-    least_probes: int = 4
+    recall: float = 0.95
+    probes: int = 256
     block: int = 4096
     steps: int = 300
     seed: int = 3
 
 
+@dataclass(frozen=True)
+class AnnIndex:
+    """``rows(vec_id, v, norm, part)``, the router's weights (None: one part), and the probability to cover."""
+
+    rows: DataFrame
+    weights: list[np.ndarray] | None
+    mass: float
+    cfg: AnnConfig
+
+
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k most similar other rows of unit vectors, block by block."""
     out = []
@@ -135,50 +150,118 @@ def _unit(column: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit(rows: DataFrame, cfg: AnnConfig) -> list[np.ndarray] | None:
-    """Router weights from a sample of at most about ``cfg.sample`` rows (those with the smallest hashes of their
-    ids); None if there are too few rows to cut."""
-    n = rows.count()
-    draw = F.pmod(F.xxhash64(F.lit(cfg.seed), "vec_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = rows.where(draw < cfg.sample / max(1, n)).orderBy("vec_id").limit(2 * cfg.sample).select("v").toPandas()
-    if len(sample) < 4 * cfg.parts:
+def _drawn(cfg: AnnConfig, salt: int):
+    return F.pmod(F.xxhash64(F.lit(cfg.seed + salt), "vec_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
+def fit(rows: DataFrame, n: int, cfg: AnnConfig) -> list[np.ndarray] | None:
+    """Router weights from a sample of at most about ``cfg.sample`` of the ``n`` rows (those with the smallest hashes
+    of their ids); None if there are too few rows to cut."""
+    sample = rows.where(_drawn(cfg, 0) < cfg.sample / max(1, n)).orderBy("vec_id").limit(2 * cfg.sample).select("v").toPandas()
+    if len(sample) < 4 * cfg.least_parts:
         return None
+    parts = 1 << int(np.log2(min(max(cfg.least_parts, n // cfg.part_rows), max(cfg.least_parts, len(sample) // 16))))
     x = _unit(sample["v"])
     graph = neighbour_graph(x, cfg.neighbours)
-    part = balanced_parts(graph, cfg.parts, cfg.seed)
-    target = np.eye(cfg.parts)[part]
+    part = balanced_parts(graph, parts, cfg.seed)
+    target = np.eye(parts)[part]
     target = 0.5 * target + 0.5 * target[graph].mean(axis=1)
     return train_router(x, target, cfg)
 
 
-def nearest(vectors: DataFrame, is_query, cfg: AnnConfig | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row where ``is_query`` holds, the nearest other rows found.
+def _visited(x: np.ndarray, weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """By row: the parts from the most probable on, and the probability that those before each hold."""
+    p = route(x, weights)
+    order = np.argsort(-p, axis=1, kind="stable")
+    upto = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1)
+    return order, np.column_stack([np.zeros(len(p)), upto[:, :-1]])
 
-    Nearness is the cosine in double precision, ties go to the smaller id. Vectors that are null, zero, of another
-    length, or hold null or non-finite components take no part. Rows that repeat an id count as one vector each,
-    but a query never finds its own id. With fewer than k other rows all of them come. An empty table gives no
-    rows; other columns are ignored."""
+
+def _mass(rows: DataFrame, weights: list[np.ndarray], n: int, cfg: AnnConfig) -> float:
+    """The probability that visits must cover, from the exact neighbours of about ``cfg.probes`` rows."""
+    probes = rows.where(_drawn(cfg, 1) < cfg.probes / n).orderBy("vec_id").limit(2 * cfg.probes).select("vec_id", "v").toPandas()
+    if not len(probes):
+        return 1.0
+    ids, x = probes["vec_id"].to_numpy(), _unit(probes["v"])
+
+    def top(frames):
+        for frame in frames:
+            if len(frame):
+                s = x @ _unit(frame["v"]).T
+                s[ids[:, None] == frame["vec_id"].to_numpy()[None, :]] = -np.inf
+                k = min(cfg.k, len(frame))
+                at = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                yield pd.DataFrame({"q": np.repeat(np.arange(len(ids)), k), "score": np.take_along_axis(s, at, axis=1).ravel(), "part": frame["part"].to_numpy()[at].ravel()})
+
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "part")
+    found = rows.select("vec_id", "v", "part").mapInPandas(top, "q int, score double, part int").where("score > -2").withColumn("r", F.row_number().over(best)).where(F.col("r") <= cfg.k).select("q", "part").toPandas()
+    if not len(found):
+        return 1.0
+    order, before = _visited(x, weights)
+    place = np.argsort(order, axis=1)[found["q"], found["part"]]
+    return float(np.nextafter(np.quantile(before[found["q"], place], cfg.recall, method="higher"), 2))
+
+
+def build_index(vectors: DataFrame, cfg: AnnConfig | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> AnnIndex:
+    """Every vector that takes part, under its most probable part."""
     cfg = cfg or AnnConfig()
     rows = materialize(usable(vectors, id_col, vec_col), "vectors")
-    weights = fit(rows, cfg)
-    parts = cfg.parts if weights else 1
+    n = rows.count()
+    weights = fit(rows, n, cfg)
+    if weights is None:
+        return AnnIndex(rows.withColumn("part", F.lit(0)), None, 1.0, cfg)
 
     def place(frames):
         for frame in frames:
-            p = route(_unit(frame["v"]), weights) if weights else np.ones((len(frame), 1))
-            order = np.argsort(-p, axis=1, kind="stable")
-            mass = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1)
-            probes = np.minimum(parts, np.maximum(cfg.least_probes, (mass < cfg.mass).sum(axis=1) + 1))
-            yield frame.assign(part=order[:, 0].astype(np.int32), visits=[o[:n].astype(np.int32) for o, n in zip(order, probes, strict=True)])
-
-    placed = materialize(rows.mapInPandas(place, "vec_id long, v array<double>, norm double, part int, visits array<int>"), "placed")
-    queries = placed.where(is_query).select("vec_id", "v", "norm", F.explode("visits").alias("part"))
+            yield frame.assign(part=route(_unit(frame["v"]), weights).argmax(axis=1).astype(np.int32) if len(frame) else np.zeros(0, np.int32))
+
+    placed = materialize(rows.mapInPandas(place, "vec_id long, v array<double>, norm double, part int"), "placed")
+    return AnnIndex(placed, weights, _mass(placed, weights, n, cfg), cfg)
+
+
+def routed(index: AnnIndex, is_query) -> DataFrame:
+    """(vec_id, v, norm, part): a row for each part that each query visits."""
+    queries = index.rows.where(is_query).select("vec_id", "v", "norm")
+    if index.weights is None:
+        return queries.withColumn("part", F.lit(0))
+    weights, mass = index.weights, index.mass  # the tasks get these alone
+
+    def visit(frames):
+        for frame in frames:
+            if len(frame):
+                order, before = _visited(_unit(frame["v"]), weights)
+                yield frame.assign(visits=[o[b < mass].astype(np.int32) for o, b in zip(order, before, strict=True)])
+
+    return queries.mapInPandas(visit, "vec_id long, v array<double>, norm double, visits array<int>").select("vec_id", "v", "norm", F.explode("visits").alias("part"))
+
+
+def scanned_share(index: AnnIndex, is_query) -> float:
+    """The share of the table that a query is compared with, on average."""
+    sizes = index.rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    visits = routed(index, is_query).groupBy("part").agg(F.count(F.lit(1)).alias("m"))
+    met = sizes.join(visits, "part").agg(F.sum(F.col("n") * F.col("m"))).first()[0]
+    return (met or 0) / max(1, index.rows.count() * index.rows.where(is_query).count())
+
+
+def nearest(vectors: DataFrame, is_query, cfg: AnnConfig | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row where ``is_query`` holds, the nearest other rows found.
+
+    Nearness is the cosine in double precision, ties go to the smaller id. Vectors that are null, zero, of another
+    length, or hold null or non-finite components take no part, nor do rows without an id. Rows that repeat an id
+    count as one vector each, but a query never finds its own id. With fewer than k other rows all of them come. An
+    empty table gives no rows; other columns are ignored."""
+    return search(build_index(vectors, cfg, id_col, vec_col), is_query)
+
+
+def search(index: AnnIndex, is_query) -> DataFrame:
+    """``nearest`` in an index that is there."""
+    cfg, placed, queries = index.cfg, index.rows, routed(index, is_query)
     sizes = placed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / cfg.block).cast("int").alias("blocks"))
     asked = queries.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / cfg.block).cast("int").alias("askers"))
     grid = F.broadcast(sizes.join(asked, "part"))  # one row a part
     own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = placed.drop("visits").join(grid, "part").withColumn("blk", own("blocks")).withColumn("ask", every("askers"))
+    left = placed.join(grid, "part").withColumn("blk", own("blocks")).withColumn("ask", every("askers"))
     right = queries.join(grid, "part").withColumn("ask", own("askers")).withColumn("blk", every("blocks"))
 
     def meet(have: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:

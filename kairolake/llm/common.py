@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 _LOCAL: dict[str, str] = {}
@@ -46,11 +47,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where it is unset
-    (single-machine tests) a temporary folder."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; only on a single machine, where it may be
+    unset, a temporary folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -70,6 +73,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_heavy_apart(rows: DataFrame, keyed: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` inner-joined with ``keyed``, which has one row a key and in ``size`` how many of the ``total`` rows hold
+    it. Keys with a thousandth of the rows (1,000 at least) are so few that they are broadcast; the others, none of
+    which can overfill a task, are shuffled."""
+    least = max(1000, -(-total // 1000))
+    heavy = keyed.where(F.col(size) >= least)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(keyed.where(F.col(size) < least), key)
+    return rows.join(F.broadcast(heavy), key).select(*rest.columns).unionAll(rest)
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that the texts of a slice stay near ``max_bytes``; a longer single text is one slice."""
     if batch.num_rows == 0:

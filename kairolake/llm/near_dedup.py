@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, frugal, hash_words, materialize, mix, slices, split_words
+from .common import U64, frugal, hash_words, join_heavy_apart, materialize, mix, slices, split_words
 from .graph import connected_components
 
 
@@ -246,13 +246,16 @@ def near_duplicates(docs: DataFrame, cfg: NearDedupConfig | None = None, text: s
     """
     cfg = cfg or NearDedupConfig()
     sketches = materialize(sketch(docs, cfg, text, id_col), "sketches")
-    twins = sketches.where("print is not null").groupBy("print").agg(F.min("id").alias("rep"))
-    own = materialize(sketches.select("id", "n", "print").join(twins, "print", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "classes")
+    printed = sketches.where("print is not null").select("id", "n", "print")
+    twins = materialize(printed.groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members")), "twins")
+    same = join_heavy_apart(printed, twins.where("members > 1"), "print", "members", sketches.count()).select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    alone = printed.join(twins.where("members = 1").select("print"), "print", "left_semi")
+    own = materialize(same.unionAll(alone.unionByName(sketches.where("print is null").select("print", "id", "n")).select("id", "n", F.col("id").alias("rep"))), "classes")
     classes = sketches.join(own.where("id = rep").select("id"), "id", "left_semi").where("n > 0").select(F.col("id").alias("rep"), "n", "regs", "bands")
 
     keys = classes.select("rep", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("first")).where("size > 1")
-    inside = materialize(keys.join(buckets, "key"), "buckets")
+    inside = materialize(join_heavy_apart(keys, materialize(buckets, "sizes"), "key", "size", keys.count()).select("rep", "key", "size", "first"), "buckets")
     stars = inside.where((F.col("size") > cfg.small_bucket) & (F.col("rep") > F.col("first"))).select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
     groups = materialize(connected_components(stars, "groups").select(F.col("node").alias("rep"), F.col("component").alias("grp")), "groups")
 

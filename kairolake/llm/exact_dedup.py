@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, slices, table
@@ -49,8 +49,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sup
     digests = materialize(text_digests(docs, text, id_col), "digests")
     heavy = F.broadcast(materialize(heavy_digests(digests, support), "heavy"))
     settled = digests.join(heavy, "digest").select("id", "digest", "keep_id", "group_size")
-    group = Window.partitionBy("digest")
-    rest = digests.join(heavy.select("digest"), "digest", "left_anti").select("id", "digest", F.max("id").over(group).alias("keep_id"), F.count(F.lit(1)).over(group).alias("group_size"))
+    other = digests.join(heavy.select("digest"), "digest", "left_anti")
+    groups = other.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    rest = other.join(groups, "digest").select("id", "digest", "keep_id", "group_size")
     return settled.unionAll(rest).select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )

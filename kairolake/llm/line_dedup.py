@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Keys that a shard's filter is planned for, and filters that are broadcast at most (bytes, checked).
 SHARD_KEYS = 200_000
 BROADCAST_BYTES = 64 << 20
+#: Documents from which on a line is common, and common lines that are broadcast at most (32 bytes each, counted).
+COMMON, BROADCAST_KEYS = 2000, 100_000
 SLOTS = 4
 KICKS = 500
 
@@ -157,8 +160,13 @@ def _keys_of(texts: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [(k, d) for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) for k in {*line_keys(t, least)} if k is not None]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([d for _, d in found], pa.int64())], names=["key", "doc_id"])
+                lists = pc.split_pattern(pc.fill_null(part.column("text"), ""), "\n")
+                coded = pc.ascii_lower(pc.ascii_trim(lists.flatten(), SPACE)).dictionary_encode()
+                long = pc.greater_equal(pc.utf8_length(coded.dictionary), least).to_numpy(zero_copy_only=False)
+                owner, code = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy())), coded.indices.to_numpy().astype(np.int64)
+                once = pd.unique((owner * len(long) + code)[long[code]])
+                digests = pa.array([xxhash.xxh3_128_digest(k.as_buffer()) if ok else None for k, ok in zip(coded.dictionary.cast(pa.binary()), long, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([digests.take(pa.array(once % max(1, len(long)))), part.column("doc_id").take(pa.array(once // max(1, len(long))))], names=["key", "doc_id"])
 
     return texts.mapInArrow(frugal(run), "key binary, doc_id long")
 
@@ -209,9 +217,17 @@ def _changed(index: LineIndex, postings: DataFrame, touched: DataFrame) -> LineI
     """The index after ``postings`` replaced the old ones; only keys in ``touched`` differ."""
     folder = scratch(index.spark, "lines")
     postings.write.parquet(f"{folder}/postings")
-    new = LineIndex(index.spark, folder, index.shards, index.least)
-    again = _count(new.postings.join(touched, "key", "left_semi"), 1 << 20).withColumn("shard", (F.col("shard") % index.shards).cast("int"))
-    index.refs.join(touched, "key", "left_anti").unionByName(again).write.parquet(f"{folder}/refs")
+    postings = index.spark.read.parquet(f"{folder}/postings")
+    again = _count(postings.join(touched, "key", "left_semi"), 1 << 20).withColumn("shard", (F.col("shard") % index.shards).cast("int"))
+    index.refs.join(touched, "key", "left_anti").unionByName(again).write.parquet(f"{folder}/counts")
+    refs = index.spark.read.parquet(f"{folder}/counts")
+    needed = -(-refs.where("n_docs > 1").count() // SHARD_KEYS)
+    shards = needed if needed > 2 * index.shards else index.shards
+    refs.withColumn("shard", (F.pmod(F.xxhash64("key"), F.lit(1 << 20)) % shards).cast("int")).write.parquet(f"{folder}/refs")
+    new = LineIndex(index.spark, folder, shards, index.least)
+    if shards > index.shards:  # the shards have outgrown what their filters were planned for
+        _refiltered(new.refs.where("n_docs > 1").select("shard", "key"), None).write.parquet(f"{folder}/filters")
+        return new
     was = index.refs.join(touched, "key", "left_semi").where("n_docs > 1").select("key", "shard")
     now = new.refs.join(touched, "key", "left_semi").where("n_docs > 1").select("key", "shard")
     flips = now.join(was, "key", "left_anti").withColumn("added", F.lit(True)).unionByName(was.join(now, "key", "left_anti").withColumn("added", F.lit(False)))
@@ -269,8 +285,14 @@ def _maybe_repeated(texts: DataFrame, index: LineIndex) -> DataFrame:
 def dropped_keys(docs: DataFrame, index: LineIndex, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, keys): the line keys that each document loses."""
     maybe = _maybe_repeated(_texts(docs, text, id_col), index)
-    exact = index.refs.where("n_docs > 1").select("key", "first_doc")
-    return maybe.join(exact, "key").where("first_doc <> doc_id").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    exact = index.refs.where("n_docs > 1").select("key", "n_docs", "first_doc")
+    common = exact.where(F.col("n_docs") >= COMMON)
+    if common.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:  # lines of very many documents don't meet in a task
+        rest = maybe.join(F.broadcast(common.select("key")), "key", "left_anti").join(exact.where(F.col("n_docs") < COMMON), "key")
+        found = maybe.join(F.broadcast(common), "key").unionByName(rest)
+    else:
+        found = maybe.join(exact, "key")
+    return found.where("first_doc <> doc_id").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
 def dedup_lines(docs: DataFrame, index: LineIndex | None = None, least: int = 10, text: str = "text", id_col: str = "doc_id", digest: bool = False, carry: list[str] | None = None) -> DataFrame:

@@ -2,8 +2,10 @@
 
 A node holds the documents of a region of the metadata space. Each round splits every node at its weighted median
 (weight: bytes) along its widest dimension, until there are as many leaves as shards, so that a leaf reaches the
-target bytes. A cut is one place in the order (coordinate, text hash, id hash, id), which keeps equal texts
-together: a group of them is cut only where a median falls inside it. To find it, histograms narrow the place
+target bytes. Equal texts are one group: they take the coordinates of one agreed row of theirs, and a cut is one
+place in the order (coordinate, text hash, id hash, id), so that a group lies together in every order. A median
+that falls inside a group of at most a hundredth of its node's bytes moves to the group's nearer end; only a larger
+group is cut, as the shards' bytes come first. To find the place, histograms narrow the place
 down, each key until a bin holds one single value of it, until few enough rows are left to order them. Histograms are summed on the map side and have at
 most ``BINS`` rows a node, however many documents there are; no row moves before the slots are numbered.
 """
@@ -13,11 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import join_heavy_apart, materialize, table
 
 BINS = 4096
 #: Rows that one window orders.
 WINDOW_ROWS = 20_000
+#: Share of a node's bytes up to which a group of equal texts isn't cut.
+SNAP = 0.01
 DIMS = ("d0", "d1", "d2")
 KEYS = ("x", "h", "k")
 
@@ -45,11 +49,20 @@ def _metadata(docs: DataFrame, text: str, id_col: str, source: str, lang: str) -
         (F.log2(size.cast("double")) / 32).alias("d0"),
         place(source).alias("d1"),
         place(lang).alias("d2"),
+        F.xxhash64(raw).alias("t"),
         _unit(raw).alias("h"),
         _unit(F.col(id_col).cast("long")).alias("k"),
     )
 
 
+def _agreed(rows: DataFrame) -> DataFrame:
+    """Equal texts with different metadata take the coordinates of the least of their rows."""
+    groups = rows.groupBy("t").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("d1", "d2")).alias("least"), F.max(F.struct("d1", "d2")).alias("most"))
+    apart = materialize(groups.where("least <> most").select("t", "members", F.col("least.d1").alias("g1"), F.col("least.d2").alias("g2")), "agreed")
+    moved = join_heavy_apart(rows, apart, "t", "members", rows.count()).withColumns({"d1": F.col("g1"), "d2": F.col("g2")})
+    return moved.select(*rows.columns).unionAll(rows.join(apart.select("t"), "t", "left_anti").select(*rows.columns))
+
+
 def _plan(rows: DataFrame, share: dict[int, float]) -> list[tuple]:
     """(node, dim, bytes, low, high, want) of the nodes in ``share``: widest dimension, bytes to go below the cut."""
     stats = rows.groupBy("node").agg(F.sum("size").alias("bytes"), *[F.min(d).alias(f"{d}_lo") for d in DIMS], *[F.max(d).alias(f"{d}_hi") for d in DIMS])
@@ -86,12 +99,21 @@ def _places(rows: DataFrame, plan: list[tuple]) -> list[tuple]:
             bounds[node] = (key + 1, 0.0, 1.0, c["want"]) if single and key < len(KEYS) - 1 else (key, c["lo"], c["hi"], c["want"])
         if few:
             break
-    wants = F.broadcast(_rows(spark, [(n, float(b[3])) for n, b in bounds.items()], "node long, want double"))
+    # a bin of x or of h holds whole groups of equal texts; one of k doesn't
+    wants = F.broadcast(_rows(spark, [(n, float(b[3]), nodes[n][2] * SNAP if b[0] < 2 else -1.0) for n, b in bounds.items()], "node long, want double, most double"))
     upto = Window.partitionBy("node").orderBy(*KEYS, "id").rowsBetween(Window.unboundedPreceding, 0)
-    run = inside.withColumn("sum", F.sum("size").over(upto)).join(wants, "node").where("sum > want")
+    group = Window.partitionBy("node", "x", "h")
+    run = inside.withColumn("sum", F.sum("size").over(upto)).withColumn("all", F.sum("size").over(group)).withColumn("end", F.max("sum").over(group)).join(wants, "node").where("sum > want")
     key = F.struct(*KEYS, "id")
-    at = run.groupBy("node").agg(F.min(F.struct(key.alias("key"), (F.col("sum") - F.col("size") / 2 < F.col("want")).alias("below"))).alias("p"))
-    return [(r["node"], nodes[r["node"]][1], *r["p"]["key"], r["p"]["below"]) for r in at.collect()]
+    first = run.groupBy("node").agg(F.min_by(F.struct(*KEYS, "id", "sum", "size", "all", "end", "want", "most"), key).alias("p"))
+    out = []
+    for node, p in first.collect():
+        if p["all"] <= p["most"]:  # before or behind all of the group: k lies in [0, 1)
+            below = p["end"] - p["want"] <= p["want"] - (p["end"] - p["all"])
+            out.append((node, nodes[node][1], p["x"], p["h"], 2.0 if below else -1.0, 0, below))
+        else:
+            out.append((node, nodes[node][1], p["x"], p["h"], p["k"], p["id"], p["sum"] - p["size"] / 2 < p["want"]))
+    return out
 
 
 def _descend(rows: DataFrame, places: list[tuple]) -> DataFrame:
@@ -106,11 +128,13 @@ def _descend(rows: DataFrame, places: list[tuple]) -> DataFrame:
 def kd_shards(docs: DataFrame, shards: int = 16, text: str = "text", id_col: str = "doc_id", source: str = "source", lang: str = "lang") -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) of every row.
 
-    Law ``bytes``: the shards' sizes are near equal (each cut is right to half a document). Null texts are empty
+    Law ``bytes``: the shards' sizes are near equal (each cut is right to half a document, or to half a group of
+    equal texts that isn't cut). Null texts are empty
     (size 1); null metadata is one value of its own; missing metadata columns count as constant; rows that repeat
     all columns share a place and stay together. ``slot`` numbers the rows of a shard from 0 without gaps.
     Fewer rows than shards leave shards empty; an empty table gives no rows; other columns are ignored."""
     base = materialize(_metadata(docs, text, id_col, source, lang).withColumn("node", F.lit(1).cast("long")), "metadata")
+    base = materialize(_agreed(base).drop("t"), "coordinates")
     rows, leaves = base, {1: shards}
     while any(n > 1 for n in leaves.values()):
         plan = _plan(rows, {node: (n // 2) / n for node, n in leaves.items() if n > 1})

@@ -30,10 +30,12 @@ WINDOW_ROWS = 20_000
 
 @dataclass(frozen=True)
 class MixConfig:
-    """``max_share``: without given weights a source's weight is its natural share, at most this much (sources
+    """``block_bytes``: bytes of a block, or what gives ``most_blocks`` blocks in all where that is more (at 64 KB
+    beyond 4 TB), as one task writes the schedule, some microseconds a block. ``max_share``: without given weights a source's weight is its natural share, at most this much (sources
     beyond it are down-weighted). ``frame``: slots of the schedule that are held at a time."""
 
     block_bytes: int = 64 << 10
+    most_blocks: int = 1 << 26
     max_share: float = 0.25
     frame: int = 1 << 16
 
@@ -116,13 +118,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, cfg: MixConfig
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), (F.octet_length(F.coalesce(F.col(text).cast("string"), F.lit(""))) + 1).cast("long").alias("bytes"))
     rows = materialize(rows, "sizes")
-    bins = max(1, -(-rows.count() // WINDOW_ROWS))
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    bins, block_bytes = max(1, -(-n // WINDOW_ROWS)), max(cfg.block_bytes, -(-size // cfg.most_blocks))
     binned = rows.withColumn("bin", F.pmod(F.xxhash64("id"), F.lit(bins)))
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bases = binned.groupBy("source", "bin").agg(F.sum("bytes").alias("sum")).withColumn("base", F.coalesce(F.sum("sum").over(before), F.lit(0))).drop("sum")
     inside = Window.partitionBy("source", "bin").orderBy("id", "bytes").rowsBetween(Window.unboundedPreceding, 0)
     placed = binned.withColumn("upto", F.sum("bytes").over(inside)).join(bases, ["source", "bin"])
-    cut = placed.select("id", "source", F.floor((F.col("base") + F.col("upto") - F.col("bytes")) / cfg.block_bytes).cast("long").alias("block"))
+    cut = placed.select("id", "source", F.floor((F.col("base") + F.col("upto") - F.col("bytes")) / block_bytes).cast("long").alias("block"))
     cut = materialize(cut, "blocks")
     blocks = {r["source"]: r["n"] for r in cut.groupBy("source").agg((F.max("block") + 1).alias("n")).collect()}
 

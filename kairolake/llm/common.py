@@ -28,16 +28,21 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, ARROW_ROWS)
 
 
+def give_back() -> None:
+    """Gives memory that Arrow and the C library have freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
 def frugal(run):
     """A function for ``mapInArrow`` after whose task the Python worker, which Spark uses again, gives freed memory
     back to the system."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
-        if trim:
-            trim(0)
+        give_back()
 
     return wrapped
 

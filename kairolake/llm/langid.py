@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, bounded_batches, frugal, mix, slices, table
+from .common import U64, bounded_batches, frugal, give_back, mix, slices, table
 
 #: Language families by ISO 639-1 code. A code that isn't listed is a family of its own.
 FAMILIES = {
@@ -87,31 +87,39 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy())), coded.dictionary, coded.indices.to_numpy()
 
 
-def features(texts: pa.Array, cfg: LangIdConfig) -> np.ndarray:
-    """Relative n-gram frequencies by text, with a constant last column."""
-    out = np.zeros((len(texts), cfg.dims + 1), np.float32)
+#: A document's features: its dimensions and their relative frequencies.
+Sparse = tuple[np.ndarray, np.ndarray]
+
+
+def features(texts: pa.Array, cfg: LangIdConfig) -> list[Sparse]:
+    """Relative n-gram frequencies by text, with a constant as the last dimension."""
+    out = []
     for i in range(len(texts)):
         _, words, index = _words(texts.slice(i, 1))
         owner, dims = word_ngrams(words, cfg)
-        times = np.bincount(index, minlength=len(words))
-        counts = np.bincount(dims, weights=times[owner], minlength=cfg.dims)
-        out[i, :-1] = counts / max(1.0, counts.sum())
-    out[:, -1] = 0.01
+        counts = np.bincount(dims, weights=np.bincount(index, minlength=len(words))[owner], minlength=cfg.dims)
+        seen = np.flatnonzero(counts)
+        out.append((np.append(seen, cfg.dims).astype(np.int32), np.append(counts[seen] / max(1.0, counts.sum()), 0.01).astype(np.float32)))
     return out
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, cfg: LangIdConfig) -> np.ndarray:
+def margins(x: list[Sparse], w: np.ndarray) -> np.ndarray:
+    return np.fromiter((v @ w[d] for d, v in x), np.float64, len(x))
+
+
+def linear_svm(x: list[Sparse], y: np.ndarray, cfg: LangIdConfig) -> np.ndarray:
     """Hinge-loss machine by dual coordinate descent; y is -1 or 1, the classes weigh the same."""
     rng = np.random.default_rng(cfg.seed)
-    norm = (x * x).sum(axis=1) + 1e-12
+    norm = np.fromiter((v @ v for _, v in x), np.float64, len(x)) + 1e-12
     limit = cfg.cost / norm.mean() * np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
-    alpha, w = np.zeros(len(y)), np.zeros(x.shape[1])
+    alpha, w = np.zeros(len(y)), np.zeros(cfg.dims + 1)
     for _ in range(cfg.epochs):
         for i in rng.permutation(len(y)):
-            step = np.clip(alpha[i] + (1 - y[i] * (x[i] @ w)) / norm[i], 0, limit[i]) - alpha[i]
+            dims, values = x[i]
+            step = np.clip(alpha[i] + (1 - y[i] * (values @ w[dims])) / norm[i], 0, limit[i]) - alpha[i]
             if step:
                 alpha[i] += step
-                w += step * y[i] * x[i]
+                w[dims] += step * y[i] * values
     return w
 
 
@@ -150,11 +158,14 @@ def fit(docs: DataFrame, cfg: LangIdConfig | None = None, text: str = "text", la
     for level, a, b, names in todo:
         rows = np.flatnonzero((names == a) | (names == b))
         y = np.where(names[rows] == a, 1.0, -1.0)
-        w = linear_svm(x[rows], y, cfg)
+        mine = [x[i] for i in rows]
+        w = linear_svm(mine, y, cfg)
         model.pairs.append((level, a, b))
         weights.append(w)
-        slopes.append(_slope(x[rows] @ w, y))
+        slopes.append(_slope(margins(mine, w), y))
     model.weights, model.slopes = np.array(weights), np.array(slopes)
+    del x, sample
+    give_back()
     return model
 
 
@@ -202,8 +213,10 @@ def classify(texts: pa.Array, model: LangIdModel, cfg: LangIdConfig) -> tuple[li
 def predict(docs: DataFrame, model: LangIdModel, cfg: LangIdConfig | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, lang_pred, score) of every row.
 
-    Null texts and texts without a letter are ``und`` with score 0. Equal texts get equal answers; other columns
-    are ignored, language labels above all; an empty table gives no rows."""
+    Null texts and texts without a letter are ``und`` with score 0. Equal texts get equal answers, tied votes go to
+    the larger sum of probabilities, then to the language first by name. Rows with a null id and repeated rows are
+    answered like others, very long texts are read whole. Other columns are ignored, language labels above all; an
+    empty table gives no rows."""
     cfg = cfg or LangIdConfig()
     shipped = docs.sparkSession.sparkContext.broadcast(vars(model))
 

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, frugal, hash_words, materialize, mix, slices, split_words, table
+from .common import U64, frugal, give_back, hash_words, materialize, mix, slices, split_words, table
 
 
 @dataclass(frozen=True)
@@ -256,6 +256,7 @@ def _with_evidence(rows: DataFrame, counts: DataFrame, sums: DataFrame, cfg: Tox
 
     if counts.count() + sums.count() <= cfg.broadcast_rows:
         shipped = rows.sparkSession.sparkContext.broadcast(KneserNey.load(counts, sums, cfg).levels)
+        give_back()
 
         def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = KneserNey(shipped.value, cfg)

@@ -1,7 +1,13 @@
-"""Learned scores and heads with Spark ML on (clip_id, t, features array, label)."""
+"""Learned scores and heads on (clip_id, t, features array, label).
+
+Features are written once before a fit, so that its passes read a table instead of repeating the plan that made it."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler
@@ -11,27 +17,29 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import stored
+
 
 def _vectors(rows: DataFrame) -> DataFrame:
     return rows.withColumn("raw", array_to_vector("features")).drop("features")
 
 
 def weighted(rows: DataFrame) -> DataFrame:
-    """Adds ``w``: positives weigh as much as negatives in all."""
-    share = rows.agg(F.try_divide(F.sum((F.col("label") == 0).cast("double")), F.sum((F.col("label") != 0).cast("double"))).alias("ratio"))
-    return rows.crossJoin(F.broadcast(share)).withColumn("w", F.when((F.col("label") != 0) & (F.col("ratio") > 0), F.col("ratio")).otherwise(1.0)).drop("ratio")
+    """Adds ``w``: positives weigh as much as negatives in all. The ratio is one number, read before."""
+    negative, positive = rows.agg(F.sum((F.col("label") == 0).cast("double")), F.sum((F.col("label") != 0).cast("double"))).first()
+    return rows.withColumn("w", F.when(F.col("label") != 0, float(negative / positive) if positive and negative else 1.0).otherwise(1.0))
 
 
 def logistic(rows: DataFrame, iterations: int = 30) -> PipelineModel:
     """Standardised, class-weighted logistic regression."""
     scale = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True)
-    return Pipeline(stages=[scale, LogisticRegression(featuresCol="scaled", weightCol="w", maxIter=iterations, regParam=1e-3)]).fit(_vectors(weighted(rows)))
+    return Pipeline(stages=[scale, LogisticRegression(featuresCol="scaled", weightCol="w", maxIter=iterations, regParam=1e-3)]).fit(_vectors(weighted(stored(rows, "fit"))))
 
 
 def mlp(rows: DataFrame, layers: list[int], iterations: int = 30, seed: int = 1) -> PipelineModel:
     """Multilayer perceptron on standardised features; one row a second."""
     scale = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True)
-    return Pipeline(stages=[scale, MultilayerPerceptronClassifier(featuresCol="scaled", layers=layers, maxIter=iterations, seed=seed)]).fit(_vectors(rows))
+    return Pipeline(stages=[scale, MultilayerPerceptronClassifier(featuresCol="scaled", layers=layers, maxIter=iterations, seed=seed)]).fit(_vectors(stored(rows, "fit")))
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -39,10 +47,16 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(_vectors(rows)).withColumn("p", vector_to_array("probability")[1]).drop("raw", "scaled", "rawPrediction", "probability")
 
 
+def predict_class(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """Adds ``chance``, the probabilities of all classes; ``prediction`` is the largest one's class."""
+    return model.transform(_vectors(rows)).withColumn("chance", vector_to_array("probability")).drop("raw", "scaled", "rawPrediction", "probability")
+
+
 def gate_rows(rows: DataFrame, condition, least: int = 64) -> DataFrame | None:
-    """Training rows of a gate: those where the condition holds, None if they are too few."""
+    """Training rows of a gate: those where the condition holds, None if they are too few or of one class."""
     chosen = rows.where(condition)
-    return chosen if chosen.limit(least).count() >= least else None
+    n, classes = chosen.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
+    return chosen if n >= least and classes > 1 else None
 
 
 def with_context(rows: DataFrame, half: int) -> DataFrame:
@@ -59,18 +73,75 @@ def pooled(rows: DataFrame) -> DataFrame:
     return flat.groupBy("clip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("features"))
 
 
-def multilabel(features: DataFrame, labels: DataFrame) -> DataFrame:
-    """(clip_id, label, p): one class-weighted logistic regression for each label (a small dimension)."""
-    out = None
-    for (name,) in sorted(labels.select("label").distinct().collect()):
-        mine = labels.where(F.col("label") == name).select("clip_id", F.lit(1).alias("hot")).distinct()
-        rows = features.join(mine, "clip_id", "left").select("clip_id", "features", F.coalesce("hot", F.lit(0)).alias("label"))
-        scored = predict(logistic(rows), rows).select("clip_id", F.lit(name).alias("label"), "p")
-        out = scored if out is None else out.unionByName(scored)
-    return out
+def _summed(rows: DataFrame, columns: list[str], parts) -> np.ndarray:
+    """The sum over all rows of the vector that ``parts`` makes of a frame: added up in each task, then across them."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for frame in frames:
+            if len(frame):
+                more = parts(frame)
+                total = more if total is None else total + more
+        if total is not None:
+            yield pd.DataFrame({"i": np.arange(len(total)), "x": total})
+
+    sums = rows.select(*columns).mapInPandas(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toPandas()
+    return sums["x"].to_numpy()
+
+
+def multilabel(features: DataFrame, labels: DataFrame, rounds: int = 8, ridge: float = 1e-3) -> DataFrame:
+    """(clip_id, label, p): standardised, class-weighted logistic regressions of all labels (a small dimension) in
+    one fit. Each Newton round is one pass over the clips for all labels together."""
+    names = sorted(r["label"] for r in labels.select("label").distinct().collect())
+    hot = labels.groupBy("clip_id").agg(F.collect_set("label").alias("has"))
+    y = F.array(*[F.coalesce(F.array_contains("has", name), F.lit(False)).cast("double") for name in names])
+    rows = stored(features.join(hot, "clip_id", "left").select("clip_id", "features", y.alias("y")), "multilabel")
+    first = rows.select(F.size("features")).first()
+    if first is None or not names:
+        return rows.select("clip_id", F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("p")).where("false")
+    d, m = first[0], len(names)
+    read = lambda frame: (np.stack(frame["features"]), np.stack(frame["y"]))
+
+    def moments(frame: pd.DataFrame) -> np.ndarray:
+        x, hot = read(frame)
+        return np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0), hot.sum(axis=0)])
+
+    sums = _summed(rows, ["features", "y"], moments)
+    n, mean, positive = sums[0], sums[1 : d + 1] / sums[0], sums[2 * d + 1 :]
+    scale = np.sqrt(np.maximum(sums[d + 1 : 2 * d + 1] / n - mean * mean, 0))
+    scale[scale <= 1e-12] = 1.0
+    ratio = np.where((positive > 0) & (positive < n), (n - positive) / np.maximum(positive, 1), 1.0)
+
+    def ready(x: np.ndarray) -> np.ndarray:
+        return np.column_stack([(x - mean) / scale, np.ones(len(x))])
+
+    w = np.zeros((m, d + 1))
+    for _ in range(rounds):
+
+        def slopes(frame: pd.DataFrame, w=w) -> np.ndarray:
+            x, hot = read(frame)
+            x = ready(x)
+            p = 1 / (1 + np.exp(-np.clip(x @ w.T, -30, 30)))
+            weight = np.where(hot > 0, ratio, 1.0)
+            curve = np.einsum("nl,ni,nj->lij", weight * p * (1 - p), x, x)
+            return np.concatenate([((weight * (hot - p)).T @ x).ravel(), curve.ravel()])
+
+        sums = _summed(rows, ["features", "y"], slopes)
+        gradient, curve = sums[: m * (d + 1)].reshape(m, d + 1) / n, sums[m * (d + 1) :].reshape(m, d + 1, d + 1) / n
+        penalty = np.diag([ridge] * d + [1e-9])
+        w = w + np.stack([np.linalg.solve(curve[i] + penalty + 1e-9 * np.eye(d + 1), gradient[i] - penalty @ w[i]) for i in range(m)])
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                p = 1 / (1 + np.exp(-np.clip(ready(np.stack(frame["features"])) @ w.T, -30, 30)))
+                yield pd.DataFrame({"clip_id": frame["clip_id"].repeat(m), "label": np.tile(names, len(frame)), "p": p.ravel()})
+
+    kind = rows.schema["clip_id"].dataType.simpleString()
+    return rows.select("clip_id", "features").mapInPandas(score, f"clip_id {kind}, label string, p double")
 
 
 def regress(rows: DataFrame) -> DataFrame:
     """Adds ``prediction`` of a linear regression on a real label."""
-    vectors = _vectors(rows)
+    vectors = _vectors(stored(rows, "fit"))
     return LinearRegression(featuresCol="raw", maxIter=30, regParam=1e-3).fit(vectors).transform(vectors).drop("raw")

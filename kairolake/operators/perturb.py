@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import hash_uniform
-from .series import by_clip
+from .series import by_clip, minmax
 
 
 def gaussian(*key: Column | str) -> Column:
@@ -49,6 +49,42 @@ def perturb_scores(scores: DataFrame, shift: int, snr_db: float, silence_ratio:
     return rows.withColumn("score", F.when(kept, F.greatest(F.lit(0.0), F.least(F.lit(1.0), noisy))).otherwise(0.0))
 
 
+def degraded_picks(scores: DataFrame, cells: DataFrame, k: int, n: int, seed: int) -> DataFrame:
+    """(shift, snr, silence, clip_id, picks, truth) of ``scores(clip_id, t, score, gt)``: the k best seconds of every
+    clip with events under every cell of ``cells(shift int, snr double, silence double)``, as ``perturb_scores`` and
+    the ranking give them cell by cell.
+
+    Clips are gathered once, each into one row of its seconds in order with their noise and mask; the cells, a small
+    dimension, multiply these rows, and everything else happens inside a row."""
+    second = F.struct("t", "score", gaussian(str(seed), F.col("clip_id"), F.col("t")).alias("noise"), hash_uniform(str(seed), "mask", F.col("clip_id"), F.col("t")).alias("mask"))
+    truth = F.sort_array(F.collect_set(F.when((F.col("gt") != 0) & (F.col("t") < n), F.col("t"))))
+    clips = minmax(scores).groupBy("clip_id").agg(F.array_sort(F.collect_list(second)).alias("s"), truth.alias("truth")).where(F.size("truth") > 0)
+    grid = clips.crossJoin(F.broadcast(cells))
+    moved = F.transform("s", lambda x, i: F.struct(x["t"].alias("t"), F.coalesce(F.when(i - F.col("shift") >= 0, F.get("s", i - F.col("shift"))["score"]), F.lit(0.0)).alias("v"), x["noise"].alias("noise"), x["mask"].alias("mask")))
+    power = F.aggregate("m", F.lit(0.0), lambda a, x: a + x["v"] * x["v"]) / F.size("m")
+    grid = grid.withColumn("m", moved).withColumn("level", F.sqrt(power / F.pow(F.lit(10.0), F.col("snr") / 10)))
+    value = lambda x: F.when(x["mask"] >= F.col("silence"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x["v"] + F.col("level") * x["noise"]))).otherwise(0.0)
+    picks = F.transform(F.slice(F.array_sort(F.transform("m", lambda x: F.struct((-value(x)).alias("v"), x["t"].alias("t")))), 1, k), lambda x: x["t"])
+    return grid.select("shift", "snr", "silence", "clip_id", picks.alias("picks"), "truth")
+
+
+def recall_grid(scores: DataFrame, cells: DataFrame, k: int, deltas: list[int], n: int, seed: int) -> DataFrame:
+    """(shift, snr, silence, delta, clips, recall) over the cells: the mean share of a clip's event seconds that lie
+    within delta of a pick."""
+    grid = degraded_picks(scores, cells, k, n, seed)
+    found = lambda d: F.aggregate("truth", F.lit(0.0), lambda a, t: a + F.exists("picks", lambda u: F.abs(u - t) <= d).cast("double")) / F.size("truth")
+    rows = F.inline(F.array(*[F.struct(F.lit(d).alias("delta"), found(d).alias("r")) for d in deltas]))
+    return grid.select("shift", "snr", "silence", rows).groupBy("shift", "snr", "silence", "delta").agg(F.count(F.lit(1)).alias("clips"), F.avg("r").alias("recall"))
+
+
+def degraded_shares(scores: DataFrame, cells: DataFrame, k: int, n: int, seed: int) -> DataFrame:
+    """(shift, snr, silence, anchored, uniform): over clips with events, the share of the picks and of all n seconds
+    that are events."""
+    grid = degraded_picks(scores, cells, k, n, seed)
+    hit = F.size(F.array_intersect("picks", "truth")) / F.size("picks")
+    return grid.groupBy("shift", "snr", "silence").agg(F.avg(hit).alias("anchored"), F.avg(F.size("truth") / n).alias("uniform"))
+
+
 def forced_uniform(clips: DataFrame, alpha: float, salt: str) -> DataFrame:
     """(clip_id, forced): which clips are made to use the uniform plan."""
     return clips.select("clip_id", (hash_uniform(F.col("clip_id"), salt) < alpha).alias("forced"))

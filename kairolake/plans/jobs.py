@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import stored
 from ..operators import anchors as K
 from ..operators import budget as B
 from ..operators import confidence as C
@@ -72,7 +73,7 @@ def equal_budget_accuracy(plans: DataFrame, features: DataFrame, truth: DataFram
     ``features(clip_id, t, resolution, features)``; ``train``: condition on clip_id for the fitting clips. Heads
     differ by seed through a hash-chosen nine tenths of the fitting clips."""
     rows = plans.join(features, ["clip_id", "t", "resolution"]).join(truth.select("clip_id", "t", F.col("gt").alias("label")), ["clip_id", "t"])
-    out = None
+    rows, out = stored(rows, "heads"), None
     for baseline in ("uniform", "random", "anchored", "oracle"):
         mine = rows.where(F.col("baseline") == baseline).select("clip_id", "t", "features", "label")
         for seed in range(seeds):
@@ -112,11 +113,21 @@ def config_sweep(scores: DataFrame, truth: DataFrame, configs: DataFrame, n: int
     return A.paired_t(by, ["config"], "x", "y")
 
 
-def degradation(scores: DataFrame, truth: DataFrame, grid: list[tuple[int, float, float]], k: int, deltas: list[int], n: int, seed: int) -> DataFrame:
-    """(shift, snr, silence, delta, clips, recall) over a perturbation grid."""
-    base, out = T.minmax(scores.select("clip_id", "t", "score")), None
-    for shift, snr, silence in grid:
-        rows = A.recall(truth.where("gt <> 0"), K.top_k(D.perturb_scores(base, shift, snr, silence, seed), k), deltas, n)
-        rows = rows.select(F.lit(shift).alias("shift"), F.lit(snr).alias("snr"), F.lit(silence).alias("silence"), "delta", "clips", "recall")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def degradation(scores: DataFrame, cells: DataFrame, k: int, deltas: list[int], n: int, seed: int) -> DataFrame:
+    """(shift, snr, silence, delta, clips, recall) over a perturbation grid, in one pass over the clips."""
+    return D.recall_grid(scores, cells, k, deltas, n, seed)
+
+
+def promoted_on_test(scores: DataFrame, truth: DataFrame, configs: DataFrame, n: int, test) -> DataFrame:
+    """(config, val_delta, test_delta, test_n): the configuration that the sweep on the validation clips picks, on the
+    clips where ``test`` holds."""
+    pick = A.pick_config(config_sweep(scores.where(~test), truth.where(~test), configs, n).select("config", "delta", "p"), top=1).select("config", F.col("delta").alias("val_delta"))
+    again = config_sweep(scores.where(test), truth.where(test), configs, n).select("config", F.col("delta").alias("test_delta"), F.col("n").alias("test_n"))
+    return again.join(F.broadcast(pick), "config")
+
+
+def paired_by_clip(results: DataFrame) -> DataFrame:
+    """(a, b, n, delta, t, p): every two baselines of (seed, baseline, clip_id, acc), paired by seed and clip."""
+    by = results.select("seed", "clip_id", F.col("baseline").alias("a"), F.col("acc").alias("x"))
+    pairs = by.join(by.select("seed", "clip_id", F.col("a").alias("b"), F.col("x").alias("y")), ["seed", "clip_id"]).where("a < b")
+    return A.paired_t(pairs, ["a", "b"], "y", "x")

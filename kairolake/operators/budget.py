@@ -172,6 +172,13 @@ def budget_mode(low: int, base: int, high: int) -> str:
     return "exact" if (tokens(high) - tokens(low)) % (tokens(base) - tokens(low)) == 0 else "band"
 
 
+def budget_mode_of(low: Column, base: Column, high: Column, patch: int = 16) -> Column:
+    """The same for resolutions that come from a table; null where they don't rise or the patch doesn't divide them."""
+    side = lambda r: (r / patch).cast("long") * (r / patch).cast("long")
+    fine = (low < base) & (base < high) & (low % patch == 0) & (base % patch == 0) & (high % patch == 0)
+    return F.when(fine, F.when((side(high) - side(low)) % (side(base) - side(low)) == 0, "exact").otherwise("band"))
+
+
 def features_by_plan(plans: DataFrame, features: DataFrame) -> DataFrame:
     """Each second's embedding at its planned resolution: an equi-join on three keys."""
     return plans.join(features, ["clip_id", "t", "resolution"])
@@ -215,14 +222,19 @@ def allocate_relaxed(windows: DataFrame, configs: list[tuple[str, float, float]]
     option = F.inline(F.array(*[F.struct(F.lit(n).cast("string").alias("cfg"), F.lit(float(c)).alias("rate"), F.lit(float(u)).alias("prior")) for n, c, u in opts]))
     rows = windows.withColumn("budget", budget).select("plan_id", "window_id", "budget", "duration", "weight", option)
     rows = rows.select("plan_id", "window_id", "budget", "cfg", (F.col("rate") * F.col("duration")).alias("cost"), (F.col("weight") * F.col("prior")).alias("utility"))
-    a, b = rows.alias("a"), rows.alias("b")
-    slope = F.try_divide(F.col("a.utility") - F.col("b.utility"), F.col("a.cost") - F.col("b.cost"))
-    lam = a.join(b, ["plan_id", "window_id"]).where("a.cost > b.cost").select("plan_id", F.greatest(slope, F.lit(0.0)).alias("lam"))
-    lam = lam.select("plan_id", F.round(F.col("lam") + 1e-9, 9).alias("lam")).unionAll(windows.select("plan_id", F.lit(0.0).alias("lam"))).distinct()
-    value = F.round(F.col("utility") - F.col("lam") * F.col("cost"), 12)
-    choice = rows.join(lam, "plan_id").groupBy("plan_id", "lam", "window_id").agg(F.max_by(F.struct("cfg", "cost", "utility", "budget"), F.struct(value, -F.col("cost"))).alias("c"))
-    fits = choice.groupBy("plan_id", "lam").agg(F.sum("c.cost").alias("total"), F.max("c.budget").alias("budget")).where("total <= budget + 1e-9").groupBy("plan_id").agg(F.min("lam").alias("lam"), F.min_by("total", "lam").alias("total"))
-    base = choice.join(fits, ["plan_id", "lam"]).select("plan_id", "window_id", "c.*", "total")
+    # each window's own multipliers: 0 and the slopes between its options; between them its choice stays the same
+    some = F.collect_list(F.struct("cfg", "cost", "utility"))
+    each = rows.groupBy("plan_id", "window_id", "budget").agg(some.alias("opts"))
+    slopes = F.flatten(F.transform("opts", lambda x: F.transform(F.filter("opts", lambda y: y["cost"] < x["cost"]), lambda y: F.round(F.greatest((x["utility"] - y["utility"]) / (x["cost"] - y["cost"]), F.lit(0.0)) + 1e-9, 9))))
+    each = each.withColumn("lams", F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0)), slopes))))
+    value = lambda o, lam: F.struct(F.round(o["utility"] - lam * o["cost"], 12).alias("v"), (-o["cost"]).alias("c"), o.alias("o"))
+    best = lambda lam: F.array_max(F.transform("opts", lambda o: value(o, lam)))["o"]
+    steps = each.withColumn("step", F.transform("lams", lambda lam: F.struct(lam.alias("lam"), best(lam)["cost"].alias("cost"))))
+    steps = steps.select("plan_id", "budget", F.inline(F.transform("step", lambda x, i: F.struct(x["lam"].alias("lam"), (x["cost"] - F.coalesce(F.when(i > 0, F.get("step", i - 1)["cost"]), F.lit(0.0))).alias("change")))))
+    # the plan's cost at a multiplier is the sum of all changes up to it: one prefix sum a plan
+    upto = Window.partitionBy("plan_id").orderBy("lam").rangeBetween(Window.unboundedPreceding, 0)
+    fits = steps.withColumn("total", F.sum("change").over(upto)).where("total <= budget + 1e-9").groupBy("plan_id").agg(F.min("lam").alias("lam"), F.min_by("total", "lam").alias("total"))
+    base = each.join(fits, "plan_id").select("plan_id", "window_id", "budget", "total", best(F.col("lam")).alias("o")).select("plan_id", "window_id", "o.*", "budget", "total")
     up = base.join(rows.select("plan_id", "window_id", F.col("cfg").alias("cfg2"), F.col("cost").alias("cost2"), F.col("utility").alias("utility2")), ["plan_id", "window_id"]).where("cost2 > cost and utility2 > utility")
     up = up.withColumn("gain", F.try_divide(F.col("utility2") - F.col("utility"), F.col("cost2") - F.col("cost")))
     ladder = up.groupBy("plan_id").agg(F.first(F.col("budget") - F.col("total")).alias("room"), F.array_sort(F.collect_list(F.struct((-F.round("gain", 12)).alias("g"), "window_id", (F.col("cost2") - F.col("cost")).alias("more"), "cfg2", "cost2", "utility2"))).alias("ups"))

@@ -56,15 +56,27 @@ def second_anchor_features(scores: DataFrame) -> DataFrame:
     return out.withColumns({"gap12": F.col("peak1") - F.col("peak2"), "gap23": F.col("peak2") - F.col("peak3")}).join(confidence(scores).select("clip_id", "std", "gini"), "clip_id")
 
 
-def gate_features(scores: DataFrame) -> DataFrame:
-    """Features that judge a clip's anchors as a whole: ranks from both ends, shares above levels, distance."""
-    rows = minmax(scores, out="x").withColumn("up", F.row_number().over(by_clip().orderBy("score", "t"))).withColumn("down", F.row_number().over(by_clip().orderBy(F.desc("score"), "t"))).withColumn("med", F.median("x").over(Window.partitionBy("clip_id")))
-    at = lambda by, k: F.max(F.when(F.col(by) == k, F.col("x")))
-    t = lambda k: F.max(F.when(F.col("down") == k, F.col("t")))
-    return rows.groupBy("clip_id").agg(
-        *[at("down", k).alias(f"top{k}") for k in (1, 2, 3)],
-        *[at("up", k).alias(f"bottom{k}") for k in (1, 2, 3)],
-        F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.max("med").alias("median"),
-        F.avg((F.col("x") > F.col("med")).cast("double")).alias("above_median"), F.avg((F.col("x") > 0.8).cast("double")).alias("above_08"),
-        F.abs(t(1) - t(2)).alias("distance"),
-    )
+GATE_FEATURES = ("top1", "top2", "top3", "gap12", "gap13", "top1_med", "top1_mean", "std", "gini", "above_median", "above_08", "near1", "near2", "distance", "bottom1", "bottom12_gap")
+
+
+def gate_features(scores: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """(clip_id, GATE_FEATURES): sixteen scale-free features that judge a clip's first anchor.
+
+    The first anchor is that of ``anchors(clip_id, t)``, one row a clip, where it names a second of the clip, else
+    the best second; ``near`` are means over a second and its neighbours, ``distance`` to the second-best second is
+    divided by the clip's length less one. What a short clip lacks is 0."""
+    time = by_clip().orderBy("t")
+    rows = minmax(scores, out="x").withColumn("near", F.avg("x").over(time.rowsBetween(-1, 1))).withColumn("down", F.row_number().over(by_clip().orderBy(F.desc("score"), "t")))
+    named = anchors.select("clip_id", F.col("t").alias("named")) if anchors is not None else scores.select("clip_id", F.lit(None).cast("int").alias("named")).distinct()
+    rows = rows.join(named, "clip_id", "left").withColumn("med", F.median("x").over(Window.partitionBy("clip_id"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("clip_id")))
+    at = lambda c, k: F.coalesce(F.max(F.when(F.col("down") == k, F.col(c))), F.lit(0.0))
+    up = lambda k: F.max(F.when(F.col("down") == F.col("n") - k + 1, F.col("x")))
+    first = lambda c: F.coalesce(F.max(F.when(F.col("t") == F.col("named"), F.col(c))), F.max(F.when(F.col("down") == 1, F.col(c))))
+    second = lambda c: F.coalesce(F.max(F.when(F.col("down") == 2, F.col(c))), first(c))
+    by = rows.groupBy("clip_id").agg(
+        first("x").alias("top1"), at("x", 2).alias("top2"), at("x", 3).alias("top3"), F.max("med").alias("med"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"),
+        F.avg((F.col("x") > F.col("med")).cast("double")).alias("above_median"), F.avg((F.col("x") >= 0.8).cast("double")).alias("above_08"),
+        first("near").alias("near1"), second("near").alias("near2"), (F.abs(first("t") - second("t")) / F.greatest(F.max("n") - 1, F.lit(1))).alias("distance"), up(1).alias("bottom1"), F.coalesce(up(2), F.lit(0.0)).alias("bottom2"),
+    ).join(confidence(minmax(scores, out="score")).select("clip_id", "gini"), "clip_id")
+    more = {"gap12": F.col("top1") - F.col("top2"), "gap13": F.col("top1") - F.col("top3"), "top1_med": F.col("top1") - F.col("med"), "top1_mean": F.col("top1") - F.col("mean"), "bottom12_gap": F.col("bottom2") - F.col("bottom1")}
+    return by.withColumns(more).select("clip_id", *GATE_FEATURES)

@@ -37,7 +37,7 @@ def dense_classes(*sides: DataFrame) -> DataFrame:
 
 def multi_hot(pairs: DataFrame) -> DataFrame:
     """(clip_id, label, hot) for every clip and label; the labels are a small dimension."""
-    grid = pairs.select("clip_id").distinct().crossJoin(F.broadcast(pairs.select("label").distinct()))
+    grid = pairs.select("clip_id").distinct().crossJoin(pairs.select("label").distinct())
     return grid.join(pairs.distinct().withColumn("hot", F.lit(1)), ["clip_id", "label"], "left").fillna(0, ["hot"])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import stored
 from .anchors import hash_uniform
 from .series import by_clip, minmax, scaffold
 
@@ -75,8 +76,8 @@ def max_volume(vectors: DataFrame, k: int, eps: float = 1e-9) -> DataFrame:
     """(clip_id, rank, t): k seconds of diverse embeddings (clip_id, t, emb); each round takes the largest residual
     of every clip at once and projects it out of the rest. Without any residual the largest norms fill up.
 
-    k aggregations and joins over the whole table; only the pivots are joined back, and a round has no more rows
-    than seconds."""
+    k aggregations and joins over the whole table; only the pivots are joined back, a round has no more rows than
+    seconds and is written before the next one, which uses it twice."""
     rows = vectors.select("clip_id", "t", F.col("emb").cast("array<double>").alias("r")).withColumn("norm0", _dot(F.col("r"), F.col("r"))).withColumn("rank", F.lit(None).cast("int"))
     for i in range(1, k + 1):
         left = F.col("rank").isNull()
@@ -86,6 +87,7 @@ def max_volume(vectors: DataFrame, k: int, eps: float = 1e-9) -> DataFrame:
         length = _dot(F.col("pivot.r"), F.col("pivot.r"))
         share = F.when(length > eps, _dot(F.col("r"), F.col("pivot.r")) / length).otherwise(0.0)
         rows = rows.withColumn("share", share).select("clip_id", "t", F.zip_with("r", F.coalesce("pivot.r", "r"), lambda x, y: x - F.col("share") * y).alias("r"), "norm0", F.when(F.col("t") == F.col("pivot.t"), F.lit(i)).otherwise(F.col("rank")).alias("rank"))
+        rows = stored(rows, f"residual-{i}") if i < k else rows
     return rows.where("rank is not null").select("clip_id", "rank", "t")
 
 
@@ -103,6 +105,7 @@ def weighted_dpp(vectors: DataFrame, k: int, beta: float = 1.0, eps: float = 1e-
         rows = rows.join(best, "clip_id", "left")
         step = (F.col("w") * F.col("p.w") * _dot(F.col("e"), F.col("p.e")) - F.coalesce(_dot(F.col("c"), F.col("p.c")), F.lit(0.0))) / F.sqrt(F.greatest("p.d", F.lit(1e-10)))
         rows = rows.withColumn("s", F.coalesce(step, F.lit(0.0))).select("clip_id", "t", "e", "relevance", "w", (F.col("d") - F.col("s") * F.col("s")).alias("d"), F.array_append("c", F.col("s")).alias("c"), F.when(F.col("t") == F.col("p.t"), F.lit(i)).otherwise(F.col("rank")).alias("rank"))
+        rows = stored(rows, f"kernel-{i}") if i < k else rows
     return rows.where("rank is not null").select("clip_id", "rank", "t")
 
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import stored
 from .anchors import hash_uniform
 from .joins import hits
 
@@ -38,19 +39,33 @@ def summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
 
 
+#: Degrees of freedom up to which the sum for Student's t is taken term by term.
+T_TERMS = 400
+
+
+def _normal_two_sided(z: Column) -> Column:
+    """P(|Z| > z), z >= 0, of the standard normal law, by the rational formula 26.2.17 of Abramowitz and Stegun
+    (error under 1.5e-7)."""
+    k = 1 / (1 + 0.2316419 * z)
+    poly = k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429))))
+    return F.least(F.lit(1.0), 2 * F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly)
+
+
 def t_two_sided(t: Column, df: Column) -> Column:
-    """Two-sided p of Student's t for whole degrees of freedom, by the finite trigonometric sum."""
+    """Two-sided p of Student's t for whole degrees of freedom, by the finite trigonometric sum; above ``T_TERMS``
+    by Wallace's transformation to the normal law, whose error is far under 1e-6 there."""
     theta = F.atan(F.abs(t) / F.sqrt(df))
     c, s = F.cos(theta), F.sin(theta)
     # odd df: 2/pi (theta + sin * sum of even products); even df: sin * sum; terms grow by (k-1)/k * cos^2
     even = df % 2 == 0
-    steps = F.when(df >= 3, F.sequence(F.when(even, F.lit(2)).otherwise(F.lit(3)), F.greatest(df - 2, F.lit(2)).cast("int"), F.lit(2)))
+    steps = F.when((df >= 3) & (df <= T_TERMS), F.sequence(F.when(even, F.lit(2)).otherwise(F.lit(3)), F.greatest(df - 2, F.lit(2)).cast("int"), F.lit(2)))
     first = F.when(even, F.lit(1.0)).otherwise(c)
     state = F.struct(first.alias("term"), first.alias("sum"))
     grow = lambda acc, k: F.struct((acc["term"] * c * c * (k - 1) / k).alias("term"), (acc["sum"] + acc["term"] * c * c * (k - 1) / k).alias("sum"))
     total = F.when(df <= 2, F.when(even, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(F.aggregate(F.filter(steps, lambda k: k <= df - 2), state, grow)["sum"])
     inside = F.when(even, s * total).otherwise(2 / math.pi * (theta + s * total))
-    return F.greatest(F.lit(0.0), 1 - inside)
+    z = (8 * df + 1) / (8 * df + 3) * F.sqrt(df * F.log1p(t * t / df))
+    return F.when(df > T_TERMS, _normal_two_sided(z)).otherwise(F.greatest(F.lit(0.0), 1 - inside))
 
 
 def paired_t(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -79,14 +94,42 @@ def bootstrap(values: DataFrame, keys: list[str], id_col: str, value: str, repli
     return values.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean")).join(ci, keys)
 
 
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str, ps: list[float], bins: int = 256) -> DataFrame:
+    """(keys, p, q): linearly interpolated quantiles, exact, without a task that holds all values of a key.
+
+    Equal values are counted first; a sketch cuts a key's values into bins of about equal counts, prefix sums over
+    the bins and inside each bin give every value its ranks."""
+    named = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
+    counted = named.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
+    edges = named.groupBy(*keys).agg(F.percentile_approx("v", F.array(*[F.lit(i / bins) for i in range(1, bins)]), 10 * bins).alias("edges"), F.count(F.lit(1)).alias("n"))
+    both = counted.join(edges, keys) if keys else counted.crossJoin(edges)
+    binned = stored(both.select(*keys, "v", "c", "n", F.size(F.filter("edges", lambda e: e <= F.col("v"))).alias("bin")), "bins")
+    base = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bases = binned.groupBy(*keys, "bin").agg(F.sum("c").alias("in_bin")).withColumn("base", F.coalesce(F.sum("in_bin").over(base), F.lit(0))).drop("in_bin")
+    inside = Window.partitionBy(*keys, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = binned.withColumn("upto", F.sum("c").over(inside)).join(bases, [*keys, "bin"]).withColumn("upto", F.col("upto") + F.col("base"))
+    asked = ranked.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps]))).withColumn("at", F.col("p") * (F.col("n") - 1))
+    holds = lambda r: (F.col("upto") - F.col("c") <= r) & (r < F.col("upto"))
+    low, high = holds(F.floor("at")), holds(F.ceil("at"))
+    found = asked.where(low | high).groupBy(*keys, "p").agg(F.max(F.when(low, F.col("v"))).alias("a"), F.max(F.when(high, F.col("v"))).alias("b"), F.first("at").alias("at"))
+    return found.select(*keys, "p", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("q"))
+
+
+def quantile_columns(rows: DataFrame, keys: list[str], value: str, ps: dict[str, float]) -> DataFrame:
+    """(keys, a column for each of ``ps``): the exact quantiles side by side."""
+    at = exact_quantiles(rows, keys, value, list(ps.values()))
+    return at.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(name) for name, p in ps.items()])
+
+
 def quantile_buckets(rows: DataFrame, value: str, quantiles: list[float]) -> DataFrame:
-    """Adds ``bucket``: low, mid_1, .., high by exact linear quantiles, edges belonging to the lower bucket."""
-    edges = rows.agg(F.percentile(value, F.array(*map(F.lit, quantiles))).alias("edges"))
+    """Adds ``bucket``: low, mid_1, .., high by exact linear quantiles, edges belonging to the lower bucket. The
+    edges are as many numbers as quantiles."""
+    found = {r["p"]: r["q"] for r in exact_quantiles(rows, [], value, quantiles).collect()}
     names = ["low", *[f"mid_{i}" for i in range(1, len(quantiles))], "high"]
     out = F.lit(names[-1])
     for i in reversed(range(len(quantiles))):
-        out = F.when(F.col(value) <= F.get("edges", F.lit(i)), names[i]).otherwise(out)
-    return rows.crossJoin(F.broadcast(edges)).withColumn("bucket", F.when(F.col(value).isNotNull(), out)).drop("edges")
+        out = F.when(F.col(value) <= found.get(float(quantiles[i]), 0.0), names[i]).otherwise(out)
+    return rows.withColumn("bucket", F.when(F.col(value).isNotNull(), out))
 
 
 def bucket_table(rows: DataFrame, bucket: str, method: str, value: str, key: str, uniform: str) -> DataFrame:
@@ -106,7 +149,7 @@ def conflicts(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def coverage_matrix(rows: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b) combinations of the seen values that are missing."""
-    grid = rows.select(a).distinct().crossJoin(F.broadcast(rows.select(b).distinct()))
+    grid = rows.select(a).distinct().crossJoin(rows.select(b).distinct())
     return grid.join(rows.select(a, b).distinct(), [a, b], "left_anti")
 
 
@@ -118,22 +161,41 @@ def answer_prior(rows: DataFrame, key: str, answer: str) -> DataFrame:
     return by.crossJoin(F.broadcast(whole)).select("answer", "n", (F.col("n") / F.col("all")).alias("share"), (F.col("answer") == F.col("best")).alias("top"))
 
 
+def prior_report(train: DataFrame, evaluated: DataFrame, methods: DataFrame) -> DataFrame:
+    """(method, acc, top_answer, prior_acc, sampling_acc, delta): each method against the prior of the answers.
+
+    ``train(answer)`` and ``evaluated(answer)`` have one row an item; ``prior_acc`` is the share of evaluated items
+    whose answer is the training rows' most common one (ties to the smaller), ``sampling_acc`` the expected accuracy
+    of drawing answers by the prior: the sum of prior times evaluated share. Answers are a small dimension."""
+    side = lambda d, n: d.groupBy("answer").agg(F.count(F.lit(1)).alias(n))
+    both = side(train, "a").join(side(evaluated, "b"), "answer", "full").fillna(0, ["a", "b"])
+    p, q = F.col("a") / F.nullif(F.col("na"), F.lit(0)), F.col("b") / F.nullif(F.col("nb"), F.lit(0))
+    whole = both.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), F.min_by("answer", F.struct(-F.col("a"), F.col("answer"))).alias("top_answer"))
+    prior = both.crossJoin(F.broadcast(whole)).agg(F.first("top_answer").alias("top_answer"), F.coalesce(F.sum(F.when(F.col("answer") == F.col("top_answer"), q)), F.lit(0.0)).alias("prior_acc"), F.coalesce(F.sum(p * q), F.lit(0.0)).alias("sampling_acc"))
+    return methods.select("method", "acc").crossJoin(F.broadcast(prior)).withColumn("delta", F.col("acc") - F.col("prior_acc"))
+
+
 def average_ranks(rows: DataFrame, value: str, out: str, keys: list[str] | None = None) -> DataFrame:
     """Ranks from 1, ties sharing their mean rank."""
     by = Window.partitionBy(*(keys or []))
     return rows.withColumn(out, F.rank().over(by.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*(keys or []), value)) - 1) / 2)
 
 
+def _corr(x: str, y: str) -> Column:
+    """Pearson's r; null without variance, where ``corr`` would raise."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlations(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """(keys, n, pearson, spearman) over pairs without nulls; null under two pairs or without variance."""
     fine = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = average_ranks(average_ranks(fine, x, "__x", keys), y, "__y", keys)
     flat = (F.stddev_pop(x) <= 1e-12) | (F.stddev_pop(y) <= 1e-12)
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when(~flat, F.corr(x, y)).alias("pearson"), F.when(~flat, F.corr("__x", "__y")).alias("spearman"))
+    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when(~flat, _corr(x, y)).alias("pearson"), F.when(~flat, _corr("__x", "__y")).alias("spearman"))
 
 
 def percentiles(rows: DataFrame, keys: list[str], value: str, ps: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
-    return rows.groupBy(*keys).agg(*[F.percentile(value, p).alias(f"p{round(p * 100)}") for p in ps])
+    return quantile_columns(rows, keys, value, {f"p{round(p * 100)}": p for p in ps})
 
 
 def histograms(rows: DataFrame, columns: list[str], value: str) -> DataFrame:
@@ -181,8 +243,27 @@ def reasons(rules: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), name) for name, rule in rules.items()]))
 
 
+def root_causes(facts: DataFrame, delta: float = 0.02, p: float = 0.05, gap: float = 0.02, fallback: float = 0.6, coverage: float = 0.2, corr: float = 0.2) -> DataFrame:
+    """(config, reasons, proven): which of eight causes explain a missing gain, in their order of priority.
+
+    ``facts(config, delta, p, oracle_gap, fallback, coverage, corr, alpha_fails, transfer)``; a fact that is null
+    gives no cause. Proven: the gain reaches its target and is significant."""
+    rules = {
+        "gain_below_target": F.col("delta") < delta,
+        "not_significant": F.col("p") >= p,
+        "oracle_gap_large": F.col("oracle_gap") > gap,
+        "fallback_frequent": F.col("fallback") > fallback,
+        "coverage_low": F.col("coverage") < coverage,
+        "alignment_weak": F.col("corr") < corr,
+        "alpha_floor_broken": F.col("alpha_fails") > 0,
+        "transfer_not_positive": F.col("transfer") <= 0,
+    }
+    return facts.select("config", reasons(rules).alias("reasons"), F.coalesce((F.col("delta") >= delta) & (F.col("p") < p), F.lit(False)).alias("proven"))
+
+
 def sizes_summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.percentile(value, 0.1).alias("p10"), F.median(value).alias("median"), F.percentile(value, 0.9).alias("p90"), F.max(value).alias("max"), F.sum(value).alias("total"))
+    whole = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.sum(value).alias("total"))
+    return whole.join(quantile_columns(rows, keys, value, {"p10": 0.1, "median": 0.5, "p90": 0.9}), keys, "left")
 
 
 def duration_audit(required: DataFrame, available: DataFrame, margin: float) -> DataFrame:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.shared import stored
 from ..operators import anchors as K
 from ..operators import stats as A
+from ..operators.perturb import degraded_shares
 from ..streaming import windows as W
-from ..views import SEG, results, seg10, seg10b
+from ..views import RESULTS, SEG, SEGB, results, seg10, seg10b
 from . import jobs as Q
-from .queries_plans import RANK
+from .queries_plans import ANCH, EXPANDED, RANK
 from .queries_series import CONF, R6
-from .queries_stats import RECALL, _best_iou, _deltas, _items
+from .queries_stats import CAUSES_SQL, DELTAS, FACTS_SQL, GRID_SQL, IOU, RECALL, SEEDS, _best_iou, _boot, _facts, _items, _seeds, boot_sql, grid_cells, t_sql
 
 
 def _plans(s, d):
@@ -33,12 +35,31 @@ def _sweep(s, d):
     return Q.config_sweep(seg10(s, d), seg10(s, d), _configs(s), 10)
 
 
-GRID = [(shift, snr, silence) for shift in (-1, 0, 1) for snr in (20.0, 0.0) for silence in (0.0, 0.3)]
+def plans_sql(low: int, base: int, high: int, r: int, name: str = "pz") -> str:
+    """CTE (baseline, clip_id, t, tokens) of the uniform, random, anchored and oracle plans; ``r`` base seconds pay
+    for one high second."""
+    tokens = lambda res: (res // 16) ** 2
+    return f"""{name}a as (select 'random' as baseline, clip_id, t, row_number() over (partition by clip_id order by ('0x' || substr(sha1('7|' || clip_id || '|' || t), 1, 12))::ubigint, t) as r from seg
+      union all select 'anchored', clip_id, t, row_number() over (partition by clip_id order by score desc, t) from seg union all select 'oracle', clip_id, t, row_number() over (partition by clip_id order by t) from seg where gt <> 0),
+    {name}h as (select b.baseline, c.clip_id, max(t) filter (where r = 1) as h1, max(t) filter (where r = 2) as h2 from (select distinct clip_id from seg) c cross join (values ('uniform'), ('random'), ('anchored'), ('oracle')) b(baseline) left join {name}a a on a.baseline = b.baseline and a.clip_id = c.clip_id group by 1, 2),
+    {name}p as (select baseline, clip_id, g.t, case when h1 is null then 0 when h2 is null then 1 else 2 end as k, least(abs(g.t - h1), coalesce(abs(g.t - h2), 99)) as near, coalesce(g.t = h1, false) or coalesce(g.t = h2, false) as is_high from {name}h cross join range(10) g(t)),
+    {name}q as (select *, row_number() over (partition by baseline, clip_id, is_high order by near, t) as place from {name}p),
+    {name} as (select baseline, clip_id, t, case when k = 0 then {tokens(base)} when is_high then {tokens(high)} when place <= 10 - {r} * k then {tokens(base)} else {tokens(low)} end as tokens from {name}q)"""
+
+
+def proxy_sql(plans: str = "pz", name: str = "pp") -> str:
+    """CTE (baseline, clip_id, acc): the share of a plan's tokens on event seconds."""
+    return f"{name} as (select baseline, clip_id, sum(case when gt <> 0 then tokens else 0 end) * 1.0::double / sum(tokens) as acc from {plans} join seg using (clip_id, t) group by 1, 2 having max(gt) <> 0)"
+
+
+PROXY = f"{SEG}, {plans_sql(160, 224, 352, 4)}, {proxy_sql()}"
+
+
 SWEEP = f"""{CONF}, cg as (select cast(c as int) as config, c % 4 + 1 as k, c * 0.05 as th from range(50) r(c)), {RANK},
 us as (select config, rk.clip_id, count(*) as used, sum(case when s.gt <> 0 then 1 else 0 end) as hit from rk join cf using (clip_id) join cg on r <= k and std >= th join seg s on s.clip_id = rk.clip_id and s.t = rk.t group by 1, 2),
 ev as (select clip_id, sum(case when gt <> 0 then 1 else 0 end) as events from seg group by 1 having sum(case when gt <> 0 then 1 else 0 end) > 0),
-pr as (select cg.config, coalesce(1.0 * hit / used, events / 10.0) - events / 10.0 as dlt from ev cross join cg left join us on us.config = cg.config and us.clip_id = ev.clip_id)
-select config, count(*) as n, round(avg(dlt), 6) as delta from pr group by 1"""
+pr as (select cg.config, ev.clip_id, coalesce(1.0 * hit / used, events / 10.0) - events / 10.0 as dlt from ev cross join cg left join us on us.config = cg.config and us.clip_id = ev.clip_id)"""
+SWEPT = "select config, count(*) as n, round(avg(dlt), 6) as delta from pr group by 1"
 
 QUERIES = {
     "q01_all_methods": (lambda s, d: Q.anchor_quality(seg10(s, d).select("clip_id", "t", "score"), seg10b(s, d), seg10(s, d), 2, [0, 1, 2], 10, 7).withColumn("recall", R6("recall")), None),
@@ -47,30 +68,103 @@ QUERIES = {
         f"with {SEG}, {RANK} {RECALL.replace('a.r <= 2', 'a.r <= 3')}",
     ),
     "q03_plan_records": (
-        lambda s, d: Q.plan_records(seg10(s, d), 2, 10, 160, 224, 352, threshold=1.0).select("clip_id", F.size("anchors").alias("n"), "fallback_used", F.size("resolutions").alias("seconds"), "tokens"),
-        f"with {SEG}, {CONF} select clip_id, case when std < 1.0 then 0 else 2 end as n, std < 1.0 as fallback_used, 10 as seconds, 1960::bigint as tokens from cf",
+        lambda s, d: Q.plan_records(seg10(s, d), 2, 10, 160, 224, 352, threshold=1.0).select("clip_id", F.array_join(F.col("anchors").cast("array<string>"), ",").alias("anchors"), "fallback_used", F.array_join(F.col("resolutions").cast("array<string>"), ",").alias("plan"), F.col("tokens").cast("long").alias("tokens")),
+        f"""with {SEG}, {CONF}, {plans_sql(160, 224, 352, 4)}, an as (select clip_id, string_agg(cast(t as varchar), ',' order by r) as anchors from pza where baseline = 'anchored' and r <= 2 group by 1),
+        pl as (select clip_id, baseline, string_agg(cast(16 * sqrt(tokens)::int as varchar), ',' order by t) as plan, cast(sum(tokens) as bigint) as tokens from pz group by 1, 2)
+        select cf.clip_id, case when std < 1.0 then '' else anchors end as anchors, std < 1.0 as fallback_used, plan, tokens from cf join an using (clip_id) join pl on pl.clip_id = cf.clip_id and pl.baseline = case when std < 1.0 then 'uniform' else 'anchored' end""",
     ),
     "q04_long_plan": (
-        lambda s, d: Q.long_plan(seg10(s, d), 2, 10, 1, 4, 7).groupBy("clip_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_anchor").cast("int")).alias("anchors")),
-        f"with {SEG} select distinct clip_id, 7::bigint as n, 2::bigint as anchors from seg",
+        lambda s, d: Q.long_plan(seg10(s, d), 2, 10, 1, 4, 7),
+        f"""with {SEG}, {ANCH}, {EXPANDED}, f as (select clip_id, t, min(p) as p from (select clip_id, t, 0 as p from ex union all select clip_id, t, 1 from seg where t % 4 = 0 union all select clip_id, t, 2 from seg) group by 1, 2),
+        c as (select clip_id, t from (select *, row_number() over (partition by clip_id order by p, t) as r from f) where r <= 7)
+        select c.clip_id, cast(row_number() over (partition by c.clip_id order by c.t) - 1 as int) as pos, cast(c.t as int) as t, an.t is not null as is_anchor from c left join an on an.clip_id = c.clip_id and an.t = c.t""",
     ),
     "q05_equal_budget": (lambda s, d: Q.equal_budget_accuracy(_plans(s, d), _features(s, d), seg10(s, d), 2, F.col("clip_id") % 2 == 0).groupBy("seed", "baseline").agg(F.count(F.lit(1)).alias("n"), F.avg("acc").alias("acc")), None),
-    "q06_config_sweep": (lambda s, d: _sweep(s, d).select("config", "n", R6("delta").alias("delta")), f"with {SEG}, {SWEEP}"),
-    "q06_promoted": (lambda s, d: A.pick_config(_sweep(s, d).select("config", "delta", "p")), None),
-    "q07_oracle_ceiling": (lambda s, d: Q.plan_proxy(_plans(s, d), seg10(s, d)).where("baseline in ('uniform', 'oracle')").groupBy("baseline").agg(F.count(F.lit(1)).alias("n"), R6(F.avg("acc")).alias("acc")), None),
-    "q08_pareto": (lambda s, d: A.pareto(_triads(s, d), "tokens", "acc"), None),
-    "q09_oracle_gap": (lambda s, d: Q.plan_proxy(_plans(s, d), seg10(s, d)).groupBy("clip_id").agg((F.max(F.when(F.col("baseline") == "oracle", F.col("acc"))) - F.max(F.when(F.col("baseline") == "anchored", F.col("acc")))).alias("gap")).agg(F.count(F.lit(1)).alias("n"), R6(F.avg("gap")).alias("gap")), None),
-    "q10_gate_sweep": (lambda s, d: _sweep(s, d).agg(F.max_by("config", F.struct("delta", -F.col("p"), -F.col("config"))).alias("best"), F.max("delta").alias("delta")), None),
-    "q11_degradation": (lambda s, d: Q.degradation(seg10(s, d), seg10(s, d), GRID, 2, [0, 1, 2], 10, 7), None),
+    "q05_pairs": (lambda s, d: Q.paired_by_clip(stored(Q.equal_budget_accuracy(_plans(s, d), _features(s, d), seg10(s, d), 2, F.col("clip_id") % 2 == 0), "accuracy")), None),
+    "q06_config_sweep": (lambda s, d: _sweep(s, d).select("config", "n", R6("delta").alias("delta")), f"with {SEG}, {SWEEP} {SWEPT}"),
+    "q06_promoted": (
+        lambda s, d: A.pick_config(_sweep(s, d).select("config", "delta", "p")).select("config", R6("delta").alias("delta"), R6("p").alias("p"), "pick"),
+        f"""with {SEG}, {SWEEP}, {t_sql('pr', 'config', 'dlt')} select config, round(delta, 6) as delta, round(p, 6) as p, cast(r as int) as pick
+        from (select *, row_number() over (order by case when delta > 0 and p < 0.05 then 0 when delta > 0 then 1 else 2 end, delta desc, p, config) as r from tt) where r <= 3""",
+    ),
+    "q06_reproduced": (
+        lambda s, d: Q.promoted_on_test(seg10(s, d), seg10(s, d), _configs(s), 10, F.col("clip_id") % 2 == 1).select("config", R6("val_delta").alias("val_delta"), R6("test_delta").alias("test_delta"), "test_n"),
+        f"""with {SEG}, {SWEEP}, va as (select * from pr where clip_id % 2 = 0), {t_sql('va', 'config', 'dlt')},
+        pk as (select config, delta from tt order by case when delta > 0 and p < 0.05 then 0 when delta > 0 then 1 else 2 end, delta desc, p, config limit 1)
+        select pr.config, round(max(pk.delta), 6) as val_delta, round(avg(dlt), 6) as test_delta, count(*) as test_n from pr join pk on pk.config = pr.config where clip_id % 2 = 1 group by 1""",
+    ),
+    "q07_oracle_ceiling": (
+        lambda s, d: Q.plan_proxy(_plans(s, d), seg10(s, d)).where("baseline in ('uniform', 'oracle')").groupBy("baseline").agg(F.count(F.lit(1)).alias("n"), R6(F.avg("acc")).alias("acc")),
+        f"with {PROXY} select baseline, count(*) as n, round(avg(acc), 6) as acc from pp where baseline in ('uniform', 'oracle') group by 1",
+    ),
+    "q08_pareto": (
+        lambda s, d: A.pareto(_triads(s, d), "tokens", "acc"),
+        f"""with {SEG}, {plans_sql(160, 224, 352, 4)}, {proxy_sql()}, {plans_sql(112, 224, 448, 5, 'qz')}, {proxy_sql('qz', 'qq')},
+        po as (select '160-224-352/' || baseline as triad, (select avg(tokens) from pz where pz.baseline = pp.baseline) as tokens, round(avg(acc), 6) as acc from pp where baseline in ('anchored', 'uniform') group by baseline
+          union all select '112-224-448/' || baseline, (select avg(tokens) from qz where qz.baseline = qq.baseline), round(avg(acc), 6) from qq where baseline in ('anchored', 'uniform') group by baseline)
+        select * from po a where not exists (select 1 from po b where (b.tokens < a.tokens or (b.tokens = a.tokens and b.acc > a.acc)) and b.acc >= a.acc)""",
+    ),
+    "q09_oracle_gap": (
+        lambda s, d: Q.plan_proxy(_plans(s, d), seg10(s, d)).groupBy("clip_id").agg((F.max(F.when(F.col("baseline") == "oracle", F.col("acc"))) - F.max(F.when(F.col("baseline") == "anchored", F.col("acc")))).alias("gap")).agg(F.count(F.lit(1)).alias("n"), R6(F.avg("gap")).alias("gap")),
+        f"with {PROXY}, g as (select clip_id, max(acc) filter (where baseline = 'oracle') - max(acc) filter (where baseline = 'anchored') as gap from pp group by 1) select count(*) as n, round(avg(gap), 6) as gap from g",
+    ),
+    "q10_gate_sweep": (
+        lambda s, d: _sweep(s, d).select("config", R6("delta").alias("delta"), R6("p").alias("p")).agg(F.max_by("config", F.struct("delta", -F.col("p"), -F.col("config"))).alias("best"), F.max("delta").alias("delta")),
+        f"with {SEG}, {SWEEP}, {t_sql('pr', 'config', 'dlt')} select config as best, round(delta, 6) as delta from tt order by round(delta, 6) desc, round(p, 6), config limit 1",
+    ),
+    "q11_degradation": (
+        lambda s, d: Q.degradation(seg10(s, d), grid_cells(s), 2, [0, 1, 2], 10, 7).withColumn("recall", R6("recall")),
+        f"with {SEG}, {GRID_SQL} select shift, snr, silence, delta, count(*) as clips, round(avg(r), 6) as recall from gr group by 1, 2, 3, 4",
+    ),
+    "q11_alpha_floor": (
+        lambda s, d: A.alpha_floor(_degraded_shares(s, d), 0.95).select("shift", "snr", "silence", R6("anchored").alias("anchored"), R6("uniform").alias("uniform"), R6("margin").alias("margin"), "ok"),
+        f"""with {SEG}, {GRID_SQL}, z as (select shift, snr, silence, clip_id, avg(case when gt <> 0 then 1.0 else 0.0 end) as y from dg join seg using (clip_id, t) where dg.r <= 2 group by 1, 2, 3, 4), e as (select clip_id, sum(case when gt <> 0 then 1 else 0 end) / 10.0::double as u from seg group by 1 having max(gt) <> 0),
+        x as (select shift, snr, silence, avg(y) as a, avg(u) as u from z join e using (clip_id) group by 1, 2, 3) select shift, snr, silence, round(a, 6) as anchored, round(u, 6) as uniform, round(a - 0.95 * u, 6) as margin, a - 0.95 * u >= 0 as ok from x""",
+    ),
     "q12_evidence_alignment": (
-        lambda s, d: A.correlations(A.coverage(_best_iou(s, d), [0.1, 0.3]).join(Q.plan_proxy(_plans(s, d), seg10(s, d)).where("baseline = 'anchored'").select("clip_id", "acc"), "clip_id"), ["tau"], "coverage", "acc"),
-        None,
+        lambda s, d: A.correlations(A.coverage(_best_iou(s, d), [0.1, 0.3]).join(Q.plan_proxy(_plans(s, d), seg10(s, d)).where("baseline = 'anchored'").select("clip_id", "acc"), "clip_id"), ["tau"], "coverage", "acc").select("tau", "n", R6("pearson").alias("pearson"), R6("spearman").alias("spearman")),
+        f"""with {PROXY}, {RANK}, {IOU}, cv as (select bi.clip_id, v.tau::double as tau, avg(case when round(iou, 9) >= v.tau then 1.0 else 0.0 end) as x from bi cross join (values (0.1), (0.3)) v(tau) group by 1, 2),
+        j as (select tau, x, acc as y from cv join pp on pp.clip_id = cv.clip_id and baseline = 'anchored'), k as (select *, rank() over (partition by tau order by x) + (count(*) over (partition by tau, x) - 1) / 2.0 as rx, rank() over (partition by tau order by y) + (count(*) over (partition by tau, y) - 1) / 2.0 as ry from j)
+        select tau, count(*) as n, case when stddev_pop(x) > 1e-12 and stddev_pop(y) > 1e-12 then round(corr(x, y), 6) end as pearson, case when stddev_pop(x) > 1e-12 and stddev_pop(y) > 1e-12 then round(corr(rx, ry), 6) end as spearman from k group by 1""",
+    ),
+    "q12_best_worst": (
+        lambda s, d: K.extremes(A.coverage(_best_iou(s, d), [0.3]).select("clip_id", R6("coverage").alias("coverage")), "coverage", "clip_id", 10),
+        f"""with {SEG}, {RANK}, {IOU}, c as (select clip_id, round(avg(case when round(iou, 9) >= 0.3 then 1.0 else 0.0 end), 6) as coverage from bi group by 1)
+        select * from (select clip_id, coverage, 'best' as "end" from c order by coverage desc, clip_id limit 10) union all select * from (select clip_id, coverage, 'worst' from c order by coverage, clip_id limit 10)""",
     ),
     "q13_diagnosis": (lambda s, d: A.histograms(K.select_anchors(seg10(s, d), 2, 10, threshold=1.0).select(F.size("anchors").alias("anchors"), F.coalesce("fallback_reason", F.lit("none")).alias("reason"), "conf_value"), ["anchors", "reason"], "conf_value").withColumn("mean", R6("mean")),
         f"with {SEG}, {CONF} select 'anchors' as dim, case when std < 1.0 then '0' else '2' end as bin, count(*) as n, round(avg(std), 6) as mean from cf group by 2 union all select 'reason', case when std < 1.0 then 'conf_below_threshold' else 'none' end, count(*), round(avg(std), 6) from cf group by 2"),
-    "q14_root_cause": (lambda s, d: _deltas(s, d).select("config", F.concat_ws(",", A.reasons({"no_gain": F.col("delta") < 0.001, "noisy": F.col("p") >= 0.01})).alias("reasons")), None),
-    "q15_q16_qa_report": (lambda s, d: A.bucket_table(_items(s, d), "bucket", "method", "correct", "item_id", "5-LOW"), None),
-    "q17_paired_confirmation": (lambda s, d: Q.paired_report(Q.plan_proxy(_plans(s, d), seg10(s, d)), "anchored", "uniform"), None),
+    "q13_percentiles": (
+        lambda s, d: A.percentiles(_clip_deltas(s, d), ["all"], "delta").select("all", *[R6(c).alias(c) for c in ("p10", "p50", "p90")]),
+        f"with {PROXY}, dl as (select clip_id, max(acc) filter (where baseline = 'anchored') - max(acc) filter (where baseline = 'uniform') as delta from pp group by 1) select 'all' as \"all\", round(quantile_cont(delta, 0.1), 6) as p10, round(quantile_cont(delta, 0.5), 6) as p50, round(quantile_cont(delta, 0.9), 6) as p90 from dl",
+    ),
+    "q13_extremes": (
+        lambda s, d: K.extremes(_clip_deltas(s, d).select("clip_id", R6("delta").alias("delta")), "delta", "clip_id", 20),
+        f"""with {PROXY}, dl as (select clip_id, round(max(acc) filter (where baseline = 'anchored') - max(acc) filter (where baseline = 'uniform'), 6) as delta from pp group by 1)
+        select * from (select clip_id, delta, 'best' as "end" from dl order by delta desc, clip_id limit 20) union all select * from (select clip_id, delta, 'worst' from dl order by delta, clip_id limit 20)""",
+    ),
+    "q14_root_cause": (
+        lambda s, d: A.root_causes(_facts(s, d), delta=0.0, p=0.5, gap=0.01, fallback=0.3).select("config", F.size("reasons").alias("causes"), F.element_at("reasons", 1).alias("first"), "proven"),
+        f"""with {SEG}, {SEGB}, {CONF}, {RANK}, {IOU}, {RESULTS}, {SEEDS}, {DELTAS}, {t_sql('dd', 'config', 'd')}, {FACTS_SQL}, ca as ({CAUSES_SQL.replace('delta < 0.02', 'delta < 0.0').replace('p >= 0.05', 'p >= 0.5').replace('oracle_gap > 0.02', 'oracle_gap > 0.01').replace('fallback > 0.6', 'fallback > 0.3').replace('delta >= 0.02 and p < 0.05', 'delta >= 0.0 and p < 0.5')})
+        select config, case when reasons = '' then 0 else cast(len(string_split(reasons, ',')) as int) end as causes, nullif(split_part(reasons, ',', 1), '') as first, proven from ca""",
+    ),
+    "q15_q16_qa_report": (
+        lambda s, d: A.bucket_table(_items(s, d), "bucket", "method", "correct", "item_id", "5-LOW").select("bucket", "method", "n_items", "n_paired", R6("acc").alias("acc"), R6("delta").alias("delta")),
+        f"""with {RESULTS}, it as (select item_id, item_id % 4 as bucket, method, max(correct) as correct from res group by 1, 2, 3), ni as (select bucket, count(distinct item_id) as n_items from it group by 1)
+        select a.bucket, a.method, n_items, count(*) as n_paired, round(avg(a.correct), 6) as acc, round(avg(a.correct - b.correct), 6) as delta from it a join it b on b.item_id = a.item_id and b.method = '5-LOW' join ni on ni.bucket = a.bucket where a.method <> '5-LOW' group by 1, 2, 3""",
+    ),
+    "q16_multi_seed": (
+        lambda s, d: A.mean_std(_seeds(s, d), ["method"], "acc").join(_boot(A.bootstrap(_seeds(s, d), ["method"], "seed", "acc"), ["method"]).select("method", "low", "high"), "method").select("method", "n", R6("mean").alias("mean"), R6("std").alias("std"), "low", "high"),
+        f"with {RESULTS}, {SEEDS}, {boot_sql('sd', 'method', 'seed', 'acc')}, x as (select method, coalesce(stddev_samp(acc), 0) as std from sd group by 1) select method, n, round(mean, 6) as mean, round(std, 6) as std, round(low, 6) as low, round(high, 6) as high from bo join x using (method)",
+    ),
+    "q16_paired_deltas": (
+        lambda s, d: _boot(A.bootstrap(_seed_deltas(s, d), ["method"], "seed", "delta"), ["method"]),
+        f"with {RESULTS}, {SEEDS}, dd as (select a.method, a.seed, a.acc - b.acc as d from sd a join sd b on b.seed = a.seed and b.method = '5-LOW' where a.method <> '5-LOW'), {boot_sql('dd', 'method', 'seed', 'd')} select method, n, round(mean, 6) as mean, round(low, 6) as low, round(high, 6) as high, round(p, 6) as p from bo",
+    ),
+    "q17_paired_confirmation": (
+        lambda s, d: Q.paired_report(Q.plan_proxy(_plans(s, d), seg10(s, d)), "anchored", "uniform").select("pair", "n", *[R6(c).alias(c) for c in ("delta", "t", "p")]),
+        f"with {PROXY}, dd as (select 'anchored_vs_uniform' as pair, a.acc - b.acc as d from pp a join pp b on b.clip_id = a.clip_id and b.baseline = 'uniform' where a.baseline = 'anchored'), {t_sql('dd', 'pair', 'd')} select pair, n, round(delta, 6) as delta, round(t, 6) as t, round(p, 6) as p from tt",
+    ),
     "q18_verification": (
         lambda s, d: A.sizes_summary(results(s, d), ["method"], "item_id").select("method", "n", "min", "max"),
         "select o_orderpriority as method, count(o_custkey) as n, min(o_custkey) as min, max(o_custkey) as max from orders group by 1",
@@ -86,6 +180,22 @@ QUERIES = {
 }
 
 
+def _clip_deltas(s, d):
+    by = Q.plan_proxy(_plans(s, d), seg10(s, d)).groupBy("clip_id").agg(*[F.max(F.when(F.col("baseline") == b, F.col("acc"))).alias(b) for b in ("anchored", "uniform")])
+    return by.select(F.lit("all").alias("all"), "clip_id", (F.col("anchored") - F.col("uniform")).alias("delta"))
+
+
+def _seed_deltas(s, d):
+    base = _seeds(s, d).where("method = '5-LOW'").select("seed", F.col("acc").alias("base"))
+    return _seeds(s, d).where("method <> '5-LOW'").join(base, "seed").select("method", "seed", (F.col("acc") - F.col("base")).alias("delta"))
+
+
+def _degraded_shares(s, d):
+    """(shift, snr, silence, anchored, uniform): over clips with events, how much of the anchors and of all seconds
+    are events, under each cell of the grid."""
+    return degraded_shares(seg10(s, d), grid_cells(s), 2, 10, 7)
+
+
 def _triads(s, d):
     """(triad, tokens, acc): anchored plans of several resolution triads."""
     out = None

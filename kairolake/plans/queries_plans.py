@@ -28,13 +28,24 @@ def _plan_sql(alloc_order: str, extra: str = "") -> str:
     p as (select seg.clip_id, seg.t, seg.score, h1, h2, least(abs(seg.t - h1), abs(seg.t - h2)) as near, seg.t = h1 or (2 <= {{kh}} and seg.t = h2) as is_high from seg join hi using (clip_id)),
     q as (select *, row_number() over (partition by clip_id, is_high order by {alloc_order}) as place from p),
     z as (select clip_id, t, case when is_high then {{high}} when place <= {{nb}} then 224 else {{low}} end as resolution from q)
-    select clip_id, t, resolution, cast((resolution / 16) * (resolution / 16) as int) as tokens from z""".replace("{kh}", "2").replace("{high}", "352").replace("{low}", "160").replace("{nb}", str(10 - 2 * B.ratio(160, 224, 352)))
+    select clip_id, t, resolution, cast((resolution / 16) * (resolution / 16) as int) as tokens from z""".replace("{kh}", "2").replace("{high}", "352").replace("{low}", "160").replace("{nb}", "10 - 2 * ((22 * 22 - 10 * 10) // (14 * 14 - 10 * 10))")
 
 
 def _plan(alloc: str):
     return lambda s, d: B.equal_budget_plan(_sel(s, d), 10, 160, 224, 352, alloc=alloc, scores=seg10(s, d))
 
 
+def _plan_high(alloc: str):
+    """One high second of two anchors; the base seconds are ordered from the high one alone."""
+    return lambda s, d: B.equal_budget_plan(_sel(s, d), 10, 160, 224, 352, cap=1, alloc=alloc)
+
+
+def _high_sql(order: str) -> str:
+    return f"""with {SEG}, {ANCH}, p as (select seg.clip_id, seg.t, abs(seg.t - an.t) as near, seg.t = an.t as is_high from seg join an on an.clip_id = seg.clip_id and an.rank = 1),
+    q as (select *, row_number() over (partition by clip_id, is_high order by {order}) as place from p),
+    z as (select clip_id, t, case when is_high then 352 when place <= 6 then 224 else 160 end as resolution from q) select clip_id, t, resolution, cast((resolution / 16) * (resolution / 16) as int) as tokens from z"""
+
+
 CONFIGS = [("low", 1.0), ("mid", 2.5), ("high", 6.0)]
 GREEDY = """st as (select plan_id, window_id, duration, weight, v.step, v.rate from win cross join (values (1, 3.5), (2, 1.5), (3, 1.0)) v(step, rate)),
 ov as (select *, sum(case when step = 1 then duration * 6.0 else 0 end) over (partition by plan_id) - coalesce(sum(duration * rate) over (partition by plan_id order by case when step = 3 then 1 else 0 end, step, weight, window_id rows between unbounded preceding and 1 preceding), 0) - 100 as over_ from st),
@@ -100,8 +111,14 @@ QUERIES = {
         select clip_id, part, size, cast(q + greatest(0, least(size - q, left_ - before_)) as int) as quota from z""",
     ),
     "f11_delete_and_refill": (
-        lambda s, d: S.delete_and_refill(S.alpha_mixture(seg10(s, d), K.top_k(seg10(s, d), 2), 6, 0.5, 0, 10), 6, 10).groupBy("clip_id").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("sum_t")),
-        None,
+        lambda s, d: S.delete_and_refill(S.alpha_mixture(seg10(s, d), K.top_k(seg10(s, d), 2), 6, 0.5, 0, 10), 6, 10),
+        f"""with {SEG}, {ANCH}, cl as (select distinct clip_id from seg), c as (select clip_id, u.t, 0 as p, cast(u.t as double) as o from cl cross join (values (0), (4), (9)) u(t)
+        union all select clip_id, t, 1, cast(rank as double) from an union all select clip_id, t, 2, -score from seg where t < 10),
+        f as (select clip_id, t, p, o from (select *, row_number() over (partition by clip_id, t order by p, o) as q from c) where q = 1),
+        s as (select clip_id, t, p from (select *, row_number() over (partition by clip_id order by p, o, t) as r from f) where r <= 6),
+        n as (select clip_id, t, 0 as p from s where p = 0 union all select clip_id, u.t, 1 from cl cross join (values (0), (2), (4), (5), (7), (9)) u(t) union all select clip_id, g.t, 2 from cl cross join range(10) g(t)),
+        e as (select clip_id, t, min(p) as p from n where not exists (select 1 from s where s.clip_id = n.clip_id and s.t = n.t and s.p <> 0) group by 1, 2)
+        select clip_id, cast(t as int) as t, p from (select *, row_number() over (partition by clip_id order by p, t) as r from e) where r <= 6""",
     ),
     "f12_modulate": (
         lambda s, d: S.modulate(seg10(s, d), seg10b(s, d)).select("clip_id", "t", R6("score").alias("score")),
@@ -136,16 +153,29 @@ QUERIES = {
         _plan("balanced"),
         _plan_sql("near, case when abs(t - h1) = near and h1 >= t then 0 when abs(t - h2) = near and h2 >= t then 0 else 1 end, case when abs(t - h1) = near and (h1 >= t or not (abs(t - h2) = near and h2 >= t)) then 0 else 1 end, t"),
     ),
-    "b07_mixed_totals": (
-        lambda s, d: B.check_total(B.equal_budget_plan(_sel(s, d), 10, 160, 224, 352, alloc="mixed"), 10, 224),
-        f"with {SEG} select distinct clip_id, 1960::bigint as tokens, true as ok from seg",
-    ),
-    "b08_band_plan_totals": (
-        lambda s, d: B.band_plan(_sel(s, d), 10, 160, 224, 352, extra=[112]).groupBy("clip_id").agg(F.sum("tokens").alias("tokens")).select("clip_id", (F.col("tokens") <= 1960).alias("within"), (F.col("tokens") >= 0.99 * 1960).alias("reaches")),
-        f"with {SEG} select distinct clip_id, true as within, true as reaches from seg",
+    "b07_mixed": (
+        _plan("mixed"),
+        f"""with {SEG}, {ANCH}, hi as (select clip_id, max(t) filter (where rank = 1) as h1, max(t) filter (where rank = 2) as h2 from an group by 1),
+        p as (select seg.clip_id, seg.t, least(abs(seg.t - h1), abs(seg.t - h2)) as near, seg.t in (h1, h2) as is_high from seg join hi using (clip_id)),
+        q as (select *, row_number() over (partition by clip_id, is_high order by near, t) as a, row_number() over (partition by clip_id, is_high order by -near, t) as b from p),
+        r as (select *, row_number() over (partition by clip_id, is_high order by case when a <= 1 then 0 else 1 end, case when a <= 1 then a else b end, t) as place from q),
+        z as (select clip_id, t, case when is_high then 352 when place <= 2 then 224 else 160 end as resolution from r) select clip_id, t, resolution, cast((resolution / 16) * (resolution / 16) as int) as tokens from z""",
+    ),
+    "b07_distance_high": (_plan_high("distance_high"), _high_sql("near, t")),
+    "b07_farthest_high": (_plan_high("farthest_high"), _high_sql("-near, t")),
+    "b08_band_plan": (
+        lambda s, d: B.band_plan(_sel(s, d), 10, 160, 224, 352, extra=[112]),
+        # all plans of eight ranks and four levels behind two high ones; the best by rank weight times level, then by cost
+        f"""with {SEG}, {ANCH}, hi as (select clip_id, max(t) filter (where rank = 1) as h1, max(t) filter (where rank = 2) as h2 from an group by 1),
+        lv as (select * from (values (0, 112, 49), (1, 160, 100), (2, 224, 196), (3, 352, 484)) v(l, res, c)),
+        al as (select [352, 352, a.res, b.res, c.res, d.res, e.res, f.res, g.res, h.res] as path, 968 + a.c + b.c + c.c + d.c + e.c + f.c + g.c + h.c as cost,
+          8 * a.l + 7 * b.l + 6 * c.l + 5 * d.l + 4 * e.l + 3 * f.l + 2 * g.l + h.l as value from lv a, lv b, lv c, lv d, lv e, lv f, lv g, lv h),
+        best as (select path from al where cost <= 1960 and cost >= 0.99 * 1960 order by value desc, cost desc limit 1),
+        o as (select seg.clip_id, seg.t, row_number() over (partition by seg.clip_id order by case when seg.t = h1 then 1 when seg.t = h2 then 2 else 11 end, least(abs(seg.t - h1), abs(seg.t - h2)), seg.t) as r from seg join hi using (clip_id)),
+        z as (select clip_id, t, path[r] as resolution from o cross join best) select clip_id, t, resolution, cast((resolution / 16) * (resolution / 16) as int) as tokens from z""",
     ),
     "b09_high_cap": (
-        lambda s, d: C.gate_features(seg10(s, d)).join(C.confidence(seg10(s, d)).select("clip_id", "gini", "top12_gap"), "clip_id").select("clip_id", *[B.high_cap(p, F.col("distance"), F.col("top12_gap"), F.col("gini"), min_conf=0.4).alias(p) for p in ("fixed", "adaptive_v1", "adaptive_v2", "adaptive_v3", "gap")]),
+        lambda s, d: C.second_anchor_features(seg10(s, d)).select("clip_id", "distance").join(C.confidence(seg10(s, d)).select("clip_id", "gini", "top12_gap"), "clip_id").select("clip_id", *[B.high_cap(p, F.col("distance"), F.col("top12_gap"), F.col("gini"), min_conf=0.4).alias(p) for p in ("fixed", "adaptive_v1", "adaptive_v2", "adaptive_v3", "gap")]),
         f"""with {SEG}, {CONF}, x as (select clip_id, abs(max(t) filter (where down = 1) - max(t) filter (where down = 2)) as dist from cx group by 1)
         select clip_id, 2 as fixed, case when dist <= 1 then 1 else 2 end as adaptive_v1, case when dist <= 1 or gini < 0.4 then 1 else 2 end as adaptive_v2, case when dist <= 1 or gini < 0.4 or dist > 5 then 1 else 2 end as adaptive_v3, case when top12_gap > 0.5 then 1 else 2 end as gap from x join cf using (clip_id)""",
     ),
@@ -160,8 +190,8 @@ QUERIES = {
         union all select 'anchored', c * 10, c * 1960, c * 2 from n union all select 'oracle', c * 10, c * 1960, hi from n cross join o""",
     ),
     "b12_budget_mode": (
-        lambda s, d: table(s, d, "region").select("r_regionkey").select("r_regionkey", F.lit(B.budget_mode(160, 224, 352)).alias("a"), F.lit(B.budget_mode(160, 224, 320)).alias("b")),
-        "select r_regionkey, 'exact' as a, 'exact' as b from region" if B.budget_mode(160, 224, 320) == "exact" else "select r_regionkey, 'exact' as a, 'band' as b from region",
+        lambda s, d: table(s, d, "part").select("p_partkey", B.budget_mode_of(*_triad_of()).alias("mode")),
+        "with r as (select p_partkey, 1 + p_size % 9 as a, 2 + p_size % 9 + p_partkey % 4 as b, 3 + p_size % 9 + p_partkey % 4 + p_partkey % 7 as c from part) select p_partkey, case when (c * c - a * a) % (b * b - a * a) = 0 then 'exact' else 'band' end as mode from r",
     ),
     "b13_b14_features_by_plan": (
         lambda s, d: B.concat_features(B.features_by_plan(_plan("distance")(s, d), seg10(s, d).select("clip_id", "t", F.explode(F.array(*map(F.lit, (160, 224, 352)))).alias("resolution")).withColumn("emb", F.array(F.col("resolution") * 1.0, F.col("t") * 1.0))), seg10(s, d)).select("clip_id", "t", F.size("emb").alias("dims"), R6(F.aggregate("emb", F.lit(0.0), lambda a, b: a + b)).alias("total")),
@@ -169,7 +199,7 @@ QUERIES = {
     ),
     "b15_greedy_allocation": (_greedy, f"with {WINDOWS}, {GREEDY}"),
     "b16_relaxed_allocation": (_relaxed, None),
-    "b17_solver_comparison": (lambda s, d: B.compare_solvers(_utility(s, d), _relaxed(s, d)), None),
+    "b17_solver_comparison": (lambda s, d: B.compare_solvers(_utility(s, d), _relaxed(s, d)).select("plan_id", R6("d_utility").alias("d_utility"), R6("d_cost").alias("d_cost")), None),
     "b18_encoder_flops": (
         lambda s, d: table(s, d, "part").select("p_partkey", B.encoder_flops(B.tokens_of(F.col("p_size") * 16).cast("double"), 12, 768).alias("flops")),
         "select p_partkey, n * 2.0::double * 3 * 256 * 768 + 12 * (8 * (n + 1) * 768 * 768 + 4 * (n + 1) * (n + 1) * 768 + 4 * (n + 1) * 768 * 3072) as flops from (select p_partkey, (p_size * p_size)::double as n from part)",
@@ -177,6 +207,13 @@ QUERIES = {
 }
 
 
+def _triad_of():
+    """A rising triad of resolutions for each part."""
+    low = 1 + F.col("p_size") % 9
+    base = low + 1 + F.col("p_partkey") % 4
+    return low * 16, base * 16, (base + 1 + F.col("p_partkey") % 7) * 16
+
+
 def _baselines(s, d):
     """Plans of every baseline as one table."""
     scores = seg10(s, d)

@@ -299,9 +299,14 @@ QUERIES = {
         select clip_id, distance, round(peak1, 6) as peak1, round(peak2, 6) as peak2, round(peak3, 6) as peak3, round(near1, 6) as near1, round(near2, 6) as near2, round(peak1 - peak2, 6) as gap12, round(peak2 - peak3, 6) as gap23, round(mean, 6) as mean, round(median, 6) as median, round(std, 6) as std, round(gini, 6) as gini from a join cf using (clip_id)""",
     ),
     "c08_gate_features": (
-        lambda s, d: C.gate_features(seg10(s, d)).select("clip_id", "distance", *[R6(c).alias(c) for c in ("top1", "top2", "top3", "bottom1", "bottom2", "bottom3", "mean", "std", "median", "above_median", "above_08")]),
-        f"""with {SEG}, {CONF}, m as (select *, median(x) over (partition by clip_id) as med from cx) select clip_id, {', '.join(f'round(max(x) filter (where down = {k}), 6) as top{k}' for k in (1, 2, 3))}, {', '.join(f'round(max(x) filter (where up = {k}), 6) as bottom{k}' for k in (1, 2, 3))},
-        round(avg(x), 6) as mean, round(stddev_pop(x), 6) as std, round(max(med), 6) as median, round(avg(case when x > med then 1.0 else 0.0 end), 6) as above_median, round(avg(case when x > 0.8 then 1.0 else 0.0 end), 6) as above_08, abs(max(t) filter (where down = 1) - max(t) filter (where down = 2)) as distance from m group by 1""",
+        lambda s, d: C.gate_features(seg10(s, d)).select("clip_id", *[R6(c).alias(c) for c in C.GATE_FEATURES]),
+        f"""with {SEG}, {CONF}, m as (select *, median(x) over (partition by clip_id) as med, count(*) over (partition by clip_id) as n, avg(x) over (partition by clip_id order by t rows between 1 preceding and 1 following) as near, row_number() over (partition by clip_id order by x, t) as ux from cx),
+        b as (select clip_id, {', '.join(f'coalesce(max(x) filter (where down = {k}), 0) as top{k}' for k in (1, 2, 3))}, max(x) filter (where down = n) as bottom1, coalesce(max(x) filter (where down = n - 1), 0) as bottom2, max(med) as med, avg(x) as mean, stddev_pop(x) as std,
+          avg(case when x > med then 1.0 else 0.0 end) as above_median, avg(case when x >= 0.8 then 1.0 else 0.0 end) as above_08, max(near) filter (where down = 1) as near1, coalesce(max(near) filter (where down = 2), max(near) filter (where down = 1)) as near2,
+          abs(max(t) filter (where down = 1) - coalesce(max(t) filter (where down = 2), max(t) filter (where down = 1))) / greatest(max(n) - 1, 1)::double as distance,
+          case when sum(x) <= 1e-12 then 0 else greatest(0, least(1, 2 * sum(ux * x) / (count(*) * sum(x)) - (count(*) + 1.0) / count(*))) end as gini from m group by 1)
+        select clip_id, round(top1, 6) as top1, round(top2, 6) as top2, round(top3, 6) as top3, round(top1 - top2, 6) as gap12, round(top1 - top3, 6) as gap13, round(top1 - med, 6) as top1_med, round(top1 - mean, 6) as top1_mean, round(std, 6) as std, round(gini, 6) as gini,
+        round(above_median, 6) as above_median, round(above_08, 6) as above_08, round(near1, 6) as near1, round(near2, 6) as near2, round(distance, 6) as distance, round(bottom1, 6) as bottom1, round(bottom2 - bottom1, 6) as bottom12_gap from b""",
     ),
     "c09_reliability_alpha": (
         lambda s, d: C.confidence(seg10(s, d)).select("clip_id", R6(C.reliability_alpha(F.col("top3_bottom3"), 0.2, 0.8)).alias("alpha")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.shared import scratch
+from ..functions.shared import scratch, stored
 from ..operators import anchors as K
 from ..operators import confidence as C
 from ..operators import joins as J
@@ -115,15 +115,24 @@ def _grid(s, d):
 
 
 def _gate_classifier(s, d):
-    """How likely a clip's best second is an event, learned from the clips that have events; none if these are too few."""
-    names = ["top1", "top2", "top3", "bottom1", "bottom2", "bottom3", "mean", "std", "median", "above_median", "above_08"]
-    features = C.gate_features(seg10(s, d)).select("clip_id", F.array(*[F.coalesce(c, F.lit(0.0)) for c in names]).alias("features"))
-    best = K.top_k(seg10(s, d), 1).select("clip_id", "t").join(seg10(s, d).select("clip_id", "t", F.col("gt").alias("label")), ["clip_id", "t"]).drop("t")
-    events = seg10(s, d).groupBy("clip_id").agg(F.sum((F.col("gt") != 0).cast("int")).alias("events"))
-    rows = features.join(best, "clip_id").join(events, "clip_id")
-    train = M.gate_rows(rows, F.col("events") > 0, least=64)
-    scored = rows.withColumn("p", F.lit(None).cast("double")) if train is None else M.predict(M.logistic(train), rows)
-    return scored.select("clip_id", "label", "p")
+    """(gate, clip_id, label, p): three gates, fitted on the clips with even ids and answered for all. ``top1_hit``:
+    is the best second an event, learnt from clips that have events; ``top1_hit_all``: the same from all clips;
+    ``second_hit``: is the second anchor an event, learnt from clips whose two anchors disagree. A gate with fewer than
+    64 rows has no answer."""
+    scores = stored(seg10(s, d), "seg")
+    events = scores.groupBy("clip_id").agg(F.sum((F.col("gt") != 0).cast("int")).alias("events"))
+    hit = K.top_k(scores, 2).join(scores.select("clip_id", "t", "gt"), ["clip_id", "t"]).groupBy("clip_id").agg(*[F.max(F.when(F.col("rank") == k, F.col("gt"))).alias(f"hit{k}") for k in (1, 2)])
+    gate = C.gate_features(scores).select("clip_id", F.array(*[F.coalesce(c, F.lit(0.0)) for c in C.GATE_FEATURES]).alias("features"))
+    names = ["peak1", "peak2", "peak3", "near1", "near2", "distance", "mean", "median", "gap12", "gap23", "std", "gini"]
+    second = C.second_anchor_features(scores).select("clip_id", F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names]).alias("features"))
+    out = None
+    for name, features, label, rule in (("top1_hit", gate, "hit1", F.col("events") > 0), ("top1_hit_all", gate, "hit1", F.lit(True)), ("second_hit", second, "hit2", F.col("hit1") != F.col("hit2"))):
+        rows = stored(features.join(hit, "clip_id").join(events, "clip_id").where(F.col(label).isNotNull()).withColumn("label", F.col(label)), name)
+        train = M.gate_rows(rows, rule & (F.col("clip_id") % 2 == 0), least=64)
+        scored = rows.withColumn("p", F.lit(None).cast("double")) if train is None else M.predict(M.logistic(train), rows)
+        scored = scored.select(F.lit(name).alias("gate"), "clip_id", "label", "p")
+        out = scored if out is None else out.unionByName(scored)
+    return out
 
 
 QUERIES = {

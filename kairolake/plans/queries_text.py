@@ -58,6 +58,32 @@ def _labelled(s, d):
     return T.delta(seg10(s, d)).select("clip_id", "t", F.col("score").alias("d")).join(seg10(s, d), ["clip_id", "t"]).join(seg10b(s, d).select("clip_id", "t", F.col("score").alias("b")), ["clip_id", "t"]).select("clip_id", "t", F.array("score", "d", "b").alias("features"), F.col("gt").alias("label"))
 
 
+def _predicted(rows, fit):
+    """(clip_id, t, label, p): fitted on the clips with even ids, answered for all."""
+    return M.predict(fit(rows.where("clip_id % 2 = 0")), rows).select("clip_id", "t", "label", "p")
+
+
+def _segment_head(s, d):
+    """(clip_id, t, label, prediction): the class of each second, which is its most frequent kind of event."""
+    kinds = table(s, d, "events").groupBy(F.col("user_id").alias("clip_id"), F.floor(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) / 3).cast("int").alias("t"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("v"))
+    wide = kinds.groupBy("clip_id", "t").agg(F.max_by("event_type", F.struct("n", "event_type")).alias("kind"), *[F.sum(F.when(F.col("event_type") == k, F.col("v")).otherwise(0.0)).alias(k) for k in ("view", "click", "purchase")])
+    classes = F.array_position(F.array(*[F.lit(k) for k in ("view", "click", "purchase")]), F.col("kind")).cast("int")
+    rows = wide.select("clip_id", "t", F.array("view", "click", "purchase").alias("features"), classes.alias("label"))
+    model = M.mlp(rows.where("clip_id % 2 = 0"), [3, 8, 4])
+    return M.predict_class(model, rows).select("clip_id", "t", "label", F.col("prediction").cast("int").alias("prediction"))
+
+
+def _clip_labels(s, d):
+    """(clip_id, label): the kinds of events that more than a fifth of a clip's events are."""
+    kinds = table(s, d, "events").groupBy(F.col("user_id").alias("clip_id"), F.col("event_type").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return kinds.join(kinds.groupBy("clip_id").agg(F.sum("n").alias("all")), "clip_id").where("n > 0.2 * all").select("clip_id", "label")
+
+
+def _usefulness(s, d):
+    """Features of a second and what the views and clicks alone add to its score."""
+    return _labelled(s, d).select("clip_id", "t", "features", (F.col("features")[0] - 0.5 * F.col("features")[2] + 0.1 * F.col("label")).alias("label"))
+
+
 QUERIES = {
     "x01_tokens": (lambda s, d: table(s, d, "documents").select("doc_id", F.size(X.tokens(F.col("text"))).alias("n")), f"select doc_id, cast(len({TOK}) as int) as n from documents"),
     "x02_tfidf": (lambda s, d: X.tfidf_relevance(_texts(s, d), _query(s, d)).withColumn("score", R6("score")), f"with {TFIDF}"),
@@ -103,9 +129,10 @@ QUERIES = {
         lambda s, d: D.shift_samples(_samples(s, d), 0.5, 4),
         f"with {SAMPLES} select a.clip_id, a.idx, coalesce(b.amp, 0) as amp from smp a left join smp b on b.clip_id = a.clip_id and b.idx = a.idx - 2",
     ),
-    "d02_noise_power": (
-        lambda s, d: D.add_noise(_samples(s, d), 20.0, 3).withColumnRenamed("amp", "noisy").join(_samples(s, d), ["clip_id", "idx"]).agg((F.abs(10 * F.log10(F.avg(F.col("amp") * F.col("amp")) / F.avg((F.col("noisy") - F.col("amp")) * (F.col("noisy") - F.col("amp")))) - 20) < 0.5).alias("near_20_db")),
-        "select true as near_20_db",
+    "d02_noise": (
+        lambda s, d: D.add_noise(_samples(s, d), 20.0, 3).select("clip_id", "idx", F.round("amp", 4).alias("amp")),
+        f"""with {SAMPLES}, u as (select *, sqrt(avg(amp * amp) over (partition by clip_id) + 1e-12) as rms, greatest(('0x' || substr(sha1('3|' || clip_id || '|' || idx || '|u'), 1, 12))::ubigint / 281474976710656.0::double, 1e-12) as a,
+        ('0x' || substr(sha1('3|' || clip_id || '|' || idx || '|v'), 1, 12))::ubigint / 281474976710656.0::double as b from smp) select clip_id, idx, round(amp + rms / 10 * sqrt(-2 * ln(a)) * cos(2 * pi() * b), 4) as amp from u""",
     ),
     "d03_silence": (
         lambda s, d: D.silence(_samples(s, d), 0.25, 3).groupBy("clip_id").agg(F.sum((F.col("amp") == 0).cast("int")).alias("silent")),
@@ -133,6 +160,10 @@ QUERIES = {
         lambda s, d: _roundtrip(s, d, "jsonl", lambda p: R.materialize_json(table(s, d, "benchmark"), p), lambda p: R.jsonl_snapshot(s, p, table(s, d, "benchmark").schema, "item_id", seed=5, limit=15)).select("item_id"),
         "select item_id from benchmark order by sha1('5|' || item_id), item_id limit 15",
     ),
+    "s05_json_array": (
+        lambda s, d: _roundtrip(s, d, "json_array", lambda p: table(s, d, "benchmark").agg(F.to_json(F.sort_array(F.collect_list(F.struct("item_id", "text")))).alias("value")).coalesce(1).write.text(p), lambda p: R.json_array(s, p, "item_id long, text string")),
+        "select item_id, text from benchmark",
+    ),
     "s11_predictions": (
         lambda s, d: _roundtrip(s, d, "pred", lambda p: table(s, d, "conversations").select(F.col("conv_id").alias("item"), F.when(F.col("role") != "system", F.col("role")).alias("method"), F.col("turn").alias("pos")).write.json(p), lambda p: R.predictions(s, p, "item long, method string, pos long", ["item"], "pos")),
         "select item, method, pos from (select conv_id as item, role as method, turn as pos, row_number() over (partition by conv_id, role order by turn desc) as r from conversations where role <> 'system') where r = 1",
@@ -153,9 +184,10 @@ QUERIES = {
         lambda s, d: R.remaining(table(s, d, "documents").select("doc_id", F.lit("m").alias("method")), table(s, d, "labels").select("doc_id", F.lit("m").alias("method")), ["doc_id", "method"], ["m"]).select("doc_id"),
         "select doc_id from documents where doc_id not in (select doc_id from labels)",
     ),
-    "m01_logistic_eventness": (lambda s, d: M.predict(M.logistic(_labelled(s, d)), _labelled(s, d)).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p")), None),
-    "m02_m04_mlp": (lambda s, d: M.predict(M.mlp(_labelled(s, d), [3, 8, 2]), _labelled(s, d)).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p")), None),
-    "m05_temporal_head": (lambda s, d: M.predict(M.mlp(M.with_context(_labelled(s, d), 1), [9, 8, 2]), M.with_context(_labelled(s, d), 1)).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p")), None),
-    "m06_multilabel_head": (lambda s, d: M.multilabel(M.pooled(_labelled(s, d)), _intervals(s, d).select("clip_id", "label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p")), None),
-    "m07_usefulness_regressor": (lambda s, d: M.regress(_labelled(s, d).withColumn("label", F.col("label").cast("double"))).agg(F.count(F.lit(1)).alias("n"), F.avg("prediction").alias("mean")), None),
+    "m01_logistic_eventness": (lambda s, d: _predicted(_labelled(s, d), M.logistic), None),
+    "m02_mlp_eventness": (lambda s, d: _predicted(_labelled(s, d), lambda rows: M.mlp(rows, [3, 8, 2])), None),
+    "m04_segment_head": (_segment_head, None),
+    "m05_temporal_head": (lambda s, d: _predicted(M.with_context(_labelled(s, d), 1), lambda rows: M.mlp(rows, [9, 8, 2])), None),
+    "m06_multilabel_head": (lambda s, d: M.multilabel(M.pooled(_labelled(s, d)), _clip_labels(s, d)).join(_clip_labels(s, d).withColumn("hot", F.lit(1)), ["clip_id", "label"], "left").fillna(0, ["hot"]).select("clip_id", "label", "hot", "p"), None),
+    "m07_usefulness_regressor": (lambda s, d: M.regress(_usefulness(s, d)).select("clip_id", "t", "label", "prediction"), None),
 }

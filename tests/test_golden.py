@@ -2,12 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kairolake.operators import anchors as K
 from kairolake.operators import budget as B
 from kairolake.operators import joins as J
+from kairolake.operators import learned as M
 from kairolake.operators import seconds as S
 from kairolake.operators import series as T
 from kairolake.operators import stats as A
@@ -192,3 +194,87 @@ def test_diverse_picks_see_all_vectors(spark):
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
     for name in ("f08_max_volume", "f09_weighted_dpp"):
         assert min(r["t"] for r in registry.queries()[name](spark, folder).collect()) >= 60, name
+
+
+def _auc(frame, p="p", y="label"):
+    order = frame[p].rank()
+    positive = frame[y] == 1
+    n = positive.sum()
+    return (order[positive].sum() - n * (n + 1) / 2) / (n * (len(frame) - n))
+
+
+def test_heads_learn(spark):
+    """Each head tells its classes apart on rows it wasn't fitted on."""
+    rng = np.random.default_rng(3)
+    hot = (rng.random((120, 6)) < 0.2).astype(int)
+    rows = [(c, t, [float(x) for x in rng.normal(size=2) + 1.5 * hot[c, t]], int(hot[c, t])) for c in range(120) for t in range(6)]
+    df = spark.createDataFrame(rows, "clip_id long, t int, features array<double>, label int")
+    train, rest = df.where("clip_id % 2 = 0"), df.where("clip_id % 2 = 1")
+    for fit in (M.logistic, lambda r: M.mlp(r, [2, 4, 2])):
+        assert _auc(M.predict(fit(train), rest).toPandas()) > 0.85
+    wide = M.with_context(df, 1)
+    assert _auc(M.predict(M.mlp(wide.where("clip_id % 2 = 0"), [6, 4, 2]), wide.where("clip_id % 2 = 1")).toPandas()) > 0.85
+    fitted = M.regress(df.withColumn("label", F.col("features")[0] * 2 - F.col("features")[1])).toPandas()
+    assert np.abs(fitted["prediction"] - fitted["label"]).max() < 0.05
+    assert M.gate_rows(df, F.col("t") < 0) is None and M.gate_rows(df, F.col("label") == 1) is None
+
+
+def test_multilabel_in_one_fit(spark):
+    """All labels at once give what a fit of each label alone gives."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3))
+    hot = x[:, :2] + 0.5 * rng.normal(size=(300, 2)) > 0.5
+    features = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "clip_id long, features array<double>")
+    labels = spark.createDataFrame([(i, f"l{j}") for i in range(300) for j in range(2) if hot[i, j]], "clip_id long, label string")
+    got = M.multilabel(features, labels).toPandas().pivot(index="clip_id", columns="label", values="p")
+    for j in range(2):
+        frame = got[[f"l{j}"]].rename(columns={f"l{j}": "p"}).assign(label=hot[:, j].astype(int))
+        assert _auc(frame) > 0.9
+        z, y = (x - x.mean(axis=0)) / x.std(axis=0), hot[:, j].astype(float)
+        z, w, ratio = np.column_stack([z, np.ones(300)]), np.zeros(4), (1 - y.mean()) / y.mean()
+        weight, ridge = np.where(y > 0, ratio, 1.0), np.diag([1e-3] * 3 + [1e-9])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-z @ w))
+            w += np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z / 300 + ridge, z.T @ (weight * (y - p)) / 300 - ridge @ w)
+        np.testing.assert_allclose(frame["p"], 1 / (1 + np.exp(-z @ w)), atol=1e-6)
+    assert M.multilabel(features.where("false"), labels).count() == 0
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(5)
+    values = {"a": rng.normal(size=501), "b": np.repeat([1.0, 2.0], 40), "c": np.array([7.0]), "d": np.append(rng.exponential(size=99), 1e9)}
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs] + [("a", None)], "k string, v double")
+    got = A.exact_quantiles(rows, ["k"], "v", [0.0, 0.1, 0.5, 0.66, 1.0]).toPandas()
+    assert len(got) == 20
+    for r in got.itertuples():
+        assert abs(r.q - np.quantile(values[r.k], r.p)) < 1e-9 * max(1, abs(r.q))
+
+
+def test_t_above_the_exact_terms(spark):
+    """Around the switch to the normal law p goes on smoothly, and far tails are right to 1e-6."""
+    df = spark.createDataFrame([(t, n) for t in (0.0, 0.5, 1.96, 3.0, 6.0) for n in (398, 399, 400, 401, 402, 1000)], "t double, n int")
+    got = {(r["t"], r["n"]): r["p"] for r in df.withColumn("p", A.t_two_sided(F.col("t"), F.col("n"))).collect()}
+    for t in (0.0, 0.5, 1.96, 3.0, 6.0):
+        assert abs(got[t, 400] - got[t, 401]) < 2e-5 and abs(got[t, 399] - got[t, 402]) < 4e-5
+
+
+def test_relaxed_allocation_against_a_loop(spark):
+    """The multiplier found by prefix sums is the smallest candidate whose choices fit, as a loop over all finds it."""
+    rng = np.random.default_rng(6)
+    wins = [(p, w, float(rng.integers(1, 9)), round(float(rng.random()), 2)) for p in range(8) for w in range(6)]
+    options = [("low", 1.0, 1.0), ("mid", 2.5, 1.8), ("high", 6.0, 2.4), (None, 0.0, 0.0)]
+    got = B.allocate_relaxed(spark.createDataFrame(wins, "plan_id int, window_id int, duration double, weight double"), options[:3], F.lit(40.0)).toPandas()
+    for plan in range(8):
+        mine = [(w, [(n, c * d, u * x) for n, c, u in options]) for p, w, d, x in wins if p == plan]
+        lams = {0.0} | {round(max((a[2] - b[2]) / (a[1] - b[1]), 0.0) + 1e-9, 9) for _, o in mine for a in o for b in o if a[1] > b[1]}
+        for lam in sorted(lams):
+            pick = {w: max(o, key=lambda x: (round(x[2] - lam * x[1], 12), -x[1])) for w, o in mine}
+            if sum(x[1] for x in pick.values()) <= 40 + 1e-9:
+                break
+        room, done = 40 - sum(x[1] for x in pick.values()), {}
+        ups = sorted((-round((x[2] - pick[w][2]) / (x[1] - pick[w][1]), 12), w, x[1] - pick[w][1], str(x[0]), x) for w, o in mine for x in o if x[1] > pick[w][1] and x[2] > pick[w][2])
+        for _, w, more, _, x in ups:
+            if more <= room + 1e-9 and w not in done:
+                room, done[w] = room - more, x
+        want = {w: done.get(w, pick[w])[1] for w, _ in mine}
+        assert {r.window_id: round(r.cost, 6) for r in got[got["plan_id"] == plan].itertuples()} == {w: round(c, 6) for w, c in want.items()}

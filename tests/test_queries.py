@@ -40,6 +40,6 @@ def test_matches_sql(spark, duck, sf_dir, name):
     assert rows_of(df.columns, df.collect()) == rows_of(names, result.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(n for n in set(QUERIES) - set(SQL) if not n.startswith(("m0", "q05"))))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0

@@ -44,7 +44,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sup
     """(id, keep_id, group_size, kept, text_sha256) of every row.
 
     Of the rows with equal normalised text the one with the largest id stays. Null and empty texts are equal to
-    one another. Rows that repeat an id keep their own rows; a null id stays only if its whole group has no id.
+    one another, very long ones are read whole. Rows that repeat an id keep their own rows; a null id stays only if its whole group has no id.
     An empty table gives no rows; other columns are ignored."""
     digests = materialize(text_digests(docs, text, id_col), "digests")
     heavy = F.broadcast(materialize(heavy_digests(digests, support), "heavy"))

@@ -300,7 +300,7 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, least: int = 10
 
     Lines are cut at ``\\n``; a line's key is the line stripped of ASCII white space with A-Z lower-cased; keys
     under ``least`` code points always stay. Null and empty texts are one empty line. Lines repeated inside the
-    smallest document stay. A document without an id is left as it is and suppresses nothing. With ``digest``
+    smallest document stay, very long texts are read whole, rows that repeat an id count as one document. A document without an id is left as it is and suppresses nothing. With ``digest``
     the kept text's SHA-256 comes instead of the text. The columns in ``carry`` come along, others are ignored; an
     empty table gives no rows."""
     known = docs.where(F.col(id_col).isNotNull())

@@ -111,7 +111,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, cfg: MixConfig
     Phase 0 is the mix: it lasts until a source with weight has no more blocks, and at each of its slots every
     source is less than one block from its weight. What is left over is the reserve, phase 1, scheduled behind it
     in proportion to what is left; no row is lost. A null source is a source of its own (""); null texts weigh
-    one byte; a document longer than a block takes the slots it covers. Order inside a block: by hash bin, then
+    one byte; a document longer than a block takes the slots it covers; rows without an id, and rows that repeat one, are rows like
+    others. Order inside a block: by hash bin, then
     id. An empty table gives no rows; other columns are ignored. The number of sources is taken to be small (they
     are named in the weights): their totals are read to the driver, one row each."""
     cfg = cfg or MixConfig()

@@ -241,8 +241,13 @@ def near_duplicates(docs: DataFrame, cfg: NearDedupConfig | None = None, text: s
 
     ``component_id`` is the smallest id reachable over links, the document itself included; ``kept`` marks the
     document with that id. Null and empty texts have no shingles and are linked with nothing; texts shorter than
-    a shingle are one shingle; repeated rows with other ids are linked; an empty table gives an empty result.
+    a shingle are one shingle; very long texts are read whole; repeated rows with other ids are linked. A row without
+    an id is linked with equal sets only and stays unless one of them has an id. An empty table gives an empty result.
     Other columns of ``docs`` are ignored, whatever their names.
+
+    A pair at the threshold shares no band with probability 3e-7 at 0.85 and 4e-5 at 0.8 (less above it); pairs that
+    are candidates are ruled out unseen only where the likelihood ratio (``slack``, six standard deviations) or, inside
+    groups, the number of equal registers (seven) excludes the threshold: with probability under 2e-9 and 2e-12.
     """
     cfg = cfg or NearDedupConfig()
     sketches = materialize(sketch(docs, cfg, text, id_col), "sketches")
@@ -273,7 +278,7 @@ def near_duplicates(docs: DataFrame, cfg: NearDedupConfig | None = None, text: s
     return (
         own.join(components, "rep", "left")
         .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-        .withColumn("kept", F.col(id_col) == F.col("component_id"))
+        .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
     )
 
 

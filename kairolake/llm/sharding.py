@@ -131,7 +131,8 @@ def kd_shards(docs: DataFrame, shards: int = 16, text: str = "text", id_col: str
     Law ``bytes``: the shards' sizes are near equal (each cut is right to half a document, or to half a group of
     equal texts that isn't cut). Null texts are empty
     (size 1); null metadata is one value of its own; missing metadata columns count as constant; rows that repeat
-    all columns share a place and stay together. ``slot`` numbers the rows of a shard from 0 without gaps.
+    all columns share a place and stay together; very long texts count with all their bytes, rows without an id come
+    first in a shard. ``slot`` numbers the rows of a shard from 0 without gaps.
     Fewer rows than shards leave shards empty; an empty table gives no rows; other columns are ignored."""
     base = materialize(_metadata(docs, text, id_col, source, lang).withColumn("node", F.lit(1).cast("long")), "metadata")
     base = materialize(_agreed(base).drop("t"), "coordinates")

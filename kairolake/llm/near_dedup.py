@@ -6,8 +6,8 @@
 2. Documents with equal sets form one class, linked without comparison; the rest works on one representative.
 3. ``band``: ``rows`` registers at a time form a key; classes that share a key are candidates. Keys with few
    classes give their pairs. A key with many classes gives only the links to its smallest one; those links make
-   groups, and the members of a group are compared block against block inside tasks, which emit a spanning
-   forest of verified links and never the pairs.
+   groups; the members of a group are compared with its smallest one, and those that aren't linked with it block
+   against block inside tasks, which emit a spanning forest of verified links and never the pairs.
 4. A candidate is kept if the joint likelihood of the two sketches doesn't rule the threshold out, and is then
    confirmed on the full sets.
 5. Connected components of the confirmed links.
@@ -190,14 +190,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, cfg: NearDedupConfig) -> DataF
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "h_a", "h_b").mapInArrow(frugal(run), "a long, b long")
 
 
-def _forest(cfg: NearDedupConfig, left: pd.DataFrame, right: pd.DataFrame, same: bool) -> list[tuple[int, int]]:
+def _forest(cfg: NearDedupConfig, left: pd.DataFrame, right: pd.DataFrame, same: bool, hub: int | None = None) -> list[tuple[int, int]]:
     """What confirmed links join between two blocks (or inside one), as (member, smallest member joined with it).
-    Goes row by row and holds the candidates of that row only; pairs that are joined already aren't looked at."""
+    Goes row by row and holds the candidates of that row only; pairs that are joined already aren't looked at. With
+    ``hub`` the right block's rows are all joined with that member before."""
     regs = [np.stack([np.frombuffer(r, np.uint16) for r in side["regs"]]) for side in (left, right)]
     sizes = [side["n"].to_numpy() for side in (left, right)]
     ids = [side["rep"].to_numpy() for side in (left, right)]
     sets = [[np.frombuffer(h, U64) for h in side["hashes"]] for side in (left, right)]
-    roots = [ids[0].copy()] * 2 if same else [ids[0].copy(), ids[1].copy()]
+    roots = [ids[0].copy()] * 2 if same else [ids[0].copy(), ids[1].copy() if hub is None else np.full(len(right), hub)]
     edge = cfg.percent / 100
     least = cfg.registers * (edge - 7 * np.sqrt(edge * (1 - edge) / cfg.registers))  # seven standard deviations
     for i in range(len(left)):
@@ -215,25 +216,59 @@ def _forest(cfg: NearDedupConfig, left: pd.DataFrame, right: pd.DataFrame, same:
             if a != b and linked(cfg, sets[0][i], sets[1][j]):
                 for side in roots:
                     side[side == max(a, b)] = min(a, b)
-    both = dict(zip(np.concatenate(ids).tolist(), np.concatenate(roots).tolist(), strict=True))
+    seen = slice(2) if hub is None else slice(1)
+    both = dict(zip(np.concatenate(ids[seen]).tolist(), np.concatenate(roots[seen]).tolist(), strict=True))
     return [(x, r) for x, r in both.items() if r != x]
 
 
+def _cut(members: DataFrame, cfg: NearDedupConfig, name: str) -> DataFrame:
+    """``members`` with their group's number of blocks of about ``cfg.block_bytes`` or ``cfg.block_rows``, whichever is
+    less, and the block they are in."""
+    sizes = F.ceil(F.greatest(8 * F.sum("n") / cfg.block_bytes, F.count(F.lit(1)) / cfg.block_rows)).cast("int")
+    blocks = members.groupBy("grp").agg(sizes.alias(f"{name}s"))
+    return members.join(blocks, "grp").withColumn(name, F.pmod(F.xxhash64("rep"), F.col(f"{name}s")).cast("int"))
+
+
 def _within_groups(members: DataFrame, cfg: NearDedupConfig) -> DataFrame:
-    """Links inside large groups. ``members(grp, rep, n, regs, hashes)``; a group is cut into blocks of about
-    ``cfg.block_bytes`` or ``cfg.block_rows``, whichever is less, and every two blocks meet in one task, so that no task holds more than two blocks."""
-    blocks = members.groupBy("grp").agg(F.ceil(F.greatest(8 * F.sum("n") / cfg.block_bytes, F.count(F.lit(1)) / cfg.block_rows)).cast("int").alias("blocks"))
-    cut = members.join(blocks, "grp").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    meet = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = cut.select("*", meet).select("grp", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "rep", "n", "regs", "hashes")
+    """Links inside large groups, a spanning forest of them. ``members(grp, rep, n, regs, hashes)``; ``grp`` is the
+    smallest rep of the group, its hub.
+
+    Every member is compared with the hub first, which settles a group of near copies in linear time. Those that
+    aren't linked with it are compared with one another and with the settled ones, block against block, so that no
+    task holds more than two blocks; settled members are never compared with each other."""
+    members, columns = materialize(members, "members"), ["rep", "n", "regs", "hashes"]
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+
+    def with_hub(frame: pd.DataFrame) -> pd.DataFrame:
+        hub = int(frame["grp"].iloc[0])
+        left, right = frame[frame["rep"] != hub], frame[frame["rep"] == hub]
+        return pd.DataFrame(_forest(cfg, left, right, False, hub) if len(left) else [], columns=["a", "b"])
+
+    cut = _cut(members, cfg, "blk")
+    hubs = cut.where("rep = grp").select("grp", *columns, every("blks").alias("blk"))
+    stars = materialize(cut.where("rep <> grp").select("grp", *columns, "blk").unionByName(hubs).groupBy("grp", "blk").applyInPandas(with_hub, "a long, b long"), "stars")
+
+    rest = _cut(members.where("rep <> grp").join(stars.select(F.col("a").alias("rep")), "rep", "left_anti").select("grp", *columns), cfg, "blk")
+    open_ = materialize(rest.select("grp", "rep", "blk", "blks"), "open")
+    rest = members.join(open_.select("rep", "blk", "blks"), "rep").select("grp", *columns, "blk", "blks")
+    groups = open_.select("grp", "blks").distinct()
+    settled = _cut(members.join(open_.select("rep"), "rep", "left_anti").join(groups.select("grp"), "grp", "left_semi").select("grp", *columns), cfg, "s")
+    among = rest.select("grp", *columns, "blk", every("blks").alias("other")).select("grp", F.lit(False).alias("to_hub"), F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), (F.col("blk") == F.least("blk", "other")).alias("is_left"), *columns)
+    to_left = rest.join(settled.select("grp", "ss").distinct(), "grp").select("grp", F.lit(True).alias("to_hub"), F.col("blk").alias("p"), every("ss").alias("q"), F.lit(True).alias("is_left"), *columns)
+    to_right = settled.join(groups, "grp").select("grp", F.lit(True).alias("to_hub"), every("blks").alias("p"), F.col("s").alias("q"), F.lit(False).alias("is_left"), *columns)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        p, q = frame["p"].iloc[0], frame["q"].iloc[0]
-        left = frame[frame["blk"] == p].sort_values("rep")
-        right = left if p == q else frame[frame["blk"] == q].sort_values("rep")
-        return pd.DataFrame(_forest(cfg, left, right, p == q) if len(left) and len(right) else [], columns=["a", "b"])
+        left, right = (frame[frame["is_left"] == x].sort_values("rep") for x in (True, False))
+        if frame["to_hub"].iloc[0]:
+            found = _forest(cfg, left, right, False, int(frame["grp"].iloc[0])) if len(left) and len(right) else []
+        elif frame["p"].iloc[0] == frame["q"].iloc[0]:
+            found = _forest(cfg, left, left, True)
+        else:
+            found = _forest(cfg, left, right, False) if len(left) and len(right) else []
+        return pd.DataFrame(found, columns=["a", "b"])
 
-    return dealt.groupBy("grp", "p", "q").applyInPandas(run, "a long, b long")
+    pairs = among.unionByName(to_left).unionByName(to_right).groupBy("grp", "to_hub", "p", "q").applyInPandas(run, "a long, b long")
+    return stars.unionAll(pairs)
 
 
 def near_duplicates(docs: DataFrame, cfg: NearDedupConfig | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -152,7 +152,29 @@ def test_forest_holds_one_row_of_candidates(same):
 
 
 def test_groups_are_cut_by_rows(spark, monkeypatch):
-    seen = spark.createDataFrame([(1, i, 10, b"", b"") for i in range(50)], "grp long, rep long, n long, regs binary, hashes binary")
-    monkeypatch.setattr(near_dedup, "_forest", lambda cfg, left, right, same: [(len(left), len(right))])
+    seen = spark.createDataFrame([(0, i, 10, b"", b"") for i in range(51)], "grp long, rep long, n long, regs binary, hashes binary")
+    monkeypatch.setattr(near_dedup, "_forest", lambda cfg, left, right, same, hub=None: [] if hub is not None else [(len(left), len(right))])
     got = [r["a"] for r in near_dedup._within_groups(seen, near_dedup.NearDedupConfig(block_rows=10)).collect()]
     assert len(got) == 15 and max(got) < 25
+
+
+def test_members_apart_from_the_hub_are_joined(spark):
+    """A chain whose end isn't near the hub, a cluster of its own in the same group, and near copies of the hub."""
+    cfg = near_dedup.NearDedupConfig(block_rows=4)
+    rng = np.random.default_rng(8)
+    sketcher, word = near_dedup.SetSketch(cfg), lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    base, far = word(100), word(100)
+    sets = {0: base} | {i: np.concatenate([base[i:], word(1)]) for i in range(1, 11)}
+    near, end = word(8), word(9)
+    sets |= {21: np.concatenate([base[8:], near]), 22: np.concatenate([base[17:], near, end])} | {30 + i: np.concatenate([far[:98], word(2)]) for i in range(5)}
+    rows = [(0, i, len(x), sketcher(np.sort(x)).tobytes(), np.sort(x).tobytes()) for i, x in sets.items()]
+    links = near_dedup._within_groups(spark.createDataFrame(rows, "grp long, rep long, n long, regs binary, hashes binary"), cfg)
+    got = {r["node"]: r["component"] for r in near_dedup.connected_components(links).collect()}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and near_dedup.linked(cfg, np.sort(sets[i]), np.sort(sets[j])):
+                a, b = root[i], root[j]
+                root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+    assert {i: got.get(i, i) for i in sets} == root and set(root.values()) == {0, 30}
+    assert not near_dedup.linked(cfg, np.sort(sets[0]), np.sort(sets[22]))

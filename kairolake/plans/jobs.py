@@ -15,6 +15,7 @@ from ..operators import perturb as D
 from ..operators import seconds as S
 from ..operators import series as T
 from ..operators import stats as A
+from ..operators import text as X
 
 
 def score_methods(audio: DataFrame, visual: DataFrame) -> DataFrame:
@@ -25,6 +26,36 @@ def score_methods(audio: DataFrame, visual: DataFrame) -> DataFrame:
     )
 
 
+#: The score methods that a selection can be asked for by name.
+METHODS = ("uniform", "random", "audio", "visual", "fused", "bm25", "tfidf", "embedding")
+
+
+def build_scores(method: str, audio: DataFrame, visual: DataFrame, texts: DataFrame, query: DataFrame, vectors: DataFrame, asked: DataFrame, seed: int) -> DataFrame:
+    """(clip_id, t, score) of one of ``METHODS``; an unknown name raises.
+
+    ``audio`` and ``visual`` are (clip_id, t, score); ``texts(clip_id, t, text)`` and ``query(clip_id, text)`` feed the
+    text relevances, ``vectors(clip_id, t, emb)`` and ``asked(clip_id, q)`` the embedding relevance."""
+    docs, q = texts.select(F.col("clip_id").alias("grp"), F.col("t").alias("doc"), "text"), query.select(F.col("clip_id").alias("grp"), "text")
+    by_text = lambda rows: rows.select(F.col("grp").alias("clip_id"), F.col("doc").alias("t"), "score")
+    return {
+        "uniform": lambda: audio.select("clip_id", "t", F.lit(1.0).alias("score")),
+        "random": lambda: audio.select("clip_id", "t", K.hash_uniform(str(seed), F.col("clip_id"), F.col("t")).alias("score")),
+        "audio": lambda: audio.select("clip_id", "t", "score"),
+        "visual": lambda: visual.select("clip_id", "t", "score"),
+        "fused": lambda: T.fuse(T.minmax(audio), T.minmax(visual)),
+        "bm25": lambda: by_text(X.bm25_relevance(docs, q)),
+        "tfidf": lambda: by_text(X.tfidf_relevance(docs, q)),
+        "embedding": lambda: X.embedding_relevance(vectors, asked),
+    }[method]()
+
+
+def select_by_method(scores: DataFrame, k: int, budget: int, alpha: float, radius: int, n: int) -> DataFrame:
+    """(method, clip_id, t, role) of (method, clip_id, t, score): anchors and the mixture of background, anchors and
+    best scores for every method at once, the method being part of the clip's key."""
+    keyed = scores.select(F.struct("method", "clip_id").alias("clip_id"), "t", "score")
+    return S.alpha_mixture(keyed, K.top_k(keyed, k), budget, alpha, radius, n).select("clip_id.method", "clip_id.clip_id", "t", "role")
+
+
 def anchor_quality(audio: DataFrame, visual: DataFrame, truth: DataFrame, k: int, deltas: list[int], n: int, seed: int) -> DataFrame:
     """(method, delta, clips, recall) of every score method and a random control, in one job: the method is part of
     the clip's key, so all methods share each shuffle."""

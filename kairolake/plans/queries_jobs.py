@@ -6,14 +6,16 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import stored
 from ..operators import anchors as K
+from ..operators import seconds as S
 from ..operators import stats as A
 from ..operators.perturb import degraded_shares
 from ..streaming import windows as W
-from ..views import RESULTS, SEG, SEGB, results, seg10, seg10b
+from ..views import RESULTS, SEG, SEGB, results, seg10, seg10b, table
 from . import jobs as Q
 from .queries_plans import ANCH, EXPANDED, RANK
-from .queries_series import CONF, R6
+from .queries_series import CONF, MM, R6
 from .queries_stats import CAUSES_SQL, DELTAS, FACTS_SQL, GRID_SQL, IOU, RECALL, SEEDS, _best_iou, _boot, _facts, _items, _seeds, boot_sql, grid_cells, t_sql
+from .queries_text import BM25, DOCS, TFIDF
 
 
 def _plans(s, d):
@@ -61,7 +63,35 @@ ev as (select clip_id, sum(case when gt <> 0 then 1 else 0 end) as events from s
 pr as (select cg.config, ev.clip_id, coalesce(1.0 * hit / used, events / 10.0) - events / 10.0 as dlt from ev cross join cg left join us on us.config = cg.config and us.clip_id = ev.clip_id)"""
 SWEPT = "select config, count(*) as n, round(avg(dlt), 6) as delta from pr group by 1"
 
+SECONDS = """st as (select user_id as clip_id, cast(floor(date_diff('day', date '2024-01-01', cast(ts as date)) / 3) as int) as t, string_agg(event_type, ' ' order by event_type) as text,
+  1 + count(*) filter (where event_type = 'view') as v, 1 + count(*) filter (where event_type = 'click') as c, 1 + count(*) filter (where event_type = 'purchase') as p from events group by 1, 2)"""
+_DOCS = "dc as (select clip_id as grp, t as doc, text from st), qy as (select distinct clip_id as grp, 'click purchase' as text from st)"
+BY_METHOD = f"""{SEG}, {SEGB}, {SECONDS}, bm as (with {BM25.replace(DOCS, _DOCS)}), ti as (with {TFIDF.replace(DOCS, _DOCS)}),
+na as (select clip_id, t, {MM} as s from seg window w as (partition by clip_id)), nb as (select clip_id, t, {MM} as s from segb window w as (partition by clip_id)),
+ms as (select 'uniform' as method, clip_id, t, 1.0::double as score from seg union all select 'random', clip_id, t, ('0x' || substr(sha1('7|' || clip_id || '|' || t), 1, 12))::ubigint / 281474976710656.0::double from seg
+  union all select 'audio', clip_id, t, score from seg union all select 'visual', clip_id, t, score from segb union all select 'fused', clip_id, t, greatest(coalesce(na.s, 0), coalesce(nb.s, 0)) from na full join nb using (clip_id, t)
+  union all select 'bm25', grp, doc, score from bm union all select 'tfidf', grp, doc, score from ti union all select 'embedding', clip_id, t, (c + p) / (sqrt(v * v + c * c + p * p) * sqrt(2)) from st)"""
+
+
+def _by_method(s, d):
+    """(method, clip_id, t, score) of every named method; a second's text is its kinds of events, its vector counts them."""
+    audio, visual = stored(seg10(s, d), "audio"), stored(seg10b(s, d), "visual")
+    e = table(s, d, "events").groupBy(F.col("user_id").alias("clip_id"), F.floor(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) / 3).cast("int").alias("t"))
+    kinds = stored(e.agg(F.array_join(F.sort_array(F.collect_list("event_type")), " ").alias("text"), F.array(*[1.0 + F.sum((F.col("event_type") == k).cast("int")) for k in ("view", "click", "purchase")]).alias("emb")), "seconds")
+    clips = audio.select("clip_id").distinct()
+    query, asked = clips.withColumn("text", F.lit("click purchase")), clips.withColumn("q", F.array(F.lit(0.0), F.lit(1.0), F.lit(1.0)))
+    return S.by_method(**{m: Q.build_scores(m, audio, visual, kinds, query, kinds, asked, 7) for m in Q.METHODS})
+
+
 QUERIES = {
+    "f13_scores_by_method": (lambda s, d: _by_method(s, d).withColumn("score", R6("score")), f"with {BY_METHOD} select method, clip_id, t, round(score, 6) as score from ms"),
+    "q15_answers_by_method": (
+        lambda s, d: _answers(s, d).groupBy("method").agg(F.count(F.lit(1)).alias("n"), R6(F.avg("correct")).alias("acc")),
+        f"""with {BY_METHOD}, rr as (select *, row_number() over (partition by method, clip_id order by round(score, 6) desc, t) as r from ms), xa as (select method, clip_id, rr.t + g.d - 1 as t, min(r * 100 + abs(g.d - 1) * 10 + sign(g.d - 1)) as o from rr cross join range(3) g(d) where r <= 2 and rr.t + g.d - 1 between 0 and 9 group by 1, 2, 3),
+        cc as (select method, clip_id, u.t, 0 as p, cast(u.t as double) as o from (select distinct method, clip_id from ms) cross join (values (0), (4), (9)) u(t) union all select method, clip_id, t, 1, o from xa union all select method, clip_id, t, 2, -round(score, 6) from ms where t < 10),
+        f as (select * from (select *, row_number() over (partition by method, clip_id, t order by p, o) as q from cc) where q = 1), z as (select method, clip_id, t from (select *, row_number() over (partition by method, clip_id order by p, o, t) as r from f) where r <= 6),
+        h as (select z.method, clip_id, max(coalesce(seg.gt, 0)) as correct from z left join seg using (clip_id, t) where clip_id in (select clip_id from seg where gt <> 0) group by 1, 2) select method, count(*) as n, round(avg(correct), 6) as acc from h group by 1""",
+    ),
     "q01_all_methods": (lambda s, d: Q.anchor_quality(seg10(s, d).select("clip_id", "t", "score"), seg10b(s, d), seg10(s, d), 2, [0, 1, 2], 10, 7).withColumn("recall", R6("recall")), None),
     "q02_long_quality": (
         lambda s, d: A.recall(seg10(s, d).where("gt <> 0"), K.top_k(seg10(s, d), 3), [0, 1, 2], 10).select("delta", "clips", R6("recall").alias("recall")),
@@ -180,6 +210,14 @@ QUERIES = {
 }
 
 
+def _answers(s, d):
+    """(method, clip_id, correct): whether the seconds that a method selects hold an event of the clip."""
+    picked = Q.select_by_method(_by_method(s, d).withColumn("score", R6("score")), 2, 6, 0.5, 1, 10)
+    truth = seg10(s, d).select("clip_id", "t", "gt")
+    events = truth.where("gt <> 0").select("clip_id").distinct()
+    return picked.join(events, "clip_id", "left_semi").join(truth, ["clip_id", "t"], "left").groupBy("method", "clip_id").agg(F.max(F.coalesce("gt", F.lit(0))).alias("correct"))
+
+
 def _clip_deltas(s, d):
     by = Q.plan_proxy(_plans(s, d), seg10(s, d)).groupBy("clip_id").agg(*[F.max(F.when(F.col("baseline") == b, F.col("acc"))).alias(b) for b in ("anchored", "uniform")])
     return by.select(F.lit("all").alias("all"), "clip_id", (F.col("anchored") - F.col("uniform")).alias("delta"))

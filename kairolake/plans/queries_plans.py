@@ -125,10 +125,6 @@ QUERIES = {
         _sql(f"""select clip_id, t, round({MM}, 6) as score from (select clip_id, t, x.s * (0.5 + 0.5 * y.s) as score from (select clip_id, t, {MM} as s from seg window w as (partition by clip_id)) x
         join (select clip_id, t, {MM} as s from segb window w as (partition by clip_id)) y using (clip_id, t)) window w as (partition by clip_id)"""),
     ),
-    "f13_scores_by_method": (
-        lambda s, d: S.by_method(audio=seg10(s, d), visual=seg10b(s, d), fused=T.fuse(seg10(s, d), seg10b(s, d))).groupBy("method").agg(F.count(F.lit(1)).alias("n"), R6(F.avg("score")).alias("mean")),
-        _sql("select 'audio' as method, count(*) as n, round(avg(score), 6) as mean from seg union all select 'visual', count(*), round(avg(score), 6) from segb union all select 'fused', count(*), round(avg(greatest(coalesce(seg.score, 0), coalesce(segb.score, 0))), 6) from seg full join segb using (clip_id, t)"),
-    ),
     "f14_frame_manifest": (
         lambda s, d: S.frame_manifest(K.top_k(seg10(s, d), 4)).select("clip_id", F.col("order").alias("pos"), "t"),
         f"with {SEG}, {RANK} select clip_id, cast(row_number() over (partition by clip_id order by t) - 1 as int) as pos, t from rk where r <= 4",

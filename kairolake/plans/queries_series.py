@@ -281,8 +281,9 @@ QUERIES = {
         f"with {_logits_sql()}, {_softmax_sql('lg', 'pa')} select clip_id, t, round(1 - p, 6) as score from pa where class = 0",
     ),
     "t32_side_features": (
-        lambda s, d: T.side_features(seg10(s, d), seg10b(s, d)).select("clip_id", "t", R6(F.get("features", F.lit(0))).alias("f0"), R6(F.get("features", F.lit(1))).alias("f1")),
-        _sql(f"select x.clip_id, x.t, round(x.s, 6) as f0, round(coalesce(segb.score, 0), 6) as f1 from (select clip_id, t, {MM} as s from seg window w as (partition by clip_id)) x left join segb using (clip_id, t)"),
+        lambda s, d: T.side_features(seg10(s, d), seg10b(s, d), T.delta(seg10(s, d)), T.smooth(seg10(s, d), 3)).select("clip_id", "t", *[R6(F.get("features", F.lit(i))).alias(f"f{i}") for i in range(4)]),
+        _sql(f"""select x.clip_id, x.t, round(x.s, 6) as f0, round(coalesce(segb.score, 0), 6) as f1, round(x.d, 6) as f2, round(x.m, 6) as f3 from (select clip_id, t, {MM} as s, coalesce(abs(score - lag(score) over (partition by clip_id order by t)), 0) as d, avg(score) over (partition by clip_id order by t rows between 1 preceding and 1 following) as m
+        from seg window w as (partition by clip_id)) x left join segb using (clip_id, t)"""),
     ),
     "c01_c05_confidence": (
         lambda s, d: C.confidence(seg10(s, d)).select("clip_id", *[R6(m).alias(m) for m in C.METRICS]),

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import give_back, materialize, table
 
 
 @dataclass(frozen=True)
@@ -51,13 +51,13 @@ class AnnIndex:
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k most similar other rows of unit vectors, block by block."""
-    out = []
-    for i in range(0, len(x), 512):
-        s = x[i : i + 512] @ x.T
-        s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
-        k_ = min(k, len(x) - 1)
-        out.append(np.argpartition(-s, k_ - 1, axis=1)[:, :k_] if k_ else np.zeros((len(s), 0), np.int64))
-    return np.concatenate(out) if out else np.zeros((0, 0), np.int64)
+    x, out, k = x.astype(np.float32), [], min(k, len(x) - 1)
+    for i in range(0, len(x), 256):
+        s = x @ x[i : i + 256].T
+        s = np.negative(s, out=s).T
+        s[np.arange(len(s)), np.arange(i, i + len(s))] = np.inf
+        out.append(np.argpartition(s, k - 1, axis=1)[:, :k].astype(np.int32) if k else np.zeros((len(s), 0), np.int32))
+    return np.concatenate(out) if out else np.zeros((0, 0), np.int32)
 
 
 def _bisect(nodes: np.ndarray, a: np.ndarray, b: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -164,9 +164,14 @@ def fit(rows: DataFrame, n: int, cfg: AnnConfig) -> list[np.ndarray] | None:
     x = _unit(sample["v"])
     graph = neighbour_graph(x, cfg.neighbours)
     part = balanced_parts(graph, parts, cfg.seed)
-    target = np.eye(parts)[part]
-    target = 0.5 * target + 0.5 * target[graph].mean(axis=1)
-    return train_router(x, target, cfg)
+    target, row = np.zeros((len(x), parts)), np.arange(len(x))
+    target[row, part] = 0.5
+    for j in range(graph.shape[1]):  # half for the own part, half for the neighbours'
+        target[row, part[graph[:, j]]] += 0.5 / graph.shape[1]
+    weights = train_router(x, target, cfg)
+    del sample, graph, target
+    give_back()
+    return weights
 
 
 def _visited(x: np.ndarray, weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

@@ -228,9 +228,10 @@ def pareto(points: DataFrame, cost: str, gain: str) -> DataFrame:
 
 
 def pick_config(rows: DataFrame, top: int = 3, max_p: float = 0.05) -> DataFrame:
-    """(config, delta, p, pick): positive deltas with a small p first, then positive ones, then the rest, by delta."""
+    """(config, delta, p, pick): positive deltas with a small p first, then positive ones, then the rest, by delta.
+    Both are compared to nine digits, so that configurations that do the same are tied whatever order their sums had."""
     tier = F.when((F.col("delta") > 0) & (F.col("p") < max_p), 0).when(F.col("delta") > 0, 1).otherwise(2)
-    return rows.withColumn("pick", F.row_number().over(Window.orderBy(tier, F.desc("delta"), "p", "config"))).where(F.col("pick") <= top)
+    return rows.withColumn("pick", F.row_number().over(Window.orderBy(tier, F.round("delta", 9).desc(), F.round("p", 9), "config"))).where(F.col("pick") <= top)
 
 
 def alpha_floor(rows: DataFrame, alpha: float) -> DataFrame:

@@ -115,12 +115,12 @@ QUERIES = {
     "q06_promoted": (
         lambda s, d: A.pick_config(_sweep(s, d).select("config", "delta", "p")).select("config", R6("delta").alias("delta"), R6("p").alias("p"), "pick"),
         f"""with {SEG}, {SWEEP}, {t_sql('pr', 'config', 'dlt')} select config, round(delta, 6) as delta, round(p, 6) as p, cast(r as int) as pick
-        from (select *, row_number() over (order by case when delta > 0 and p < 0.05 then 0 when delta > 0 then 1 else 2 end, delta desc, p, config) as r from tt) where r <= 3""",
+        from (select *, row_number() over (order by case when delta > 0 and p < 0.05 then 0 when delta > 0 then 1 else 2 end, round(delta, 9) desc, round(p, 9), config) as r from tt) where r <= 3""",
     ),
     "q06_reproduced": (
         lambda s, d: Q.promoted_on_test(seg10(s, d), seg10(s, d), _configs(s), 10, F.col("clip_id") % 2 == 1).select("config", R6("val_delta").alias("val_delta"), R6("test_delta").alias("test_delta"), "test_n"),
         f"""with {SEG}, {SWEEP}, va as (select * from pr where clip_id % 2 = 0), {t_sql('va', 'config', 'dlt')},
-        pk as (select config, delta from tt order by case when delta > 0 and p < 0.05 then 0 when delta > 0 then 1 else 2 end, delta desc, p, config limit 1)
+        pk as (select config, delta from tt order by case when delta > 0 and p < 0.05 then 0 when delta > 0 then 1 else 2 end, round(delta, 9) desc, round(p, 9), config limit 1)
         select pr.config, round(max(pk.delta), 6) as val_delta, round(avg(dlt), 6) as test_delta, count(*) as test_n from pr join pk on pk.config = pr.config where clip_id % 2 = 1 group by 1""",
     ),
     "q07_oracle_ceiling": (

@@ -324,7 +324,7 @@ QUERIES = {
     "a28_config_pick": (
         lambda s, d: A.pick_config(_deltas(s, d)).select("config", R6("delta").alias("delta"), R6("p").alias("p"), "pick"),
         f"""with {RESULTS}, {SEEDS}, {DELTAS}, {t_sql('dd', 'config', 'd')}
-        select config, round(delta, 6) as delta, round(p, 6) as p, cast(r as int) as pick from (select *, row_number() over (order by case when delta > 0 and p < 0.05 then 0 when delta > 0 then 1 else 2 end, delta desc, p, config) as r from tt) where r <= 3""",
+        select config, round(delta, 6) as delta, round(p, 6) as p, cast(r as int) as pick from (select *, row_number() over (order by case when delta > 0 and p < 0.05 then 0 when delta > 0 then 1 else 2 end, round(delta, 9) desc, round(p, 9), config) as r from tt) where r <= 3""",
     ),
     "a29_degradation_table": (
         lambda s, d: recall_grid(seg10(s, d), grid_cells(s), 2, [0, 1, 2], 10, 7).select("shift", "snr", "silence", "delta", R6("recall").alias("recall")),

@@ -10,7 +10,7 @@ from ..operators import perturb as D
 from ..operators import series as T
 from ..operators import text as X
 from ..sources import readers as R
-from ..views import SEG, SEGB, seg10, seg10b, table
+from ..views import SEG, seg10, seg10b, table
 from .queries_series import INTERVALS, MM, R6, SAMPLES, VEC, _intervals, _samples, _vectors
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, frugal, hash_words, join_heavy_apart, materialize, mix, slices, split_words
+from .common import U64, frugal, give_back, hash_words, join_heavy_apart, materialize, mix, slices, split_words
 from .graph import connected_components
 
 
@@ -164,7 +164,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, cfg: NearDedupConfig) -> Da
                 _, keep = plausible(cfg, f["n_a"].to_numpy(), f["n_b"].to_numpy(), (x > y).sum(axis=1), (x < y).sum(axis=1))
                 yield f.loc[keep, ["a", "b"]]
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(frugal(run), "a long, b long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, cfg: NearDedupConfig, text: str, id_col: str) -> DataFrame:
@@ -242,7 +242,10 @@ def _within_groups(members: DataFrame, cfg: NearDedupConfig) -> DataFrame:
     def with_hub(frame: pd.DataFrame) -> pd.DataFrame:
         hub = int(frame["grp"].iloc[0])
         left, right = frame[frame["rep"] != hub], frame[frame["rep"] == hub]
-        return pd.DataFrame(_forest(cfg, left, right, False, hub) if len(left) else [], columns=["a", "b"])
+        found = _forest(cfg, left, right, False, hub) if len(left) else []
+        if len(frame) > 500:
+            give_back()
+        return pd.DataFrame(found, columns=["a", "b"])
 
     cut = _cut(members, cfg, "blk")
     hubs = cut.where("rep = grp").select("grp", *columns, every("blks").alias("blk"))
@@ -265,6 +268,8 @@ def _within_groups(members: DataFrame, cfg: NearDedupConfig) -> DataFrame:
             found = _forest(cfg, left, left, True)
         else:
             found = _forest(cfg, left, right, False) if len(left) and len(right) else []
+        if len(frame) > 500:
+            give_back()
         return pd.DataFrame(found, columns=["a", "b"])
 
     pairs = among.unionByName(to_left).unionByName(to_right).groupBy("grp", "to_hub", "p", "q").applyInPandas(run, "a long, b long")

@@ -16,9 +16,9 @@ from .common import slices
 #: Token id appended to each document.
 END_ID = 1
 #: Bytes of text whose distinct words are encoded together; nothing is remembered beyond them.
-TOGETHER = 16 << 20
+TOGETHER = 4 << 20
 #: Ids of whole texts that are put together at a time, about.
-IDS = 1 << 20
+IDS = 1 << 18
 #: A small letter of the older Latin, Greek and Cyrillic blocks before signs that close a word.
 _CLOSED = r"([a-z\x{df}-\x{f6}\x{f8}-\x{17f}\x{3b1}-\x{3c9}\x{430}-\x{45f}])[!-/:-@\[-`{-~]+$"
 

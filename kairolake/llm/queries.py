@@ -16,6 +16,9 @@ _QUERIES = {
     "op8_toxicity": "toxicity",
     "op9_line_dedup": "line_dedup",
     "op10_language_id": "langid",
+    "op11_vector_codes": "vector_codes",
+    "op12_fill_in_middle": "fim",
+    "op13_url_filter": "url_filter",
 }
 
 
@@ -25,7 +28,9 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     from .exact_dedup import SQL as exact
-
+    from .fim import SQL as middles
     from .line_dedup import SQL as lines
+    from .url_filter import SQL as urls
+    from .vector_codes import SQL as codes
 
-    return {**exact, **lines}
+    return {**exact, **lines, **codes, **middles, **urls}

@@ -1,55 +1,98 @@
 """Learned scores and heads on (clip_id, t, features array, label).
 
-Features are written once before a fit, so that its passes read a table instead of repeating the plan that made it."""
+Features are written once before a fit, so that its passes read a table instead of repeating the plan that made it.
+What a fit gives are plain numbers, and rows are scored by column expressions: no fitted object is part of a plan."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.pipeline import Pipeline
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shared import stored
+from .heads import Head, fit_heads, logit
 
 
-def _vectors(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("raw", array_to_vector("features")).drop("features")
+class Perceptron(NamedTuple):
+    """(weights, bias) of each layer on the features as they are; the layers but the last end in a logistic curve."""
 
+    layers: list[tuple[np.ndarray, np.ndarray]]
 
-def weighted(rows: DataFrame) -> DataFrame:
-    """Adds ``w``: positives weigh as much as negatives in all. The ratio is one number, read before."""
-    negative, positive = rows.agg(F.sum((F.col("label") == 0).cast("double")), F.sum((F.col("label") != 0).cast("double"))).first()
-    return rows.withColumn("w", F.when(F.col("label") != 0, float(negative / positive) if positive and negative else 1.0).otherwise(1.0))
 
-
-def logistic(rows: DataFrame, iterations: int = 30) -> PipelineModel:
+def logistic(rows: DataFrame, iterations: int = 30) -> Head:
     """Standardised, class-weighted logistic regression."""
-    scale = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True)
-    return Pipeline(stages=[scale, LogisticRegression(featuresCol="scaled", weightCol="w", maxIter=iterations, regParam=1e-3)]).fit(_vectors(weighted(stored(rows, "fit"))))
+    fitted = fit_heads(rows.select(F.lit(0).alias("g"), "features", (F.col("label") != 0).cast("double").alias("y"), F.array(F.lit(1.0)).alias("member")), 1, iterations)
+    if not fitted:
+        raise ValueError("no row to fit on")
+    return fitted[0][0]
+
 
+def _moments(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of each feature; constant ones have deviation 1."""
+    sums = rows.agg(*[f(F.col("features")[i]) for f in (F.avg, F.stddev_pop) for i in range(width)]).first()
+    mean, spread = np.array(sums[:width], float), np.array(sums[width:], float)
+    return mean, np.where(spread > 1e-12, spread, 1.0)
 
-def mlp(rows: DataFrame, layers: list[int], iterations: int = 30, seed: int = 1) -> PipelineModel:
+
+def mlp(rows: DataFrame, layers: list[int], iterations: int = 30, seed: int = 1) -> Perceptron:
     """Multilayer perceptron on standardised features; one row a second."""
-    scale = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True)
-    return Pipeline(stages=[scale, MultilayerPerceptronClassifier(featuresCol="scaled", layers=layers, maxIter=iterations, seed=seed)]).fit(_vectors(stored(rows, "fit")))
+    ready = stored(rows.select("features", F.col("label").cast("double").alias("label")), "fit")
+    mean, scale = _moments(ready, layers[0])
+    lists = [F.array(*map(F.lit, x.tolist())) for x in (mean, scale)]
+    shifted = F.zip_with(F.zip_with("features", lists[0], lambda a, m: a - m), lists[1], lambda a, s: a / s)
+    fitted = MultilayerPerceptronClassifier(featuresCol="scaled", layers=layers, maxIter=iterations, seed=seed).fit(ready.select("label", array_to_vector(shifted).alias("scaled")))
+    flat, out, at = fitted.weights.toArray(), [], 0
+    for a, b in zip(layers[:-1], layers[1:], strict=True):
+        out.append((flat[at : at + a * b].reshape(a, b).T, flat[at + a * b : at + a * b + b]))
+        at += a * b + b
+    first, bias = out[0]
+    out[0] = (first / scale, bias - first @ (mean / scale))
+    return Perceptron(out)
+
+
+def _layer(x: Column, weights: np.ndarray, bias: np.ndarray) -> Column:
+    return F.array(*[logit(x, Head(w, float(b))) for w, b in zip(weights, bias, strict=True)])
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _softmax(odds: Column) -> Column:
+    lifted = lambda o: _let(F.array_max(o), lambda m: F.transform(o, lambda v: F.exp(v - m)))
+    share = lambda e: _let(F.aggregate(e, F.lit(0.0), lambda s, u: s + u), lambda total: F.transform(e, lambda v: v / total))
+    return _let(odds, lambda o: _let(lifted(o), share))
+
+
+def chances(model: Head | Perceptron, features: Column) -> Column:
+    """Probabilities of all classes as an array."""
+    if isinstance(model, Head):
+        return _let(1 / (1 + F.exp(-logit(features, model))), lambda p: F.array(1 - p, p))
+
+    def forward(x: Column, layers: list[tuple[np.ndarray, np.ndarray]]) -> Column:
+        if len(layers) == 1:
+            return _softmax(_layer(x, *layers[0]))
+        return _let(F.transform(_layer(x, *layers[0]), lambda v: 1 / (1 + F.exp(-v))), lambda h: forward(h, layers[1:]))
+
+    return forward(features, model.layers)
 
 
-def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def predict(model: Head | Perceptron, rows: DataFrame) -> DataFrame:
     """Adds ``p``, the probability of class 1."""
-    return model.transform(_vectors(rows)).withColumn("p", vector_to_array("probability")[1]).drop("raw", "scaled", "rawPrediction", "probability")
+    return rows.withColumn("p", chances(model, F.col("features"))[1]).drop("features")
 
 
-def predict_class(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def predict_class(model: Head | Perceptron, rows: DataFrame) -> DataFrame:
     """Adds ``chance``, the probabilities of all classes; ``prediction`` is the largest one's class."""
-    return model.transform(_vectors(rows)).withColumn("chance", vector_to_array("probability")).drop("raw", "scaled", "rawPrediction", "probability")
+    rows = rows.withColumn("chance", chances(model, F.col("features"))).drop("features")
+    return rows.withColumn("prediction", (F.array_position("chance", F.array_max("chance")) - 1).cast("double"))
 
 
 def gate_rows(rows: DataFrame, condition, least: int = 64) -> DataFrame | None:
@@ -141,7 +184,22 @@ def multilabel(features: DataFrame, labels: DataFrame, rounds: int = 8, ridge: f
     return rows.select("clip_id", "features").mapInPandas(score, f"clip_id {kind}, label string, p double")
 
 
-def regress(rows: DataFrame) -> DataFrame:
-    """Adds ``prediction`` of a linear regression on a real label."""
-    vectors = _vectors(stored(rows, "fit"))
-    return LinearRegression(featuresCol="raw", maxIter=30, regParam=1e-3).fit(vectors).transform(vectors).drop("raw")
+def regress(rows: DataFrame, ridge: float = 1e-3) -> DataFrame:
+    """Adds ``prediction`` of a linear regression on a real label: least squares on standardised features with a
+    ridge, solved from sums that each task adds up. No row gives no row."""
+    ready = stored(rows, "fit")
+    first = ready.select(F.size("features")).first()
+    if first is None:
+        return ready.withColumn("prediction", F.lit(None).cast("double")).drop("features")
+    mean, scale = _moments(ready, first[0])
+
+    def sums(frame: pd.DataFrame) -> np.ndarray:
+        x = np.column_stack([(np.stack(frame["features"]) - mean) / scale, np.ones(len(frame))])
+        return np.concatenate([(x.T @ x).ravel(), x.T @ frame["label"].to_numpy(float), [len(x)]])
+
+    d = first[0] + 1
+    total = _summed(ready, ["features", "label"], sums)
+    n = total[-1]
+    w = np.linalg.solve(total[: d * d].reshape(d, d) / n + np.diag([ridge] * (d - 1) + [0.0]), total[d * d : -1] / n)
+    head = Head(w[:-1] / scale, float(w[-1] - w[:-1] @ (mean / scale)))
+    return ready.withColumn("prediction", logit(F.col("features"), head)).drop("features")

@@ -58,7 +58,7 @@ def t_two_sided(t: Column, df: Column) -> Column:
     c, s = F.cos(theta), F.sin(theta)
     # odd df: 2/pi (theta + sin * sum of even products); even df: sin * sum; terms grow by (k-1)/k * cos^2
     even = df % 2 == 0
-    steps = F.when((df >= 3) & (df <= T_TERMS), F.sequence(F.when(even, F.lit(2)).otherwise(F.lit(3)), F.greatest(df - 2, F.lit(2)).cast("int"), F.lit(2)))
+    steps = F.when((df >= 3) & (df <= T_TERMS), F.sequence(F.when(even, F.lit(2)).otherwise(F.lit(3)), F.greatest(df - 2, F.lit(3)).cast("int"), F.lit(2)))
     first = F.when(even, F.lit(1.0)).otherwise(c)
     state = F.struct(first.alias("term"), first.alias("sum"))
     grow = lambda acc, k: F.struct((acc["term"] * c * c * (k - 1) / k).alias("term"), (acc["sum"] + acc["term"] * c * c * (k - 1) / k).alias("sum"))

@@ -10,7 +10,6 @@ from ..operators import anchors as K
 from ..operators import budget as B
 from ..operators import confidence as C
 from ..operators import joins as J
-from ..operators import learned as M
 from ..operators import perturb as D
 from ..operators import seconds as S
 from ..operators import series as T
@@ -98,23 +97,6 @@ def baseline_plans(scores: DataFrame, truth: DataFrame, k: int, n: int, seed: in
     return out
 
 
-def equal_budget_accuracy(plans: DataFrame, features: DataFrame, truth: DataFrame, seeds: int, train) -> DataFrame:
-    """(seed, baseline, clip_id, acc): per-clip accuracy of a head that is fitted on each baseline's features.
-
-    ``features(clip_id, t, resolution, features)``; ``train``: condition on clip_id for the fitting clips. Heads
-    differ by seed through a hash-chosen nine tenths of the fitting clips."""
-    rows = plans.join(features, ["clip_id", "t", "resolution"]).join(truth.select("clip_id", "t", F.col("gt").alias("label")), ["clip_id", "t"])
-    rows, out = stored(rows, "heads"), None
-    for baseline in ("uniform", "random", "anchored", "oracle"):
-        mine = rows.where(F.col("baseline") == baseline).select("clip_id", "t", "features", "label")
-        for seed in range(seeds):
-            model = M.logistic(mine.where(train & (K.hash_uniform(str(seed), F.col("clip_id")) < 0.9)), iterations=10)
-            scored = M.predict(model, mine.where(~train)).groupBy("clip_id").agg(F.avg(((F.col("p") >= 0.5).cast("int") == F.col("label")).cast("double")).alias("acc"))
-            more = scored.select(F.lit(seed).alias("seed"), F.lit(baseline).alias("baseline"), "clip_id", "acc")
-            out = more if out is None else out.unionByName(more)
-    return out
-
-
 def plan_proxy(plans: DataFrame, truth: DataFrame) -> DataFrame:
     """(baseline, clip_id, acc): share of the clip's tokens that its event seconds get; a cheap stand-in for a head
     in sweeps (clips without events are left out)."""

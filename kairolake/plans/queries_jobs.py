@@ -22,13 +22,6 @@ def _plans(s, d):
     return Q.baseline_plans(seg10(s, d), seg10(s, d), 2, 10, 7)
 
 
-def _features(s, d):
-    """Embedding stand-in by resolution: scores seen through noise that falls with it."""
-    rows = seg10(s, d).select("clip_id", "t", "score", F.explode(F.array(*map(F.lit, (160, 224, 352)))).alias("resolution"))
-    noise = K.hash_uniform("feat", F.col("clip_id"), F.col("t"), F.col("resolution")) * 400 / F.col("resolution")
-    return rows.select("clip_id", "t", "resolution", F.array(F.col("score") + noise, F.col("resolution") / 100.0).alias("features"))
-
-
 def _configs(s):
     return s.range(50).select(F.col("id").cast("int").alias("config"), (F.col("id") % 4 + 1).cast("int").alias("k"), (F.col("id") * 0.05).alias("threshold"))
 
@@ -109,8 +102,6 @@ QUERIES = {
         c as (select clip_id, t from (select *, row_number() over (partition by clip_id order by p, t) as r from f) where r <= 7)
         select c.clip_id, cast(row_number() over (partition by c.clip_id order by c.t) - 1 as int) as pos, cast(c.t as int) as t, an.t is not null as is_anchor from c left join an on an.clip_id = c.clip_id and an.t = c.t""",
     ),
-    "q05_equal_budget": (lambda s, d: Q.equal_budget_accuracy(_plans(s, d), _features(s, d), seg10(s, d), 2, F.col("clip_id") % 2 == 0).groupBy("seed", "baseline").agg(F.count(F.lit(1)).alias("n"), F.avg("acc").alias("acc")), None),
-    "q05_pairs": (lambda s, d: Q.paired_by_clip(stored(Q.equal_budget_accuracy(_plans(s, d), _features(s, d), seg10(s, d), 2, F.col("clip_id") % 2 == 0), "accuracy")), None),
     "q06_config_sweep": (lambda s, d: _sweep(s, d).select("config", "n", R6("delta").alias("delta")), f"with {SEG}, {SWEEP} {SWEPT}"),
     "q06_promoted": (
         lambda s, d: A.pick_config(_sweep(s, d).select("config", "delta", "p")).select("config", R6("delta").alias("delta"), R6("p").alias("p"), "pick"),

@@ -11,6 +11,7 @@ from ..operators import series as T
 from ..operators import text as X
 from ..sources import readers as R
 from ..views import SEG, seg10, seg10b, table
+from .queries_heads import _labelled
 from .queries_series import INTERVALS, MM, R6, SAMPLES, VEC, _intervals, _samples, _vectors
 
 
@@ -53,16 +54,6 @@ def _annotations(s, d):
     return _roundtrip(s, d, "annotations", lambda p: head.union(rows).write.text(p), lambda p: R.annotations(s, p))
 
 
-def _labelled(s, d):
-    """Features and the event flag of each second."""
-    return T.delta(seg10(s, d)).select("clip_id", "t", F.col("score").alias("d")).join(seg10(s, d), ["clip_id", "t"]).join(seg10b(s, d).select("clip_id", "t", F.col("score").alias("b")), ["clip_id", "t"]).select("clip_id", "t", F.array("score", "d", "b").alias("features"), F.col("gt").alias("label"))
-
-
-def _predicted(rows, fit):
-    """(clip_id, t, label, p): fitted on the clips with even ids, answered for all."""
-    return M.predict(fit(rows.where("clip_id % 2 = 0")), rows).select("clip_id", "t", "label", "p")
-
-
 def _segment_head(s, d):
     """(clip_id, t, label, prediction): the class of each second, which is its most frequent kind of event."""
     kinds = table(s, d, "events").groupBy(F.col("user_id").alias("clip_id"), F.floor(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) / 3).cast("int").alias("t"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("v"))
@@ -79,11 +70,6 @@ def _clip_labels(s, d):
     return kinds.join(kinds.groupBy("clip_id").agg(F.sum("n").alias("all")), "clip_id").where("n > 0.2 * all").select("clip_id", "label")
 
 
-def _usefulness(s, d):
-    """Features of a second and what the views and clicks alone add to its score."""
-    return _labelled(s, d).select("clip_id", "t", "features", (F.col("features")[0] - 0.5 * F.col("features")[2] + 0.1 * F.col("label")).alias("label"))
-
-
 QUERIES = {
     "x01_tokens": (lambda s, d: table(s, d, "documents").select("doc_id", F.size(X.tokens(F.col("text"))).alias("n")), f"select doc_id, cast(len({TOK}) as int) as n from documents"),
     "x02_tfidf": (lambda s, d: X.tfidf_relevance(_texts(s, d), _query(s, d)).withColumn("score", R6("score")), f"with {TFIDF}"),
@@ -184,10 +170,6 @@ QUERIES = {
         lambda s, d: R.remaining(table(s, d, "documents").select("doc_id", F.lit("m").alias("method")), table(s, d, "labels").select("doc_id", F.lit("m").alias("method")), ["doc_id", "method"], ["m"]).select("doc_id"),
         "select doc_id from documents where doc_id not in (select doc_id from labels)",
     ),
-    "m01_logistic_eventness": (lambda s, d: _predicted(_labelled(s, d), M.logistic), None),
-    "m02_mlp_eventness": (lambda s, d: _predicted(_labelled(s, d), lambda rows: M.mlp(rows, [3, 8, 2])), None),
     "m04_segment_head": (_segment_head, None),
-    "m05_temporal_head": (lambda s, d: _predicted(M.with_context(_labelled(s, d), 1), lambda rows: M.mlp(rows, [9, 8, 2])), None),
     "m06_multilabel_head": (lambda s, d: M.multilabel(M.pooled(_labelled(s, d)), _clip_labels(s, d)).join(_clip_labels(s, d).withColumn("hot", F.lit(1)), ["clip_id", "label"], "left").fillna(0, ["hot"]).select("clip_id", "label", "hot", "p"), None),
-    "m07_usefulness_regressor": (lambda s, d: M.regress(_usefulness(s, d)).select("clip_id", "t", "label", "prediction"), None),
 }

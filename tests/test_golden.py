@@ -1,5 +1,6 @@
 """Golden values and rules on literal frames, against plain Python where the rule is a loop."""
 
+import math
 import random
 
 import numpy as np
@@ -278,3 +279,13 @@ def test_relaxed_allocation_against_a_loop(spark):
                 room, done[w] = room - more, x
         want = {w: done.get(w, pick[w])[1] for w, _ in mine}
         assert {r.window_id: round(r.cost, 6) for r in got[got["plan_id"] == plan].itertuples()} == {w: round(c, 6) for w, c in want.items()}
+
+
+def test_t_for_every_small_sample(spark):
+    """Two-sided p for 1 to 12 degrees of freedom against the density summed up."""
+    for df in range(1, 13):
+        for t in (0.0, 0.7, 2.5):
+            x = np.linspace(0, t, 20001)
+            f = (1 + x * x / df) ** (-(df + 1) / 2) * math.gamma((df + 1) / 2) / (math.sqrt(df * math.pi) * math.gamma(df / 2))
+            got = spark.range(1).select(A.t_two_sided(F.lit(t), F.lit(df))).first()[0]
+            assert abs(got - (1 - 2 * np.trapezoid(f, x))) < 1e-7, (df, t)

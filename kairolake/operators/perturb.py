@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import hash_uniform
-from .series import by_clip, minmax
+from .series import EPS, by_clip, minmax
 
 
 def gaussian(*key: Column | str) -> Column:
@@ -85,6 +85,37 @@ def degraded_shares(scores: DataFrame, cells: DataFrame, k: int, n: int, seed: i
     return grid.groupBy("shift", "snr", "silence").agg(F.avg(hit).alias("anchored"), F.avg(F.size("truth") / n).alias("uniform"))
 
 
+def degraded_energy(samples: DataFrame, cells: list[tuple[float, float, float]], rate: int, n: int, seed: int) -> DataFrame:
+    """(cell, clip_id, t, score): the log-energy of the first ``n`` seconds of every clip after a shift by some seconds,
+    noise at a signal-to-noise ratio and a run of silence, for each (shift, snr, silence) of ``cells``, ``cell`` being
+    its place in the list; what ``shift_samples``, ``add_noise``, ``silence`` and the energy give cell by cell.
+
+    ``samples(clip_id, idx, amp)`` have each idx from 0 once; a null amplitude counts as 0. Samples are read once: a
+    second's energy is sum x^2 + 2 s sum x z + s^2 sum z^2 with noise z of deviation s, so three sums a shift and a
+    silence ratio, added up before anything is shuffled, serve every ratio of signal to noise. Only the distinct shifts
+    multiply the samples; no clip has to fit in a task."""
+    shifts, ratios = sorted({0, *(round(c[0] * rate) for c in cells)}), sorted({c[2] for c in cells})
+    size = samples.groupBy("clip_id").agg(F.count(F.lit(1)).alias("size"))
+    length = lambda r: F.least(F.col("size"), F.round(F.col("size") * r).cast("long"))
+    first = size.withColumn("draw", hash_uniform(str(seed), F.col("clip_id")))
+    runs = first.select("clip_id", "size", *[F.floor(F.col("draw") * (F.col("size") - length(r) + 1)).alias(f"from{i}") for i, r in enumerate(ratios)], *[length(r).alias(f"len{i}") for i, r in enumerate(ratios)])
+    moved = samples.join(runs, "clip_id").withColumn("shift", F.explode(F.array(*map(F.lit, shifts)))).withColumn("at", F.col("idx") + F.col("shift")).where((F.col("at") >= 0) & (F.col("at") < F.col("size")))
+    x = F.coalesce("amp", F.lit(0.0))
+    ready = moved.select("clip_id", "shift", "size", F.floor(F.col("at") / rate).cast("int").alias("t"), x.alias("x"), gaussian(str(seed), F.col("clip_id"), F.col("at")).alias("z"), *[((F.col("at") < F.col(f"from{i}")) | (F.col("at") >= F.col(f"from{i}") + F.col(f"len{i}"))).cast("double").alias(f"heard{i}") for i in range(len(ratios))])
+    product = lambda a, b, i: F.sum(F.col(a) * F.col(b) * F.col(f"heard{i}"))
+    heard = F.array(*[F.struct(product("x", "x", i).alias("xx"), product("x", "z", i).alias("xz"), product("z", "z", i).alias("zz")) for i in range(len(ratios))])
+    sums = ready.groupBy("clip_id", "shift", "t").agg(heard.alias("heard"), F.sum(F.col("x") * F.col("x")).alias("power"), F.first("size").alias("size"))
+    # a clip's few sums become one row, in which the cells, a small dimension, look theirs up
+    clips = sums.groupBy("clip_id").agg(F.first("size").alias("size"), F.map_from_entries(F.collect_list(F.struct(F.struct("shift", "t").alias("k"), F.struct("heard", "power").alias("v")))).alias("sums"))
+    table = samples.sparkSession.createDataFrame([(i, round(c[0] * rate), float(c[1]), ratios.index(c[2])) for i, c in enumerate(cells)], "cell int, shift int, snr double, ratio int")
+    powers = F.filter(F.map_entries("sums"), lambda e: e["key"]["shift"] == F.col("shift"))
+    level = F.sqrt(F.aggregate(powers, F.lit(0.0), lambda s, e: s + e["value"]["power"]) / F.col("size") + 1e-12) / F.pow(F.lit(10.0), F.col("snr") / 20)
+    grid = clips.crossJoin(F.broadcast(table)).withColumn("level", level).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    part = lambda shift, name: F.coalesce(F.get(F.element_at("sums", F.struct(shift.alias("shift"), F.col("t").alias("t")))["heard"], F.col("ratio"))[name], F.lit(0.0))
+    energy = part(F.col("shift"), "xx") + 2 * F.col("level") * part(F.col("shift"), "xz") + F.col("level") * F.col("level") * part(F.lit(0), "zz")
+    return grid.select("cell", "clip_id", "t", F.log(F.greatest(energy, F.lit(0.0)) / rate + EPS).alias("score"))
+
+
 def forced_uniform(clips: DataFrame, alpha: float, salt: str) -> DataFrame:
     """(clip_id, forced): which clips are made to use the uniform plan."""
     return clips.select("clip_id", (hash_uniform(F.col("clip_id"), salt) < alpha).alias("forced"))

@@ -16,6 +16,7 @@ from ..operators import budget as B
 from ..operators import confidence as C
 from ..operators import heads as H
 from ..operators import joins as J
+from ..operators import perturb as D
 from ..operators import stats as A
 
 #: Share of the fitting clips that each seed draws.
@@ -179,3 +180,66 @@ def pareto_grid(scores: DataFrame, truth: DataFrame, features: DataFrame, triads
     best = A.pareto(points.select("variant", "tokens", "acc"), "tokens", "acc").select("variant", F.lit(True).alias("frontier"))
     interval = A.bootstrap(means, ["variant"], "seed", "acc").select("variant", "n", "low", "high")
     return points.join(interval, "variant").join(best, "variant", "left").withColumn("frontier", F.coalesce("frontier", F.lit(False)))
+
+
+def _seed_means(answered: DataFrame, keys: list[str], seeds: int) -> DataFrame:
+    """Means of ``right``, one a seed, by the keys."""
+    return answered.groupBy(*keys).agg(F.array(*[F.avg(F.col("right")[s]) for s in range(seeds)]).alias("acc"))
+
+
+def sample_degradation(samples: DataFrame, truth: DataFrame, features: DataFrame, cells: list[tuple[float, float, float]], alphas: list[float], k: int, n: int, rate: int, seeds: int, train: Column, test: Column, threshold: float = 0.0, deltas: tuple[int, ...] = (0, 1, 2), triad: tuple[int, int, int] = (160, 224, 352), salt: str = "alpha", seed: int = 7) -> DataFrame:
+    """(cell, alpha, seed, acc_uniform, acc_random, acc_anchored, forced, fallback, recall_0, ...): what anchors are worth
+    when the samples they come from are shifted, noisy and partly silent.
+
+    Uniform, random and anchored heads are fitted on clean clips of ``train``. On the clips of ``test`` the anchors of
+    each cell come from its degraded samples; a clip whose degraded scores deviate less than ``threshold`` falls back to
+    the uniform plan, and so does the share ``alpha`` of all clips, drawn by hash. Recall counts the clips with events.
+    All figures come from one set of degraded scores; an alpha only picks between two accuracies of a clip."""
+    spark = samples.sparkSession
+    low, base, high = triad
+    scores = stored(D.degraded_energy(samples, [(0.0, float("inf"), 0.0), *cells], rate, n, seed), "degraded")
+    clean = scores.where("cell = 0").drop("cell")
+    variants = [Variant("uniform", "uniform", k, 0.0, triad), Variant("random", "random", k, 0.0, triad), Variant("anchored", "anchored", k, threshold, triad)]
+    rows = planned_rows(clean, truth, features, variants, n, seed=seed)
+    member = F.array(*[(K.hash_uniform(str(s), F.col("clip_id")) < DRAWN).cast("double") for s in range(seeds)])
+    heads = H.fit_heads(rows.where(train).select("g", "features", F.col("label").alias("y"), member.alias("member")), seeds)
+
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), F.col("t").alias("t")))), lambda p: p["t"])
+    best = scores.where(test & (F.col("cell") > 0)).groupBy("cell", "clip_id").agg(F.slice(in_order, 1, k).alias("anchors"), (F.stddev_pop("score") < threshold).alias("low"))
+    picks = stored(best.select("cell", "clip_id", F.when(F.col("low") & F.lit(threshold > 0), F.array().cast("array<int>")).otherwise(F.col("anchors")).alias("anchors"), (F.col("low") & F.lit(threshold > 0)).alias("fallback")), "picks")
+    plan = B.equal_budget_plan(picks.select(F.struct("cell", "clip_id").alias("clip_id"), "anchors"), n, low, base, high).select("clip_id.cell", "clip_id.clip_id", "t", "resolution")
+    degraded = plan.join(features, ["clip_id", "t", "resolution"]).join(truth.select("clip_id", "t", F.col("gt").alias("label")), ["clip_id", "t"])
+    known = rows.where(test).select("g", "clip_id", "features", "label")
+    uniform = known.where("g = 0")
+    asked = known.select("g", F.lit("own").alias("plan"), F.lit(0).alias("cell"), "clip_id", "features", "label")
+    asked = asked.unionByName(uniform.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("g"), F.lit("uniform").alias("plan"), F.lit(0).alias("cell"), "clip_id", "features", "label"))
+    asked = asked.unionByName(degraded.select(F.lit(2).alias("g"), F.lit("degraded").alias("plan"), "cell", "clip_id", "features", "label"))
+    right = F.transform("p", lambda p: ((p >= 0.5).cast("int") == F.col("label")).cast("double"))
+    acc = stored(_seed_means(H.scored(asked, heads).select("g", "plan", "cell", "clip_id", right.alias("right")), ["g", "plan", "cell", "clip_id"], seeds), "accuracy")
+    fixed = acc.where("plan <> 'degraded'").groupBy("clip_id").agg(*[F.first(F.when((F.col("g") == g) & (F.col("plan") == p), F.col("acc")), ignorenulls=True).alias(f"{v}_{p}") for g, v, p in ((0, "uniform", "own"), (1, "random", "own"), (1, "random", "uniform"), (2, "anchored", "uniform"))])
+
+    events = truth.where("gt <> 0").groupBy("clip_id").agg(F.collect_set(F.col("t").cast("int")).alias("events"))
+    share = lambda d: F.aggregate("events", F.lit(0.0), lambda a, t: a + F.exists("anchors", lambda u: F.abs(u - t) <= d).cast("double")) / F.size("events")
+    clips = picks.join(acc.where("plan = 'degraded'").select("cell", "clip_id", "acc"), ["cell", "clip_id"]).join(fixed, "clip_id").join(events, "clip_id", "left").select("*", *[share(d).alias(f"recall_{d}") for d in deltas])
+    grid = J.sweep(clips, spark.createDataFrame([(float(a),) for a in alphas], "alpha double"))
+    forced = K.hash_uniform(F.col("clip_id"), salt) < F.col("alpha")
+    grid = grid.select("cell", "alpha", forced.alias("forced"), "fallback", F.col("uniform_own").alias("u"), F.when(forced, F.col("random_uniform")).otherwise(F.col("random_own")).alias("r"), F.when(forced, F.col("anchored_uniform")).otherwise(F.col("acc")).alias("a"), *[F.when(forced & F.col(f"recall_{d}").isNotNull(), 0.0).otherwise(F.col(f"recall_{d}")).alias(f"recall_{d}") for d in deltas])
+    means = [F.array(*[F.struct(*[F.round(F.avg(F.col(c)[s]), 12).alias(f"acc_{name}") for c, name in (("u", "uniform"), ("r", "random"), ("a", "anchored"))]) for s in range(seeds)]).alias("seeds")]
+    by = grid.groupBy("cell", "alpha").agg(*means, F.avg(F.col("forced").cast("double")).alias("forced"), F.avg((F.col("fallback") & ~F.col("forced")).cast("double")).alias("fallback"), *[F.avg(f"recall_{d}").alias(f"recall_{d}") for d in deltas])
+    dims = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(cells, 1)], "cell int, shift double, snr double, silence double")
+    return by.join(F.broadcast(dims), "cell").select("shift", "snr", "silence", "alpha", F.posexplode("seeds").alias("seed", "s"), "forced", "fallback", *[f"recall_{d}" for d in deltas]).select("shift", "snr", "silence", "alpha", "seed", "s.*", "forced", "fallback", *[f"recall_{d}" for d in deltas])
+
+
+def degradation_report(rows: DataFrame) -> DataFrame:
+    """``sample_degradation`` by cell and alpha: mean accuracies over the seeds, deviation of the anchored one, and the
+    floor check: margin = anchored - alpha * uniform, ok if it isn't below 0."""
+    keys, kept = ["shift", "snr", "silence", "alpha"], [c for c in rows.columns if c in ("forced", "fallback") or c.startswith("recall_")]
+    by = rows.groupBy(*keys).agg(*[F.avg(f"acc_{v}").alias(v) for v in ("uniform", "random", "anchored")], F.coalesce(F.stddev_samp("acc_anchored"), F.lit(0.0)).alias("std"), *[F.first(c).alias(c) for c in kept])
+    margin = F.col("anchored") - F.col("alpha") * F.col("uniform")
+    return by.withColumn("margin", margin).withColumn("ok", margin >= -1e-8)
+
+
+def floor_summary(report: DataFrame, worst: int = 5) -> DataFrame:
+    """One row: rows, passes, fails, min_margin, and the ``worst`` failing cells by margin."""
+    failing = F.when(~F.col("ok"), F.struct("margin", "shift", "snr", "silence", "alpha"))
+    return report.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("ok").cast("long")).alias("passes"), F.sum((~F.col("ok")).cast("long")).alias("fails"), F.min("margin").alias("min_margin"), F.slice(F.array_sort(F.collect_list(failing)), 1, worst).alias("worst"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shared import stored
+from . import ranks as R
 from .anchors import hash_uniform
 from .joins import hits
 
@@ -147,9 +148,17 @@ def conflicts(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count_distinct(value).alias("values")).where("values > 1")
 
 
+#: Values that the second column of a coverage matrix may have.
+MATRIX_VALUES = 10_000
+
+
 def coverage_matrix(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b) combinations of the seen values that are missing."""
-    grid = rows.select(a).distinct().crossJoin(rows.select(b).distinct())
+    """(a, b) combinations of the seen values that are missing; ``b`` is a dimension (methods, say) of at most
+    ``MATRIX_VALUES`` values, which is checked, and ``a`` of any size."""
+    few = stored(rows.select(b).distinct(), "dimension")
+    if few.count() > MATRIX_VALUES:
+        raise ValueError(f"{b} has more than {MATRIX_VALUES} values")
+    grid = rows.select(a).distinct().crossJoin(F.broadcast(few))
     return grid.join(rows.select(a, b).distinct(), [a, b], "left_anti")
 
 
@@ -176,9 +185,17 @@ def prior_report(train: DataFrame, evaluated: DataFrame, methods: DataFrame) ->
 
 
 def average_ranks(rows: DataFrame, value: str, out: str, keys: list[str] | None = None) -> DataFrame:
-    """Ranks from 1, ties sharing their mean rank."""
-    by = Window.partitionBy(*(keys or []))
-    return rows.withColumn(out, F.rank().over(by.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*(keys or []), value)) - 1) / 2)
+    """Ranks from 1, ties sharing their mean rank; nulls come first. Keys too large for a window go by ranges."""
+    keys = keys or []
+    by = Window.partitionBy(*keys)
+    local = lambda own: own.withColumn(out, F.rank().over(by.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2)
+
+    def ranged(own: DataFrame) -> DataFrame:
+        counted = stored(own.groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n")), "values")
+        ranks = R.value_ranks(counted, keys, "__v", "__n", out)
+        return R.join_apart(own.withColumn("__v", F.col(value)), R.join_same(ranks, counted, [*keys, "__v"]), [*keys, "__v"], "__n").drop("__v")
+
+    return R.by_size(rows, keys, local, ranged)
 
 
 def _corr(x: str, y: str) -> Column:
@@ -186,12 +203,35 @@ def _corr(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def _ranged_correlations(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``correlations`` of x and y for large keys: equal pairs are counted first, ranks come from ranges of values."""
+    pairs = R.pair_ranks(rows, keys, "x", "y")
+    n, w = F.sum("c"), F.col("c")
+    means = stored(pairs.groupBy(*keys).agg(n.alias("n"), (F.sum(w * F.col("x")) / n).alias("mx"), (F.sum(w * F.col("y")) / n).alias("my")), "means")
+    joined = R.join_same(pairs, means, keys) if keys else pairs.crossJoin(F.broadcast(means))
+    middle = (F.col("n") + 1) / 2
+    spread = {"x": F.col("x") - F.col("mx"), "y": F.col("y") - F.col("my"), "rx": F.col("rx") - middle, "ry": F.col("ry") - middle}
+    product = lambda a, b: F.sum(w * spread[a] * spread[b])
+    r = lambda a, b: F.try_divide(product(a, b), F.sqrt(product(a, a)) * F.sqrt(product(b, b)))
+    flat = (F.sqrt(product("x", "x") / n) <= 1e-12) | (F.sqrt(product("y", "y") / n) <= 1e-12)
+    return joined.groupBy(*keys).agg(n.alias("n"), F.when(~flat, r("x", "y")).alias("pearson"), F.when(~flat, r("rx", "ry")).alias("spearman"))
+
+
 def correlations(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """(keys, n, pearson, spearman) over pairs without nulls; null under two pairs or without variance."""
-    fine = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_ranks(average_ranks(fine, x, "__x", keys), y, "__y", keys)
-    flat = (F.stddev_pop(x) <= 1e-12) | (F.stddev_pop(y) <= 1e-12)
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when(~flat, _corr(x, y)).alias("pearson"), F.when(~flat, _corr("__x", "__y")).alias("spearman"))
+    """(keys, n, pearson, spearman) over pairs of numbers that are neither null nor NaN nor infinite; null under two
+    pairs or without variance. Keys too large for a window go by ranges of values."""
+    far = float("inf")
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    fine = rows.where(a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b) & (F.abs(a) < far) & (F.abs(b) < far)).select(*keys, a.alias("x"), b.alias("y"))
+
+    def local(own: DataFrame) -> DataFrame:
+        by = Window.partitionBy(*keys)
+        rank = lambda c: F.rank().over(by.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2
+        flat = (F.stddev_pop("x") <= 1e-12) | (F.stddev_pop("y") <= 1e-12)
+        ranked = own.withColumns({"rx": rank("x"), "ry": rank("y")})
+        return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when(~flat, _corr("x", "y")).alias("pearson"), F.when(~flat, _corr("rx", "ry")).alias("spearman"))
+
+    return R.by_size(fine, keys, local, lambda own: _ranged_correlations(own, keys))
 
 
 def percentiles(rows: DataFrame, keys: list[str], value: str, ps: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
@@ -206,9 +246,12 @@ def histograms(rows: DataFrame, columns: list[str], value: str) -> DataFrame:
 
 def average_precision(rows: DataFrame) -> DataFrame:
     """(class, ap) of (class, item, y, score): mean precision at the positives, ties by item; classes without
-    positives are left out."""
+    positives are left out. Classes too large for a window go by ranges of (score, item)."""
+    found = F.coalesce((F.col("y") == 1).cast("long"), F.lit(0))
     order = Window.partitionBy("class").orderBy(F.desc("score"), "item")
-    ranked = rows.withColumn("r", F.row_number().over(order)).withColumn("tp", F.sum("y").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    local = lambda own: own.withColumn("r", F.row_number().over(order)).withColumn("tp", F.sum(found).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ranged = lambda own: R.running(own, ["class"], [F.desc("score"), F.asc("item")], {"r": F.lit(1), "tp": found})
+    ranked = R.by_size(rows.select("class", "item", "y", "score"), ["class"], local, ranged)
     return ranked.where("y = 1").groupBy("class").agg(F.avg(F.col("tp") / F.col("r")).alias("ap"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.shared import stored
+from ..functions.shared import scratch, stored
 from ..operators import anchors as K
 from ..operators import seconds as S
 from ..operators import stats as A
@@ -76,6 +76,8 @@ def _by_method(s, d):
     return S.by_method(**{m: Q.build_scores(m, audio, visual, kinds, query, kinds, asked, 7) for m in Q.METHODS})
 
 
+DAY = 86_400
+
 QUERIES = {
     "f13_scores_by_method": (lambda s, d: _by_method(s, d).withColumn("score", R6("score")), f"with {BY_METHOD} select method, clip_id, t, round(score, 6) as score from ms"),
     "q15_answers_by_method": (
@@ -194,6 +196,13 @@ QUERIES = {
         lambda s, d: W.run_once(s, W.tumbling_energy(W.event_stream(s, d), "3 days"), "energy").select("clip_id", "start", "n", R6("score").alias("score")),
         "select user_id as clip_id, time_bucket(interval '3 days', ts, timestamp '1970-01-01') as start, count(*) as n, round(ln(avg(value * value) + 1e-12), 6) as score from events group by 1, 2",
     ),
+    "stream_closed_anchors": (
+        lambda s, d: W.selected_once(s, W.closing_clips(W.event_stream(s, d), DAY, 10 * DAY), lambda rows: K.explode_anchors(K.select_anchors(rows, 2, 10, "nms", radius=1)), scratch(s, "stream-anchors"))[0].select("clip_id", "start", "rank", "t"),
+        f"""with sc as (select user_id as clip_id, time_bucket(interval '10 days', ts, timestamp '1970-01-01') as start, cast(date_diff('day', time_bucket(interval '10 days', ts, timestamp '1970-01-01'), cast(ts as date)) as int) as t, ln(avg(value * value) + 1e-12) as score from events group by 1, 2, 3),
+        r1 as (select *, row_number() over (partition by clip_id, start order by score desc, t) as r from sc where start + interval '10 days' <= (select max(ts) - interval '1 day' from events)),
+        a1 as (select clip_id, start, t from r1 where r = 1), a2 as (select clip_id, start, arg_min(r1.t, r1.r) as t from r1 join a1 using (clip_id, start) where abs(r1.t - a1.t) > 1 group by 1, 2)
+        select clip_id, start, 1 as rank, t from a1 union all select clip_id, start, 2, t from a2""",
+    ),
     "stream_sliding_energy": (
         lambda s, d: W.run_once(s, W.sliding_energy(W.event_stream(s, d), "2 days", "1 day"), "sliding").select("clip_id", "start", "n"),
         "select user_id as clip_id, date_trunc('day', ts) - g.k * interval '1 day' as start, count(*) as n from events cross join range(2) g(k) group by 1, 2",

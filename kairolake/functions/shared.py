@@ -24,8 +24,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(rows: DataFrame, name: str) -> DataFrame:
-    """The rows written once and read back: later uses don't repeat their plan, and lost executors don't lose them."""
+def stored(rows: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
+    """The rows written once and read back: later uses don't repeat their plan, and lost executors don't lose them.
+    Smaller row groups (``group_bytes``) let more tasks read what few tasks wrote."""
     path = scratch(rows.sparkSession, name)
-    rows.write.parquet(path)
+    (rows.write.option("parquet.block.size", group_bytes) if group_bytes else rows.write).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shared import stored
+from . import text_index as I
 
 LETTERS = "ABCDE"
 
@@ -15,51 +16,23 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
-def document_terms(docs: DataFrame) -> DataFrame:
-    """(grp, doc, dl, terms) of (grp, doc, text), written once: number of tokens, and each term with its count. The
-    tokens of a row are sorted and counted by runs inside the row, so that nothing is shuffled."""
-    words = F.array_sort(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"), lambda w: w != ""))
-    rows = docs.select("grp", "doc", words.alias("w")).withColumn("dl", F.size("w"))
-    starts = F.filter(F.sequence(F.lit(1), F.col("dl")), lambda i: (i == 1) | (F.get("w", i - 1) != F.get("w", i - 2)))
-    rows = rows.withColumn("at", F.when(F.col("dl") > 0, starts).otherwise(F.array().cast("array<int>")))
-    counts = F.transform("at", lambda i, k: F.struct(F.get("w", i - 1).alias("term"), (F.coalesce(F.get("at", k + 1), F.col("dl") + 1) - i).alias("tf")))
-    return stored(rows.select("grp", "doc", "dl", counts.alias("terms")), "terms")
-
-
 def tfidf_relevance(docs: DataFrame, query: DataFrame) -> DataFrame:
-    """(grp, doc, score): TF-IDF cosine of each document with its group's query (grp, text).
-
-    The query counts as one of the corpus' documents; idf = ln((1 + n) / (1 + df)) + 1; a blank query gives 0. Each
-    document's norm and dot product are one aggregate over its terms, each with its df and the query's count."""
-    corpus = document_terms(docs)
-    asked = document_terms(query.select("grp", F.lit(None).cast(docs.schema["doc"].dataType).alias("doc"), "text"))
-    both = corpus.unionByName(asked)
-    n = both.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    q = asked.select("grp", F.inline("terms")).groupBy("grp", "term").agg(F.sum("tf").alias("qtf"))
-    df = both.select("grp", F.inline("terms")).groupBy("grp", "term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(n, "grp").join(q, ["grp", "term"], "left").select("grp", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), "qtf")
-    w, qw = F.col("tf") * F.col("idf"), F.coalesce(F.col("qtf") * F.col("idf"), F.lit(0.0))
-    rows = corpus.select("grp", "doc", F.inline("terms")).join(idf, ["grp", "term"])
-    sums = rows.groupBy("grp", "doc").agg(F.sqrt(F.sum(w * w)).alias("norm"), F.sum(w * qw).alias("dot"))
-    length = idf.where("qtf is not null").groupBy("grp").agg(F.sqrt(F.sum(qw * qw)).alias("qnorm"))
-    out = corpus.select("grp", "doc").join(sums, ["grp", "doc"], "left").join(length, "grp", "left")
-    return out.select("grp", "doc", F.coalesce(F.col("dot") / (F.col("norm") * F.col("qnorm")), F.lit(0.0)).alias("score"))
+    """(grp, doc, score): TF-IDF cosine of each document (grp, doc, text) with its group's query (grp, text).
+
+    The query counts as one of the corpus' documents; idf = ln((1 + n) / (1 + df)) + 1; a blank query gives 0."""
+    corpus = stored(I.document_terms(docs), "terms", I.GROUP_BYTES)
+    terms, asked = stored(I.term_counts(corpus), "counts"), I.query_terms(query)
+    postings = corpus.select("grp", "doc", "dl", F.inline("terms"))
+    return I.tfidf_scores(postings, terms, corpus, I.document_moments(postings, terms), asked)
 
 
 def bm25_relevance(docs: DataFrame, query: DataFrame, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
     """(grp, doc, score): Okapi BM25; a negative idf becomes ``floor`` times the group's mean idf; repeated query
     terms count each time; documents without tokens score 0. Only the query's terms are joined with the documents;
     of the others just the number of documents that hold them is counted, for the mean."""
-    corpus = document_terms(docs)
-    n = corpus.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = corpus.select("grp", F.inline("terms")).groupBy("grp", "term").agg(F.count(F.lit(1)).alias("df")).join(n, "grp").withColumn("idf0", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    df = stored(df, "df")
-    mean = df.groupBy("grp").agg(F.avg("idf0").alias("mean_idf"))
-    asked = query.select("grp", F.explode(tokens(F.col("text"))).alias("term")).groupBy("grp", "term").agg(F.count(F.lit(1)).alias("times"))
-    idf = df.join(asked, ["grp", "term"]).join(mean, "grp").select("grp", "term", "times", "avgdl", F.when(F.col("idf0") < 0, floor * F.col("mean_idf")).otherwise(F.col("idf0")).alias("idf"))
-    hit = corpus.select("grp", "doc", "dl", F.inline("terms")).join(idf, ["grp", "term"])
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return corpus.select("grp", "doc").join(hit.groupBy("grp", "doc").agg(F.sum(part).alias("score")), ["grp", "doc"], "left").fillna(0.0, ["score"])
+    corpus = stored(I.document_terms(docs), "terms", I.GROUP_BYTES)
+    terms, asked = stored(I.term_counts(corpus), "counts"), I.query_terms(query)
+    return I.bm25_scores(corpus.select("grp", "doc", "dl", F.inline("terms")), terms, corpus, asked, k1, b, floor)
 
 
 def answer_index(answer: Column, options: Column) -> Column:

@@ -72,41 +72,50 @@ def _dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def max_volume(vectors: DataFrame, k: int, eps: float = 1e-9) -> DataFrame:
-    """(clip_id, rank, t): k seconds of diverse embeddings (clip_id, t, emb); each round takes the largest residual
-    of every clip at once and projects it out of the rest. Without any residual the largest norms fill up.
+#: Bytes of the pivots' vectors, one a clip, that are broadcast; more are joined.
+PIVOT_BYTES = 64 << 20
+
 
-    k aggregations and joins over the whole table; only the pivots are joined back, a round has no more rows than
-    seconds and is written before the next one, which uses it twice."""
-    rows = vectors.select("clip_id", "t", F.col("emb").cast("array<double>").alias("r")).withColumn("norm0", _dot(F.col("r"), F.col("r"))).withColumn("rank", F.lit(None).cast("int"))
+def _pivoted(vectors: DataFrame, k: int, order, least: float) -> DataFrame:
+    """(clip_id, rank, t): k rounds of a pivoted Cholesky factorisation of every clip's Gram matrix at once.
+
+    ``vectors`` are (clip_id, t, e, d, tie), d being the diagonal; ``order`` of (d, tie, t) says which row is the pivot.
+    Vectors are stored once. A round reads them only for their products with the clip's pivot and writes what it needs
+    of the rest: the diagonal and one coefficient more. A pivot with d up to ``least`` takes nothing from the others."""
+    base = stored(vectors, "vectors")
+    sizes = base.groupBy("clip_id").agg(F.max(F.size("e")).alias("n")).agg(F.coalesce(F.sum(8 * F.col("n")), F.lit(0))).first()[0]
+    state = base.select("clip_id", "t", "d", "tie", F.array().cast("array<double>").alias("c"), F.lit(None).cast("int").alias("rank"))
     for i in range(1, k + 1):
-        left = F.col("rank").isNull()
-        size = F.when(left, F.round(_dot(F.col("r"), F.col("r")), 9))
-        best = rows.withColumn("size", size).where(left).groupBy("clip_id").agg(F.max_by(F.struct("t", "r", "size"), F.struct(F.when(F.col("size") > eps, F.col("size")).otherwise(0.0), "norm0", -F.col("t"))).alias("pivot"))
-        rows = rows.join(best, "clip_id", "left")
-        length = _dot(F.col("pivot.r"), F.col("pivot.r"))
-        share = F.when(length > eps, _dot(F.col("r"), F.col("pivot.r")) / length).otherwise(0.0)
-        rows = rows.withColumn("share", share).select("clip_id", "t", F.zip_with("r", F.coalesce("pivot.r", "r"), lambda x, y: x - F.col("share") * y).alias("r"), "norm0", F.when(F.col("t") == F.col("pivot.t"), F.lit(i)).otherwise(F.col("rank")).alias("rank"))
-        rows = stored(rows, f"residual-{i}") if i < k else rows
-    return rows.where("rank is not null").select("clip_id", "rank", "t")
+        best = state.where(F.col("rank").isNull()).groupBy("clip_id").agg(F.max_by(F.struct("t", "d", "c"), order(F.col("d"), F.col("tie"), F.col("t"))).alias("p"))
+        pivots = stored(best.select("clip_id", F.col("p.t").alias("pt"), F.col("p.d").alias("pd"), F.col("p.c").alias("pc")), f"pivots-{i}")
+        marked = state.join(pivots, "clip_id", "left").withColumn("rank", F.when(F.col("t") == F.col("pt"), F.lit(i)).otherwise(F.col("rank")))
+        if i == k:
+            return marked.where("rank is not null").select("clip_id", "rank", "t")
+        chosen = base.select("clip_id", F.col("t").alias("pt"), F.col("e").alias("pe")).join(pivots.select("clip_id", "pt"), ["clip_id", "pt"]).select("clip_id", "pe")
+        products = base.join(F.broadcast(chosen) if sizes <= PIVOT_BYTES else chosen, "clip_id").select("clip_id", "t", _dot(F.col("e"), F.col("pe")).alias("x"))
+        step = F.when(F.col("pd") > least, (F.col("x") - F.coalesce(_dot(F.col("c"), F.col("pc")), F.lit(0.0))) / F.sqrt("pd"))
+        grown = marked.join(products, ["clip_id", "t"], "left").withColumn("s", F.coalesce(step, F.lit(0.0)))
+        state = stored(grown.select("clip_id", "t", (F.col("d") - F.col("s") * F.col("s")).alias("d"), "tie", F.array_append("c", F.col("s")).alias("c"), "rank"), f"factor-{i}")
+    return state.select("clip_id", "rank", "t").where("rank is not null")
+
+
+def max_volume(vectors: DataFrame, k: int, eps: float = 1e-9) -> DataFrame:
+    """(clip_id, rank, t): k seconds of diverse embeddings (clip_id, t, emb); each round takes the largest residual
+    of every clip and projects it out of the rest. Without any residual the largest norms fill up."""
+    e = F.col("emb").cast("array<double>")
+    size = lambda d: F.when(F.round(d, 9) > eps, F.round(d, 9)).otherwise(0.0)
+    rows = vectors.select("clip_id", "t", e.alias("e"), _dot(e, e).alias("d")).withColumn("tie", F.col("d"))
+    return _pivoted(rows, k, lambda d, tie, t: F.struct(size(d), tie, -t), eps)
 
 
 def weighted_dpp(vectors: DataFrame, k: int, beta: float = 1.0, eps: float = 1e-3) -> DataFrame:
     """(clip_id, rank, t): greedy MAP of a determinantal process over (clip_id, t, emb, relevance): the kernel is
-    w_i <e_i, e_j> w_j + eps on the diagonal with w = exp(beta * relevance); fills up by relevance.
-
-    The incremental Cholesky rows of all clips are one array column that grows by one entry a round."""
-    rows = vectors.select("clip_id", "t", F.col("emb").cast("array<double>").alias("e"), "relevance", F.exp(beta * F.col("relevance")).alias("w"))
-    rows = rows.withColumn("d", F.col("w") * F.col("w") * _dot(F.col("e"), F.col("e")) + eps).withColumn("c", F.array().cast("array<double>")).withColumn("rank", F.lit(None).cast("int"))
-    for i in range(1, k + 1):
-        open_ = F.col("rank").isNull()
-        gain = F.when(F.col("d") > 1e-10, F.round("d", 9))
-        best = rows.where(open_).groupBy("clip_id").agg(F.max_by(F.struct("t", "e", "w", "d", "c"), F.struct(F.coalesce(gain, F.lit(-1.0)), "relevance", -F.col("t"))).alias("p"))
-        rows = rows.join(best, "clip_id", "left")
-        step = (F.col("w") * F.col("p.w") * _dot(F.col("e"), F.col("p.e")) - F.coalesce(_dot(F.col("c"), F.col("p.c")), F.lit(0.0))) / F.sqrt(F.greatest("p.d", F.lit(1e-10)))
-        rows = rows.withColumn("s", F.coalesce(step, F.lit(0.0))).select("clip_id", "t", "e", "relevance", "w", (F.col("d") - F.col("s") * F.col("s")).alias("d"), F.array_append("c", F.col("s")).alias("c"), F.when(F.col("t") == F.col("p.t"), F.lit(i)).otherwise(F.col("rank")).alias("rank"))
-        rows = stored(rows, f"kernel-{i}") if i < k else rows
-    return rows.where("rank is not null").select("clip_id", "rank", "t")
+    w_i <e_i, e_j> w_j + eps on the diagonal with w = exp(beta * relevance); fills up by relevance."""
+    w = F.exp(beta * F.col("relevance"))
+    e = F.transform(F.col("emb").cast("array<double>"), lambda x: x * w)
+    gain = lambda d: F.coalesce(F.when(d > 1e-10, F.round(d, 9)), F.lit(-1.0))
+    rows = vectors.select("clip_id", "t", e.alias("e"), "relevance").withColumn("d", _dot(F.col("e"), F.col("e")) + eps)
+    return _pivoted(rows.select("clip_id", "t", "e", "d", F.col("relevance").alias("tie")), k, lambda d, tie, t: F.struct(gain(d), tie, -t), 1e-10)
 
 
 def segment_quota(scores: DataFrame, parts: int, budget: int, total: int) -> DataFrame:

@@ -289,3 +289,25 @@ def test_t_for_every_small_sample(spark):
             f = (1 + x * x / df) ** (-(df + 1) / 2) * math.gamma((df + 1) / 2) / (math.sqrt(df * math.pi) * math.gamma(df / 2))
             got = spark.range(1).select(A.t_two_sided(F.lit(t), F.lit(df))).first()[0]
             assert abs(got - (1 - 2 * np.trapezoid(f, x))) < 1e-7, (df, t)
+
+
+@pytest.mark.parametrize("bound", [1 << 26, 0])
+def test_rounds_write_coefficients_alone(spark, monkeypatch, bound):
+    """Vectors are written once, and later rounds are free of them; equal picks with joined pivots."""
+    rng = np.random.default_rng(7)
+    rows = spark.createDataFrame([(c, t, rng.normal(size=12).tolist(), float(t % 3)) for c in range(3) for t in range(9)], "clip_id long, t int, emb array<double>, relevance double")
+    plain = [sorted(map(tuple, f.collect())) for f in (S.max_volume(rows, 4), S.weighted_dpp(rows, 4))]
+    seen, keep = [], S.stored
+    monkeypatch.setattr(S, "stored", lambda df, name, *a: (seen.append((name, df.columns)), keep(df, name, *a))[1])
+    monkeypatch.setattr(S, "PIVOT_BYTES", bound)
+    assert [sorted(map(tuple, f.collect())) for f in (S.max_volume(rows, 4), S.weighted_dpp(rows, 4))] == plain
+    assert [name for name, columns in seen if "e" in columns] == ["vectors", "vectors"] and len(seen) == 2 * (1 + 4 + 3)
+
+
+def test_picks_of_few_or_equal_seconds(spark):
+    """Fewer seconds than picks, equal and zero vectors."""
+    rows = spark.createDataFrame([(1, 0, [1.0, 0.0], 0.0), (2, 0, [0.0, 0.0], 0.0), (2, 1, [0.0, 0.0], 1.0), (3, 0, [1.0, 1.0], 0.5), (3, 1, [1.0, 1.0], 0.5), (3, 2, [1.0, 0.0], 0.0)], "clip_id long, t int, emb array<double>, relevance double")
+    by = lambda df: {c: [r["t"] for r in sorted(df.collect(), key=lambda r: r["rank"]) if r["clip_id"] == c] for c in (1, 2, 3)}
+    assert by(S.max_volume(rows, 3)) == {1: [0], 2: [0, 1], 3: [0, 2, 1]}
+    assert by(S.weighted_dpp(rows, 3)) == {1: [0], 2: [1, 0], 3: [0, 2, 1]}
+    assert S.max_volume(rows.limit(0), 2).count() == 0

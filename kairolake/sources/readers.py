@@ -59,8 +59,9 @@ def wide_options(rows: DataFrame, columns: list[str], answer: str) -> DataFrame:
 
 
 def qa_parquet(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Questions from Parquet; a missing id becomes the file name and the row's place in it."""
-    rows = spark.read.parquet(path).withColumn("question_idx", F.coalesce(F.col("question_idx").cast("string"), F.concat_ws(":", F.col("_metadata.file_name"), F.monotonically_increasing_id())))
+    """Questions from Parquet; a missing id becomes the file name and the row's place in it, however the file is split."""
+    place = F.concat_ws(":", F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+    rows = spark.read.parquet(path).withColumn("question_idx", F.coalesce(F.col("question_idx").cast("string"), place))
     return rows.orderBy("question_idx").limit(limit) if limit else rows
 
 

@@ -66,6 +66,20 @@ ms as (select 'uniform' as method, clip_id, t, 1.0::double as score from seg uni
   union all select 'bm25', grp, doc, score from bm union all select 'tfidf', grp, doc, score from ti union all select 'embedding', clip_id, t, (c + p) / (sqrt(v * v + c * c + p * p) * sqrt(2)) from st)"""
 
 
+ALL_METHODS = f"""{SEG}, {SEGB}, na as (select clip_id, t, {MM} as s from seg window w as (partition by clip_id)), nb as (select clip_id, t, {MM} as s from segb window w as (partition by clip_id)),
+lg as (select clip_id, lag from (select *, row_number() over (partition by clip_id order by c desc, abs(lag), lag) as r from (select a.clip_id, g.l as lag, case when count(*) < 2 or stddev_pop(a.score) <= 1e-12 or stddev_pop(b.score) <= 1e-12 then 0 else round(corr(a.score, b.score), 9) end as c
+  from segb a cross join range(-2, 3) g(l) join seg b on b.clip_id = a.clip_id and b.t + g.l = a.t group by 1, 2)) where r = 1),
+am as (select 'energy' as method, clip_id, t, score from seg union all select 'energy_delta', clip_id, t, coalesce(abs(score - lag(score) over (partition by clip_id order by t)), 0) from seg union all select 'visual', clip_id, t, score from segb
+  union all select 'fuse_max', clip_id, t, greatest(coalesce(na.s, 0), coalesce(nb.s, 0)) from na full join nb using (clip_id, t) union all select 'fuse_prod', clip_id, t, coalesce(na.s, 0) * coalesce(nb.s, 0) from na full join nb using (clip_id, t)
+  union all select 'suppressed', seg.clip_id, seg.t, seg.score * (1 - coalesce(nb.s, 0)) from seg left join nb using (clip_id, t)
+  union all select 'by_variance', clip_id, t, case when stddev_pop(seg.score) over (partition by clip_id) < 1.0 then segb.score * 3.5 else seg.score end from seg join segb using (clip_id, t)
+  union all select 'auto_shift', seg.clip_id, seg.t, coalesce(m.score, min(seg.score) over (partition by seg.clip_id)) from seg join lg on lg.clip_id = seg.clip_id left join seg m on m.clip_id = seg.clip_id and m.t + lg.lag = seg.t
+  union all select 'smoothed', clip_id, t, avg(score) over (partition by clip_id order by t rows between 1 preceding and 1 following) from seg
+  union all select 'random', clip_id, t, ('0x' || substr(sha1('7|' || clip_id || '|' || t), 1, 12))::ubigint / 281474976710656.0::double from seg),
+ar as (select *, row_number() over (partition by method, clip_id order by score desc, t) as r from am),
+nd as (select m.method, s.clip_id, s.t, coalesce(min(abs(s.t - ar.t)), 99) as near from (select distinct method from am) m cross join seg s left join ar on ar.method = m.method and ar.clip_id = s.clip_id and ar.r <= 2 where s.gt <> 0 group by 1, 2, 3)"""
+
+
 def _by_method(s, d):
     """(method, clip_id, t, score) of every named method; a second's text is its kinds of events, its vector counts them."""
     audio, visual = stored(seg10(s, d), "audio"), stored(seg10b(s, d), "visual")
@@ -87,7 +101,10 @@ QUERIES = {
         f as (select * from (select *, row_number() over (partition by method, clip_id, t order by p, o) as q from cc) where q = 1), z as (select method, clip_id, t from (select *, row_number() over (partition by method, clip_id order by p, o, t) as r from f) where r <= 6),
         h as (select z.method, clip_id, max(coalesce(seg.gt, 0)) as correct from z left join seg using (clip_id, t) where clip_id in (select clip_id from seg where gt <> 0) group by 1, 2) select method, count(*) as n, round(avg(correct), 6) as acc from h group by 1""",
     ),
-    "q01_all_methods": (lambda s, d: Q.anchor_quality(seg10(s, d).select("clip_id", "t", "score"), seg10b(s, d), seg10(s, d), 2, [0, 1, 2], 10, 7).withColumn("recall", R6("recall")), None),
+    "q01_all_methods": (
+        lambda s, d: Q.anchor_quality(seg10(s, d).select("clip_id", "t", "score"), seg10b(s, d), seg10(s, d), 2, [0, 1, 2], 10, 7).withColumn("recall", R6("recall")),
+        f"with {ALL_METHODS} select method, delta, count(*) as clips, round(avg(r), 6) as recall from (select method, clip_id, g.d as delta, avg(case when near <= g.d then 1.0 else 0.0 end) as r from nd cross join (values (0), (1), (2)) g(d) group by 1, 2, 3) group by 1, 2",
+    ),
     "q02_long_quality": (
         lambda s, d: A.recall(seg10(s, d).where("gt <> 0"), K.top_k(seg10(s, d), 3), [0, 1, 2], 10).select("delta", "clips", R6("recall").alias("recall")),
         f"with {SEG}, {RANK} {RECALL.replace('a.r <= 2', 'a.r <= 3')}",

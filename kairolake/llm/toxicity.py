@@ -2,10 +2,12 @@
 
 Words are spelled out: each class has an interpolated Kneser-Ney model of characters given the five before them
 inside the word, so that inflected and compounded expressions are met too; a text's likelihood is that of its
-words. The class counts of the long contexts come from every labelled document that may be learnt from; they are
-discounted and back off to counts of short contexts that both classes share and that are gathered from the whole
-corpus, so that what a class has hardly seen is judged alike by both. Every word counts once a document, not once
-an occurrence.
+words. Only the longest n-grams count documents (every word once a document, not once an occurrence). A shorter one
+counts in how many contexts it was met, that is the distinct characters seen before it; only where it starts the word,
+so that nothing can stand before it, its documents count. The counts of the long orders are a class's own, from every
+labelled document that may be learnt from; they are discounted and back off to continuation counts of short orders
+that both classes share and that are gathered from the whole corpus, so that what a class has hardly seen is judged
+alike by both. A place with less before it than an order asks for begins at the order that it fills.
 
 The counts are Spark aggregations and stay a distributed table that grows with the corpus. Up to
 ``broadcast_rows`` of them (counted first) are shipped to the tasks; beyond it the n-grams of the corpus' distinct
@@ -54,9 +56,10 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     return offsets, bare.dictionary.to_numpy(zero_copy_only=False).tolist(), bare.indices.to_numpy()[coded.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
 
 
-def _spelled(words: list[str], order: int) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """(owner, {n: (context key, n-gram key)}) of every character and closing bound of the words; contexts are cut
-    at the word's start."""
+def _spelled(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """(owner, place in the word, {n: (context key, n-gram key)}) of every character and closing bound of the words.
+    Contexts are cut at the word's start: an n-gram has its full length where the place is n - 1 at least, and starts
+    the word where it is just that."""
     text = "".join(f"\x02{w}\x03" for w in words)
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(U64)
     size = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
@@ -68,44 +71,49 @@ def _spelled(words: list[str], order: int) -> tuple[np.ndarray, dict[int, tuple[
         keys[n] = (context[real], mix(context[real] * U64(1000003) + codes[real]))
         back = np.concatenate([np.zeros(n, U64), codes[:-n]]) if len(codes) > n else np.zeros(len(codes), U64)
         context = np.where(place >= n, mix(context + back * U64(0x9E3779B97F4A7C15) + U64(n)), context)
-    return owner[real], keys
+    return owner[real], place[real], keys
+
+
+GRAM = {"n": "int", "starts": "boolean", "context": "long", "gram": "long", "tail_context": "long", "tail": "long"}
+SEEN = ("ordinary", "toxic", "documents")
 
 
 class _Counts:
     """n-gram counts of a task: rows of equal n-grams are added up now and then."""
 
-    def __init__(self, most: int = 600_000):
+    def __init__(self, most: int = 400_000):
         self.most, self.rows, self.size = most, [], 0
 
-    def add(self, n: int, context: np.ndarray, gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> None:
-        codes, grams = pd.factorize(gram)
-        contexts = np.empty(len(grams), U64)
-        contexts[codes] = context
-        self.rows.append((np.full(len(grams), n, np.int32), contexts, grams, *(np.bincount(codes, weights=w, minlength=len(grams)) for w in (ordinary, toxic))))
-        self.size += len(grams)
+    def add(self, n: int, starts: np.ndarray, keys: list[np.ndarray], seen: list[np.ndarray]) -> None:
+        """``keys``: context and n-gram, context and n-gram of the order below; ``seen``: see ``SEEN``."""
+        if len(starts):
+            self.rows.append(self._merged([np.full(len(starts), n, np.int32), starts, *keys], seen))
+            self.size += len(self.rows[-1][0])
 
-    def _merged(self) -> tuple[np.ndarray, ...]:
-        n, context, gram, ordinary, toxic = (np.concatenate(c) for c in zip(*self.rows, strict=True))
-        codes, _ = pd.factorize(mix(gram + n.astype(U64)))
+    @staticmethod
+    def _merged(what: list[np.ndarray], seen: list[np.ndarray]) -> list[np.ndarray]:
+        codes, _ = pd.factorize(mix(what[3] + what[0].astype(U64)))
         first = np.zeros(codes.max() + 1, np.int64)
         first[codes] = np.arange(len(codes))
-        return n[first], context[first], gram[first], *(np.bincount(codes, weights=w) for w in (ordinary, toxic))
+        return [*(c[first] for c in what), *(np.bincount(codes, weights=c) for c in seen)]
 
     def flush(self, last: bool = False) -> Iterator[pa.RecordBatch]:
         if not self.size or (self.size < self.most and not last):
             return
-        rows = self._merged()
+        columns = [np.concatenate(c) for c in zip(*self.rows, strict=True)]
+        rows = self._merged(columns[: len(GRAM)], columns[len(GRAM) :])
         self.rows, self.size = [rows], len(rows[0])
         if last or self.size > self.most // 2:
             for i in range(0, self.size, 100_000):
-                n, context, gram, ordinary, toxic = (c[i : i + 100_000] for c in rows)
-                yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(context.view(np.int64)), pa.array(gram.view(np.int64)), pa.array(ordinary.astype(np.int64)), pa.array(toxic.astype(np.int64))], names=["n", "context", "gram", "ordinary", "toxic"])
+                n, starts, *rest = (c[i : i + 100_000] for c in rows)
+                yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(starts), *(pa.array(c.view(np.int64) if c.dtype == U64 else c.astype(np.int64)) for c in rest)], names=[*GRAM, *SEEN])
             self.rows, self.size = [], 0
 
 
-def ngram_counts(rows: DataFrame, cfg: ToxicityConfig) -> DataFrame:
-    """(n, context, gram, ordinary, toxic) of ``rows(text, toxic)``; each word counts once a document. Shared orders
-    count every row, and the same for both classes; the others count rows whose ``toxic`` is 0 or 1."""
+def ngrams(rows: DataFrame, cfg: ToxicityConfig) -> DataFrame:
+    """The distinct full n-grams from two characters on of ``rows(text, toxic)``: does it start the word, its context,
+    its tail (the n-gram without the first character) with context, and the documents with it: ordinary, toxic, all.
+    Orders that only the classes use leave out what is in no document whose ``toxic`` is 0 or 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _Counts()
@@ -116,19 +124,28 @@ def ngram_counts(rows: DataFrame, cfg: ToxicityConfig) -> DataFrame:
                 owner = np.repeat(np.arange(len(kind)), np.diff(offsets))
                 once = pd.unique(owner * (len(words) + 1) + index)
                 word, kind = once % (len(words) + 1), kind[once // (len(words) + 1)]
-                every, ordinary, toxic = (np.bincount(word[at], minlength=len(words)) for at in (slice(None), kind == 0, kind == 1))
-                at, keys = _spelled(words, cfg.order)
-                learnt = (ordinary + toxic)[at] > 0
-                for n, (context, gram) in keys.items():
-                    if n <= cfg.shared_order:
-                        counts.add(n, context, gram, every[at], every[at])
-                    else:
-                        counts.add(n, context[learnt], gram[learnt], ordinary[at[learnt]], toxic[at[learnt]])
+                seen = [np.bincount(word[at], minlength=len(words)) for at in (kind == 0, kind == 1, slice(None))]
+                at, place, keys = _spelled(words, cfg.order)
+                learnt = (seen[0] + seen[1])[at] > 0
+                for n in range(2, cfg.order + 1):
+                    kept = (place >= n - 1) & (learnt if n > cfg.shared_order + 1 else True)
+                    counts.add(n, place[kept] == n - 1, [k[kept] for k in (*keys[n], *keys[n - 1])], [c[at[kept]] for c in seen])
                 yield from counts.flush()
         yield from counts.flush(last=True)
 
-    made = rows.select("text", "toxic").mapInArrow(frugal(run), "n int, context long, gram long, ordinary long, toxic long")
-    return made.groupBy("n", "context", "gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    made = rows.select("text", "toxic").mapInArrow(frugal(run), ", ".join([*(f"{c} {k}" for c, k in GRAM.items()), *(f"{c} long" for c in SEEN)]))
+    return made.groupBy(*GRAM).agg(*[F.sum(c).alias(c) for c in SEEN])
+
+
+def kneser_ney_counts(grams: DataFrame, cfg: ToxicityConfig) -> DataFrame:
+    """(n, context, gram, ordinary, toxic) of ``ngrams``: documents for the longest order and for what starts a word,
+    otherwise how many distinct characters were seen before the n-gram: by documents of the class in the classes' own
+    orders, by all documents, the same for both classes, in the shared ones."""
+    shared = lambda c: F.when(F.col("n") <= cfg.shared_order, F.col("documents")).otherwise(F.col(c)).alias(c)
+    plain = grams.where((F.col("n") == cfg.order) | F.col("starts")).select("n", "context", "gram", shared("ordinary"), shared("toxic"))
+    met = lambda c: F.sum((F.when(F.col("n") <= cfg.shared_order + 1, F.col("documents")).otherwise(F.col(c)) > 0).cast("long")).alias(c)
+    before = grams.groupBy("n", "tail_context", "tail").agg(met("ordinary"), met("toxic"))
+    return plain.unionAll(before.select(F.col("n") - 1, "tail_context", "tail", "ordinary", "toxic")).where("ordinary > 0 or toxic > 0")
 
 
 def context_sums(counts: DataFrame) -> DataFrame:
@@ -165,7 +182,7 @@ class KneserNey:
 
     def ratios(self, words: list[str]) -> np.ndarray:
         """Log-likelihood ratio (toxic over ordinary) of each word, by character; words without letters have 0."""
-        owner, keys = _spelled(words, self.cfg.order)
+        owner, _, keys = _spelled(words, self.cfg.order)
         codes, grams = pd.factorize(keys[self.cfg.order][1])  # the longest n-gram decides all the shorter ones
         first = np.zeros(len(grams), np.int64)
         first[codes] = np.arange(len(codes))
@@ -183,8 +200,11 @@ class KneserNey:
 
 def joined_ratios(texts: DataFrame, counts: DataFrame, sums: DataFrame, cfg: ToxicityConfig) -> DataFrame:
     """(word, ratio) of the distinct words of ``texts(text)``: what ``KneserNey.ratios`` gives, by joins with the
-    distributed tables; ``word`` is a hash."""
+    distributed tables; ``word`` is a hash. The shared orders, whose few keys would each take a large part of all
+    places, are broadcast, unless they alone have more than ``broadcast_rows`` rows."""
     orders = range(1, cfg.order + 1)
+    short = F.col("n") <= cfg.shared_order
+    few = counts.where(short).count() + sums.where(short).count() <= cfg.broadcast_rows
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +214,7 @@ def joined_ratios(texts: DataFrame, counts: DataFrame, sums: DataFrame, cfg: Tox
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "word", 1 << 20):
-                owner, keys = _spelled(part.column("word").to_pylist(), cfg.order)
+                owner, _, keys = _spelled(part.column("word").to_pylist(), cfg.order)
                 columns = [hash_words(part.column("word"))[owner], *(k for n in orders for k in keys[n])]
                 yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["word", *(f"{k}{n}" for n in orders for k in "xg")])
 
@@ -203,6 +223,8 @@ def joined_ratios(texts: DataFrame, counts: DataFrame, sums: DataFrame, cfg: Tox
     for n in orders:
         grams = counts.where(F.col("n") == n).select(F.col("gram").alias(f"g{n}"), F.col("ordinary").alias("c0"), F.col("toxic").alias("c1"))
         contexts = sums.where(F.col("n") == n).select(F.col("context").alias(f"x{n}"), "sum_0", "types_0", "sum_1", "types_1")
+        if few and n <= cfg.shared_order:
+            grams, contexts = F.broadcast(grams), F.broadcast(contexts)
         rows = rows.join(grams, f"g{n}", "left").join(contexts, f"x{n}", "left")
         step = lambda i: F.when(F.col(f"sum_{i}") > 0, (F.greatest(F.coalesce(f"c{i}", F.lit(0)) - cfg.discount, F.lit(0.0)) + cfg.discount * F.col(f"types_{i}") * F.col(f"p{i}")) / F.col(f"sum_{i}")).otherwise(F.col(f"p{i}"))
         rows = rows.withColumns({"p0": step(0), "p1": step(1)}).drop(f"g{n}", f"x{n}", "c0", "c1", "sum_0", "types_0", "sum_1", "types_1")
@@ -244,7 +266,16 @@ def _scored(x: np.ndarray, curve: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ curve, -30, 30)))
 
 
-def _with_evidence(rows: DataFrame, counts: DataFrame, sums: DataFrame, cfg: ToxicityConfig, finish, fields: dict[str, pa.DataType], extra: str = "") -> DataFrame:
+def _shipped(counts: DataFrame, sums: DataFrame, cfg: ToxicityConfig):
+    """The models as a broadcast variable; none if they have more than ``broadcast_rows`` rows."""
+    if counts.count() + sums.count() > cfg.broadcast_rows:
+        return None
+    shipped = counts.sparkSession.sparkContext.broadcast(KneserNey.load(counts, sums, cfg).levels)
+    give_back()
+    return shipped
+
+
+def _with_evidence(rows: DataFrame, counts: DataFrame, sums: DataFrame, shipped, cfg: ToxicityConfig, finish, fields: dict[str, pa.DataType], extra: str = "") -> DataFrame:
     """``rows(doc_id, text, extra)`` with the text replaced by what ``finish`` makes of its evidence."""
     keep = ["doc_id", *extra.split()]
     kinds = {c: rows.schema[c].dataType.simpleString() for c in keep}
@@ -254,9 +285,7 @@ def _with_evidence(rows: DataFrame, counts: DataFrame, sums: DataFrame, cfg: Tox
     def out(part: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(v, k) for v, k in zip(finish(x), fields.values(), strict=True))], names=names)
 
-    if counts.count() + sums.count() <= cfg.broadcast_rows:
-        shipped = rows.sparkSession.sparkContext.broadcast(KneserNey.load(counts, sums, cfg).levels)
-        give_back()
+    if shipped is not None:
 
         def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = KneserNey(shipped.value, cfg)
@@ -312,13 +341,15 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, trainable, cfg: ToxicityCo
     small = sum(sizes.values()) <= cfg.broadcast_rows // 10
     fold = F.pmod(F.xxhash64(F.lit(cfg.seed + 1), F.col("doc_id")), F.lit(5))
     taught = usable.where(fold > 0)
-    counts = materialize(ngram_counts(narrow.join(F.broadcast(taught) if small else taught, "doc_id", "left"), cfg), "counts")
+    grams = materialize(ngrams(narrow.join(F.broadcast(taught) if small else taught, "doc_id", "left"), cfg), "grams")
+    counts = materialize(kneser_ney_counts(grams, cfg), "counts")
     sums = materialize(context_sums(counts), "sums")
+    shipped = _shipped(counts, sums, cfg)
 
     draw = F.pmod(F.xxhash64(F.lit(cfg.seed), F.col("doc_id")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     chance = F.when(F.col("toxic") == 1, F.lit(5 * cfg.class_docs / sizes[1])).otherwise(F.lit(5 * cfg.class_docs / sizes[0]))
     held = narrow.join(F.broadcast(usable.where(fold == 0).where(draw < chance)), "doc_id")
-    seen = _with_evidence(held, counts, sums, cfg, lambda x: [list(x)], {"x": pa.list_(pa.float64())}, "toxic").orderBy("doc_id", "x").toArrow()
+    seen = _with_evidence(held, counts, sums, shipped, cfg, lambda x: [list(x)], {"x": pa.list_(pa.float64())}, "toxic").orderBy("doc_id", "x").toArrow()
     y = seen.column("toxic").to_numpy().astype(np.float64)
     width = len(cfg.windows) + 2
     if 0 < y.sum() < len(y):
@@ -326,7 +357,7 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, trainable, cfg: ToxicityCo
         curve = _logistic(x, y, np.array([sizes[int(c)] / (y == c).sum() for c in y]) * len(y) / sum(sizes.values()))
     else:
         curve = np.array([1.0] + [0.0] * width)
-    scored = _with_evidence(narrow, counts, sums, cfg, lambda x: [_scored(x, curve)], {"score": pa.float64()})
+    scored = _with_evidence(narrow, counts, sums, shipped, cfg, lambda x: [_scored(x, curve)], {"score": pa.float64()})
     return scored.select(F.col("doc_id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -220,28 +220,31 @@ def test_kneser_ney_by_hand(spark):
     """The models' ratios against the recursion on dictionaries of strings."""
     rows = [("good day good people", 0), ("good morning", 0), ("bad bald badger", 1), ("bad day", 1), ("some other words", None)]
     cfg = toxicity.ToxicityConfig(order=4, shared_order=2)
-    counts = toxicity.ngram_counts(spark.createDataFrame(rows, "text string, toxic int"), cfg)
+    counts = toxicity.kneser_ney_counts(toxicity.ngrams(spark.createDataFrame(rows, "text string, toxic int"), cfg), cfg)
     model = toxicity.KneserNey.load(counts, toxicity.context_sums(counts), cfg)
-    seen = {}
+    held, before = {}, {}  # by class and n-gram: documents with it, characters in front of it
     for text, toxic in rows:
         for word in set(text.split()):
             s = f"<{word}>"
-            for i in range(1, len(s)):
+            for c in (0, 1):
                 for n in range(1, 5):
-                    gram = s[max(0, i - n + 1) : i + 1]
-                    for c in (0, 1):
+                    for i in range(max(1, n - 1), len(s)):
+                        gram = s[i - n + 1 : i + 1]
                         if n <= 2 or toxic == c:
-                            key = (c, n, gram[:-1])
-                            seen.setdefault(key, {}).setdefault(gram[-1], 0)
-                            seen[key][gram[-1]] += 1
+                            held[c, gram] = held.get((c, gram), 0) + 1
+                            if i >= n:
+                                before.setdefault((c, gram), set()).add(s[i - n])
+
+    def count(c, gram):
+        return held.get((c, gram), 0) if len(gram) == 4 or gram[0] == "<" else len(before.get((c, gram), ()))
 
     def chance(c, s, i):
         p = 1e-5
-        for n in range(1, 5):
-            gram = s[max(0, i - n + 1) : i + 1]
-            after = seen.get((c, n, gram[:-1]), {})
+        for n in range(1, min(4, i + 1) + 1):
+            gram = s[i - n + 1 : i + 1]
+            after = [k for d, g in held if d == c and len(g) == n and g[:-1] == gram[:-1] and (k := count(c, g))]
             if after:
-                p = (max(after.get(gram[-1], 0) - 0.75, 0) + 0.75 * len(after) * p) / sum(after.values())
+                p = (max(count(c, gram) - 0.75, 0) + 0.75 * len(after) * p) / sum(after)
         return p
 
     words = ["bad", "good", "badly", "zebra", "day"]

@@ -38,19 +38,41 @@ def test_toxicity_joined_and_broadcast_agree(spark, docs, edge):
     np.testing.assert_allclose(shipped.to_numpy(), joined.loc[shipped.index].to_numpy(), atol=1e-9)
 
 
+def kneser_ney_counts(spark, rows, cfg):
+    """Counts by order and n-gram key."""
+    counts = toxicity.kneser_ney_counts(toxicity.ngrams(spark.createDataFrame(rows, "text string, toxic int"), cfg), cfg).collect()
+    assert len({(r["n"], r["gram"]) for r in counts}) == len(counts)
+    return {(r["n"], r["gram"]): (r["ordinary"], r["toxic"]) for r in counts}
+
+
+def gram_key(gram, order, starts):
+    """The key of an n-gram, spelled as the end of a word or as its start."""
+    word = gram if starts else "..." + gram
+    _, place, keys = toxicity._spelled([word], order)
+    return int(keys[order][1][place == len(word)].view(np.int64)[0])
+
+
 def test_toxicity_counts_against_loops(spark):
-    texts = [(1, "ab ab ac", 0), (2, "Ab", 1), (3, "ac!", 1), (4, "zz", None)]
-    cfg = toxicity.ToxicityConfig(order=3, shared_order=1)
-    got = {(r["n"], r["gram"]): (r["ordinary"], r["toxic"]) for r in toxicity.ngram_counts(spark.createDataFrame(texts, "id int, text string, toxic int"), cfg).collect()}
-    want = {}
-    for _, text, toxic in texts:
-        for word in {w.lower().strip("!") for w in text.split()}:
-            _, keys = toxicity._spelled([word], 3)
-            for n, (_, grams) in keys.items():
-                for g in grams.view(np.int64).tolist():
-                    a, b = want.get((n, g), (0, 0))
-                    want[n, g] = (a + 1, b + 1) if n == 1 else (a + (toxic == 0), b + (toxic == 1))
-    assert got == {k: v for k, v in want.items() if any(v)}
+    """Order 3 counts documents of a class, orders 1 and 2 count preceding characters in all documents."""
+    texts = [("ab ab ac", 0), ("Ab", 1), ("ac!", 1), ("bab", None), ("zzab", None)]
+    got = kneser_ney_counts(spark, texts, toxicity.ToxicityConfig(order=3, shared_order=2))
+    at = lambda gram, starts=False: got.get((len(gram) + starts, gram_key(gram, len(gram) + starts, starts)), (0, 0))
+    assert at("ab", True) == (1, 1) and at("ac", True) == (1, 1)
+    assert at("a", True) == (4, 4) and at("z", True) == (1, 1) and at("b", True) == (1, 1)
+    assert at("ab") == (3, 3)  # behind the bound, b and z
+    assert at("a") == (3, 3) and at("b") == (2, 2) and at("c") == (1, 1) and at("z") == (2, 2)
+
+
+def test_toxicity_backs_off_to_contexts_not_to_counts(spark):
+    """q is frequent but only ever met behind f; k is rare and met behind five letters. Plain counts would put q first
+    in an unseen context, continuation counts put k first."""
+    rows = [("fq", i % 2) for i in range(60)] + [(f"{c}k", i % 2) for i, c in enumerate("abcde")]
+    got = kneser_ney_counts(spark, rows, toxicity.ToxicityConfig(order=3, shared_order=1))
+    q, k = (got[1, gram_key(c, 1, False)] for c in "qk")
+    assert q == (1, 1) and k == (5, 5)
+    # in the classes' own order 2 each class counts what it has met itself
+    assert got[2, gram_key("f", 2, True)] == (30, 30) and got[2, gram_key("fq", 2, False)] == (1, 1)
+    assert got[2, gram_key("ak", 2, False)] == (1, 0) and got[3, gram_key("fq", 3, True)] == (30, 30)
 
 
 def test_toxicity_without_calibration_rows(spark):

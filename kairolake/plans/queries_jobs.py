@@ -12,6 +12,7 @@ from ..operators.perturb import degraded_shares
 from ..streaming import windows as W
 from ..views import RESULTS, SEG, SEGB, results, seg10, seg10b, table
 from . import jobs as Q
+from . import verification as V
 from .queries_plans import ANCH, EXPANDED, RANK
 from .queries_series import CONF, MM, R6
 from .queries_stats import CAUSES_SQL, DELTAS, FACTS_SQL, GRID_SQL, IOU, RECALL, SEEDS, _best_iou, _boot, _facts, _items, _seeds, boot_sql, grid_cells, t_sql
@@ -30,6 +31,29 @@ def _sweep(s, d):
     return Q.config_sweep(seg10(s, d), seg10(s, d), _configs(s), 10)
 
 
+POINTER = 2000
+VERIFIED = f"""rq as (select l_returnflag as dataset, cast(l_orderkey as varchar) as id, max(l_quantity) as need_s from lineitem where l_quantity >= 10 group by 1, 2),
+fl as (select l_returnflag as dataset, cast(l_orderkey as varchar) as id, cast(floor(l_extendedprice) as bigint) as length from lineitem where l_linestatus = 'F'),
+fs as (select dataset, id, count(*) as copies, max(length) as length from fl group by 1, 2),
+du as (select l_returnflag as dataset, cast(l_orderkey as varchar) as id, max(l_quantity) as have_s from lineitem where l_discount > 0.02 group by 1, 2),
+vf as (select dataset, id, need_s, coalesce(copies, 0) as copies, length, have_s, need_s - have_s - 0.1::double as shortfall_s, case when rq.id is null then 'unasked' when copies is null then 'missing' when length <= {POINTER} then 'pointer' when have_s is null then 'unprobed'
+  when need_s - have_s - 0.1::double > 0 then 'short' else 'ok' end as status from rq full join fs using (dataset, id) left join du using (dataset, id))"""
+
+
+def _recordings(s, d):
+    """Line items as recordings: each is annotated up to its quantity, if that is 10 or more; closed lines have a file,
+    lines with a discount above 0.02 a probed duration."""
+    lines = table(s, d, "lineitem").withColumns({"dataset": F.col("l_returnflag"), "id": F.col("l_orderkey").cast("string")})
+    required = lines.where("l_quantity >= 10").select("dataset", "id", F.col("l_quantity").alias("stop_s"))
+    files = lines.where("l_linestatus = 'F'").select("dataset", "id", F.floor("l_extendedprice").alias("length"))
+    return required, files, lines.where("l_discount > 0.02").select("dataset", "id", F.col("l_quantity").alias("have_s"))
+
+
+def _dataset_status(required, files, durations):
+    rows = V.dataset_status(V.verify_files(required, files, durations, pointer_bytes=POINTER), files, small_bytes=20_000)
+    return rows.drop("advice").withColumns({c: R6(c) for c in ("p10", "median", "p90")})
+
+
 def plans_sql(low: int, base: int, high: int, r: int, name: str = "pz") -> str:
     """CTE (baseline, clip_id, t, tokens) of the uniform, random, anchored and oracle plans; ``r`` base seconds pay
     for one high second."""
@@ -209,6 +233,20 @@ QUERIES = {
         lambda s, d: A.sizes_summary(results(s, d), ["method"], "item_id").select("method", "n", "min", "max"),
         "select o_orderpriority as method, count(o_custkey) as n, min(o_custkey) as min, max(o_custkey) as max from orders group by 1",
     ),
+    "q18_verify_files": (
+        lambda s, d: V.verify_files(*_recordings(s, d), pointer_bytes=POINTER).select("dataset", "id", "need_s", "copies", "length", "have_s", R6("shortfall_s").alias("shortfall_s"), "status"),
+        f"with {VERIFIED} select dataset, id, need_s, copies, length, have_s, round(shortfall_s, 6) as shortfall_s, status from vf",
+    ),
+    "q18_dataset_status": (
+        lambda s, d: _dataset_status(*_recordings(s, d)),
+        f"""with {VERIFIED}, sz as (select dataset, count(*) as files, count(*) filter (where length <= 20000) as small, min(length) as min, quantile_cont(length, 0.1) as p10, median(length) as median, quantile_cont(length, 0.9) as p90, max(length) as max, cast(sum(length) as bigint) as total from fl group by 1),
+        c as (select dataset, count(*) filter (where status <> 'unasked') as required, {", ".join(f"count(*) filter (where status = '{x}') as {x}" for x in V.STATES)}, count(*) filter (where copies > 1) as duplicates, round(max(greatest(shortfall_s, 0.0)), 6) as worst_s from vf group by 1)
+        select dataset, required, {", ".join(V.STATES)}, duplicates, worst_s, coalesce(files, 0) as files, coalesce(small, 0) as small, min, round(p10, 6) as p10, round(median, 6) as median, round(p90, 6) as p90, max, total, required > 0 and missing = 0 and pointer = 0 as ready from c left join sz using (dataset)""",
+    ),
+    "q18_worst_shortfalls": (
+        lambda s, d: V.worst_shortfalls(V.verify_files(*_recordings(s, d), pointer_bytes=POINTER)).withColumn("shortfall_s", R6("shortfall_s")),
+        f"with {VERIFIED}, r as (select dataset, row_number() over (partition by dataset order by shortfall_s desc, id) as place, id, shortfall_s from vf where status = 'short') select dataset, cast(place as int) as place, id, round(shortfall_s, 6) as shortfall_s from r where place <= 20",
+    ),
     "stream_log_energy": (
         lambda s, d: W.run_once(s, W.tumbling_energy(W.event_stream(s, d), "3 days"), "energy").select("clip_id", "start", "n", R6("score").alias("score")),
         "select user_id as clip_id, time_bucket(interval '3 days', ts, timestamp '1970-01-01') as start, count(*) as n, round(ln(avg(value * value) + 1e-12), 6) as score from events group by 1, 2",

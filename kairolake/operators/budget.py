@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import stored
 from .series import by_clip, scaffold
 
 
@@ -245,6 +246,54 @@ def allocate_relaxed(windows: DataFrame, configs: list[tuple[str, float, float]]
     return out.select("plan_id", "window_id", F.coalesce("cfg2", "cfg").alias("cfg"), F.coalesce("cost2", "cost").alias("cost"), F.coalesce("utility2", "utility").alias("utility"))
 
 
+def allocate_exact(windows: DataFrame, configs: list[tuple[str, float, float]], budget: Column, known: DataFrame | None = None, most: int = 12) -> DataFrame:
+    """(plan_id, window_id, cfg, cost, utility): the allocation of the largest utility within ``budget``, dropping
+    allowed; of equal ones the cheapest. The reference for the other two on plans of few windows.
+
+    Branch and bound, one window a round, all plans at once: a partial allocation goes on while its cost fits, while
+    no cheaper one of its plan is as useful, and while its bound isn't below the plan's utility in ``known(plan_id,
+    utility)`` (what a heuristic found). The bound is the Lagrangian one at the multiplier that is tightest for the
+    whole plan. A round shuffles nothing: all stays where its plan is. A plan of more than ``most`` windows raises, as
+    there are exponentially many allocations."""
+    opts = [*[(n, c, u) for n, c, u in configs], (None, 0.0, 0.0)]
+    option = lambda w: F.array(*[F.struct(F.lit(n).cast("string").alias("cfg"), (w["duration"] * float(c)).alias("cost"), (w["weight"] * float(u)).alias("utility")) for n, c, u in opts])
+    plans = windows.withColumn("budget", budget).groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("window_id", "duration", "weight"))).alias("w"), F.max("budget").alias("budget"))
+    plans = plans.select("plan_id", "budget", F.transform("w", lambda w: w["window_id"]).alias("ids"), F.transform("w", option).alias("opts"))
+    slope = lambda x, y: (x["utility"] - y["utility"]) / (x["cost"] - y["cost"])
+    slopes = F.flatten(F.transform("opts", lambda own: F.flatten(F.transform(own, lambda x: F.transform(F.filter(own, lambda y: (y["cost"] < x["cost"]) & (y["utility"] < x["utility"])), lambda y: slope(x, y))))))
+    worth = lambda own, lam: F.array_max(F.transform(own, lambda o: o["utility"] - lam * o["cost"]))
+    dual = lambda lam: lam * F.col("budget") + F.aggregate("opts", F.lit(0.0), lambda total, own: total + worth(own, lam))
+    plans = plans.withColumn("lam", F.array_min(F.transform(F.array_distinct(F.concat(F.array(F.lit(0.0)), slopes)), lambda lam: F.struct(dual(lam).alias("bound"), lam.alias("lam"))))["lam"])
+    plans = plans.withColumn("worths", F.transform("opts", lambda own: worth(own, F.col("lam"))))
+    plans = plans.join(known.select("plan_id", F.col("utility").alias("least")), "plan_id", "left") if known is not None else plans.withColumn("least", F.lit(None).cast("double"))
+    plans = stored(plans, "plans")
+    rounds = plans.agg(F.max(F.size("ids"))).first()[0] or 0
+    if rounds > most:
+        raise ValueError(f"a plan has {rounds} windows, more than {most}")
+    fixed = ["plan_id", "budget", "opts", "lam", "worths", "least"]
+    states = plans.select(*fixed, F.lit(0.0).alias("cost"), F.lit(0.0).alias("utility"), F.aggregate("worths", F.lit(0.0), lambda total, x: total + x).alias("rest"), F.array().cast("array<int>").alias("path"))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("cfg"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("utility")))
+    cheaper = Window.partitionBy("plan_id").orderBy("cost", F.desc("utility"), "path").rowsBetween(Window.unboundedPreceding, -1)
+    for k in range(rounds):
+        here = F.coalesce(F.get("opts", F.lit(k)), none)  # shorter plans wait
+        states = states.select("*", F.posexplode(here).alias("pick", "o")).select(*fixed, (F.col("cost") + F.col("o.cost")).alias("cost"), (F.col("utility") + F.col("o.utility")).alias("utility"), (F.col("rest") - F.coalesce(F.get("worths", F.lit(k)), F.lit(0.0))).alias("rest"), F.array_append("path", F.col("pick")).alias("path"))
+        states = states.where("cost <= budget + 1e-9").where("least is null or utility + rest + lam * (budget - cost) >= least - 1e-9")
+        states = states.withColumn("ahead", F.max("utility").over(cheaper)).where("ahead is null or utility > ahead + 1e-12").drop("ahead")
+    best = states.groupBy("plan_id").agg(F.max_by("path", F.struct("utility", -F.col("cost"))).alias("path"))
+    rows = plans.join(best, "plan_id").select("plan_id", F.inline(F.transform("ids", lambda w, i: F.struct(w.alias("window_id"), F.get(F.get("opts", i), F.get("path", i)).alias("o")))))
+    return rows.select("plan_id", "window_id", "o.*")
+
+
+def allocation_gaps(exact: DataFrame, **others: DataFrame) -> DataFrame:
+    """(plan_id, exact, <name>_gap): the best utility of each plan and what the other allocations lose of it. A
+    difference within rounding is 0."""
+    out = exact.groupBy("plan_id").agg(F.sum("utility").alias("exact"))
+    for name, other in others.items():
+        gap = F.col("exact") - F.col("own")
+        out = out.join(other.groupBy("plan_id").agg(F.sum("utility").alias("own")), "plan_id").withColumn(f"{name}_gap", F.when(F.abs(gap) < 1e-9, 0.0).otherwise(gap)).drop("own")
+    return out
+
+
 def compare_solvers(greedy: DataFrame, relaxed: DataFrame) -> DataFrame:
     """(plan_id, d_utility, d_cost) of two allocations (plan_id, window_id, cost, utility)."""
     side = lambda d, p: d.groupBy("plan_id").agg(F.sum("utility").alias(f"u{p}"), F.sum("cost").alias(f"c{p}"))

@@ -47,18 +47,30 @@ def _high_sql(order: str) -> str:
 
 
 CONFIGS = [("low", 1.0), ("mid", 2.5), ("high", 6.0)]
+PRIORS = [("low", 1.0, 1.0), ("mid", 2.5, 1.8), ("high", 6.0, 2.4)]
 GREEDY = """st as (select plan_id, window_id, duration, weight, v.step, v.rate from win cross join (values (1, 3.5), (2, 1.5), (3, 1.0)) v(step, rate)),
 ov as (select *, sum(case when step = 1 then duration * 6.0 else 0 end) over (partition by plan_id) - coalesce(sum(duration * rate) over (partition by plan_id order by case when step = 3 then 1 else 0 end, step, weight, window_id rows between unbounded preceding and 1 preceding), 0) - 100 as over_ from st),
 lv as (select plan_id, window_id, duration, cast(sum(case when over_ > 1e-9 then 1 else 0 end) as int) as level from ov group by 1, 2, 3)
 select plan_id, window_id, case level when 0 then 'high' when 1 then 'mid' when 2 then 'low' end as cfg, cast(case level when 0 then 6.0 when 1 then 2.5 when 2 then 1.0 else 0 end as double) * duration as cost, level = 3 as dropped from lv"""
 
+GREEDY_UTILITY = GREEDY.replace("\nselect plan_id", ",\ngr as (select plan_id", 1) + "), gu as (select plan_id, sum(weight * case cfg when 'low' then 1.0::double when 'mid' then 1.8 when 'high' then 2.4 else 0 end) as utility from gr join win using (plan_id, window_id) group by 1)"
+EXACT = """wi as (select *, row_number() over (partition by plan_id order by window_id) as i, count(*) over (partition by plan_id) as n from win),
+rs as (select plan_id, 0::bigint as i, n, 0.0::double as cost, 0.0::double as u from wi where i = 1 union all
+  select rs.plan_id, wi.i, rs.n, rs.cost + wi.duration * o.rate, rs.u + wi.weight * o.prior from rs join wi on wi.plan_id = rs.plan_id and wi.i = rs.i + 1 cross join (values (0.0::double, 0.0::double), (1.0, 1.0), (2.5, 1.8), (6.0, 2.4)) o(rate, prior) where rs.cost + wi.duration * o.rate <= 100 + 1e-9),
+ex as (select plan_id, max(u) as utility from rs where i = n group by 1)"""
+
 
 def _greedy(s, d):
     return B.allocate_greedy(windows(s, d), CONFIGS, F.lit(100.0))
 
 
 def _relaxed(s, d):
-    return B.allocate_relaxed(windows(s, d), [("low", 1.0, 1.0), ("mid", 2.5, 1.8), ("high", 6.0, 2.4)], F.lit(100.0))
+    return B.allocate_relaxed(windows(s, d), PRIORS, F.lit(100.0))
+
+
+def _exact(s, d):
+    """Bounded from below by the greedy allocation."""
+    return B.allocate_exact(windows(s, d), PRIORS, F.lit(100.0), known=_utility(s, d).groupBy("plan_id").agg(F.sum("utility").alias("utility")))
 
 
 def _utility(s, d):
@@ -195,6 +207,11 @@ QUERIES = {
     ),
     "b15_greedy_allocation": (_greedy, f"with {WINDOWS}, {GREEDY}"),
     "b16_relaxed_allocation": (_relaxed, None),
+    "b16_exact_allocation": (
+        lambda s, d: B.allocation_gaps(_exact(s, d), greedy=_utility(s, d)).select("plan_id", R6("exact").alias("exact"), R6("greedy_gap").alias("greedy_gap")),
+        f"with recursive {WINDOWS}, {GREEDY_UTILITY}, {EXACT} select plan_id, round(ex.utility, 6) as exact, case when abs(ex.utility - gu.utility) < 1e-9 then 0.0::double else round(ex.utility - gu.utility, 6) end as greedy_gap from ex join gu using (plan_id)",
+    ),
+    "b17_exact_gaps": (lambda s, d: B.allocation_gaps(_exact(s, d), greedy=_utility(s, d), relaxed=_relaxed(s, d)).select("plan_id", *[R6(c).alias(c) for c in ("exact", "greedy_gap", "relaxed_gap")]), None),
     "b17_solver_comparison": (lambda s, d: B.compare_solvers(_utility(s, d), _relaxed(s, d)).select("plan_id", R6("d_utility").alias("d_utility"), R6("d_cost").alias("d_cost")), None),
     "b18_encoder_flops": (
         lambda s, d: table(s, d, "part").select("p_partkey", B.encoder_flops(B.tokens_of(F.col("p_size") * 16).cast("double"), 12, 768).alias("flops")),

@@ -1,6 +1,7 @@
 """Golden values and rules on literal frames, against plain Python where the rule is a loop."""
 
 import math
+import itertools
 import random
 
 import numpy as np
@@ -154,6 +155,31 @@ def test_relaxed_allocation_fits_and_gains(spark):
     assert len(totals) == 20 and all(r["c"] <= 15.0 + 1e-6 and r["n"] == 4 and r["u"] > 0 for r in totals)
 
 
+def test_exact_allocation_against_all_choices(spark):
+    """Plans of up to six windows against every choice, with and without a known lower bound; gaps are never negative."""
+    rng, cfgs = random.Random(21), [("a", 1.0, 1.0), ("b", 2.5, 1.8), ("c", 6.0, 2.4)]
+    plans = {p: [(w, float(rng.randint(0, 9)), rng.choice([0.0, 0.1, 0.5, rng.random()])) for w in range(rng.randint(1, 6))] for p in range(40)}
+    rows = spark.createDataFrame([(p, *w) for p, ws in plans.items() for w in ws], "plan_id int, window_id int, duration double, weight double")
+    prior = F.create_map(*[x for n, _, u in cfgs for x in (F.lit(n), F.lit(u))])
+    greedy = B.allocate_greedy(rows, [(n, c) for n, c, _ in cfgs], F.lit(30.0)).join(rows.select("plan_id", "window_id", "weight"), ["plan_id", "window_id"]).withColumn("utility", F.coalesce(F.get(F.array(prior), F.lit(0))[F.col("cfg")], F.lit(0.0)) * F.col("weight"))
+    relaxed = B.allocate_relaxed(rows, cfgs, F.lit(30.0))
+    known = greedy.groupBy("plan_id").agg(F.sum("utility").alias("utility"))
+    for bound in (None, known):
+        got = {}
+        for r in B.allocate_exact(rows, cfgs, F.lit(30.0), known=bound).collect():
+            got.setdefault(r["plan_id"], []).append((r["window_id"], r["cost"], r["utility"]))
+        for p, ws in plans.items():
+            every = itertools.product([(0.0, 0.0), *((c, u) for _, c, u in cfgs)], repeat=len(ws))
+            best = max(sum(w[2] * u for w, (_, u) in zip(ws, pick)) for pick in every if sum(w[1] * c for w, (c, _) in zip(ws, pick)) <= 30)
+            assert sorted(w for w, *_ in got[p]) == [w for w, *_ in ws] and sum(c for _, c, _ in got[p]) <= 30 + 1e-9
+            assert abs(sum(u for *_, u in got[p]) - best) < 1e-9
+    gaps = B.allocation_gaps(B.allocate_exact(rows, cfgs, F.lit(30.0)), greedy=greedy, relaxed=relaxed).collect()
+    assert len(gaps) == 40 and all(r["greedy_gap"] >= 0 and r["relaxed_gap"] >= 0 for r in gaps) and any(r["greedy_gap"] > 0 for r in gaps)
+    with pytest.raises(ValueError):
+        B.allocate_exact(rows, cfgs, F.lit(30.0), most=2)
+    assert B.allocate_exact(rows.where("false"), cfgs, F.lit(30.0)).count() == 0
+
+
 def test_t_distribution(spark):
     df = spark.createDataFrame([(12.706, 1), (2.262, 9), (2.228, 10)], "t double, df int")
     for r in df.select(A.t_two_sided(F.col("t"), F.col("df")).alias("p")).collect():

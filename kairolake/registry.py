@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 
 def _modules() -> list:
-    from .plans import queries_heads, queries_jobs, queries_plans, queries_series, queries_sources, queries_stats, queries_text
+    from .plans import queries_heads, queries_jobs, queries_plans, queries_reports, queries_series, queries_sources, queries_stats, queries_text
 
-    return [queries_series, queries_plans, queries_stats, queries_text, queries_sources, queries_jobs, queries_heads]
+    return [queries_series, queries_plans, queries_stats, queries_text, queries_sources, queries_jobs, queries_heads, queries_reports]
 
 
 def queries() -> dict[str, Callable]:

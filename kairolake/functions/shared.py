@@ -30,3 +30,9 @@ def stored(rows: DataFrame, name: str, group_bytes: int | None = None) -> DataFr
     path = scratch(rows.sparkSession, name)
     (rows.write.option("parquet.block.size", group_bytes) if group_bytes else rows.write).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows of a side of a join that grows with the input: both sides are shuffled. The size of its files or of its
+    shuffle may be under the broadcast threshold while its hash table takes thirty times as much of the driver."""
+    return rows.hint("merge")

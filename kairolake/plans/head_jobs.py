@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.shared import stored
+from ..functions.shared import spread, stored
 from ..operators import anchors as K
 from ..operators import budget as B
 from ..operators import confidence as C
@@ -52,7 +52,7 @@ def variant_plans(scores: DataFrame, truth: DataFrame, variants: list[Variant],
     in_order = lambda key: F.transform(F.array_sort(F.collect_list(F.struct(key.alias("o"), F.col("t").cast("int").alias("t")))), lambda p: p["t"])
     ranked = scores.groupBy("clip_id").agg(in_order(-F.col("score")).alias("best"), in_order(K.hash_uniform(str(seed), F.col("clip_id"), F.col("t"))).alias("drawn"))
     oracle = truth.where("gt <> 0").groupBy("clip_id").agg(in_order(F.col("t")).alias("events"))
-    clips = ranked.join(C.confidence(scores).select("clip_id", F.col("std").alias("conf")), "clip_id").join(oracle, "clip_id", "left")
+    clips = ranked.join(spread(C.confidence(scores).select("clip_id", F.col("std").alias("conf"))), "clip_id").join(spread(oracle), "clip_id", "left")
     dimension = spark.createDataFrame([(g, v.kind, v.k, float(v.threshold), *v.triad) for g, v in enumerate(variants)], "g int, kind string, k int, threshold double, low int, base int, high int")
     none = F.array().cast("array<int>")
     trusted = (F.col("threshold") <= 0) | (F.col("conf") >= F.col("threshold"))
@@ -76,9 +76,9 @@ def variant_rows(plans: DataFrame, features: DataFrame, truth: DataFrame, varian
     wide = [g for g, v in enumerate(variants) if v.extra]
     if wide and extra is None:
         raise ValueError("variants with side features need them")
-    rows = plans.join(features, ["clip_id", "t", "resolution"]).join(truth.select("clip_id", "t", F.col("gt").alias("label")), ["clip_id", "t"])
+    rows = plans.join(spread(features), ["clip_id", "t", "resolution"]).join(spread(truth.select("clip_id", "t", F.col("gt").alias("label"))), ["clip_id", "t"])
     if wide:
-        rows = rows.join(extra.select("clip_id", "t", "extra"), ["clip_id", "t"], "left")
+        rows = rows.join(spread(extra.select("clip_id", "t", "extra")), ["clip_id", "t"], "left")
         rows = rows.where(~F.col("g").isin(wide) | F.col("extra").isNotNull()).withColumn("features", F.when(F.col("g").isin(wide), F.concat("features", "extra")).otherwise(F.col("features")))
     return stored(rows.select("g", "clip_id", "t", "tokens", "features", "label"), "variants")
 
@@ -208,7 +208,7 @@ def sample_degradation(samples: DataFrame, truth: DataFrame, features: DataFrame
     best = scores.where(test & (F.col("cell") > 0)).groupBy("cell", "clip_id").agg(F.slice(in_order, 1, k).alias("anchors"), (F.stddev_pop("score") < threshold).alias("low"))
     picks = stored(best.select("cell", "clip_id", F.when(F.col("low") & F.lit(threshold > 0), F.array().cast("array<int>")).otherwise(F.col("anchors")).alias("anchors"), (F.col("low") & F.lit(threshold > 0)).alias("fallback")), "picks")
     plan = B.equal_budget_plan(picks.select(F.struct("cell", "clip_id").alias("clip_id"), "anchors"), n, low, base, high).select("clip_id.cell", "clip_id.clip_id", "t", "resolution")
-    degraded = plan.join(features, ["clip_id", "t", "resolution"]).join(truth.select("clip_id", "t", F.col("gt").alias("label")), ["clip_id", "t"])
+    degraded = plan.join(spread(features), ["clip_id", "t", "resolution"]).join(spread(truth.select("clip_id", "t", F.col("gt").alias("label"))), ["clip_id", "t"])
     known = rows.where(test).select("g", "clip_id", "features", "label")
     uniform = known.where("g = 0")
     asked = known.select("g", F.lit("own").alias("plan"), F.lit(0).alias("cell"), "clip_id", "features", "label")
@@ -220,7 +220,7 @@ def sample_degradation(samples: DataFrame, truth: DataFrame, features: DataFrame
 
     events = truth.where("gt <> 0").groupBy("clip_id").agg(F.collect_set(F.col("t").cast("int")).alias("events"))
     share = lambda d: F.aggregate("events", F.lit(0.0), lambda a, t: a + F.exists("anchors", lambda u: F.abs(u - t) <= d).cast("double")) / F.size("events")
-    clips = picks.join(acc.where("plan = 'degraded'").select("cell", "clip_id", "acc"), ["cell", "clip_id"]).join(fixed, "clip_id").join(events, "clip_id", "left").select("*", *[share(d).alias(f"recall_{d}") for d in deltas])
+    clips = picks.join(spread(acc.where("plan = 'degraded'").select("cell", "clip_id", "acc")), ["cell", "clip_id"]).join(spread(fixed), "clip_id").join(spread(events), "clip_id", "left").select("*", *[share(d).alias(f"recall_{d}") for d in deltas])
     grid = J.sweep(clips, spark.createDataFrame([(float(a),) for a in alphas], "alpha double"))
     forced = K.hash_uniform(F.col("clip_id"), salt) < F.col("alpha")
     grid = grid.select("cell", "alpha", forced.alias("forced"), "fallback", F.col("uniform_own").alias("u"), F.when(forced, F.col("random_uniform")).otherwise(F.col("random_own")).alias("r"), F.when(forced, F.col("anchored_uniform")).otherwise(F.col("acc")).alias("a"), *[F.when(forced & F.col(f"recall_{d}").isNotNull(), 0.0).otherwise(F.col(f"recall_{d}")).alias(f"recall_{d}") for d in deltas])

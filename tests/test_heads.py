@@ -208,3 +208,11 @@ def test_equal_budgets_and_widths(spark, clips):
 
 def test_whole_triads():
     assert (160, 224, 352) in Q.whole_triads([160, 224, 352]) and Q.whole_triads([112, 160, 224]) == []
+
+
+def test_planned_rows_are_never_broadcast(spark, clips, monkeypatch):
+    """Scores, truth and features grow with the input; at 60 times sf0.1 their hash tables overfilled the driver."""
+    plans, stored = [], Q.stored
+    monkeypatch.setattr(Q, "stored", lambda rows, name: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or stored(rows, name))
+    Q.planned_rows(clips[2].drop("gt"), clips[2].select("clip_id", "t", "gt"), clips[3], Q.BASELINES, 10)
+    assert plans and not any("BroadcastHashJoin" in plan for plan in plans)

@@ -213,6 +213,7 @@ def test_whole_triads():
 def test_planned_rows_are_never_broadcast(spark, clips, monkeypatch):
     """Scores, truth and features grow with the input; at 60 times sf0.1 their hash tables overfilled the driver."""
     plans, stored = [], Q.stored
+    seconds, features = stored(clips[2], "seconds"), stored(clips[3], "features")
     monkeypatch.setattr(Q, "stored", lambda rows, name: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or stored(rows, name))
-    Q.planned_rows(clips[2].drop("gt"), clips[2].select("clip_id", "t", "gt"), clips[3], Q.BASELINES, 10)
+    Q.planned_rows(seconds.drop("gt"), seconds.select("clip_id", "t", "gt"), features, [Q.Variant("anchored", "anchored")], 10)
     assert plans and not any("BroadcastHashJoin" in plan for plan in plans)

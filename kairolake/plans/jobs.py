@@ -78,9 +78,10 @@ def plan_records(scores: DataFrame, k: int, n: int, low: int, base: int, high: i
 
 
 def long_plan(scores: DataFrame, k: int, n: int, radius: int, stride: int, max_steps: int) -> DataFrame:
-    """(clip_id, pos, t, is_anchor): hybrid selection of seconds with the anchors mapped to their positions."""
+    """(clip_id, pos, t, is_anchor): hybrid selection among the seconds that have a score, and those around anchors, with
+    the anchors mapped to their positions."""
     anchors = K.top_k(scores, k)
-    chosen = S.frame_manifest(S.hybrid_long(scores.select("clip_id").distinct(), anchors, radius, stride, max_steps, n))
+    chosen = S.frame_manifest(S.hybrid_long(scores.select("clip_id").distinct(), anchors, radius, stride, max_steps, n, scores))
     return chosen.join(anchors.select("clip_id", "t", F.lit(True).alias("a")), ["clip_id", "t"], "left").select("clip_id", F.col("order").alias("pos"), "t", F.coalesce("a", F.lit(False)).alias("is_anchor"))
 
 

@@ -31,8 +31,9 @@ def seg10b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(plan_id, window_id, duration, weight): line items as time windows of an order."""
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("window_id")).agg(F.sum("l_quantity").alias("duration"), F.max("l_discount").alias("weight"))
+    """(plan_id, window_id, duration, weight): line items as time windows of an order. They are dealt out by plan, so
+    that what works on plans has them together and doesn't shuffle them again."""
+    return table(spark, sf_dir, "lineitem").repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("window_id")).agg(F.sum("l_quantity").alias("duration"), F.max("l_discount").alias("weight"))
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:

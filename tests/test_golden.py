@@ -337,3 +337,20 @@ def test_picks_of_few_or_equal_seconds(spark):
     assert by(S.max_volume(rows, 3)) == {1: [0], 2: [0, 1], 3: [0, 2, 1]}
     assert by(S.weighted_dpp(rows, 3)) == {1: [0], 2: [1, 0], 3: [0, 2, 1]}
     assert S.max_volume(rows.limit(0), 2).count() == 0
+
+
+def test_allocations_shuffle_plans_once(spark, sf_dir):
+    """Windows are dealt out by plan, and the allocations and their comparison work where they are."""
+    from kairolake.plans.queries_plans import QUERIES
+
+    for name in ("b15_greedy_allocation", "b16_relaxed_allocation", "b17_solver_comparison"):
+        plan = QUERIES[name][0](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        keyed = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert keyed and all("hashpartitioning(l_orderkey" in line for line in keyed) and len(keyed) <= 2, name
+
+
+def test_exact_allocation_by_rows_is_the_same(spark):
+    rows = spark.createDataFrame([(p, w, 1.0 + (p * 7 + w * 3) % 11, ((p * 5 + w * 13) % 17) / 17) for p in range(20) for w in range(1 + p % 5)], "plan_id int, window_id int, duration double, weight double")
+    configs = [("low", 1.0, 1.0), ("mid", 2.5, 1.8), ("high", 6.0, 2.4)]
+    total = lambda in_row: {r[0]: (round(r[1], 9), round(r[2], 9)) for r in B.allocate_exact(rows, configs, F.lit(30.0), in_row=in_row).groupBy("plan_id").agg(F.sum("utility"), F.sum("cost")).collect()}
+    assert len(total(1 << 16)) == 20 and total(1 << 16) == total(16)

@@ -48,11 +48,19 @@ def build_scores(method: str, audio: DataFrame, visual: DataFrame, texts: DataFr
     }[method]()
 
 
+def picks_by_method(scores: DataFrame, k: int, budget: int, alpha: float, radius: int, n: int) -> DataFrame:
+    """(method, clip_id, picks) of (method, clip_id, t, score): anchors and the mixture of background, anchors and best
+    scores for every method at once, as an array of (t, role). One shuffle brings a clip's scores of a method into one
+    row; nothing is exploded in it."""
+    rows = scores.groupBy("method", "clip_id").agg(F.collect_list(F.struct("t", "score")).alias("scores"))
+    best = F.sort_array(F.transform("scores", lambda x: F.struct(x["score"].alias("score"), (-x["t"]).alias("earlier"))), asc=False)
+    anchors = F.transform(F.slice(best, 1, k), lambda x, i: F.struct(i.alias("rank"), (-x["earlier"]).alias("t")))
+    return S.mixed(rows.withColumn("anchors", anchors), budget, alpha, radius, n)
+
+
 def select_by_method(scores: DataFrame, k: int, budget: int, alpha: float, radius: int, n: int) -> DataFrame:
-    """(method, clip_id, t, role) of (method, clip_id, t, score): anchors and the mixture of background, anchors and
-    best scores for every method at once, the method being part of the clip's key."""
-    keyed = scores.select(F.struct("method", "clip_id").alias("clip_id"), "t", "score")
-    return S.alpha_mixture(keyed, K.top_k(keyed, k), budget, alpha, radius, n).select("clip_id.method", "clip_id.clip_id", "t", "role")
+    """(method, clip_id, t, role): the picks of ``picks_by_method``, a row each."""
+    return picks_by_method(scores, k, budget, alpha, radius, n).select("method", "clip_id", F.inline("picks"))
 
 
 def anchor_quality(audio: DataFrame, visual: DataFrame, truth: DataFrame, k: int, deltas: list[int], n: int, seed: int) -> DataFrame:

@@ -5,6 +5,9 @@ block evolves on several islands, whose elites migrate between epochs. A child t
 of one parent, loses the other parent's bins that share pieces with them, and the displaced pieces are placed
 again by best fit. Full bins of a block are final; the pieces of its slack bins are pooled over all blocks and
 packed again, until one block is left.
+
+Documents that have an order keep it as far as packing allows: a block is a run of neighbouring pieces, a sequence holds
+its pieces in their order, and sequences are numbered by their first pieces.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import frugal, materialize, table
@@ -42,23 +45,37 @@ class PackConfig:
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, length: int, by_word: bool = True, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """PIECE rows: each document's ids with the end id, cut every ``length`` ids."""
+#: A piece's place: the part of the order that its document is in (a file, say) and the row in it.
+PLACE = ["part", "row"]
+
+
+def pieces_of(docs: DataFrame, tokenizer: str, length: int, by_word: bool = True, text: str = "text", id_col: str = "doc_id", order: tuple[Column, Column] | None = None) -> DataFrame:
+    """PIECE rows: each document's ids with the end id, cut every ``length`` ids; with an ``order`` also PLACE."""
+    place = PLACE if order else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(tokenizer, by_word)
         for batch in together(batches, "text"):
             for part, offsets, flat in encode.parts(batch, "text", END_ID):
                 rows = []
-                for d, a, b in zip(part.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                     for i, at in enumerate(range(a, b, length)):
                         to = min(b, at + length)
-                        rows.append((d, i, at - a, to - at, zlib.crc32(flat[at:to].astype("<u4").tobytes())))
-                d, i, s, n, c = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(i, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                        rows.append((k, i, at - a, to - at, zlib.crc32(flat[at:to].astype("<u4").tobytes())))
+                k, i, s, n, c = zip(*rows, strict=True)
+                own = part.select(["doc_id", *place]).take(pa.array(k))
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(i, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64()), *own.columns[1:]], names=["doc_id", "piece", "start", "length", "ids_crc32", *place])
+
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *[c.cast("long").alias(name) for c, name in zip(order or (), place, strict=True)])
+    return narrow.mapInArrow(frugal(run), PIECE + "".join(f", {c} long" for c in place))
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return narrow.mapInArrow(frugal(run), PIECE)
+
+def numbered(rows: DataFrame, out: str, *ties: str) -> DataFrame:
+    """``rows`` with their number from 0 in the order of PLACE and ``ties``: counted by part, ordered inside it."""
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("row", *ties)) - 1
+    return rows.withColumn(out, inside.cast("long")).join(bases, "part").withColumn(out, F.col(out) + F.col("__base")).drop("__base")
 
 
 class Packing:
@@ -134,9 +151,15 @@ def _ordered(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", na_position="first").reset_index(drop=True)
 
 
-def _packed(pieces: DataFrame, blocks: int, cfg: PackConfig, turn: int) -> DataFrame:
-    """PIECE rows with sequence_id, offset and the bin's free tokens."""
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(blocks)))
+def _packed(pieces: DataFrame, blocks: int, left: int, cfg: PackConfig, turn: int) -> DataFrame:
+    """PIECE rows with sequence_id, offset and the bin's free tokens. Pieces with a PLACE are dealt by it, ``left``
+    of them in runs of equal size, others by their hash."""
+    place = [c for c in PLACE if c in pieces.columns]
+    if place:
+        runs = numbered(pieces, "block", "piece").withColumn("block", F.floor(F.col("block") * blocks / left).cast("long"))
+        dealt = materialize(runs.select(*pieces.columns, "block"), "dealt")
+    else:
+        dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(blocks)))
     isles = dealt.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(cfg.islands - 1))))
     elite = "block long, island int, bins int, filled double, assigned array<int>"
 
@@ -157,32 +180,39 @@ def _packed(pieces: DataFrame, blocks: int, cfg: PackConfig, turn: int) -> DataF
     elites = materialize(elites, "elites")
     best = elites.groupBy(F.col("block").alias("b")).agg(F.max_by("assigned", F.struct(-F.col("bins"), "filled", -F.col("island"))).alias("assigned"))
 
-    def place(frame: pd.DataFrame, winner: pd.DataFrame) -> pd.DataFrame:
+    def settle(frame: pd.DataFrame, winner: pd.DataFrame) -> pd.DataFrame:
         out = _ordered(frame)
         bins = np.asarray(winner["assigned"].iloc[0])
         out["sequence_id"] = (turn << 52) + out["block"] * (1 << 20) + bins
+        if place:
+            out = out.sort_values([*place, "piece"], kind="stable")
         out["offset"] = out.groupby("sequence_id")["length"].cumsum() - out["length"]
         out["free"] = cfg.length - out.groupby("sequence_id")["length"].transform("sum")
         return out.drop(columns="block")
 
-    return dealt.groupBy("block").cogroup(best.groupBy("b")).applyInPandas(place, PIECE + ", sequence_id long, offset long, free long")
+    form = PIECE + "".join(f", {c} long" for c in place) + ", sequence_id long, offset long, free long"
+    return dealt.groupBy("block").cogroup(best.groupBy("b")).applyInPandas(settle, form)
 
 
-def pack(docs: DataFrame, tokenizer: str, cfg: PackConfig | None = None, by_word: bool = True, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, cfg: PackConfig | None = None, by_word: bool = True, text: str = "text", id_col: str = "doc_id", order: tuple[Column, Column] | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every row.
 
+    ``order``: two whole numbers that order the rows, their part and the row in it; no part may have more rows than one
+    task sorts. Sequences are then made of neighbours, but for pieces of slack bins, and are numbered from 0 by the
+    place of their first piece.
+
     A null text counts as empty and is one piece of one token, the end id. Only documents longer than a sequence
     are cut. Rows that repeat an id, or have none, are packed like others. An empty table gives no rows; other
     columns are ignored."""
     cfg = cfg or PackConfig()
-    pool = materialize(pieces_of(docs, tokenizer, cfg.length, by_word, text, id_col), "pieces")
+    pool = materialize(pieces_of(docs, tokenizer, cfg.length, by_word, text, id_col, order), "pieces")
     whole = pool.where(F.col("length") >= cfg.length)
     done = [whole.withColumn("sequence_id", (F.lit(1 << 60) + F.monotonically_increasing_id())).withColumn("offset", F.lit(0).cast("long"))]
     pool = pool.where(F.col("length") < cfg.length)
     turn, left, slack = 1, pool.count(), cfg.slack
     while left:
         blocks = -(-left // cfg.block)
-        result = materialize(_packed(pool, blocks, cfg, turn), f"packed-{turn}")
+        result = materialize(_packed(pool, blocks, left, cfg, turn), f"packed-{turn}")
         if blocks == 1:
             done.append(result.drop("free"))
             break
@@ -193,9 +223,19 @@ def pack(docs: DataFrame, tokenizer: str, cfg: PackConfig | None = None, by_word
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
+    if order:
+        out = _in_order(out)
     return out.withColumnRenamed("doc_id", id_col)
 
 
+def _in_order(packed: DataFrame) -> DataFrame:
+    """Sequences numbered from 0 in the order of their first pieces, instead of their old ids."""
+    packed = materialize(packed, "packed")
+    first = packed.where(F.col("offset") == 0).select("part", "row", "piece", "sequence_id")
+    ids = materialize(numbered(first, "number", "piece").select("sequence_id", "number"), "numbers")
+    return packed.drop(*PLACE).join(ids, "sequence_id").withColumn("sequence_id", F.col("number")).drop("number")
+
+
 def op5_ga_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into sequences of 4096 tokens."""
     return pack(table(spark, sf_dir, "documents"), public_tokenizer())

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import frugal, materialize, table
+from .common import frugal, give_back, materialize, table
 from .tokens import END_ID, Encoder, public_tokenizer, together
 
 
@@ -167,6 +167,7 @@ def _packed(pieces: DataFrame, blocks: int, left: int, cfg: PackConfig, turn: in
         block, island = int(frame["block"].iloc[0]), int(frame["island"].iloc[0])
         size = _ordered(frame)["length"].tolist()
         best = evolve(size, cfg.length, cfg, hash((cfg.seed, turn, block, island, epoch)) & 0xFFFFFFFF, guests)
+        give_back()  # Spark uses the worker again, and keeps it idle through the stages that follow
         return pd.DataFrame({"block": [block], "island": [island], "bins": [len(best.bins)], "filled": [best.fitness[1]], "assigned": [best.assignment(len(size))]})
 
     def meeting(epoch: int):
@@ -188,6 +189,7 @@ def _packed(pieces: DataFrame, blocks: int, left: int, cfg: PackConfig, turn: in
             out = out.sort_values([*place, "piece"], kind="stable")
         out["offset"] = out.groupby("sequence_id")["length"].cumsum() - out["length"]
         out["free"] = cfg.length - out.groupby("sequence_id")["length"].transform("sum")
+        give_back()
         return out.drop(columns="block")
 
     form = PIECE + "".join(f", {c} long" for c in place) + ", sequence_id long, offset long, free long"

@@ -35,6 +35,8 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 UNDETERMINED = "und"
+#: Words whose n-grams are looked at together.
+WORDS = 8192
 
 
 @dataclass(frozen=True)
@@ -185,10 +187,24 @@ def _decide(chance: np.ndarray, pairs: list[tuple[str, str, str]], level: str, n
     return best, sums[np.arange(len(best)), best] / (len(names) - 1)
 
 
+def _word_sums(words: pa.Array, model: LangIdModel, cfg: LangIdConfig) -> tuple[np.ndarray, np.ndarray]:
+    """(number of n-grams by word, sum of their weights by machine and word), some words at a time: n-grams take a
+    hundred times as much memory as the words they come from."""
+    weights = [] if model.weights is None else model.weights
+    count, sums = np.zeros(len(words)), np.zeros((len(weights), len(words)))
+    for a in range(0, len(words), WORDS):
+        some = words.slice(a, WORDS)
+        at, dims = word_ngrams(some, cfg)
+        to = a + len(some)
+        count[a:to] = np.bincount(at, minlength=len(some))
+        for k, w in enumerate(weights):
+            sums[k, a:to] = np.bincount(at, weights=w[dims], minlength=len(some))
+    return count, sums
+
+
 def classify(texts: pa.Array, model: LangIdModel, cfg: LangIdConfig) -> tuple[list[str], np.ndarray]:
     owner, words, index = _words(texts)
-    at, dims = word_ngrams(words, cfg)
-    count = np.bincount(at, minlength=len(words)).astype(np.float64)
+    count, by_word = _word_sums(words, model, cfg)
     total = np.bincount(owner, weights=count[index], minlength=len(texts))
     names, score = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
     if len(model.languages) == 1:
@@ -197,8 +213,7 @@ def classify(texts: pa.Array, model: LangIdModel, cfg: LangIdConfig) -> tuple[li
         return list(names), score
     margins = np.empty((len(texts), len(model.pairs)))
     for k, w in enumerate(model.weights):
-        by_word = np.bincount(at, weights=w[dims], minlength=len(words))
-        margins[:, k] = np.bincount(owner, weights=by_word[index], minlength=len(texts)) / np.maximum(total, 1) + 0.01 * w[-1]
+        margins[:, k] = np.bincount(owner, weights=by_word[k][index], minlength=len(texts)) / np.maximum(total, 1) + 0.01 * w[-1]
     chance = 1 / (1 + np.exp(-np.clip(margins * model.slopes, -500, 500)))
     families = sorted({FAMILY_OF.get(code, code) for code in model.languages})
     top, sure = _decide(chance, model.pairs, "", families)

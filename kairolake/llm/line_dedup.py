@@ -14,7 +14,7 @@ filters, allow that, and the line that a deleted document had suppressed elsewhe
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -121,6 +121,11 @@ def key_hashes(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)[:, 1] if keys else np.zeros(0, np.uint64)
 
 
+def key_shards(keys: list[bytes], shards: int) -> np.ndarray:
+    """The shard of each key, as ``pmod(xxhash64(key), 1 << 20) % shards`` in Spark."""
+    return np.fromiter((xxhash.xxh64_intdigest(k, 42) % (1 << 20) % shards for k in keys), np.int64, len(keys))
+
+
 def line_keys(text: str | None, least: int) -> list[bytes | None]:
     """The 128-bit key of each line; None for lines whose key is shorter than ``least`` code points."""
     keys = (line.strip(SPACE).translate(LOWER) for line in (text or "").split("\n"))
@@ -154,21 +159,24 @@ def _texts(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def _keys_of(texts: DataFrame, least: int) -> DataFrame:
-    """(key, doc_id), once a document and batch."""
+def _postings(batches: Iterator[pa.RecordBatch], least: int, keep: Callable[[list[bytes]], np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+    """(key, doc_id), once a document and batch, of the keys that ``keep`` says yes to."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            lists = pc.split_pattern(pc.fill_null(part.column("text"), ""), "\n")
+            coded = pc.ascii_lower(pc.ascii_trim(lists.flatten(), SPACE)).dictionary_encode()
+            long = np.array(pc.greater_equal(pc.utf8_length(coded.dictionary), least).to_numpy(zero_copy_only=False), bool)
+            owner, code = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy())), coded.indices.to_numpy().astype(np.int64)
+            digests = [xxhash.xxh3_128_digest(k.as_buffer()) if ok else None for k, ok in zip(coded.dictionary.cast(pa.binary()), long, strict=True)]
+            if keep:
+                long[long] = keep([k for k in digests if k is not None])
+            once = pd.unique((owner * len(long) + code)[long[code]])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()).take(pa.array(once % max(1, len(long)))), part.column("doc_id").take(pa.array(once // max(1, len(long))))], names=["key", "doc_id"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                lists = pc.split_pattern(pc.fill_null(part.column("text"), ""), "\n")
-                coded = pc.ascii_lower(pc.ascii_trim(lists.flatten(), SPACE)).dictionary_encode()
-                long = pc.greater_equal(pc.utf8_length(coded.dictionary), least).to_numpy(zero_copy_only=False)
-                owner, code = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy())), coded.indices.to_numpy().astype(np.int64)
-                once = pd.unique((owner * len(long) + code)[long[code]])
-                digests = pa.array([xxhash.xxh3_128_digest(k.as_buffer()) if ok else None for k, ok in zip(coded.dictionary.cast(pa.binary()), long, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([digests.take(pa.array(once % max(1, len(long)))), part.column("doc_id").take(pa.array(once // max(1, len(long))))], names=["key", "doc_id"])
 
-    return texts.mapInArrow(frugal(run), "key binary, doc_id long")
+def _keys_of(texts: DataFrame, least: int) -> DataFrame:
+    """(key, doc_id), once a document and batch."""
+    return texts.mapInArrow(frugal(lambda batches: _postings(batches, least)), "key binary, doc_id long")
 
 
 def _count(postings: DataFrame, shards: int) -> DataFrame:
@@ -250,9 +258,9 @@ def delete(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
 def _maybe_repeated(texts: DataFrame, index: LineIndex) -> DataFrame:
     """(key, doc_id) of the lines that the filters don't rule out."""
     size = index.filters.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0)).alias("n")).first()["n"]
-    keys, shard = _keys_of(texts, index.least), F.pmod(F.xxhash64("key"), F.lit(1 << 20)) % index.shards
     if size > BROADCAST_BYTES:  # each shard's filter travels to its part of the lines, salted by document
         salts = 16
+        keys, shard = _keys_of(texts, index.least), F.pmod(F.xxhash64("key"), F.lit(1 << 20)) % index.shards
         dealt = keys.withColumn("shard", shard.cast("int")).withColumn("salt", F.pmod(F.col("doc_id"), F.lit(salts)).cast("int"))
         copies = index.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
@@ -264,22 +272,24 @@ def _maybe_repeated(texts: DataFrame, index: LineIndex) -> DataFrame:
         return dealt.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(probe, "key binary, doc_id long")
 
     shipped = index.spark.sparkContext.broadcast({r["shard"]: bytes(r["bits"]) for r in index.filters.collect()})
+    least, n_shards = index.least, index.shards
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = {s: CuckooFilter.load(b) for s, b in shipped.value.items()}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            hashes = key_hashes(batch.column("key").to_pylist())
-            shards = batch.column("shard").to_numpy()
-            keep = np.zeros(len(hashes), bool)
+
+        def keep(keys: list[bytes]) -> np.ndarray:
+            hashes, shards = key_hashes(keys), key_shards(keys, n_shards)
+            out = np.zeros(len(keys), bool)
             for s in np.unique(shards):
                 at = shards == s
                 if s in filters:
-                    keep[at] = filters[s].contains(hashes[at])
-            yield batch.select(["key", "doc_id"]).filter(pa.array(keep))
+                    out[at] = filters[s].contains(hashes[at])
+            return out
+
+        yield from _postings(batches, least, keep)
 
-    return keys.withColumn("shard", shard.cast("int")).mapInArrow(frugal(run), "key binary, doc_id long")
+    # keys and filters in one function: one behind the other are two Python workers a task, all of which Spark keeps
+    return texts.mapInArrow(frugal(run), "key binary, doc_id long")
 
 
 def dropped_keys(docs: DataFrame, index: LineIndex, text: str = "text", id_col: str = "doc_id") -> DataFrame:

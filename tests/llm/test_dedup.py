@@ -109,6 +109,15 @@ def test_line_dedup(docs, edge, empty, monkeypatch):
     assert sorted(tuple(r) for r in line_dedup.dedup_lines(docs, digest=True).collect()) == brute_lines(rows)
 
 
+def test_lines_are_looked_up_by_one_python_worker(spark, docs, capsys):
+    texts = line_dedup._texts(docs, "text", "doc_id")
+    line_dedup._maybe_repeated(texts, line_dedup.build_index(docs, postings=False)).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1  # one behind the other take two workers a task
+    keys = [hashlib.md5(str(i).encode()).digest() for i in range(500)]
+    rows = spark.createDataFrame([(k,) for k in keys], "key binary").selectExpr("pmod(xxhash64(key), 1 << 20) % 7 as shard").collect()
+    assert line_dedup.key_shards(keys, 7).tolist() == [r["shard"] for r in rows]
+
+
 def test_line_index_is_reversible(docs):
     first, more = docs.where("doc_id % 3 <> 1"), docs.where("doc_id % 3 = 1")
     run = lambda df, index=None: sorted(tuple(r) for r in line_dedup.dedup_lines(df, index, digest=True).collect())

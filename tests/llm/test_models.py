@@ -16,6 +16,22 @@ def test_language_id_held_out(spark, docs, edge, empty):
     assert {r["lang_pred"] for r in langid.predict(docs, langid.fit(empty)).collect()} == {"und"}
 
 
+def test_language_id_memory_on_many_words():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    cfg = langid.LangIdConfig()
+    rng = np.random.default_rng(1)
+    model = langid.LangIdModel(["de", "en"], [("germanic", "de", "en")], rng.normal(size=(1, cfg.dims + 1)), np.ones(1))
+    texts = pa.array([" ".join("".join(map(chr, rng.integers(97, 123, 8))) for _ in range(1000)) for _ in range(100)])
+    tracemalloc.start()
+    langid.classify(texts, model, cfg)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * sum(map(len, texts.to_pylist()))  # n-grams of all 100,000 words at once: over 150
+
+
 def test_toxicity(spark, docs, edge, empty):
     calm = [(i, f"the weather is mild today and word{i % 17} follows plain talk number {i}") for i in range(400)]
     rude = [(1000 + i, f"the weather is mild today you {'idiot moron scum'.split()[i % 3]} word{i % 17} {'clown loser'.split()[i % 2]} number {i}") for i in range(200)]

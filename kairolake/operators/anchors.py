@@ -14,8 +14,8 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
 
 
 def ranked(scores: DataFrame) -> DataFrame:
-    """(clip_id, ts): a clip's seconds from best to worst, as an array."""
-    pairs = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("t").cast("int").alias("t"))))
+    """(clip_id, ts): a clip's seconds from best to worst, as an array; unknown scores come last."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("score").isNull().alias("unknown"), (-F.col("score")).alias("s"), F.col("t").cast("int").alias("t"))))
     return scores.groupBy("clip_id").agg(pairs.alias("pairs")).select("clip_id", F.transform("pairs", lambda p: p["t"]).alias("ts"))
 
 
